@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from massflow.llm import exact_dedup
+from massflow.llm import exact_dedup, secrets
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7,
+    "op10_secret_scan": secrets.op10,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_secret_scan": secrets.ORACLE_SQL,
 }
