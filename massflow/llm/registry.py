@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from massflow.llm import exact_dedup, secrets
+from massflow.llm import bpe, exact_dedup, secrets
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2,
     "op7_exact_dedup": exact_dedup.op7,
     "op10_secret_scan": secrets.op10,
 }
