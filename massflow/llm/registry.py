@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, exact_dedup, secrets
+from massflow.llm import bpe, exact_dedup, secrets, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op2_byte_bpe": bpe.op2,
     "op7_exact_dedup": exact_dedup.op7,
     "op10_secret_scan": secrets.op10,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
 }
