@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, exact_dedup, secrets, warc
+from massflow.llm import bpe, exact_dedup, langid, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_byte_bpe": bpe.op2,
+    "op3_language_id": langid.op3,
     "op7_exact_dedup": exact_dedup.op7,
+    "op9_quality": quality.op9,
     "op10_secret_scan": secrets.op10,
 }
 
