@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, exact_dedup, langid, quality, secrets, warc
+from massflow.llm import bpe, exact_dedup, langid, minhash, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_language_id": langid.op3,
+    "op5_minhash_dedup": minhash.op5,
     "op7_exact_dedup": exact_dedup.op7,
     "op9_quality": quality.op9,
     "op10_secret_scan": secrets.op10,
 }
 
 ORACLES = {
+    "op5_minhash_dedup": minhash.ORACLE_SQL,
     "op1_warc": warc.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
