@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, exact_dedup, langid, minhash, quality, secrets, warc
+from massflow.llm import bpe, decontaminate, exact_dedup, langid, lm, minhash, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_language_id": langid.op3,
+    "op4_decontamination": decontaminate.op4,
     "op5_minhash_dedup": minhash.op5,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_lm_score": lm.op8,
     "op9_quality": quality.op9,
     "op10_secret_scan": secrets.op10,
 }
