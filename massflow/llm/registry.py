@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, decontaminate, exact_dedup, langid, lm, minhash, quality, secrets, warc
+from massflow.llm import bpe, decontaminate, exact_dedup, extract, langid, lm, minhash, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": langid.op3,
     "op4_decontamination": decontaminate.op4,
     "op5_minhash_dedup": minhash.op5,
+    "op6_html_extraction": extract.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_lm_score": lm.op8,
     "op9_quality": quality.op9,
