@@ -228,6 +228,19 @@ def digests(text: Column, shared) -> Column:
     return both(text)
 
 
+def token_row(text: Column, shared) -> Column:
+    """n_tokens, ids_sha256 and the ids themselves of whole texts."""
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, ids array<int>")
+    def row(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = shared.value
+        for batch in batches:
+            packed = [bpe.encode(t or "") for t in batch]
+            yield pd.DataFrame({"n_tokens": [len(p) // 4 for p in packed], "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed], "ids": [np.frombuffer(p, dtype="<i4") for p in packed]})
+
+    return row(text)
+
+
 def public_coder(spark: SparkSession):
     import public_tokenizers
 

@@ -56,3 +56,14 @@ def loose(key: Column) -> Column:
     planner split a partition that one hot key has made too large.
     """
     return key.bitwiseXOR(F.lit(0x5851F42D4C957F2D))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone`` (rid, doc_id), where rid is the row_id() of the same scan.
+
+    Both numbers must fit, so a row is never dropped for another's sake; doc_id
+    alone would not tell repeated rows apart.
+    """
+    marked = gone.select(F.col("rid").alias("__gone_row"), F.col("doc_id").alias("__gone_id"))
+    on = (F.col("__row") == F.col("__gone_row")) & F.col("doc_id").eqNullSafe(F.col("__gone_id"))
+    return docs.withColumn("__row", row_id()).join(marked, on, "left_anti").drop("__row")

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import WHITE_SPACE, loose, row_id, stored, table
+from massflow.llm.common import WHITE_SPACE, loose, row_id, stored, table, without_rows
 
 BLOCK_BYTES = 4096
 #: In a pair, the missing right half at an odd end.
@@ -118,9 +118,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept."""
-    # rows are found again by doc_id and not by place, as a later scan may be cut otherwise
-    gone = exact_groups(docs).where("not kept").select("doc_id").where("doc_id is not null")
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+    return without_rows(docs, exact_groups(docs).where("not kept"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

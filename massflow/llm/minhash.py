@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import loose, row_id, stored, table
+from massflow.llm.common import loose, row_id, stored, table, without_rows
 from massflow.llm.graph import components
 
 SHINGLE = 5
@@ -223,7 +223,8 @@ def class_components(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, rid."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, rid and
+    ``stays``, which is true for one row of each component only."""
     numbered = docs.select(row_id().alias("rid"), "doc_id", "text")
     base = stored(numbered.select("rid", "doc_id", signed(F.col("text")).alias("s")).select("rid", "doc_id", "s.*"), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
@@ -231,21 +232,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes.select("h0", "h1", "n", F.col("m.own.rid").alias("rid"), F.col("m.own.doc_id").alias("doc_id"), "m.chunks", "m.sketch0", "m.sketch1"), "classes")
     labels = class_components(classes.select("rid", "chunks", "sketch0", "sketch1"), numbered.select("rid", "text"))
     placed = stored(classes.select("h0", "h1", "rid", "doc_id").join(labels.select(F.col("v").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "placed")
-    smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id")).select(loose(F.col("label")).alias("l"), "component_id")
-    named = placed.join(smallest, loose(F.col("label")) == F.col("l")).select(loose(F.col("h0")).alias("k0"), loose(F.col("h1")).alias("k1"), "component_id")
+    smallest = placed.groupBy("label").agg(F.min(own).alias("first")).select(loose(F.col("label")).alias("l"), "first")
+    named = placed.join(smallest, loose(F.col("label")) == F.col("l")).select(loose(F.col("h0")).alias("k0"), loose(F.col("h1")).alias("k1"), "first")
     found = base.select("rid", "doc_id", "n", "h0", "h1").join(stored(named, "named"), (loose(F.col("h0")) == F.col("k0")) & (loose(F.col("h1")) == F.col("k1")), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid")
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    stays = (F.col("n") == 0) | (F.col("rid") == F.col("first.rid"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid", stays.alias("stays"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: the one with the smallest doc_id of each component."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without_rows(docs, near_duplicates(docs).where("not stays"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid", "stays")
 
 
 ORACLE_SQL = r"""
