@@ -67,3 +67,15 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     marked = gone.select(F.col("rid").alias("__gone_row"), F.col("doc_id").alias("__gone_id"))
     on = (F.col("__row") == F.col("__gone_row")) & F.col("doc_id").eqNullSafe(F.col("__gone_id"))
     return docs.withColumn("__row", row_id()).join(marked, on, "left_anti").drop("__row")
+
+
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` of ``rows``, those with the smallest hashes of ``key``.
+
+    A bound on the hash that twice ``n`` rows are expected to meet goes before the
+    order, so that what one task gathers follows ``n`` and not the number of tasks.
+    """
+    space = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(space))
+    bound = min(space, space * (2 * n + 100) // max(1, rows.count()))
+    return rows.where(place < bound).orderBy(place, key).limit(n)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import table
+from massflow.llm.common import hash_sample, table
 
 #: Pages to learn from, the longest of them in bytes, and how often each is seen.
 TRAIN_PAGES, TRAIN_BYTES, EPOCHS = 200, 32768, 10
@@ -309,13 +309,13 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 3) -> Model:
             g = g / len(nodes) - 1e-3 * (w - prior)
             squares += g * g
             w += 0.3 * g / np.sqrt(squares)
-    return Model({f: float(w[i]) for f, i in index.items()})
+    return Model(dict(PRIOR) | ({f: float(w[i]) for f, i in index.items()} if data else {}))
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Model:
     """Learns from the ``train_pages`` pages with the smallest hashes that label themselves."""
     told = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.octet_length("html") <= TRAIN_BYTES))
-    rows = told.select("html").orderBy(F.xxhash64("html"), "html").limit(train_pages).collect()
+    rows = hash_sample(told.select("html"), "html", train_pages).collect()
     return train([r["html"] for r in rows])
 
 
