@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from massflow.llm.common import stored, table
+from massflow.llm.common import hash_sample, stored, table
 
 #: Rows to learn from, words and n-grams to keep for each language, longest n-gram.
 TRAIN_ROWS, WORDS, GRAMS, LONGEST = 6000, 30_000, 20_000, 5
@@ -50,7 +50,7 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, words: int = WORDS, gra
 
     ``rows`` (doc_id, text, lang); those with the smallest hashes of doc_id are taken, ``train_rows`` at most.
     """
-    sample = rows.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("text", "lang")
+    sample = hash_sample(rows.where("lang is not null").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", train_rows).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
