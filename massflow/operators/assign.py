@@ -59,7 +59,7 @@ def assigned(points: DataFrame, sites: DataFrame, weighted: bool = True) -> Data
     x, y = F.col("x"), F.col("y")
     d2 = lambda s: (x - s["x"]) * (x - s["x"]) + (y - s["y"]) * (y - s["y"])
     best = F.array_min(F.transform("near", lambda s: F.struct((d2(s) - s["w"]).alias("power"), s["site_id"].alias("site_id"), d2(s).alias("d2"))))
-    return placed.join(lists, ["cx", "cy"]).withColumn("best", best).select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.d2").alias("d2"))
+    return placed.join(lists, ["cx", "cy"]).withColumn("best", best).where("best is not null").select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.d2").alias("d2"))
 
 
 def cell_masses(points: DataFrame, sites: DataFrame) -> DataFrame:
