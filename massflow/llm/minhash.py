@@ -4,8 +4,13 @@ A signature has ``CHUNKS * LANES`` slots of 16 bits. Two signatures that differ
 in at most ``2 * CHUNKS - 1`` slots differ, by the pigeonhole principle, in at
 most one slot of some chunk; so each chunk is indexed once for each slot left
 out, and every pair within that distance meets in an index. Candidates that a
-coarser sketch of the signatures doesn't rule out are confirmed on the full
-shingle sets.
+parity sketch of their sets doesn't rule out are confirmed on the full shingle
+sets.
+
+The parity sketch has a bit for each of 1024 classes of shingles: whether the
+set's number in that class is odd. Where two sketches differ tells the size of
+the sets' symmetric difference, almost exactly for sets of a few hundred, and a
+link bounds that size by a seventh of the two sets' sizes together.
 
 Texts with equal sets are first made one class. In an index bucket all members
 are compared with one of them; only members whose components still differ after
@@ -35,13 +40,13 @@ from massflow.llm.graph import components
 SHINGLE = 5
 CHUNKS, LANES = 8, 4
 SLOTS = CHUNKS * LANES
-#: Slots in which a candidate pair may differ. Up to 2 * CHUNKS - 1 all pairs meet; of pairs with a similarity of 0.75, one in 100,000 differs in more than 18.
-DISTANCE = 18
+#: Bits of the parity sketch, and by how many standard deviations a pair may exceed what a link would show.
+PARITY, DEVIATIONS = 1024, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Most ids to broadcast; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -94,11 +99,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
-SIGNED = "n long, h0 long, h1 long, chunks array<long>, sketch0 long, sketch1 long"
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set."""
+    classes = (shingles * _MULTIPLIER >> np.uint64(32)) % np.uint64(PARITY)
+    return np.packbits(np.bincount(classes.astype(np.int64), minlength=PARITY) & 1).view(np.int64)
+
+
+SIGNED = "n long, h0 long, h1 long, chunks array<long>, parity array<long>"
 
 
 def signed(text: Column) -> Column:
-    """Set size, 128-bit hash of the set, signature by chunks and its sketch of 4 bits a slot."""
+    """Set size, 128-bit hash of the set, signature by chunks and parity sketch."""
 
     @F.pandas_udf(SIGNED)
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -107,26 +118,21 @@ def signed(text: Column) -> Column:
             rows = []
             for text in batch:
                 s = shingler.hashes(text)
-                sig = signature(s)
                 h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
-                nibbles = (sig & 15).astype(np.uint8)
-                sketch = (nibbles[::2] | nibbles[1::2] << 4).view(np.int64)
-                rows.append((len(s), h[0], h[1], sig.view(np.int64), sketch[0], sketch[1]))
-            yield pd.DataFrame(rows, columns=["n", "h0", "h1", "chunks", "sketch0", "sketch1"])
+                rows.append((len(s), h[0], h[1], signature(s).view(np.int64), parities(s)))
+            yield pd.DataFrame(rows, columns=["n", "h0", "h1", "chunks", "parity"])
 
     return sign(text)
 
 
-def _lanes_differing(a: Column, b: Column) -> Column:
-    """In how many 4-bit lanes two longs differ."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x3333333333333333))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.bit_count(x)
-
-
-def _close(a: str, b: str) -> Column:
-    return sum((_lanes_differing(F.col(f"{a}{i}"), F.col(f"{b}{i}")) for i in (0, 1)), F.lit(0)) <= DISTANCE
+def _may_link(a: str, b: str) -> Column:
+    """Whether two sets (columns ``{a}n``, ``{a}parity``) can be similar enough, from sizes and sketches."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = (n + m) * (100 - PERCENT) / (100 + PERCENT)  # of a link, the greatest symmetric difference
+    fade = F.exp(-4 * apart / PARITY)
+    mean, variance = PARITY / 2 * (1 - F.exp(-2 * apart / PARITY)), PARITY / 4 * (1 - fade) - apart * fade
+    differing = sum((F.bit_count(F.col(f"{a}parity")[i].bitwiseXOR(F.col(f"{b}parity")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differing <= mean + DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0e0))) + 2)
 
 
 def _index_keys() -> Column:
@@ -168,28 +174,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, rid, sketch0, sketch1) of the index buckets that hold more than one class, with their first member as leader."""
-    rows = classes.select("rid", "sketch0", "sketch1", F.explode(_index_keys()).alias("key"))
+    """(key, rid, leader) of the index buckets that hold more than one class, with their first member as leader."""
+    rows = classes.select("rid", F.explode(_index_keys()).alias("key"))
     first = rows.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader <> last")
     first = first.select(loose(F.col("key")).alias("k"), "leader")
     return rows.withColumn("k", loose(F.col("key"))).join(first, "k").drop("k")
 
 
-def _star_pairs(members: DataFrame, leader: str) -> DataFrame:
-    """Each member with its bucket's leader."""
-    heads = members.where(F.col("rid") == F.col(leader)).select(F.col("key").alias("k"), F.col("rid").alias("x"), F.col("label").alias("lx"), F.col("sketch0").alias("x0"), F.col("sketch1").alias("x1"))
-    on = (F.col("key") == F.col("k")) & (F.col("label") != F.col("lx")) & _close("x", "sketch")
-    met = members.join(heads, on)
-    return met.select(F.least("x", "rid").alias("x"), F.greatest("x", "rid").alias("y")).distinct()
+def _sketches(classes: DataFrame, name: str) -> DataFrame:
+    return classes.select(F.col("rid").alias(name), F.col("n").alias(f"{name}n"), F.col("parity").alias(f"{name}parity"))
+
+
+def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each member with its bucket's leader, where they can be similar enough."""
+    pairs = members.where("rid <> leader").select(F.least("leader", "rid").alias("x"), F.greatest("leader", "rid").alias("y")).distinct()
+    y = _sketches(classes, "y").withColumnRenamed("y", "__y")
+    return pairs.join(_sketches(classes, "x"), "x").join(y, (F.col("y") == F.col("__y")) & _may_link("x", "y")).select("x", "y")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """The pairs of a bucket whose components differ."""
+def _cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of a bucket whose components differ and that can be similar enough."""
     mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select(loose(F.col("key")).alias("k"))
-    left = stored(members.withColumn("k", loose(F.col("key"))).join(mixed, "k", "left_semi").drop("k"), "mixed-buckets")
-    right = left.select(F.col("key").alias("k"), F.col("rid").alias("y"), F.col("label").alias("ly"), F.col("sketch0").alias("y0"), F.col("sketch1").alias("y1"))
-    on = (F.col("key") == F.col("k")) & (F.col("rid") < F.col("y")) & (F.col("label") != F.col("ly")) & _close("sketch", "y")
-    return left.join(right, on).select(F.col("rid").alias("x"), "y").distinct()
+    rows = members.withColumn("k", loose(F.col("key"))).join(mixed, "k", "left_semi").select("key", F.col("rid").alias("x"), F.col("label").alias("lx"))
+    left = stored(rows.join(_sketches(classes, "x"), "x"), "mixed-buckets")
+    right = left.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("xn").alias("yn"), F.col("xparity").alias("yparity"))
+    on = (F.col("key") == F.col("k")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _may_link("x", "y")
+    return left.join(right, on).select("x", "y").distinct()
 
 
 def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -209,7 +219,8 @@ def class_components(classes: DataFrame, texts: DataFrame) -> DataFrame:
             now = stored(now, "labelled")
             rest = now.join(now.where("rid = leader").select("key", F.col("label").alias("l0")), "key").where("label <> l0")
             now = now.drop("leader").join(rest.groupBy("key").agg(F.max("rid").alias("leader")), "key")
-        pairs = _cross_pairs(now) if round_ == 2 else _star_pairs(now, "leader")
+            now = now.join(now.where("rid = leader").select("key", F.col("label").alias("l0")), "key").where("label <> l0 or rid = leader")
+        pairs = _cross_pairs(now, classes) if round_ == 2 else _star_pairs(now, classes)
         for t in tried:
             pairs = pairs.join(t, ["x", "y"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -228,9 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     numbered = docs.select(row_id().alias("rid"), "doc_id", "text")
     base = stored(numbered.select("rid", "doc_id", signed(F.col("text")).alias("s")).select("rid", "doc_id", "s.*"), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    classes = base.where("n > 0").groupBy("h0", "h1", "n").agg(F.min(F.struct(own.alias("own"), "chunks", "sketch0", "sketch1")).alias("m"))
-    classes = stored(classes.select("h0", "h1", "n", F.col("m.own.rid").alias("rid"), F.col("m.own.doc_id").alias("doc_id"), "m.chunks", "m.sketch0", "m.sketch1"), "classes")
-    labels = class_components(classes.select("rid", "chunks", "sketch0", "sketch1"), numbered.select("rid", "text"))
+    classes = base.where("n > 0").groupBy("h0", "h1", "n").agg(F.min(F.struct(own.alias("own"), "chunks", "parity")).alias("m"))
+    classes = stored(classes.select("h0", "h1", "n", F.col("m.own.rid").alias("rid"), F.col("m.own.doc_id").alias("doc_id"), "m.chunks", "m.parity"), "classes")
+    labels = class_components(classes.select("rid", "n", "chunks", "parity"), numbered.select("rid", "text"))
     placed = stored(classes.select("h0", "h1", "rid", "doc_id").join(labels.select(F.col("v").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "placed")
     smallest = placed.groupBy("label").agg(F.min(own).alias("first")).select(loose(F.col("label")).alias("l"), "first")
     named = placed.join(smallest, loose(F.col("label")) == F.col("l")).select(loose(F.col("h0")).alias("k0"), loose(F.col("h1")).alias("k1"), "first")
