@@ -73,6 +73,16 @@ SQL = {
     "rect_pixel_coverage": with_tables("rect", _COVER + "SELECT rect_id, x, y, round(cov, 6) AS cov FROM c WHERE cov > 1e-9"),
     "rect_image_moments": with_tables("rect px", _COVER + "SELECT r.rect_id, round(coalesce(sum(cov * v), 0e0), 6) AS mass, round(sum(cov * v * x) / nullif(sum(cov * v), 0), 6) AS cx, round(sum(cov * v * y) / nullif(sum(cov * v), 0), 6) AS cy FROM rect r LEFT JOIN (SELECT * FROM c JOIN px USING (x, y)) z USING (rect_id) GROUP BY r.rect_id"),
     "image_sqdist_integral": with_tables("rect px", _COVER + "SELECT rect_id, round(sum(cov * ((x - 24.5e0) ^ 2 + (y - 5e0) ^ 2) * v), 6) AS integral FROM c JOIN px USING (x, y) GROUP BY rect_id"),
+    "convex_pixel_coverage": with_tables("edge", "SELECT poly_id, round(sum(x * ny - nx * y) / 2, 6) AS covered FROM edge GROUP BY poly_id"),
+    "polygon_sample": with_tables("poly uni", """, q AS (SELECT poly_id, vs, u1, u2, len(vs) = 3 AS three, ((vs[2].x - vs[1].x) * (vs[3].y - vs[1].y) - (vs[3].x - vs[1].x) * (vs[2].y - vs[1].y)) / 2 AS a,
+        CASE WHEN len(vs) = 3 THEN 0e0 ELSE ((vs[3].x - vs[1].x) * (vs[4].y - vs[1].y) - (vs[4].x - vs[1].x) * (vs[3].y - vs[1].y)) / 2 END AS b FROM poly JOIN uni ON k = poly_id),
+      r AS (SELECT *, three OR u1 < a / (a + b) AS first, CASE WHEN three THEN u1 WHEN u1 < a / (a + b) THEN u1 / (a / (a + b)) ELSE (u1 - a / (a + b)) / (1 - a / (a + b)) END AS u FROM q),
+      f AS (SELECT *, CASE WHEN u + u2 > 1 THEN 1 - u ELSE u END AS s, CASE WHEN u + u2 > 1 THEN 1 - u2 ELSE u2 END AS t, CASE WHEN first THEN vs[2] ELSE vs[3] END AS p, CASE WHEN first THEN vs[3] ELSE vs[len(vs)] END AS z FROM r)
+      SELECT poly_id, round(vs[1].x + s * (p.x - vs[1].x) + t * (z.x - vs[1].x), 6) AS x, round(vs[1].y + s * (p.y - vs[1].y) + t * (z.y - vs[1].y), 6) AS y, true AS inside FROM f"""),
+    "displacement_interpolation": with_tables("site", _CELLS + """, d AS (SELECT s.site_id, s.m, s.x, s.y, mx / area AS cx, my / area AS cy, (SELECT max(sqrt((v.x - mx / area) ^ 2 + (v.y - my / area) ^ 2)) FROM v WHERE v.site_id = s.site_id) AS far FROM site s JOIN mo USING (site_id) WHERE area > 0),
+      f AS (SELECT *, i / 10e0 AS t FROM d, range(0, 11) g(i))
+      SELECT site_id, round(t, 6) AS t, round((1 - t) * x + t * cx, 6) AS x, round((1 - t) * y + t * cy, 6) AS y, round(t * far, 6) AS r,
+        round(least(255e0, coalesce(255e0 * m / nullif(3.141592653589793e0 * (t * far) * (t * far) / 490, 0e0), 255e0)), 6) AS gray FROM f"""),
     "segment_raster_length": with_tables("seg", _CROSS + "SELECT seg_id, round(sum(len), 6) AS len, count(*) AS n_pixels FROM sp GROUP BY seg_id"),
     "segment_image_mass": with_tables("seg px", _CROSS + "SELECT seg_id, round(sum(len * v), 4) AS mass FROM sp JOIN px USING (x, y) GROUP BY seg_id"),
     "segment_clip": with_tables("seg", """SELECT seg_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM (SELECT seg_id,

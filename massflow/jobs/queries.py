@@ -155,9 +155,9 @@ def rect_image_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def convex_pixel_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Per polygon: the sum of its pixels' coverage, which is its area, and the number of pixels."""
-    c = density.coverage(X.polygons(spark, d), "poly_id").where("cov > 1e-9")
-    return rounded(c.groupBy("poly_id").agg(F.sum("cov").alias("covered"), F.max("cov").alias("most")), "covered", "most")
+    """Per polygon: the sum of its pixels' coverage, which must be its area."""
+    c = density.coverage(X.polygons(spark, d), "poly_id")
+    return rounded(c.groupBy("poly_id").agg(F.sum("cov").alias("covered")), "covered")
 
 
 def polygon_image_mass(spark: SparkSession, d: str) -> DataFrame:
