@@ -80,11 +80,51 @@ class Log:
         return spark.createDataFrame(self.rows, "level int, iteration int, f double, ginf double, g1 double, active int, w double")
 
 
-Stop = Callable[[np.ndarray], bool]
+#: Tells from the gradient and the measured cells whether to stop.
+Stop = Callable[[np.ndarray, pd.DataFrame], bool]
 
 
 def norm_inf(eps: float) -> Stop:
-    return lambda g: float(np.abs(g).max()) <= eps
+    return lambda g, s: float(np.abs(g).max()) <= eps
+
+
+def norm_p(eps: float, p: float) -> Stop:
+    return lambda g, s: float((np.abs(g) ** p).sum() ** (1 / p)) <= eps
+
+
+@dataclass
+class WassersteinStop:
+    """Stops when the bracket of the distance that all steps so far leave is narrow enough.
+
+    A step brackets the distance by its own value and error: the root of the
+    misaffected mass times the diameter, and the error of the level's quantisation.
+    Where the latter alone exceeds the goal, the level is left once its gradient
+    is small. The bracket outlives a level.
+    """
+
+    threshold: float
+    diameter: float
+    relative: bool = True
+    quantisation: float = 0.0
+    low: float = 0.0
+    high: float = 1e6
+
+    def __call__(self, g: np.ndarray, s: pd.DataFrame) -> bool:
+        w = float(np.sqrt(max(0.0, s["sqint"].sum())))
+        error = float(np.sqrt(np.abs(g).sum() / 2)) * self.diameter + self.quantisation
+        self.low, self.high = max(self.low, w - error), min(self.high, w + error)
+        middle = (self.low + self.high) / 2
+        goal = self.threshold * middle if self.relative else self.threshold
+        return abs(self.high - middle) < goal or (self.quantisation >= goal and float(np.abs(g).max()) <= 1e-5)
+
+
+def stop_named(name: str, eps: float, diameter: float) -> Stop:
+    """The stopping rule of a command line's name for it."""
+    if name == "norm-inf-gradient":
+        return norm_inf(eps)
+    if name in ("wasserstein-error", "wasserstein-abs-error"):
+        return WassersteinStop(eps, diameter, relative=name == "wasserstein-error")
+    raise ValueError(f"no such stopping rule: {name}")
 
 
 def _line_search(f, w: np.ndarray, f0: float, g0: np.ndarray, step: np.ndarray, t: float = 1.0, tries: int = 20):
@@ -110,7 +150,7 @@ def lbfgs(f: Uniform, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: in
     for _ in range(max_steps):
         if log:
             log.add(level, f0, g, s)
-        if stop(g):
+        if stop(g, s):
             break
         q, alphas = g.copy(), []
         for dw, dg in reversed(pairs):
@@ -138,7 +178,7 @@ def gradient_descent(f: Uniform, w: np.ndarray, stop: Stop, step: float | None =
     for _ in range(max_steps):
         if log:
             log.add(0, f0, g, s)
-        if stop(g):
+        if stop(g, s):
             break
         if step is not None:
             w = w - step * g
@@ -181,12 +221,12 @@ def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 20, log: Log
     """
     f0, g, s = f(w)
     if (s["mu"] <= 0).any():
-        w = lbfgs(f, w, lambda g: float((g + f.held["m"].to_numpy()).min()) > 0, max_steps=40, log=log)
+        w = lbfgs(f, w, lambda g, s: float(s["mu"].min()) > 0, max_steps=40, log=log)
         f0, g, s = f(w)
     for _ in range(max_steps):
         if log:
             log.add(0, f0, g, s)
-        if stop(g):
+        if stop(g, s):
             break
         h = -f.hessian(w)[:-1, :-1]
         step = np.append(_conjugate_gradients(-h, -g[:-1]), 0.0)
@@ -212,7 +252,7 @@ def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 40, log:
         f0, g, s = f(w)
         if log:
             log.add(0, f0, g, s)
-        if stop(g):
+        if stop(g, s):
             break
         turned = np.sign(g) != before
         span = np.where((before != 0) & turned, span / 2, np.where(before != 0, span * 1.3, span))
@@ -234,9 +274,11 @@ def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 60, log: Log | None
         w = np.zeros(f.n)
         if weights is not None:
             w = hierarchy.prolonged(hier, weights, level, level + 1).orderBy("site_id").toPandas()["w"].to_numpy()
+        moved = hierarchy.transport_distance(hier, 0, level).first()["w2"] or 0.0 if level else 0.0
+        if isinstance(stop, WassersteinStop):
+            stop.quantisation = moved
         w = lbfgs(f, w, stop, max_steps=max_steps, log=log, level=level)
         _, g, s = f(w)
-        moved = hierarchy.transport_distance(hier, 0, level).first()["w2"] or 0.0 if level else 0.0
         across = float(np.hypot(np.ptp(f.held["x"]), np.ptp(f.held["y"])))
         w2, error = float(np.sqrt(max(0.0, s["sqint"].sum()))), float(np.sqrt(np.abs(g).sum() / 2) * across + moved)
         weights = spark.createDataFrame(pd.DataFrame({"site_id": f.held["site_id"], "w": w}), "site_id long, w double")

@@ -4,6 +4,7 @@ import tempfile
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,17 @@ def test_empty_cells_and_edges(spark):
     assert m[2]["mu"] == 0 and m[2]["g"] == -0.5 and m[1]["mu"] == pytest.approx(1)
     assert cell_edges(power_cells(s)).count() == 0
     assert Sites(*(np.array([]) for _ in range(4)), fixtures.DOMAIN).grid == {}
+
+
+def test_stopping_rules():
+    cells = lambda w2: pd.DataFrame({"sqint": [w2 / 2, w2 / 2]})
+    g = np.array([1e-8, -1e-8])
+    assert solvers.norm_inf(1e-7)(g, cells(4)) and not solvers.norm_inf(1e-9)(g, cells(4))
+    assert solvers.norm_p(1e-7, 2)(g, cells(4))
+    assert solvers.stop_named("wasserstein-error", 0.01, 10.0)(g, cells(4))
+    rough = solvers.stop_named("wasserstein-abs-error", 1e-6, 10.0)
+    assert not rough(np.array([0.1, -0.1]), cells(4)) and rough.low == 0.0
+    rough.quantisation = 0.5
+    assert rough(g, cells(4))
+    with pytest.raises(ValueError):
+        solvers.stop_named("other", 1, 1)
