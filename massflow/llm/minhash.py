@@ -135,11 +135,15 @@ def _may_link(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differing <= mean + DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0e0))) + 2)
 
 
-def _index_keys() -> Column:
+def _index_keys_of(chunks: str) -> Column:
     """Each chunk with each of its slots left out in turn."""
     keep = [~(0xFFFF << 16 * lane) for lane in range(LANES)]
     signed64 = lambda v: (v + (1 << 63)) % (1 << 64) - (1 << 63)
-    return F.array(*(F.xxhash64(F.lit(c * LANES + lane), F.col("chunks")[c].bitwiseAND(F.lit(signed64(keep[lane])))) for c in range(CHUNKS) for lane in range(LANES)))
+    return F.array(*(F.xxhash64(F.lit(c * LANES + lane), F.col(chunks)[c].bitwiseAND(F.lit(signed64(keep[lane])))) for c in range(CHUNKS) for lane in range(LANES)))
+
+
+def _index_keys() -> Column:
+    return _index_keys_of("chunks")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -174,15 +178,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, rid, leader) of the index buckets that hold more than one class, with their first member as leader."""
-    rows = classes.select("rid", F.explode(_index_keys()).alias("key"))
+    """(key, slot, rid, leader) of the index buckets that hold more than one class, with their first member as leader.
+
+    ``slot`` numbers the index: the chunk's number times LANES, and the lane left out.
+    """
+    rows = classes.select("rid", F.posexplode(_index_keys()).alias("slot", "key"))
     first = rows.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader <> last")
     first = first.select(loose(F.col("key")).alias("k"), "leader")
     return rows.withColumn("k", loose(F.col("key"))).join(first, "k").drop("k")
 
 
 def _sketches(classes: DataFrame, name: str) -> DataFrame:
-    return classes.select(F.col("rid").alias(name), F.col("n").alias(f"{name}n"), F.col("parity").alias(f"{name}parity"))
+    return classes.select(F.col("rid").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("n", "parity", "chunks")))
+
+
+def _first_meeting(slot: str, a: str, b: str) -> Column:
+    """Whether two signatures meet in index ``slot`` first, of all indexes in which they meet.
+
+    They meet in each index of a chunk in which no lane differs, and in one of a
+    chunk in which one does; so a pair is made once, in one bucket.
+    """
+
+    def lanes(i: int) -> Column:
+        x = F.col(f"{a}chunks")[i].bitwiseXOR(F.col(f"{b}chunks")[i])
+        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
+
+    chunk = F.col(slot).cast("int") / LANES
+    before = reduce(Column.__and__, (((chunk < i + 1) | (lanes(i) > 1)) for i in range(CHUNKS)))
+    own = reduce(Column.__or__, (((F.col(slot) >= i * LANES) & (chunk < i + 1) & ((F.col(slot) == i * LANES) | (lanes(i) == 1))) for i in range(CHUNKS)))
+    return before & own
 
 
 def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -195,11 +221,11 @@ def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
 def _cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of a bucket whose components differ and that can be similar enough."""
     mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select(loose(F.col("key")).alias("k"))
-    rows = members.withColumn("k", loose(F.col("key"))).join(mixed, "k", "left_semi").select("key", F.col("rid").alias("x"), F.col("label").alias("lx"))
+    rows = members.withColumn("k", loose(F.col("key"))).join(mixed, "k", "left_semi").select("key", "slot", F.col("rid").alias("x"), F.col("label").alias("lx"))
     left = stored(rows.join(_sketches(classes, "x"), "x"), "mixed-buckets")
-    right = left.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("xn").alias("yn"), F.col("xparity").alias("yparity"))
-    on = (F.col("key") == F.col("k")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _may_link("x", "y")
-    return left.join(right, on).select("x", "y").distinct()
+    right = left.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("xn").alias("yn"), F.col("xparity").alias("yparity"), F.col("xchunks").alias("ychunks"))
+    on = (F.col("key") == F.col("k")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _first_meeting("slot", "x", "y") & _may_link("x", "y")
+    return left.join(right, on).select("x", "y")
 
 
 def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -190,6 +190,24 @@ def test_all_pairs_within_the_guaranteed_distance_share_a_key(spark):
     assert all(keys[2 * i] & keys[2 * i + 1] for i in range(200))
 
 
+def test_a_pair_meets_first_in_exactly_one_index(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for i in range(150):
+        a = r.integers(0, 1 << 16, minhash.SLOTS, dtype=np.uint16)
+        b = a.copy()
+        for s in r.choice(minhash.SLOTS, r.integers(0, 2 * minhash.CHUNKS), replace=False):
+            b[s] ^= 1 << r.integers(0, 16)
+        rows.append((i, a.view(np.int64).tolist(), b.view(np.int64).tolist()))
+    pairs = spark.createDataFrame(rows, "i long, achunks array<long>, bchunks array<long>")
+    keys = lambda c: pairs.select("i", F.posexplode(minhash._index_keys_of(c)).alias("slot", c))
+    met = keys("achunks").join(keys("bchunks"), ["i", "slot"]).where("achunks = bchunks").select("i", "slot").join(pairs, "i")
+    first = met.where(minhash._first_meeting("slot", "a", "b")).groupBy("i").agg(F.count("*").alias("n"), F.min("slot").alias("s"))
+    want = {x["i"]: x["s"] for x in met.groupBy("i").agg(F.min("slot").alias("s")).collect()}
+    got = first.collect()
+    assert len(want) == 150 and {x["i"]: x["s"] for x in got} == want and all(x["n"] == 1 for x in got)
+
+
 def test_components_of_chains_and_rings(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {x["v"]: x["label"] for x in graph.components(spark.createDataFrame(links, "x long, y long")).collect()}
