@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import table
+from massflow.llm.common import bounded_batches, table
 
 #: Entries after which a task's cache starts anew, and the longest piece it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 700_000, 48
@@ -197,6 +197,7 @@ def coder(spark: SparkSession, path: str, pattern: str):
 
     Its size is bounded by the vocabulary (50,000 tokens: some 30 MB in a task).
     """
+    bounded_batches(spark)
     return spark.sparkContext.broadcast(Bpe(read_ranks(path), pattern))
 
 

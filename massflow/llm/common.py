@@ -10,11 +10,27 @@ from pyspark.sql import functions as F
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
+#: Most rows and bytes of whole texts that go to Python at once; no text is cut.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it names smaller ones.
+
+    Spark's 10,000 rows would let a task's memory, in the JVM and in Python,
+    follow the length of the texts.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

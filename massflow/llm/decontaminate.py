@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import table
+from massflow.llm.common import bounded_batches, table
 
 SHINGLE, SIMILARITY = 5, 0.75
 RADIUS = 8
@@ -252,6 +252,7 @@ def matched(text: Column, shared) -> Column:
 def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``leaked``, the items (item_id, similarity) that each whole text holds."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
     leaked: list[Column] = []
     block: list[tuple[int, str]] = []

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from massflow.llm.common import hash_sample, stored, table
+from massflow.llm.common import bounded_batches, hash_sample, stored, table
 
 #: Rows to learn from, words and n-grams to keep for each language, longest n-gram.
 TRAIN_ROWS, WORDS, GRAMS, LONGEST = 6000, 30_000, 20_000, 5
@@ -155,6 +155,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     counts = learn(docs.where(~held_out("doc_id")).select("doc_id", "text", "lang")).toPandas()
     shared = spark.sparkContext.broadcast(Model(counts))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import loose, row_id, stored, table, without_rows
+from massflow.llm.common import bounded_batches, loose, row_id, stored, table, without_rows
 from massflow.llm.graph import components
 
 SHINGLE = 5
@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, rid and
     ``stays``, which is true for one row of each component only."""
     numbered = docs.select(row_id().alias("rid"), "doc_id", "text")
+    bounded_batches(docs.sparkSession)
     base = stored(numbered.select("rid", "doc_id", signed(F.col("text")).alias("s")).select("rid", "doc_id", "s.*"), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     classes = base.where("n > 0").groupBy("h0", "h1", "n").agg(F.min(F.struct(own.alias("own"), "chunks", "parity")).alias("m"))
