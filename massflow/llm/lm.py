@@ -4,20 +4,28 @@ A small network predicts each token from the two tokens on either side of it; a
 text's score is the sum of the log-probabilities of all its tokens given their
 neighbours. Everything is gathered over the whole corpus: Spark counts all
 words for the vocabulary, and each partition trains the network in numpy on
-every document's tokens at a stride, after which Spark averages the partitions'
-weights, weighted by what they were trained on. A few such rounds are made.
+every token of every document, after which Spark averages the partitions'
+weights, weighted by what they were trained on. A round takes one token in
+``STRIDE`` of each text, and the rounds' offsets take turns until all are taken.
 
 The output layer is two-level: a class of tokens, then the token in its class,
-so a token costs two small softmaxes. Words outside the vocabulary stand for
-their ending's class of rare words.
+so a token costs two small softmaxes. Both levels grow with the number of
+distinct words. A word outside the network's own vocabulary is predicted as its
+ending's class, and then as the word in that class, by its share of all the
+counted words of the class; so the probabilities of all words sum to one. The
+commonest words' counts are sent to the tasks, the others are joined.
 
 Defined results: a null or empty text has no tokens, score 0 and a null mean;
-repeated rows score alike; an empty table gives an empty result.
+repeated rows score alike; all words that were not counted have together the
+share of one more word in their class; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import isqrt, log
 from zlib import crc32
 
 import numpy as np
@@ -25,53 +33,146 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import WHITE_SPACE, stored, table
+from massflow.llm.common import bounded_batches, row_id, stored, table
 
-#: Vocabulary: one boundary, the commonest words, classes of rare words by their ending.
-CLASSES, PER_CLASS, ENDINGS = 32, 32, 63
-SIZE = CLASSES * PER_CLASS
-WORDS = SIZE - 1 - ENDINGS
+#: The least vocabulary of the network: one boundary, the commonest words, classes of rare words by their ending.
+LEAST_SIDE = 32
+SIZE = LEAST_SIDE**2
+#: As many distinct words have the least vocabulary; beyond, it grows with their number's root.
+LEAST_WORDS = 1 << 14
 SIDE, DIM, HIDDEN = 2, 12, 24
-#: Of each document's tokens, one in STRIDE is trained on, in each round.
-STRIDE, ROUNDS, BATCH, RATE = 24, 2, 512, 0.15
+#: Of each document's tokens, one in STRIDE is trained on in each round, and each in one of STRIDE rounds.
+STRIDE, ROUNDS, BATCH, RATE = 2, 2, 512, 0.15
+#: Most words whose counts are sent to the tasks; those of the others are joined.
+HELD_WORDS = 200_000
 WORD_CACHE = 300_000
+#: Rows of tokens with their neighbours that are laid out at once.
+TRAIN_ROWS = 1 << 16
 BOUNDARY = 0
-_SHAPES = {"e": (SIZE, DIM), "w": (2 * SIDE, DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "t": (CLASSES, HIDDEN, PER_CLASS), "tb": (CLASSES, PER_CLASS)}
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The commonest words of all texts, commonest first, ties by the word."""
-    words = docs.select(F.explode(F.split(F.lower("text"), WHITE_SPACE)).alias("w")).where("w <> ''")
-    counts = stored(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
+def _side(n_words: int) -> int:
+    """The network has as many classes, of as many tokens each."""
+    return max(LEAST_SIDE, int(LEAST_SIDE * (n_words / LEAST_WORDS) ** 0.25))
+
+
+def _endings(side: int) -> int:
+    return 2 * side - 1
+
+
+def _shapes(side: int) -> dict[str, tuple[int, ...]]:
+    return {"e": (side * side, DIM), "w": (2 * SIDE, DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, side), "cb": (side,), "t": (side, HIDDEN, side), "tb": (side, side)}
+
+
+def _side_of(weights: int) -> int:
+    """The inverse of the sum of all sizes of ``_shapes``."""
+    per_token, per_class = DIM + HIDDEN + 1, HIDDEN + 1
+    rest = weights - 2 * SIDE * DIM * HIDDEN - HIDDEN
+    return (isqrt(per_class**2 + 4 * per_token * rest) - per_class) // (2 * per_token)
+
+
+@dataclass
+class Vocabulary:
+    """``words`` are the commonest, commonest first, ties by the word, and ``counts`` how often each
+    occurs; the first ``inside`` are the network's own. ``totals`` has how often all other words of the
+    corpus occur, by their ending's class; ``complete`` tells whether ``words`` are all words."""
+
+    words: list[bytes]
+    counts: list[int]
+    side: int
+    totals: list[int]
+    complete: bool
+
+    @property
+    def inside(self) -> int:
+        return min(len(self.words), self.side**2 - 1 - _endings(self.side))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each word occurs in all texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                found.update(split(text))
+            if len(found) > WORD_CACHE:
+                yield pd.DataFrame({"w": list(found.keys()), "n": list(found.values())})
+                found = Counter()
+        if found:
+            yield pd.DataFrame({"w": list(found.keys()), "n": list(found.values())})
+
+    bounded_batches(docs.sparkSession)
+    counted = docs.select("text").mapInPandas(count, "w binary, n long")
+    return stored(counted.groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def _ending(word: str, side: int) -> Column:
+    """As _ending_of."""
+    return F.crc32(F.expr(f"substring({word}, greatest(octet_length({word}) - 2, 1), 3)")) % _endings(side)
+
+
+def _ending_of(word: bytes, side: int) -> int:
+    return crc32(word[-3:]) % _endings(side)
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """``counts``: those of ``docs``, where they are known."""
+    counts = word_counts(docs) if counts is None else counts
+    sizes = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    n_words = sum(k for _, k in sizes)
+    side, least, held = _side(n_words), None, 0
+    for n, k in sizes:
+        if held + k > HELD_WORDS:
+            break
+        least, held = n, held + k
+    rows = counts.where(F.col("n") >= least).collect() if held else []
+    rows = sorted((-r["n"], bytes(r["w"])) for r in rows)
+    found = Vocabulary([w for _, w in rows], [-n for n, _ in rows], side, [0] * _endings(side), held == n_words)
+    for r in counts.groupBy(_ending("w", side).alias("c")).agg(F.sum("n").alias("n")).collect():
+        found.totals[r["c"]] = r["n"]
+    for w, n in zip(found.words[: found.inside], found.counts, strict=False):
+        found.totals[_ending_of(w, side)] -= n
+    return found
 
 
 class Tokens:
     """Words to numbers, with a bounded cache of rare words."""
 
-    def __init__(self, words: list[str]):
-        self.known = {b"": BOUNDARY} | {w.encode(): i + 1 for i, w in enumerate(words)}
+    def __init__(self, vocabulary: Vocabulary):
+        v, self.side = vocabulary, vocabulary.side
+        self.first_ending = self.side**2 - _endings(self.side)
+        self.known = {b"": BOUNDARY} | {w: i + 1 for i, w in enumerate(v.words[: v.inside])}
         self.cache = dict(self.known)
+        self.shares = {w: log(n / (v.totals[_ending_of(w, self.side)] + 1)) for w, n in zip(v.words[v.inside :], v.counts[v.inside :], strict=True)}
+        self.unseen = [-log(n + 1) for n in v.totals] if v.complete else None
 
     def __call__(self, text: str | None) -> np.ndarray:
         return self.numbers(split(text))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > WORD_CACHE:
+        if len(self.cache) > WORD_CACHE + len(self.known):
             self.cache = dict(self.known)
         cache, get, out = self.cache, self.cache.get, []
         for w in words:
             i = get(w)
             if i is None:
-                i = cache[w] = SIZE - ENDINGS + crc32(w[-3:]) % ENDINGS
+                i = cache[w] = self.first_ending + _ending_of(w, self.side)
             out.append(i)
         return np.array(out, dtype=np.int32)
 
-    def sampled(self, text: str | None, first: int) -> np.ndarray:
-        """One token in STRIDE with its neighbours, in rows of 2 * SIDE + 1; a boundary where there are none."""
-        words = [b""] * SIDE + split(text) + [b""] * SIDE
-        around = [w for i in range(first % STRIDE, len(words) - 2 * SIDE, STRIDE) for w in words[i : i + 2 * SIDE + 1]]
-        return self.numbers(around).reshape(-1, 2 * SIDE + 1)
+    def in_classes(self, words: list[bytes], numbers: np.ndarray) -> tuple[float, list[bytes]]:
+        """The summed log-probabilities of words in their endings' classes, and the words that are left to be joined."""
+        total, rest = 0.0, []
+        for i in np.flatnonzero(numbers >= self.first_ending).tolist():
+            share = self.shares.get(words[i])
+            if share is not None:
+                total += share
+            elif self.unseen is not None:
+                total += self.unseen[numbers[i] - self.first_ending]
+            else:
+                rest.append(words[i])
+        return total, rest
 
 
 def split(text: str | None) -> list[bytes]:
@@ -79,25 +180,28 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def start(seed: int = 11) -> np.ndarray:
+def start(seed: int = 11, side: int = LEAST_SIDE) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.concatenate([(np.zeros(s) if len(s) == 1 or name == "tb" else rng.normal(0, 0.1, s)).ravel() for name, s in _SHAPES.items()]).astype(np.float32)
+    return np.concatenate([(np.zeros(s) if len(s) == 1 or name == "tb" else rng.normal(0, 0.1, s)).ravel() for name, s in _shapes(side).items()]).astype(np.float32)
 
 
 def _parts(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    for name, shape in _shapes(_side_of(len(flat))).items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in a row with boundaries around each, and the places of their tokens."""
+def padded(texts: list[np.ndarray], round_: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in a row with boundaries around each, and the places of their tokens, or of those whose turn it is in a round."""
     gap = np.full(SIDE, BOUNDARY, dtype=np.int32)
     ids = np.concatenate([gap] + [x for t in texts for x in (t, gap)])
-    return ids, np.flatnonzero(ids)
+    if round_ is None:
+        return ids, np.flatnonzero(ids)
+    starts = np.cumsum([SIDE] + [len(t) + SIDE for t in texts])
+    return ids, np.concatenate([np.arange(s + round_ % STRIDE, s + len(t), STRIDE) for s, t in zip(starts[:-1], texts, strict=True)])
 
 
 def _around(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -110,20 +214,27 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    of = targets // PER_CLASS
+def _by_class(targets: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
+    of = targets // side
     order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=CLASSES))
-    for c in range(CLASSES):
+    ends = np.cumsum(np.bincount(of, minlength=side))
+    for c in range(side):
         rows = order[ends[c - 1] if c else 0 : ends[c]]
         if len(rows):
             yield c, rows
 
 
+def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
+    """A step of gradient descent with per-weight rates, in place."""
+    s = squares[rows] = squares[rows] + g * g
+    weights[rows] -= RATE * g / (np.sqrt(s) + 1e-6)
+
+
 class Network:
     def __init__(self, flat: np.ndarray):
         self.flat = flat.copy()
         self.p = _parts(self.flat)
+        self.side = len(self.p["cb"])
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray, chunk: int = 8192) -> np.ndarray:
         """The log-probability of the tokens at ``at`` given their neighbours."""
@@ -134,57 +245,64 @@ class Network:
             some = at[i : i + chunk]
             h = np.tanh(sum((f[x] for f, x in zip(folded, _around(ids, some), strict=True)), p["b"]))
             y = ids[some]
-            lp = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(y)), y // PER_CLASS]
-            for c, rows in _by_class(y):
-                lp[rows] += _log_softmax(h[rows] @ p["t"][c] + p["tb"][c])[np.arange(len(rows)), y[rows] % PER_CLASS]
+            lp = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(y)), y // self.side]
+            for c, rows in _by_class(y, self.side):
+                lp[rows] += _log_softmax(h[rows] @ p["t"][c] + p["tb"][c])[np.arange(len(rows)), y[rows] % self.side]
             out[i : i + chunk] = lp
         return out
 
     def train(self, examples: np.ndarray, squares: np.ndarray) -> None:
         """One pass of stochastic gradient descent with per-weight rates over rows of tokens with their
         neighbours; ``squares`` is kept between calls."""
-        p = self.p
+        p, sq = self.p, _parts(squares)
         for i in range(0, len(examples), BATCH):
             some = examples[i : i + BATCH]
-            flat = np.zeros_like(self.flat)
-            g, y, ctx = _parts(flat), some[:, SIDE], [some[:, k] for k in range(2 * SIDE + 1) if k != SIDE]
+            n, y, ctx = len(some), some[:, SIDE], [some[:, k] for k in range(2 * SIDE + 1) if k != SIDE]
             x = [p["e"][c] for c in ctx]
             h = np.tanh(sum((a @ p["w"][k] for k, a in enumerate(x)), p["b"]))
             z = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
-            z[np.arange(len(y)), y // PER_CLASS] -= 1
-            g["c"][:], g["cb"][:] = h.T @ z, z.sum(0)
+            z[np.arange(n), y // self.side] -= 1
+            z /= n
             dh = z @ p["c"].T
-            for c, rows in _by_class(y):
-                z = np.exp(_log_softmax(h[rows] @ p["t"][c] + p["tb"][c]))
-                z[np.arange(len(rows)), y[rows] % PER_CLASS] -= 1
-                g["t"][c], g["tb"][c] = h[rows].T @ z, z.sum(0)
+            _step(p["c"], sq["c"], h.T @ z)
+            _step(p["cb"], sq["cb"], z.sum(0))
+            for c, rows in _by_class(y, self.side):
+                hc = h[rows]
+                z = np.exp(_log_softmax(hc @ p["t"][c] + p["tb"][c]))
+                z[np.arange(len(rows)), y[rows] % self.side] -= 1
+                z /= n
                 dh[rows] += z @ p["t"][c].T
+                _step(p["t"][c], sq["t"][c], hc.T @ z)
+                _step(p["tb"][c], sq["tb"][c], z.sum(0))
             dh *= 1 - h * h
-            g["b"][:] = dh.sum(0)
+            de = [dh @ p["w"][k].T for k in range(2 * SIDE)]
             for k, a in enumerate(x):
-                g["w"][k] = a.T @ dh
-                np.add.at(g["e"], ctx[k], dh @ p["w"][k].T)
-            flat /= len(some)
-            squares += flat * flat
-            self.flat -= RATE * flat / (np.sqrt(squares) + 1e-6)
+                _step(p["w"][k], sq["w"][k], a.T @ dh)
+            _step(p["b"], sq["b"], dh.sum(0))
+            # only the rows that occur have a gradient
+            used, of = np.unique(np.concatenate(ctx), return_inverse=True)
+            g = np.stack([np.bincount(of, weights=d, minlength=len(used)) for d in np.concatenate(de).T], axis=1).astype(np.float32)
+            _step(p["e"], sq["e"], g, used)
 
 
-def fitted(docs: DataFrame, words: list[str], rounds: int = ROUNDS) -> np.ndarray:
+def fitted(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """The network's weights after ``rounds`` of training over all of ``docs`` (text)."""
     context = docs.sparkSession.sparkContext
-    flat = start()
+    bounded_batches(docs.sparkSession)
+    flat = start(side=vocabulary.side)
     for round_ in range(rounds):
-        shared = context.broadcast((words, flat, round_))
+        shared = context.broadcast((vocabulary, flat, round_))
 
         def train(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            words, flat, round_ = shared.value
-            tokens, net, squares, n = Tokens(words), Network(flat), np.full(len(flat), 1e-3, dtype=np.float32), 0
+            vocabulary, flat, round_ = shared.value
+            tokens, net, squares, n = Tokens(vocabulary), Network(flat), np.full(len(flat), 1e-3, dtype=np.float32), 0
             for batch in batches:
                 for i in range(0, len(batch), 1024):
-                    # a short text's first token is as likely to be taken as any other
-                    rows = np.concatenate([tokens.sampled(t, round_ * 7 + 5 * (i + k)) for k, t in enumerate(batch["text"].iloc[i : i + 1024])])
-                    net.train(np.random.default_rng(len(rows)).permutation(rows), squares)
-                    n += len(rows)
+                    ids, at = padded([tokens(t) for t in batch["text"].iloc[i : i + 1024]], round_)
+                    at = np.random.default_rng(len(at)).permutation(at)
+                    for k in range(0, len(at), TRAIN_ROWS):
+                        net.train(ids[at[k : k + TRAIN_ROWS, None] + np.arange(-SIDE, SIDE + 1)], squares)
+                    n += len(at)
             if n:
                 yield pd.DataFrame({"weights": [net.flat], "n": [n]})
 
@@ -198,28 +316,55 @@ def fitted(docs: DataFrame, words: list[str], rounds: int = ROUNDS) -> np.ndarra
 
 
 def scored(text: Column, shared) -> Column:
-    """n_tokens, score (the sum of log-probabilities) and mean_score of whole texts."""
+    """n_tokens, score (the sum of log-probabilities) and mean_score of whole texts, and in ``rest``
+    the words whose log-probabilities in their classes are still to be added."""
 
-    @F.pandas_udf("n_tokens long, score double, mean_score double")
+    @F.pandas_udf("n_tokens long, score double, mean_score double, rest array<binary>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, flat = shared.value
-        tokens, net = Tokens(words), Network(flat)
+        vocabulary, flat = shared.value
+        tokens, net = Tokens(vocabulary), Network(flat)
         for batch in batches:
-            texts, sums = [tokens(t) for t in batch], []
+            texts, sums, rest = [], [], []
+            for t in batch:
+                words = split(t)
+                texts.append(tokens.numbers(words))
+                known, unknown = tokens.in_classes(words, texts[-1])
+                sums.append(known)
+                rest.append(unknown)
+            total = np.array(sums, dtype=np.float64)
             for i in range(0, len(texts), 256):
                 some = texts[i : i + 256]
                 ids, at = padded(some)
                 owner = np.repeat(np.arange(len(some)), [len(t) for t in some])
-                sums.append(np.bincount(owner, weights=net.log_probs(ids, at), minlength=len(some)))
+                total[i : i + 256] += np.bincount(owner, weights=net.log_probs(ids, at), minlength=len(some))
             n = np.array([len(t) for t in texts], dtype=np.int64)
-            total = np.concatenate(sums) if sums else np.zeros(0)
-            yield pd.DataFrame({"n_tokens": n, "score": total, "mean_score": np.where(n > 0, total / np.maximum(n, 1), None)}).astype({"mean_score": "float64"})
+            yield pd.DataFrame({"n_tokens": n, "score": total, "mean_score": np.where(n > 0, total / np.maximum(n, 1), None), "rest": rest}).astype({"mean_score": "float64"})
 
     return score(text)
 
 
+def with_rest(scores: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``scores`` (rid, doc_id, n_tokens, score, rest) with the log-probabilities of ``rest`` in their classes."""
+    spark = scores.sparkSession
+    least = vocabulary.counts[-1] if vocabulary.counts else None
+    beyond = counts if least is None else counts.where(F.col("n") < least)
+    totals = spark.createDataFrame(list(enumerate(vocabulary.totals)), "c long, total long")
+    shares = beyond.withColumn("c", _ending("w", vocabulary.side)).join(F.broadcast(totals), "c").select("w", F.log(F.col("n") / (F.col("total") + 1)).alias("share"))
+    terms = scores.select("rid", F.explode("rest").alias("w")).join(shares, "w").groupBy("rid").agg(F.sum("share").alias("more"))
+    total = F.col("score") + F.coalesce("more", F.lit(0.0))
+    return scores.join(terms, "rid", "left").select("doc_id", "n_tokens", total.alias("score"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_score"))
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score and mean_score of each row of ``docs`` (doc_id, text), by a model of all of them."""
+    counts = word_counts(docs)
+    found = vocabulary(docs, counts)
+    shared = docs.sparkSession.sparkContext.broadcast((found, fitted(docs, found)))
+    scored_ = docs.select(row_id().alias("rid"), "doc_id", scored(F.col("text"), shared).alias("s")).select("rid", "doc_id", "s.*")
+    if found.complete:
+        return scored_.drop("rid", "rest")
+    return with_rest(stored(scored_, "scores"), counts, found)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = vocabulary(docs)
-    shared = spark.sparkContext.broadcast((words, fitted(docs, words)))
-    return docs.select("doc_id", scored(F.col("text"), shared).alias("s")).select("doc_id", "s.*")
+    return scores(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -355,6 +355,41 @@ def test_language_model_gradient_and_probabilities():
     assert net.log_probs(ids, at).sum() > before
 
 
+def test_language_model_trains_on_every_token_and_grows():
+    texts = [np.arange(1, n + 1, dtype=np.int32) for n in (1, 5, 0, 24, 61)]
+    taken = [lm.padded(texts, r)[1] for r in range(lm.ROUNDS)]
+    assert sorted(np.concatenate(taken).tolist()) == lm.padded(texts)[1].tolist()
+    sides = [lm._side(n) for n in (0, 10**4, 10**6, 10**8)]
+    assert sides[0] == sides[1] == 32 < sides[2] < sides[3]
+    assert [lm._side_of(len(lm.start(side=s))) for s in sides[1:3]] == sides[1:3]
+
+
+def test_language_model_knows_words_in_their_classes(spark, monkeypatch):
+    texts = [" ".join(f"w{i:04d}ing" for i in range(k, 1500, 1 + k % 3)) + " oncezzz" * (k == 7) + " often" * 9 for k in range(12)] + [None, ""]
+    d = docs(spark, texts).select("doc_id", "text")
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    whole = lm.scores(d).toPandas().sort_values("doc_id")
+    found = lm.vocabulary(d)
+    assert found.complete and sum(found.totals) == sum(found.counts[found.inside :])
+    tokens = lm.Tokens(found)
+    shares = [0.0] * len(found.totals)
+    for w, share in tokens.shares.items():
+        shares[lm._ending_of(w, found.side)] += np.exp(share)
+    assert all(s + np.exp(u) == pytest.approx(1) for s, u in zip(shares, tokens.unseen))
+    # two words of one class differ by their counts, and a word never counted is the least likely
+    common, rare = sorted(tokens.shares, key=found.words.index)[:: len(tokens.shares) - 1]
+    in_class = lambda w: tokens.in_classes([w], tokens.numbers([w]))[0]
+    assert in_class(common) >= in_class(rare) >= in_class(b"neverseening")
+    # the rarest words are joined, with the same result
+    monkeypatch.setattr(lm, "HELD_WORDS", len(found.words) - 1)
+    few = lm.vocabulary(d)
+    assert not few.complete and few.inside == found.inside < len(few.words) and few.totals == found.totals
+    joined = lm.scores(d).toPandas().sort_values("doc_id")
+    assert joined.columns.tolist() == whole.columns.tolist() and joined.n_tokens.tolist() == whole.n_tokens.tolist()
+    assert np.allclose(joined.score, whole.score, rtol=1e-5) and np.allclose(joined.mean_score[:12], whole.mean_score[:12], rtol=1e-5)
+    assert joined.mean_score.isna().sum() == 2
+
+
 # 9
 
 
