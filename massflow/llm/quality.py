@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -30,14 +31,18 @@ TRAIN_ROWS = 1500
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 8, 6, 0.5
 GRAM_LENGTHS = (2, 3, 4)
 CACHE_ENTRIES = 400_000
+#: Longest word that is kept in the cache; the buckets of longer ones are taken anew, PIECE at a time. No word is cut.
+CACHED_LENGTH, PIECE = 40, 1 << 16
 REPEATED = BUCKETS  # the bucket of a word that repeats the one before it
 
 
-def buckets_of(word: str) -> list[int]:
-    """The buckets of a word: its own and those of its character n-grams."""
+def buckets_of(word: str) -> Iterator[int]:
+    """The buckets of a word, one after another: its own and those of its character n-grams."""
     marked = f"<{word}>"
-    units = [marked] + [marked[i : i + n] for n in GRAM_LENGTHS for i in range(len(marked) - n + 1)] if len(word) <= 40 else [marked[:42]]
-    return [crc32(u.encode()) % BUCKETS for u in units]
+    yield crc32(marked.encode()) % BUCKETS
+    for n in GRAM_LENGTHS:
+        for i in range(len(marked) - n + 1):
+            yield crc32(marked[i : i + n].encode()) % BUCKETS
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -96,21 +101,37 @@ class Model:
         self._start()
 
     def _row(self, word: str) -> int:
-        i, b = len(self.cache), buckets_of(word)
+        i = len(self.cache)
+        b = list(buckets_of(word))
         if i == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[i] = self.logits[b].sum(), len(b)
         self.cache[word] = i
         return i
 
+    def _long(self, word: str) -> tuple[float, int]:
+        """The sum over a word's buckets and their number, a piece of them at a time."""
+        total, n, buckets = 0.0, 0, buckets_of(word)
+        while len(piece := np.fromiter(islice(buckets, PIECE), dtype=np.int32)):
+            total, n = total + float(self.logits[piece].sum(dtype=np.float64)), n + len(piece)
+        return total, n
+
     def score(self, text: str | None) -> float:
         """The probability of label 1."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache = {}
         get, row = self.cache.get, self._row
-        index = np.array([i if (i := get(w)) is not None else row(w) for w in (text or "").split()], dtype=np.int64)
+        words = (text or "").split()
+        index = np.array([i if (i := get(w)) is not None else row(w) for w in words if len(w) <= CACHED_LENGTH], dtype=np.int64)
         total, n = self.rows[index].sum(axis=0)
-        again = int((index[1:] == index[:-1]).sum()) * len(GRAM_LENGTHS) * 4
+        if len(index) < len(words):
+            for word, c in Counter(w for w in words if len(w) > CACHED_LENGTH).items():
+                of_word, k = self._long(word)
+                total, n = total + c * of_word, n + c * k
+            again = sum(map(str.__eq__, words, words[1:]))
+        else:
+            again = int((index[1:] == index[:-1]).sum())
+        again *= len(GRAM_LENGTHS) * 4
         logit = (total + again * float(self.logits[REPEATED])) / max(1.0, n + again) + self.bias
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 

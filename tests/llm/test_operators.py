@@ -403,3 +403,17 @@ def test_quality_learns_words_grams_and_repeats(spark):
     none = quality.fit(d, extra.limit(0))
     assert none.score("x") == 0.5
     assert quality.with_scores(d, extra).columns == [*d.columns, "quality_score"]
+
+
+def test_quality_reads_long_words_to_their_end():
+    start = "x" * 60
+    good, bad = [start + words(40, s).replace(" ", "") for s in range(40)], [start + words(40, s).replace(" ", "").upper() for s in range(40)]
+    m = quality.Model(*quality.train([(q, 1.0, *quality.features(t)) for t, q in [(t, 1) for t in good] + [(t, 0) for t in bad]]))
+    unseen = words(40, 99).replace(" ", "")
+    assert m.score(start + unseen) > 0.5 > m.score(start + unseen.upper())
+    assert all(len(w) <= quality.CACHED_LENGTH for w in m.cache)
+    # a long word's score is that of its features, also when it is repeated among short ones
+    for text in (unseen * 500, f"a {unseen} {unseen} b"):
+        ids, counts = quality.features(text)
+        logit = float(m.logits[ids].astype(float) @ counts) / counts.sum() + m.bias
+        assert m.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
