@@ -14,7 +14,9 @@ from leaning on that one tag.
 
 Defined results: a null or empty page, or one without content, gives an empty
 text; broken markup is read as far as it goes: unclosed elements end with the
-page and stray end tags are passed over; repeated rows give equal texts; an
+page and stray end tags are passed over; a head needs no end tag, and of an
+element without text whose end tag is missing only the start tag is passed over,
+but for script and style, which end with the page; repeated rows give equal texts; an
 empty table gives an empty result.
 """
 
@@ -43,7 +45,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("hr".split())
 #: Elements whose contents are no text.
-RAW = "script|style|noscript|template|svg|math|iframe|object|head|title|select|textarea|button|canvas|audio|video"
+RAW = "script|style|noscript|template|svg|math|iframe|object|title|select|textarea|button|canvas|audio|video"
 #: An open element that a new one of the same group ends.
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 #: What holds list items and cells, past which no sibling is ended.
@@ -56,8 +58,11 @@ OTHER_NAMES = frozenset(
 )
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?/][^>]*>?", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<inside>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?/][^>]*>?", re.S | re.I
 )
+_RAW_END = {raw: re.compile(rf"</{raw}(?=[\s/>])[^>]*>", re.I) for raw in RAW.split("|")}
+#: Without an end tag, these last to the end of the page; of the others only the start tag is passed over.
+TO_THE_END = frozenset("script style".split())
 _NAMED = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -97,8 +102,8 @@ def parse(html: str) -> list[Node]:
             if tag in until:
                 return
 
-    at = 0
-    for m in _TOKEN.finditer(html):
+    at, unclosed = 0, set()
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             buffer.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
@@ -107,6 +112,17 @@ def parse(html: str) -> list[Node]:
         if tag is None:
             if m["raw"]:
                 buffer.append(" ")
+                raw = m["raw"].lower()
+                if raw in ("svg", "math") and m["inside"].endswith("/"):
+                    continue
+                # where one is missing, it is missing for all that follow
+                end = None if raw in unclosed else _RAW_END[raw].search(html, at)
+                if end:
+                    at = end.end()
+                elif raw in TO_THE_END:
+                    at = len(html)
+                else:
+                    unclosed.add(raw)
             continue
         tag = tag.lower()
         if tag not in BLOCKS:

@@ -270,6 +270,18 @@ def test_extraction_of_small_pages():
         m.extract(broken)
 
 
+def test_elements_without_text_end_where_they_should():
+    found = lambda page: [n.text for n in extract.parse(page) if not n.tag]
+    assert found("<head><title>T</title><meta charset=utf-8><body><p>one</p>") == ["one"]
+    assert found("<head><title>T</title><style>p{}</style><p>one</p><p>two</p>") == ["one", "two"]
+    for name in ("video-player", "button-group", "select-box"):
+        assert found(f"<p>one</p><{name}><p>two</p></{name}><p>three</p>") == ["one", "two", "three"]
+    assert found("<p>one <svg width=1 /> two <math/> three</p>") == ["one two three"]
+    assert found("<p>one <svg width=1><text>no</text></svg> two</p>") == ["one two"]
+    assert found("<p>one</p><button><p>two</p><button><p>three</p>") == ["one", "two", "three"]
+    assert found("<p>one</p><SCRIPT a='>'>var t</Script x><p>two</p><style>p{}") == ["one", "two"]
+
+
 def test_messages_give_the_marginals_of_enumeration():
     weights = {"parent": -0.4, "child": 0.3, "agree": 1.1, "text parent": 0.2, "text child": -0.5, "text agree": 0.7, "element": 0.2, "text": -0.3, "tag=p": 0.6}
     m = extract.Model(weights)
