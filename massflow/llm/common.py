@@ -74,15 +74,18 @@ def loose(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(0x5851F42D4C957F2D))
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``gone`` (rid, doc_id), where rid is the row_id() of the same scan.
+#: The column of numbered_rows.
+ROW = "__row"
 
-    Both numbers must fit, so a row is never dropped for another's sake; doc_id
-    alone would not tell repeated rows apart.
-    """
-    marked = gone.select(F.col("rid").alias("__gone_row"), F.col("doc_id").alias("__gone_id"))
-    on = (F.col("__row") == F.col("__gone_row")) & F.col("doc_id").eqNullSafe(F.col("__gone_id"))
-    return docs.withColumn("__row", row_id()).join(marked, on, "left_anti").drop("__row")
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW, a number for each row, stored: a later scan sees the same rows and numbers."""
+    return stored(docs.withColumn(ROW, row_id()), "numbered")
+
+
+def without_rows(whole: DataFrame, gone: DataFrame) -> DataFrame:
+    """``whole``, of numbered_rows, without the rows that ``gone`` names in ``rid``; ROW is taken off."""
+    return whole.join(gone.select(F.col("rid").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import WHITE_SPACE, loose, row_id, stored, table, without_rows
+from massflow.llm.common import ROW, WHITE_SPACE, loose, numbered_rows, row_id, stored, table, without_rows
 
 BLOCK_BYTES = 4096
 #: In a pair, the missing right half at an odd end.
@@ -65,7 +65,13 @@ def _joined_names(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFra
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256 and rid."""
+    return _grouped(docs.select(row_id().alias("rid"), "doc_id", "text"), block_bytes)
+
+
+def _grouped(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """exact_groups of a table (rid, doc_id, text); what is needed of it is stored with its rid."""
+
     def cut(b: Column) -> Column:
         last = F.greatest(F.lit(0), (F.ceil(F.length(b) / F.lit(block_bytes)) - 1).cast("int"))
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(b, i * block_bytes + 1, F.lit(block_bytes)))
@@ -83,7 +89,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     else:
         raise ValueError("blocks of different contents share their hashes under every salt")
     keys = (
-        docs.select(row_id().alias("rid"), "doc_id", F.inline(once))
+        docs.select("rid", "doc_id", F.inline(once))
         .select("rid", "doc_id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
         .select("rid", F.when(F.col("pos") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "n", "pos", *_hashes("block", salt))
     )
@@ -118,7 +124,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept."""
-    return without_rows(docs, exact_groups(docs).where("not kept"))
+    whole = numbered_rows(docs)
+    return without_rows(whole, _grouped(whole.select(F.col(ROW).alias("rid"), "doc_id", "text")).where("not kept"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

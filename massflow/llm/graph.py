@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massflow.llm.common import stored
 
 
+def _edges(rows: DataFrame) -> DataFrame:
+    return rows.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(v, label) for every end of ``links`` (x, y long): the smallest number that can be reached.
+    """(v, label) for every end of ``links`` (x, y long) that has a link with another: the smallest number that can be reached.
 
-    Each round takes the smallest label among a row's neighbours and then the
-    label of that label, so distances shrink by half a round; labels are stored
-    between rounds. The work ends when no label changes.
+    The links are contracted: in a round, each end moves to the first of itself
+    and its neighbours, in the order of a hash that each round takes anew (the
+    first round takes the order of the numbers, which settles stars); links are
+    then drawn between the places moved to. Along a path half of the ends are
+    expected to be left by a round, so the rounds grow with the logarithm of the
+    longest chain, however it is numbered, and the links shrink all along.
     """
-    both = stored(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(links.select(F.col("y").alias("u"), F.col("x").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        lower = stored(labels.join(seen, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
-        jump = lower.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        after = stored(lower.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if after.where("old <> label").isEmpty():
-            return after.select("v", "label")
-        labels = after.select("v", "label")
+    edges, moves = stored(_edges(links), "edges"), []
+    while not moves or not edges.isEmpty():
+        salt = F.lit(len(moves))
+
+        def place(c: str, salt=salt) -> Column:
+            return F.struct((F.xxhash64(salt, F.col(c)) if moves else F.col(c)).alias("order"), F.col(c).alias("at"))
+
+        both = edges.select(F.col("x").alias("v"), F.col("y").alias("u")).unionByName(edges.select(F.col("y").alias("v"), F.col("x").alias("u")))
+        near = both.groupBy("v").agg(F.min(place("u")).alias("first"))
+        to = stored(near.select("v", F.when(place("v") < F.col("first"), F.col("v")).otherwise(F.col("first.at")).alias("w")), "moves")
+        at = lambda c, to=to: to.select(F.col("v").alias(c), F.col("w").alias(f"{c}w"))
+        edges = stored(_edges(edges.join(at("x"), "x").join(at("y"), "y").select(F.col("xw").alias("x"), F.col("yw").alias("y"))), "edges")
+        moves.append(to)
+    ends = moves.pop()
+    while moves:
+        further = ends.select(F.col("v").alias("w"), F.col("w").alias("end"))
+        ends = moves.pop().join(further, "w", "left").select("v", F.coalesce("end", "w").alias("w"))
+    ends = stored(ends, "ends")
+    return ends.join(ends.groupBy("w").agg(F.min("v").alias("label")), "w").select("v", "label")

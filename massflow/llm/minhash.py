@@ -12,10 +12,14 @@ set's number in that class is odd. Where two sketches differ tells the size of
 the sets' symmetric difference, almost exactly for sets of a few hundred, and a
 link bounds that size by a seventh of the two sets' sizes together.
 
-Texts with equal sets are first made one class. In an index bucket all members
-are compared with one of them; only members whose components still differ after
-that are compared with each other, so a bucket of near copies doesn't give all
-its pairs, and no component is missed.
+Texts with equal sets are first made one class. Each class is then held against
+the nearest of its buckets' first members, which makes most components whole.
+What is left works in rounds: a class outside a bucket's main component seeks the
+nearest classes of other components there, by the distance of the sketches; what
+is confirmed joins components, and what isn't is not tried again. A round takes
+one candidate of each such class, the next ones four times as many as before, until
+no class has a candidate left. So links and candidates follow the number of classes
+and not that of the pairs in a bucket, and no pair of different components is missed.
 
 Defined results: a text without words has an empty set and is linked with
 nothing; one with fewer than five words has its whole sequence as one shingle;
@@ -26,7 +30,6 @@ component of null ids alone is null; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import bounded_batches, loose, row_id, stored, table, without_rows
+from massflow.llm.common import ROW, bounded_batches, loose, numbered_rows, row_id, stored, table, without_rows
 from massflow.llm.graph import components
 
 SHINGLE = 5
@@ -47,6 +50,10 @@ PERCENT = 75
 #: Most ids to broadcast; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WORD_CACHE = 200_000
+#: Most seekers, and most members, of a bucket that are compared with each other in one group of rows.
+TILE = 512
+#: Most candidates of a class that a round takes on; the rest are taken on by further rounds.
+MOST_CANDIDATES = 256
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -125,25 +132,25 @@ def signed(text: Column) -> Column:
     return sign(text)
 
 
+def _differing(a: str, b: str) -> Column:
+    """In how many bits two sketches (columns ``{a}parity``, ``{b}parity``) differ."""
+    return F.aggregate(F.zip_with(f"{a}parity", f"{b}parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+
+
 def _may_link(a: str, b: str) -> Column:
     """Whether two sets (columns ``{a}n``, ``{a}parity``) can be similar enough, from sizes and sketches."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     apart = (n + m) * (100 - PERCENT) / (100 + PERCENT)  # of a link, the greatest symmetric difference
     fade = F.exp(-4 * apart / PARITY)
     mean, variance = PARITY / 2 * (1 - F.exp(-2 * apart / PARITY)), PARITY / 4 * (1 - fade) - apart * fade
-    differing = sum((F.bit_count(F.col(f"{a}parity")[i].bitwiseXOR(F.col(f"{b}parity")[i])) for i in range(PARITY // 64)), F.lit(0))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differing <= mean + DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0e0))) + 2)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_differing(a, b) <= mean + DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0e0))) + 2)
 
 
-def _index_keys_of(chunks: str) -> Column:
+def _index_keys() -> Column:
     """Each chunk with each of its slots left out in turn."""
     keep = [~(0xFFFF << 16 * lane) for lane in range(LANES)]
     signed64 = lambda v: (v + (1 << 63)) % (1 << 64) - (1 << 63)
-    return F.array(*(F.xxhash64(F.lit(c * LANES + lane), F.col(chunks)[c].bitwiseAND(F.lit(signed64(keep[lane])))) for c in range(CHUNKS) for lane in range(LANES)))
-
-
-def _index_keys() -> Column:
-    return _index_keys_of("chunks")
+    return F.array(*(F.xxhash64(F.lit(c * LANES + lane), F.col("chunks")[c].bitwiseAND(F.lit(signed64(keep[lane])))) for c in range(CHUNKS) for lane in range(LANES)))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -178,92 +185,153 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, slot, rid, leader) of the index buckets that hold more than one class, with their first member as leader.
-
-    ``slot`` numbers the index: the chunk's number times LANES, and the lane left out.
-    """
-    rows = classes.select("rid", F.posexplode(_index_keys()).alias("slot", "key"))
+    """(key, rid, leader) of the index buckets that hold more than one class, with their first member as leader."""
+    rows = classes.select("rid", F.explode(_index_keys()).alias("key"))
     first = rows.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader <> last")
     first = first.select(loose(F.col("key")).alias("k"), "leader")
     return rows.withColumn("k", loose(F.col("key"))).join(first, "k").drop("k")
 
 
 def _sketches(classes: DataFrame, name: str) -> DataFrame:
-    return classes.select(F.col("rid").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("n", "parity", "chunks")))
+    return classes.select(F.col("rid").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("n", "parity")))
 
 
-def _first_meeting(slot: str, a: str, b: str) -> Column:
-    """Whether two signatures meet in index ``slot`` first, of all indexes in which they meet.
-
-    They meet in each index of a chunk in which no lane differs, and in one of a
-    chunk in which one does; so a pair is made once, in one bucket.
-    """
+def _leader_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each member with that leader of its buckets whose sketch is nearest, where they can be similar enough."""
+    pairs = members.where("rid <> leader").select(F.col("leader").alias("x"), F.col("rid").alias("y")).distinct()
+    met = pairs.join(_sketches(classes, "x"), "x").join(_sketches(classes, "y"), "y").where(_may_link("x", "y"))
+    return met.groupBy("y").agg(F.min(F.struct(_differing("x", "y").alias("d"), "x")).alias("best")).select("best.x", "y")
 
-    def lanes(i: int) -> Column:
-        x = F.col(f"{a}chunks")[i].bitwiseXOR(F.col(f"{b}chunks")[i])
-        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        return F.bit_count(x)
 
-    chunk = F.col(slot).cast("int") / LANES
-    before = reduce(Column.__and__, (((chunk < i + 1) | (lanes(i) > 1)) for i in range(CHUNKS)))
-    own = reduce(Column.__or__, (((F.col(slot) >= i * LANES) & (chunk < i + 1) & ((F.col(slot) == i * LANES) | (lanes(i) == 1))) for i in range(CHUNKS)))
-    return before & own
-
-
-def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each member with its bucket's leader, where they can be similar enough."""
-    pairs = members.where("rid <> leader").select(F.least("leader", "rid").alias("x"), F.greatest("leader", "rid").alias("y")).distinct()
-    y = _sketches(classes, "y").withColumnRenamed("y", "__y")
-    return pairs.join(_sketches(classes, "x"), "x").join(y, (F.col("y") == F.col("__y")) & _may_link("x", "y")).select("x", "y")
-
-
-def _cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of a bucket whose components differ and that can be similar enough."""
-    mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select(loose(F.col("key")).alias("k"))
-    rows = members.withColumn("k", loose(F.col("key"))).join(mixed, "k", "left_semi").select("key", "slot", F.col("rid").alias("x"), F.col("label").alias("lx"))
-    left = stored(rows.join(_sketches(classes, "x"), "x"), "mixed-buckets")
-    right = left.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("xn").alias("yn"), F.col("xparity").alias("yparity"), F.col("xchunks").alias("ychunks"))
-    on = (F.col("key") == F.col("k")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _first_meeting("slot", "x", "y") & _may_link("x", "y")
-    return left.join(right, on).select("x", "y")
-
-
-def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("rid"))
+def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     names = labels.select(F.col("v").alias("rid"), "label")
-    return members.drop("label").join(names, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    return rows.join(names, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+
+
+def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rid, anchor) of the buckets with several components; ``anchor`` is a member of the largest one there."""
+    parts = _with_labels(members.select("key", "rid"), labels).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("rid").alias("own"))
+    found = parts.groupBy("key").agg(F.max(F.struct("n", "own")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    found = found.select(loose(F.col("key")).alias("k"), F.col("most.own").alias("anchor"))
+    return members.withColumn("k", loose(F.col("key"))).join(found, "k").select("key", "rid", "anchor")
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that come in the order of ``keys``, in parts that end where a group ends, and where the groups of a part begin."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
+        ids = rows[keys].to_numpy()
+        starts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+        if len(starts):
+            yield rows.iloc[: starts[-1]], np.concatenate([[0], starts[:-1]])
+            held = [rows.iloc[starts[-1] :]]
+    if rest := [h for h in held if len(h)]:
+        yield pd.concat(rest, ignore_index=True), np.array([0])
+
+
+def _most_differing(sizes: np.ndarray) -> np.ndarray:
+    """As in _may_link: the most bits in which the sketches of a link differ, for the sum of the sets' sizes."""
+    apart = sizes * (100 - PERCENT) / (100 + PERCENT)
+    fade = np.exp(-4 * apart / PARITY)
+    mean, variance = PARITY / 2 * (1 - np.exp(-2 * apart / PARITY)), PARITY / 4 * (1 - fade) - apart * fade
+    return mean + DEVIATIONS * np.sqrt(np.maximum(variance, 0)) + 2
+
+
+def _nearest(seek: pd.DataFrame, there: pd.DataFrame, most: int) -> Iterator[tuple[int, int, int]]:
+    """(x, y, d): for each row of ``seek`` its nearest rows of ``there``, at most ``most``, beyond its
+    cursor (d, y), of other components, and with which it may be linked; d is the sketches' distance."""
+    bits = lambda rows: np.stack(rows["parity"].to_numpy()).view(np.uint64)
+    sketch, rid, n, label = bits(there), there["rid"].to_numpy(), there["n"].to_numpy(), there["label"].to_numpy()
+    for i in range(0, len(seek), 64):
+        some = seek.iloc[i : i + 64]
+        x, m = some["rid"].to_numpy(), some["n"].to_numpy()[:, None]
+        d = np.bitwise_count(bits(some)[:, None, :] ^ sketch[None]).sum(axis=2, dtype=np.int64)
+        past, last = some["d"].to_numpy()[:, None], some["last"].to_numpy()[:, None]
+        fits = (d <= _most_differing(n + m)) & (label != some["label"].to_numpy()[:, None]) & ((d > past) | (d == past) & (rid > last))
+        fits &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        for k in np.flatnonzero(fits.any(axis=1)):
+            at = np.flatnonzero(fits[k])
+            at = at[np.lexsort((rid[at], d[k, at]))[:most]]
+            yield from zip([int(x[k])] * len(at), rid[at].tolist(), d[k, at].tolist(), strict=True)
+
+
+def _candidates(mixed: DataFrame, labels: DataFrame, cursors: DataFrame | None, classes: DataFrame, most: int) -> DataFrame:
+    """(x, near): for each class outside the component of a bucket's anchor, the ``most`` nearest classes
+    of other components in its buckets, beyond its cursor, as sorted structs (d, y).
+
+    Large buckets are cut in blocks, and each block of seekers meets each block of
+    members in a group of its own, whose size is bounded by TILE.
+    """
+    rows = _with_labels(mixed, labels)
+    rows = rows.join(cursors, "rid", "left") if cursors is not None else rows.withColumns({"d": F.lit(None).cast("long"), "last": F.lit(None).cast("long"), "done": F.lit(None).cast("boolean")})
+    rows = stored(rows, "mixed-rows")
+    main = rows.where("rid = anchor").select(loose(F.col("key")).alias("k"), F.col("label").alias("main"))
+    rows = rows.withColumn("k", loose(F.col("key"))).join(main, "k").withColumn("seeks", (F.col("label") != F.col("main")) & ~F.coalesce("done", F.lit(False)))
+    rows = stored(rows.select("key", "rid", "label", "d", "last", "seeks"), "mixed-seekers")
+    blocks = lambda c: F.ceil(c / TILE).cast("int")
+    sizes = rows.groupBy("key").agg(blocks(F.count("*")).alias("nd"), blocks(F.sum(F.col("seeks").cast("int"))).alias("nq")).where("nq > 0")
+    rows = rows.withColumn("k", loose(F.col("key"))).join(sizes.select(loose(F.col("key")).alias("k"), "nd", "nq"), "k").drop("k")
+    rows = rows.join(classes.select("rid", "n", "parity"), "rid")
+    own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rid"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    value = [F.coalesce("d", F.lit(-1)).alias("d"), F.coalesce("last", F.lit(-1)).alias("last"), "rid", "label", "n", "parity"]
+    seek = rows.where("seeks").select("key", own("nq", 0).alias("q"), others("nd").alias("b"), F.lit(0).alias("role"), *value)
+    there = rows.select("key", others("nq").alias("q"), own("nd", 1).alias("b"), F.lit(1).alias("role"), *value)
+    tiles = seek.unionByName(there).repartition("key", "q", "b").sortWithinPartitions("key", "q", "b", "role")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _whole_groups(batches, ["key", "q", "b"]):
+            out: list[tuple[int, int, int]] = []
+            role = rows["role"].to_numpy()
+            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+                middle = a + int(np.searchsorted(role[a:b], 1))
+                if a < middle < b:
+                    out += _nearest(rows.iloc[a:middle], rows.iloc[middle:b], most)
+            yield pd.DataFrame(out, columns=["x", "y", "d"], dtype="int64")
+
+    found = tiles.mapInPandas(compare, "x long, y long, d long")
+    return found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "y"))), 1, most).alias("near"))
 
 
 def class_components(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(v, label) of the classes that are linked: components of the links between ``classes``."""
     members = stored(_members(classes), "members")
-    tried, links, labels = [], [], None
-    for round_ in range(3):
-        now = _with_labels(members, labels)
-        if round_ == 1:  # another leader: the last member of those outside the first leader's component
-            now = stored(now, "labelled")
-            rest = now.join(now.where("rid = leader").select("key", F.col("label").alias("l0")), "key").where("label <> l0")
-            now = now.drop("leader").join(rest.groupBy("key").agg(F.max("rid").alias("leader")), "key")
-            now = now.join(now.where("rid = leader").select("key", F.col("label").alias("l0")), "key").where("label <> l0 or rid = leader")
-        pairs = _cross_pairs(now, classes) if round_ == 2 else _star_pairs(now, classes)
-        for t in tried:
-            pairs = pairs.join(t, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "pairs")
+    none = classes.select(F.col("rid").alias("v"), F.col("rid").alias("label")).limit(0)
+
+    def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``labels`` with the components of the confirmed ``pairs`` made one."""
+        links = stored(confirmed(pairs, texts), "links")
+        before = labels.select(F.col("v").alias("x"), F.col("label").alias("y"))
+        return labels if links.isEmpty() else stored(components(links.unionByName(before)), "labels")
+
+    pairs = stored(_leader_pairs(members, classes), "pairs")
+    labels = none if pairs.isEmpty() else linked(none, pairs)
+    mixed, cursors, most = stored(_mixed_buckets(members, labels), "mixed"), None, 1
+    while not mixed.isEmpty():
+        near = stored(_candidates(mixed, labels, cursors, classes, most), "candidates")
+        pairs = stored(near.select("x", F.explode("near").alias("n")).select(F.least("x", "n.y").alias("x"), F.greatest("x", "n.y").alias("y")).distinct(), "pairs")
         if pairs.isEmpty():
-            continue
-        tried.append(pairs)
-        links.append(stored(confirmed(pairs, texts), "links"))
-        if not links[-1].isEmpty():
-            labels = components(reduce(DataFrame.unionByName, links))
-    return labels if labels is not None else classes.select(F.col("rid").alias("v"), F.col("rid").alias("label")).limit(0)
+            break
+        labels = linked(labels, pairs)
+        tried = near.select(F.col("x").alias("rid"), F.element_at("near", -1).alias("l"), (F.size("near") < most).alias("done")).select("rid", "l.d", F.col("l.y").alias("last"), "done")
+        # a class that is in the main components of all its buckets, or has found less than it asked for, is done for good
+        cursors = mixed.select("rid").distinct().join(tried, "rid", "left").withColumn("done", F.coalesce("done", F.lit(True)))
+        cursors = stored(cursors, "cursors")
+        most = min(4 * most, MOST_CANDIDATES)
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, rid and
     ``stays``, which is true for one row of each component only."""
-    numbered = docs.select(row_id().alias("rid"), "doc_id", "text")
-    bounded_batches(docs.sparkSession)
+    return _judged(stored(docs.select(row_id().alias("rid"), "doc_id", "text"), "numbered"))
+
+
+def _judged(numbered: DataFrame) -> DataFrame:
+    """near_duplicates of a stored table (rid, doc_id, text)."""
+    bounded_batches(numbered.sparkSession)
     base = stored(numbered.select("rid", "doc_id", signed(F.col("text")).alias("s")).select("rid", "doc_id", "s.*"), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     classes = base.where("n > 0").groupBy("h0", "h1", "n").agg(F.min(F.struct(own.alias("own"), "chunks", "parity")).alias("m"))
@@ -280,7 +348,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: the one with the smallest doc_id of each component."""
-    return without_rows(docs, near_duplicates(docs).where("not stays"))
+    whole = numbered_rows(docs)
+    return without_rows(whole, _judged(whole.select(F.col(ROW).alias("rid"), "doc_id", "text")).where("not stays"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

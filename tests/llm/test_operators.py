@@ -190,28 +190,50 @@ def test_all_pairs_within_the_guaranteed_distance_share_a_key(spark):
     assert all(keys[2 * i] & keys[2 * i + 1] for i in range(200))
 
 
-def test_a_pair_meets_first_in_exactly_one_index(spark):
-    r = np.random.default_rng(2)
-    rows = []
-    for i in range(150):
-        a = r.integers(0, 1 << 16, minhash.SLOTS, dtype=np.uint16)
-        b = a.copy()
-        for s in r.choice(minhash.SLOTS, r.integers(0, 2 * minhash.CHUNKS), replace=False):
-            b[s] ^= 1 << r.integers(0, 16)
-        rows.append((i, a.view(np.int64).tolist(), b.view(np.int64).tolist()))
-    pairs = spark.createDataFrame(rows, "i long, achunks array<long>, bchunks array<long>")
-    keys = lambda c: pairs.select("i", F.posexplode(minhash._index_keys_of(c)).alias("slot", c))
-    met = keys("achunks").join(keys("bchunks"), ["i", "slot"]).where("achunks = bchunks").select("i", "slot").join(pairs, "i")
-    first = met.where(minhash._first_meeting("slot", "a", "b")).groupBy("i").agg(F.count("*").alias("n"), F.min("slot").alias("s"))
-    want = {x["i"]: x["s"] for x in met.groupBy("i").agg(F.min("slot").alias("s")).collect()}
-    got = first.collect()
-    assert len(want) == 150 and {x["i"]: x["s"] for x in got} == want and all(x["n"] == 1 for x in got)
+def near_group(m, seed, n_words=300, changed=5):
+    """``m`` copies of one text, each with its own changed words, so most pairs stay just below a link."""
+    r, base, out = random.Random(seed), words(n_words, 5).split(), []
+    for i in range(m):
+        w = list(base)
+        for k in r.sample(range(n_words), changed):
+            w[k] = f"new{i}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_links_follow_the_members_of_a_group_and_not_its_pairs(spark, monkeypatch):
+    counted = []
+
+    def confirmed(pairs, texts, percent=minhash.PERCENT, own=minhash.confirmed):
+        counted.append(pairs.count())
+        return own(pairs, texts, percent)
+
+    monkeypatch.setattr(minhash, "confirmed", confirmed)
+    monkeypatch.setattr(minhash, "TILE", 100)
+    tried = {}
+    for m in (200, 400):
+        texts = near_group(m, m)
+        counted.clear()
+        got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(m)] == brute_components(texts)[0]
+        tried[m] = sum(counted)
+    assert tried[400] < 3 * tried[200] and tried[400] < 12 * 400
 
 
 def test_components_of_chains_and_rings(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {x["v"]: x["label"] for x in graph.components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert graph.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, own=graph.stored: rounds.append(name) or own(df, name))
+    path = random.Random(8).sample(range(10_000), 1600)
+    links = spark.createDataFrame(list(zip(path, path[1:])), "x long, y long")
+    got = {x["v"]: x["label"] for x in graph.components(links).collect()}
+    assert got == dict.fromkeys(path, min(path)) and rounds.count("moves") <= 20
 
 
 # 4
