@@ -3,10 +3,12 @@
 A small network predicts each token from the two tokens on either side of it; a
 text's score is the sum of the log-probabilities of all its tokens given their
 neighbours. Everything is gathered over the whole corpus: Spark counts all
-words for the vocabulary, and each partition trains the network in numpy on
-every token of every document, after which Spark averages the partitions'
-weights, weighted by what they were trained on. A round takes one token in
-``STRIDE`` of each text, and the rounds' offsets take turns until all are taken.
+words for the vocabulary, and the network is trained in numpy on every token of
+every document. A hash of doc_id and text deals the documents into slices of about
+``SLICE_TOKENS`` tokens and orders them there; each slice trains from the same
+weights, in blocks that only this order fixes, and Spark averages the slices'
+weights, as integers, so that neither partitions, batches nor a repeated task
+change them. A round takes one half of the documents, the next one the other.
 
 The output layer is two-level: a class of tokens, then the token in its class,
 so a token costs two small softmaxes. Both levels grow with the number of
@@ -41,13 +43,19 @@ SIZE = LEAST_SIDE**2
 #: As many distinct words have the least vocabulary; beyond, it grows with their number's root.
 LEAST_WORDS = 1 << 14
 SIDE, DIM, HIDDEN = 2, 12, 24
-#: Of each document's tokens, one in STRIDE is trained on in each round, and each in one of STRIDE rounds.
-STRIDE, ROUNDS, BATCH, RATE = 2, 2, 512, 0.15
+#: Each document is trained on in one of the rounds.
+ROUNDS, RATE = 4, 0.15
+#: A slice's first batches are small, so that little data gives enough steps; they grow with what it has seen.
+FIRST_BATCH, BATCH, BATCH_GROWTH = 64, 1024, 64
+#: What the sums of squared gradients begin with.
+LEAST_SQUARE = 1e-6
+#: Tokens of a slice, and of a block in which the order of training is mixed.
+SLICE_TOKENS, BLOCK_TOKENS = 1 << 19, 1 << 16
+#: A weight's fraction has as many bits when weights are summed, and a full slice counts as much.
+FRACTION, FULL_SLICE = 1 << 24, 1 << 8
 #: Most words whose counts are sent to the tasks; those of the others are joined.
 HELD_WORDS = 200_000
 WORD_CACHE = 300_000
-#: Rows of tokens with their neighbours that are laid out at once.
-TRAIN_ROWS = 1 << 16
 BOUNDARY = 0
 
 
@@ -74,7 +82,7 @@ def _side_of(weights: int) -> int:
 @dataclass
 class Vocabulary:
     """``words`` are the commonest, commonest first, ties by the word, and ``counts`` how often each
-    occurs; the first ``inside`` are the network's own. ``totals`` has how often all other words of the
+    occurs; the first ``inside`` are the network's own. ``tokens`` is how many there are in all. ``totals`` has how often all other words of the
     corpus occur, by their ending's class; ``complete`` tells whether ``words`` are all words."""
 
     words: list[bytes]
@@ -82,6 +90,7 @@ class Vocabulary:
     side: int
     totals: list[int]
     complete: bool
+    tokens: int = 0
 
     @property
     def inside(self) -> int:
@@ -128,7 +137,7 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
         least, held = n, held + k
     rows = counts.where(F.col("n") >= least).collect() if held else []
     rows = sorted((-r["n"], bytes(r["w"])) for r in rows)
-    found = Vocabulary([w for _, w in rows], [-n for n, _ in rows], side, [0] * _endings(side), held == n_words)
+    found = Vocabulary([w for _, w in rows], [-n for n, _ in rows], side, [0] * _endings(side), held == n_words, sum(n * k for n, k in sizes))
     for r in counts.groupBy(_ending("w", side).alias("c")).agg(F.sum("n").alias("n")).collect():
         found.totals[r["c"]] = r["n"]
     for w, n in zip(found.words[: found.inside], found.counts, strict=False):
@@ -194,40 +203,44 @@ def _parts(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def padded(texts: list[np.ndarray], round_: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in a row with boundaries around each, and the places of their tokens, or of those whose turn it is in a round."""
+def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in a row with boundaries around each, and the places of their tokens."""
     gap = np.full(SIDE, BOUNDARY, dtype=np.int32)
     ids = np.concatenate([gap] + [x for t in texts for x in (t, gap)])
-    if round_ is None:
-        return ids, np.flatnonzero(ids)
-    starts = np.cumsum([SIDE] + [len(t) + SIDE for t in texts])
-    return ids, np.concatenate([np.arange(s + round_ % STRIDE, s + len(t), STRIDE) for s, t in zip(starts[:-1], texts, strict=True)])
+    return ids, np.flatnonzero(ids)
 
 
-def _around(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    return [ids[at + k] for k in range(-SIDE, SIDE + 1) if k]
+#: Where a token's neighbours are.
+NEIGHBOURS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _by_class(y: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the tokens ``y`` by their classes, and each class that occurs with its range in that order."""
+    of = y // side
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=side)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-def _by_class(targets: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
-    of = targets // side
-    order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=side))
-    for c in range(side):
-        rows = order[ends[c - 1] if c else 0 : ends[c]]
-        if len(rows):
-            yield c, rows
+def _log_share(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The log-probability of column ``of[i]`` in row i; ``z`` is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(of)), of]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
     """A step of gradient descent with per-weight rates, in place."""
     s = squares[rows] = squares[rows] + g * g
-    weights[rows] -= RATE * g / (np.sqrt(s) + 1e-6)
+    weights[rows] -= RATE * g / np.sqrt(s)
 
 
 class Network:
@@ -236,6 +249,14 @@ class Network:
         self.p = _parts(self.flat)
         self.side = len(self.p["cb"])
 
+    def _inner(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Row by row, the inputs of the softmax inside the row's class."""
+        z = np.empty((len(h), self.side), dtype=h.dtype)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.p["t"][c], out=z[a:b])
+            z[a:b] += self.p["tb"][c]
+        return z
+
     def log_probs(self, ids: np.ndarray, at: np.ndarray, chunk: int = 8192) -> np.ndarray:
         """The log-probability of the tokens at ``at`` given their neighbours."""
         p = self.p
@@ -243,75 +264,125 @@ class Network:
         out = np.empty(len(at), dtype=np.float32)
         for i in range(0, len(at), chunk):
             some = at[i : i + chunk]
-            h = np.tanh(sum((f[x] for f, x in zip(folded, _around(ids, some), strict=True)), p["b"]))
+            h = np.tanh(sum((f[ids[some + k]] for f, k in zip(folded, NEIGHBOURS, strict=True)), p["b"]))
             y = ids[some]
-            lp = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(y)), y // self.side]
-            for c, rows in _by_class(y, self.side):
-                lp[rows] += _log_softmax(h[rows] @ p["t"][c] + p["tb"][c])[np.arange(len(rows)), y[rows] % self.side]
+            lp = _log_share(h @ p["c"] + p["cb"], y // self.side)
+            order, runs = _by_class(y, self.side)
+            lp[order] += _log_share(self._inner(h[order], runs), y[order] % self.side)
             out[i : i + chunk] = lp
         return out
 
-    def train(self, examples: np.ndarray, squares: np.ndarray) -> None:
-        """One pass of stochastic gradient descent with per-weight rates over rows of tokens with their
-        neighbours; ``squares`` is kept between calls."""
-        p, sq = self.p, _parts(squares)
-        for i in range(0, len(examples), BATCH):
-            some = examples[i : i + BATCH]
-            n, y, ctx = len(some), some[:, SIDE], [some[:, k] for k in range(2 * SIDE + 1) if k != SIDE]
-            x = [p["e"][c] for c in ctx]
-            h = np.tanh(sum((a @ p["w"][k] for k, a in enumerate(x)), p["b"]))
-            z = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
-            z[np.arange(n), y // self.side] -= 1
-            z /= n
-            dh = z @ p["c"].T
-            _step(p["c"], sq["c"], h.T @ z)
-            _step(p["cb"], sq["cb"], z.sum(0))
-            for c, rows in _by_class(y, self.side):
-                hc = h[rows]
-                z = np.exp(_log_softmax(hc @ p["t"][c] + p["tb"][c]))
-                z[np.arange(len(rows)), y[rows] % self.side] -= 1
-                z /= n
-                dh[rows] += z @ p["t"][c].T
-                _step(p["t"][c], sq["t"][c], hc.T @ z)
-                _step(p["tb"][c], sq["tb"][c], z.sum(0))
-            dh *= 1 - h * h
-            de = [dh @ p["w"][k].T for k in range(2 * SIDE)]
-            for k, a in enumerate(x):
-                _step(p["w"][k], sq["w"][k], a.T @ dh)
-            _step(p["b"], sq["b"], dh.sum(0))
-            # only the rows that occur have a gradient
-            used, of = np.unique(np.concatenate(ctx), return_inverse=True)
-            g = np.stack([np.bincount(of, weights=d, minlength=len(used)) for d in np.concatenate(de).T], axis=1).astype(np.float32)
-            _step(p["e"], sq["e"], g, used)
+    def gradients(self, y: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
+        """(name, rows, gradient) of the mean negative log-probability of the tokens ``y`` with neighbours ``around``."""
+        p, n, inputs = self.p, len(y), 2 * SIDE * DIM
+        order, runs = _by_class(y, self.side)
+        y, around = y[order], around[order]
+        rows = np.arange(n)
+        x = p["e"][around].reshape(n, inputs)
+        w = p["w"].reshape(inputs, HIDDEN)
+        h = np.tanh(x @ w + p["b"])
+        z = _softmax(h @ p["c"] + p["cb"])
+        z[rows, y // self.side] -= 1
+        z /= n
+        dh = z @ p["c"].T
+        yield "c", slice(None), h.T @ z
+        yield "cb", slice(None), z.sum(axis=0)
+        z = _softmax(self._inner(h, runs))
+        z[rows, y % self.side] -= 1
+        z /= n
+        g = np.empty((len(runs), HIDDEN, self.side), dtype=z.dtype)
+        for i, (c, a, b) in enumerate(runs):
+            np.matmul(h[a:b].T, z[a:b], out=g[i])
+            dh[a:b] += z[a:b] @ p["t"][c].T
+        present = [c for c, _, _ in runs]
+        yield "t", present, g
+        yield "tb", present, np.add.reduceat(z, [a for _, a, _ in runs], axis=0)
+        dh *= 1 - h * h
+        yield "w", slice(None), (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN)
+        yield "b", slice(None), dh.sum(axis=0)
+        # only the rows that occur have a gradient
+        used, of = np.unique(around, return_inverse=True)
+        de = (dh @ w.T).reshape(-1, DIM)
+        yield "e", used, np.stack([np.bincount(of.ravel(), weights=d, minlength=len(used)) for d in de.T], axis=1).astype(z.dtype)
+
+    def train(self, ids: np.ndarray, at: np.ndarray, squares: np.ndarray, seen: int = 0) -> None:
+        """One pass of stochastic gradient descent with per-weight rates over the tokens at ``at``, in
+        that order; ``squares`` is kept between calls, and ``seen`` tokens went before."""
+        sq, i = _parts(squares), 0
+        while i < len(at):
+            some = at[i : i + min(BATCH, FIRST_BATCH + (seen + i) // BATCH_GROWTH)]
+            i += len(some)
+            for name, rows, g in list(self.gradients(ids[some], ids[some[:, None] + NEIGHBOURS])):
+                _step(self.p[name], sq[name], g, rows)
+
+
+class Trainer:
+    """Trains one slice from given weights, block by block in the order in which its documents come."""
+
+    def __init__(self, flat: np.ndarray):
+        self.net, self.squares = Network(flat), np.full(len(flat), LEAST_SQUARE, dtype=np.float32)
+        self.held: list[np.ndarray] = []
+        self.n = self.waiting = 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.held.append(numbers)
+        self.waiting += len(numbers)
+        if self.waiting >= BLOCK_TOKENS:
+            self.block()
+
+    def block(self) -> None:
+        if self.waiting:
+            ids, at = padded(self.held)
+            self.net.train(ids, np.random.default_rng(self.n).permutation(at), self.squares, self.n)
+        self.n += self.waiting
+        self.held, self.waiting = [], 0
+
+    def result(self) -> tuple[np.ndarray, int]:
+        """The weights as integers, times what the slice counts, and that."""
+        self.block()
+        counts = -(-self.n * FULL_SLICE // SLICE_TOKENS)
+        return np.rint(self.net.flat.astype(np.float64) * FRACTION).astype(np.int64) * counts, counts
+
+
+def in_slices(docs: DataFrame, slices: int) -> DataFrame:
+    """(doc_id, text, order, slice) of every row of ``docs``, each in one slice."""
+    dealt = docs.select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("order"))
+    return dealt.withColumn("slice", F.pmod("order", F.lit(slices)))
 
 
 def fitted(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The network's weights after ``rounds`` of training over all of ``docs`` (text)."""
+    """The network's weights after ``rounds`` of training over all of ``docs`` (doc_id, text)."""
     context = docs.sparkSession.sparkContext
     bounded_batches(docs.sparkSession)
+    slices = max(1, -(-vocabulary.tokens // (SLICE_TOKENS * rounds)))
+    dealt = in_slices(docs, rounds * slices)
     flat = start(side=vocabulary.side)
     for round_ in range(rounds):
-        shared = context.broadcast((vocabulary, flat, round_))
+        shared = context.broadcast((vocabulary, flat))
 
         def train(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vocabulary, flat, round_ = shared.value
-            tokens, net, squares, n = Tokens(vocabulary), Network(flat), np.full(len(flat), 1e-3, dtype=np.float32), 0
+            vocabulary, flat = shared.value
+            tokens, total, n, now, trainer = Tokens(vocabulary), np.zeros(len(flat), dtype=np.int64), 0, None, None
             for batch in batches:
-                for i in range(0, len(batch), 1024):
-                    ids, at = padded([tokens(t) for t in batch["text"].iloc[i : i + 1024]], round_)
-                    at = np.random.default_rng(len(at)).permutation(at)
-                    for k in range(0, len(at), TRAIN_ROWS):
-                        net.train(ids[at[k : k + TRAIN_ROWS, None] + np.arange(-SIDE, SIDE + 1)], squares)
-                    n += len(at)
-            if n:
-                yield pd.DataFrame({"weights": [net.flat], "n": [n]})
-
-        trained = docs.select("text").mapInPandas(train, "weights array<float>, n long")
-        mean = trained.select("n", F.posexplode("weights").alias("place", "w")).groupBy("place").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
-        got = mean.toPandas()
+                for slice_, text in zip(batch["slice"], batch["text"], strict=True):
+                    if slice_ != now:
+                        if trainer:
+                            more, counts = trainer.result()
+                            total, n = total + more, n + counts
+                        now, trainer = slice_, Trainer(flat)
+                    trainer.add(tokens(text))
+            if trainer:
+                more, counts = trainer.result()
+                yield pd.DataFrame({"weights": [total + more], "n": [n + counts]})
+
+        # equal rows are alike, so (order, doc_id) settles the order of all others
+        part = dealt.where(F.col("slice") % rounds == round_).repartition("slice").sortWithinPartitions("slice", "order", "doc_id").select("slice", "text")
+        trained = part.mapInPandas(train, "weights array<long>, n long")
+        got = trained.select("n", F.posexplode("weights").alias("place", "w")).groupBy("place").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
+        got = got[got["n"] > 0]
         if len(got):  # as many rows as the network has weights
             flat = np.empty_like(flat)
-            flat[got["place"].to_numpy()] = got["w"].to_numpy()
+            flat[got["place"].to_numpy()] = got["w"].to_numpy() / got["n"].to_numpy() / FRACTION
     return flat
 
 

@@ -274,6 +274,54 @@ def test_hamming_index_finds_all_within_the_radius():
     assert set(zip(w.tolist(), o.tolist())) == want
 
 
+def changed(w, kind, k, r):
+    """``w`` with ``k`` words replaced in one run or here and there, put in, or left out."""
+    w, at = list(w), r.randrange(len(w) - k + 1)
+    if kind == "run":
+        w[at : at + k] = words(k, r.random()).split()
+    elif kind == "insert":
+        w[at:at] = words(k, r.random()).split()
+    elif kind == "delete":
+        del w[at : at + k]
+    else:
+        for p in r.sample(range(len(w)), k):
+            w[p] = "other"
+    return w
+
+
+@pytest.mark.parametrize("n", [16, 24, 40, 60, 100, 200])
+def test_copies_just_similar_enough_are_found(n):
+    r = random.Random(n)
+    sim = lambda a, b: decontaminate.similarity(*(decontaminate.shingles(decontaminate.Words()(" ".join(x))) for x in (a, b)))
+    items = [words(n, 50 * n + i).split() for i in range(20)]
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    for kind in ("run", "scatter", "insert", "delete"):
+        copies = {}
+        for i, w in enumerate(items):  # the last and so the most changed copy that counts
+            for k in range(1, n // 3):
+                c = changed(w, kind, k, r)
+                if sim(w, c) >= decontaminate.SIMILARITY:
+                    copies[i] = c
+        found = index.matches([words(60, 7 + i) + " " + " ".join(c) + " " + words(90, 9 + i) for i, c in copies.items()])
+        assert sum(i in f for i, f in zip(copies, found)) >= 0.9 * len(copies), kind
+        assert all(set(f) <= {i} for i, f in zip(copies, found))
+
+
+def test_a_benchmark_of_several_passes_gives_the_same(spark, monkeypatch):
+    items = spark.createDataFrame([(i, words(18 + i, 300 + i)) for i in range(9)], "item_id long, text string")
+    texts = [words(40, 1) + " " + words(18 + i, 300 + i) + " " + words(18 + (i + 4) % 9, 304 + i if i < 5 else 295 + i) for i in range(9)] + [None, "", words(90, 2)]
+    d = docs(spark, texts + texts[:2], [*range(len(texts)), 0, None])
+    rows = lambda: sorted((str(x["doc_id"]), str(x["leaked"])) for x in decontaminate.with_matches(d, items).collect())
+    once = rows()
+    assert sum(x[1] != "[]" for x in once) == 11 and all(x[1].count("item_id") in (0, 2) for x in once)
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
+    assert len(list(decontaminate.passes((i, "a b") for i in range(9)))) == 5
+    assert rows() == once
+    assert decontaminate.with_matches(d, items).columns == [*d.columns, "leaked"]
+    assert decontaminate.kept(d, items).count() == 3
+    assert decontaminate.kept(d.limit(0), items).count() == 0
+
+
 def test_weighted_similarity_counts_repeats():
     s = lambda t: decontaminate.shingles(decontaminate.Words()(t))
     assert decontaminate.similarity(s("a b c d e f"), s("A b, c d e f")) == 1
@@ -383,16 +431,64 @@ def test_language_model_gradient_and_probabilities():
         total += float(np.exp(net.log_probs(other, np.array([4]))[0]))
     assert total == pytest.approx(1, abs=1e-3)
     before = net.log_probs(ids, at).sum()
-    rows = np.stack([ids[i - 2 : i + 3] for i in at])
+    squares = np.full(len(net.flat), lm.LEAST_SQUARE, dtype=np.float32)
     for _ in range(20):
-        net.train(rows, np.full(len(net.flat), 1e-3, dtype=np.float32))
+        net.train(ids, at, squares)
     assert net.log_probs(ids, at).sum() > before
 
 
-def test_language_model_trains_on_every_token_and_grows():
-    texts = [np.arange(1, n + 1, dtype=np.int32) for n in (1, 5, 0, 24, 61)]
-    taken = [lm.padded(texts, r)[1] for r in range(lm.ROUNDS)]
-    assert sorted(np.concatenate(taken).tolist()) == lm.padded(texts)[1].tolist()
+def test_language_model_gradients_are_the_differences_of_the_loss():
+    r = np.random.default_rng(3)
+    net = lm.Network(r.normal(0, 0.3, len(lm.start())))
+    ids, at = lm.padded([r.integers(1, lm.SIZE, 40).astype(np.int32), np.array([3, 3, 3, 70, 3], dtype=np.int32)])
+    loss = lambda: -float(np.mean(net.log_probs(ids, at).astype(np.float64)))
+    assert net.flat.dtype == np.float64
+    for name, rows, g in net.gradients(ids[at], ids[at[:, None] + lm.NEIGHBOURS]):
+        whole = np.zeros_like(net.p[name])
+        whole[rows] = g
+        for k in [int(np.abs(whole).argmax()), *r.integers(0, whole.size, 3)]:
+            own, step = net.p[name].ravel(), 1e-2
+            assert np.shares_memory(own, net.flat)
+            own[k] += step
+            up = loss()
+            own[k] -= 2 * step
+            down = loss()
+            own[k] += step
+            assert (up - down) / (2 * step) == pytest.approx(whole.ravel()[k], abs=2e-4), name
+
+
+def test_language_model_is_the_same_for_other_batches_and_partitions(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [words(r.randint(1, 400), k) for k in range(150)] + [None, "", words(400, 3), words(400, 3)]
+    d = docs(spark, texts).select("doc_id", "text")
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 4000)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 1500)
+    found, weights, key = [], [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    for batch, parts in ((1000, 2), (7, 5)):
+        spark.conf.set(key, batch)
+        rows = d.repartition(parts)
+        weights.append(lm.fitted(rows, lm.vocabulary(rows)))
+        found.append(lm.scores(rows).toPandas().sort_values("doc_id", kind="stable"))
+    spark.conf.set(key, usual)
+    assert np.array_equal(*weights)
+    assert np.allclose(found[0].score, found[1].score, rtol=1e-5)
+
+
+def test_language_model_trains_on_every_token_and_grows(spark, monkeypatch):
+    texts = [words(n, n) for n in (1, 5, 24, 61, 300, 40, 40)] + [None, ""]
+    d = docs(spark, texts).select("doc_id", "text")
+    found = lm.vocabulary(d)
+    assert found.tokens == 471
+    dealt = lm.in_slices(d, 7).toPandas()
+    assert sorted(dealt.doc_id) == list(range(9)) and dealt.slice.between(0, 6).all()
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 50)
+    trained, tokens, trainer = [], lm.Tokens(found), lm.Trainer(lm.start())
+    monkeypatch.setattr(trainer.net, "train", lambda ids, at, squares, seen: trained.append(ids[at]))
+    for t in texts:
+        trainer.add(tokens(t))
+    trainer.block()
+    assert sorted(np.concatenate(trained)) == sorted(np.concatenate([tokens(t) for t in texts])) and trainer.n == 471
     sides = [lm._side(n) for n in (0, 10**4, 10**6, 10**8)]
     assert sides[0] == sides[1] == 32 < sides[2] < sides[3]
     assert [lm._side_of(len(lm.start(side=s))) for s in sides[1:3]] == sides[1:3]
