@@ -1,19 +1,24 @@
 """Benchmark decontamination: SimHash windows the size of the items.
 
-The items fall into size classes. A class slides windows of one width, a little
-narrower than its items, over every whole document at a stride so short that
-each copy of an item holds a window that starts at one of the item's own
-offsets; all offsets of the items are indexed. The 64-bit fingerprints are cut
+The items fall into size classes. A class slides windows of one width over every
+whole document. The width is a little less than what a copy that is still similar
+enough keeps in one piece: most of a short item, whose copies can differ at the ends
+only, and about half of a longer one, of which one run of words may be replaced.
+The stride is so short that a window falls into the kept piece, wherever that
+starts; all offsets of the items are indexed. The 64-bit fingerprints are cut
 into three blocks; each item fingerprint is entered under every value that
 differs from its block in up to ``RADIUS // 3`` bits, so by the pigeonhole
 principle all windows within ``RADIUS`` bits are found. A candidate counts if
 the exact weighted similarity of its five-word shingles, weighted by how often
-they occur, is ``SIMILARITY`` or more.
+they occur, is ``SIMILARITY`` or more; it is measured over spans of the item's size
+and over the span of the item's shingles nearby.
 
 A word is what stands between white space, lower-cased, without characters that
 are neither letters nor digits. Documents stay where they are: only the items
-are sent to the tasks, ``ITEMS_PER_PASS`` at a time, so a larger benchmark takes
-more passes and no more memory.
+are sent to the tasks, a pass of at most ``ITEMS_PER_PASS`` items and
+``WORDS_PER_PASS`` words (or one longer item) at a time. The passes of a larger
+benchmark follow each other over stored documents, each one's few matches are
+stored, and tasks hold the index of one pass only.
 
 Defined results: a null or empty text matches nothing; items without words are
 left out; an item of fewer than five words has its whole sequence as one shingle;
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,16 +38,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import bounded_batches, table
+from massflow.llm.common import ROW, bounded_batches, numbered_rows, stored, table
 
 SHINGLE, SIMILARITY = 5, 0.75
 RADIUS = 8
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
-ITEMS_PER_PASS = 2000
-#: Narrowest window, ratio of the classes' widths, ratio of an item to its window.
+ITEMS_PER_PASS, WORDS_PER_PASS = 2000, 60_000
+#: Narrowest window, ratio of the classes' widths, ratio of a copy's kept piece to its window.
 NARROWEST, LADDER, SLACK = 6, 1.25, 1.2
 SEGMENT = 1 << 15
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+#: So few shingles are looked up one by one.
+FEW = 256
 
 
 class Words:
@@ -107,12 +115,23 @@ def fingerprints(running: np.ndarray, width: int, stride: int) -> np.ndarray:
     return np.packbits(having > width // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def kept_piece(n: int) -> int:
+    """How many adjacent words of an item of ``n`` words a copy with one changed place keeps, if it is similar enough.
+
+    A copy may lack N / 4 of the N shingles. Words left out at an end take one each;
+    to leave out or replace a run of k words inside takes k + 4, and leaves the
+    longer of two pieces.
+    """
+    lost = max(0, n - SHINGLE + 1) // 4
+    return n - lost if lost < SHINGLE else -(-(n - (lost - SHINGLE + 1)) // 2)
+
+
 def class_width(n: int) -> int:
     """The width of the windows for items of ``n`` words."""
-    width = NARROWEST
-    if n < width * SLACK:
-        return n
-    while (wider := int(width * LADDER) + 1) * SLACK <= n:
+    width, piece = NARROWEST, kept_piece(n)
+    if piece < width * SLACK:
+        return piece
+    while (wider := int(width * LADDER) + 1) * SLACK <= piece:
         width = wider
     return width
 
@@ -126,7 +145,7 @@ class SizeClass:
 
     def __init__(self, width: int, items: list[tuple[int, np.ndarray]]):
         self.width = width
-        self.stride = min(len(w) for _, w in items) - width + 1
+        self.stride = min(kept_piece(len(w)) for _, w in items) - width + 1
         prints, owner, offset = [], [], []
         for i, (_, words) in enumerate(items):
             p = fingerprints(running_bits(words, width), width, 1)
@@ -138,7 +157,7 @@ class SizeClass:
         self.blocks = []
         for first, bits in BLOCKS:
             own = self.prints >> np.uint64(first) & np.uint64((1 << bits) - 1)
-            near = own[:, None] ^ _masks(bits, RADIUS // len(BLOCKS))
+            near = (own[:, None] ^ _masks(bits, RADIUS // len(BLOCKS))).astype(np.uint32)
             order = np.argsort(near, axis=None, kind="stable")
             present = np.zeros(1 << bits, dtype=bool)
             present[near.ravel()] = True
@@ -148,7 +167,7 @@ class SizeClass:
         """(window, item window) of all pairs within RADIUS bits."""
         windows, found = [], []
         for first, mask, present, values, owners in self.blocks:
-            block = prints >> first & mask
+            block = (prints >> first & mask).astype(np.uint32)
             hit = np.flatnonzero(present[block])
             lo, hi = np.searchsorted(values, block[hit], "left"), np.searchsorted(values, block[hit], "right")
             n = hi - lo
@@ -187,7 +206,8 @@ class Index:
                 by_width[class_width(len(item[1]))].append(item)
             self.classes = [SizeClass(w, by_width[w]) for w in sorted(by_width)]
             self.wanted = {i: shingles(w) for i, w in self.items}
-            self.hashed = {i: frozenset(shingle_hashes(w).tolist()) for i, w in self.items}
+            self.sets = {i: frozenset(shingle_hashes(w).tolist()) for i, w in self.items}
+            self.hashed = {i: np.unique(shingle_hashes(w)) for i, w in self.items}
             self.longest = max((c.width for c in self.classes), default=1)
         return self
 
@@ -222,21 +242,48 @@ class Index:
             return out
         joined = np.concatenate(each)
         hashes = shingle_hashes(joined)
+        places: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         for d, k, o, start in self._candidates(joined, np.repeat(np.arange(len(texts)), sizes)):
+            places[d, k, o].append(start)
+        for (d, k, o), starts in places.items():
             item, words = self.classes[k].items[o]
-            # too few of the item's shingles nearby: no window here can be similar enough
-            nearby = hashes[max(0, start - 1) : start + len(words) + 1].tolist()
-            if len(words) >= SHINGLE and sum(map(self.hashed[item].__contains__, nearby)) < SIMILARITY * (len(words) - SHINGLE + 1):
-                continue
-            start -= int(ends[d] - sizes[d])
-            # words added or left out shift the copy's two ends a little
-            tries = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (-1, -1)]
-            spans = {(max(0, start + a), min(len(each[d]), start + len(words) + b)) for a, b in tries}
-            best = max(similarity(self.wanted[item], shingles(each[d][a:b])) for a, b in spans)
+            begin, end = int(ends[d] - sizes[d]), int(ends[d])
+            best = self._best(item, words, each[d], hashes[begin : max(begin, end - SHINGLE + 1)], np.array(sorted(starts)) - begin)
             if best >= SIMILARITY:
-                out[d][item] = max(best, out[d].get(item, 0.0))
+                out[d][item] = best
         return out
 
+    def _best(self, item: int, words: np.ndarray, text: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> float:
+        """The greatest similarity of the item to spans of ``text`` about its candidates' ``starts``, or 0 if none counts.
+
+        ``hashes`` has one for each shingle of the text.
+        """
+        n, about, best = len(words), len(words) // 3 + 1, 0.0
+        low = max(0, int(starts[0]) - about)
+        nearby = hashes[low : max(low, int(starts[-1]) + n + about)]
+        if len(nearby) <= FEW:
+            own = np.fromiter(map(self.sets[item].__contains__, nearby.tolist()), dtype=bool, count=len(nearby))
+        else:
+            own = np.isin(nearby, self.hashed[item])
+        if n >= SHINGLE and own.sum() < SIMILARITY * (n - SHINGLE + 1):
+            return 0.0
+        its = np.concatenate([[0], np.cumsum(own)])
+        within = lambda a, b: its[np.clip(b - low, 0, len(own))] - its[np.clip(a - low, 0, len(own))]
+        if n >= SHINGLE:
+            # with too few of the item's shingles nearby, no span here can be similar enough
+            starts = starts[within(starts - about, starts + n + about) >= SIMILARITY * (n - SHINGLE + 1)]
+        # windows beside each other lead to starts beside each other: the one with the most of the item's shingles stands for them
+        for near in np.split(starts, np.flatnonzero(np.diff(starts) > about) + 1) if len(starts) else ():
+            start = int(near[within(near, near + n - SHINGLE + 1).argmax()])
+            # words added or left out shift the copy's two ends
+            tries = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (-1, -1)]
+            spans = {(max(0, start + a), min(len(text), start + n + b)) for a, b in tries}
+            first = max(0, start - about - low)
+            if len(at := np.flatnonzero(own[first : max(first, start + n + about - low)])):
+                spans.add((low + first + int(at[0]), low + first + int(at[-1]) + SHINGLE))
+            best = max(best, *(similarity(self.wanted[item], shingles(text[a:b])) for a, b in spans))
+        return best
+
 
 def matched(text: Column, shared) -> Column:
     @F.pandas_udf("array<struct<item_id:long,similarity:double>>")
@@ -249,21 +296,39 @@ def matched(text: Column, shared) -> Column:
     return match(text)
 
 
+def passes(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists that a task can hold the index of."""
+    some, n = [], 0
+    for item, text in items:
+        size = len(text.split())
+        if some and (len(some) == ITEMS_PER_PASS or n + size > WORDS_PER_PASS):
+            yield some
+            some, n = [], 0
+        some.append((item, text))
+        n += size
+    if some:
+        yield some
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``leaked``, the items (item_id, similarity) that each whole text holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
-    leaked: list[Column] = []
-    block: list[tuple[int, str]] = []
-    for row in items.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        if len(block) == ITEMS_PER_PASS:
-            leaked.append(matched(F.col("text"), spark.sparkContext.broadcast(Index(block))))
-            block = []
-    if block or not leaked:
-        leaked.append(matched(F.col("text"), spark.sparkContext.broadcast(Index(block))))
-    return docs.withColumn("leaked", F.concat(*leaked))
+    each = passes((r["item_id"], r["text"]) for r in items.toLocalIterator())
+    some, more = next(each, []), next(each, None)
+    if more is None:
+        return docs.withColumn("leaked", matched(F.col("text"), spark.sparkContext.broadcast(Index(some))))
+    whole, found = numbered_rows(docs), []
+    while some:
+        shared = spark.sparkContext.broadcast(Index(some))
+        hits = whole.select(F.col(ROW).alias("rid"), matched(F.col("text"), shared).alias("leaked"))
+        found.append(stored(hits.where(F.size("leaked") > 0), "leaks"))
+        shared.destroy()
+        some, more = more, next(each, None)
+    every = reduce(DataFrame.unionByName, found).groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("leaked"))).alias("leaked"))
+    none = F.array().cast("array<struct<item_id:bigint,similarity:double>>")
+    return whole.join(every.withColumnRenamed("rid", ROW), ROW, "left").withColumn("leaked", F.coalesce("leaked", none)).drop(ROW)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
