@@ -119,13 +119,25 @@ def intersection(p: Column, q: Column) -> Column:
     return cut_all(p, edges_as_halves(q))
 
 
-def segment_in(vs: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """struct(t0, t1): the part of a segment in a convex polygon (Cyrus-Beck); null if none."""
-    dx, dy = x1 - x0, y1 - y0
+def line_in(vs: Column, x0: Column, y0: Column, dx: Column, dy: Column, first: Column, last: Column | None) -> Column:
+    """struct(t0, t1): for which t in [first, last] (no end where ``last`` is None) the point
+    (x0 + t * dx, y0 + t * dy) is in a convex polygon (Cyrus-Beck); null if none or only one."""
     halves = edges_as_halves(vs)
     gap = lambda h: h["c"] - h["a"] * x0 - h["b"] * y0
     rate = lambda h: h["a"] * dx + h["b"] * dy
-    enter = F.array_max(F.concat(F.array(F.lit(0e0)), F.transform(F.filter(halves, lambda h: rate(h) < 0), lambda h: gap(h) / rate(h))))
-    leave = F.array_min(F.concat(F.array(F.lit(1e0)), F.transform(F.filter(halves, lambda h: rate(h) > 0), lambda h: gap(h) / rate(h))))
+    ends = lambda on: F.transform(F.filter(halves, on), lambda h: gap(h) / rate(h))
+    enter = F.array_max(F.concat(F.array(first), ends(lambda h: rate(h) < 0)))
+    leaving = ends(lambda h: rate(h) > 0)
+    leave = F.array_min(leaving if last is None else F.concat(F.array(last), leaving))
     outside = F.exists(halves, lambda h: (rate(h) == 0) & (gap(h) < 0))
     return F.when(~outside & (enter < leave), F.struct(enter.alias("t0"), leave.alias("t1")))
+
+
+def segment_in(vs: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """struct(t0, t1): the part of a segment in a convex polygon; null if none."""
+    return line_in(vs, x0, y0, x1 - x0, y1 - y0, F.lit(0e0), F.lit(1e0))
+
+
+def ray_in(vs: Column, x0: Column, y0: Column, dx: Column, dy: Column) -> Column:
+    """struct(t0, t1): the part of a ray from (x0, y0) in a convex polygon, in lengths of (dx, dy); null if none."""
+    return line_in(vs, x0, y0, dx, dy, F.lit(0e0), None)

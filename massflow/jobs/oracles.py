@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from massflow.sources.fixtures import with_tables
 
 _POWER = "arg_min({'s': s.site_id, 'd2': (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)}, {'k': (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) - %s, 's': s.site_id})"
@@ -44,6 +46,34 @@ _CROSS = """, t AS (SELECT seg_id, x0, y0, x1, y1, list_sort(list_distinct(list_
 sp AS (SELECT seg_id, CAST(floor(x0 + (x1 - x0) * (ts[i] + ts[i + 1]) / 2) AS INT) AS x, CAST(floor(y0 + (y1 - y0) * (ts[i] + ts[i + 1]) / 2) AS INT) AS y, (ts[i + 1] - ts[i]) * sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) AS len
   FROM (SELECT *, unnest(range(1, len(ts))) AS i FROM t) z) """
 _HESSIAN = ", hs AS (SELECT i.site_id AS i, j.site_id AS j, -ed.len / 490 / (2 * sqrt((i.x - j.x) ^ 2 + (i.y - j.y) ^ 2)) AS h FROM ed JOIN site i USING (site_id) JOIN site j ON j.site_id = ed.nb) "
+#: The same cells of sites in another table.
+_cells_of = lambda table: re.sub(r"\bsite\b", table, _CELLS)
+#: Per site, weights for three frames; a cell's site_id is ten times the site's and the frame's number.
+_FRAMES = ", framed AS MATERIALIZED (SELECT site_id * 10 + f AS site_id, x, y, m, w * f / 2e0 AS w FROM site, range(0, 3) g(f))" + _cells_of("framed").replace("ON i.site_id <> j.site_id", "ON i.site_id <> j.site_id AND i.site_id % 10 = j.site_id % 10")
+#: The four lines of a pixel (x, y): c is cx * x + cy * y + c0.
+_PIXEL = "(VALUES (-11, 1e0, 0e0, 1, 0, 1), (-12, -1e0, 0e0, -1, 0, 0), (-13, 0e0, 1e0, 0, 1, 1), (-14, 0e0, -1e0, 0, -1, 0)) s(k, a, b, cx, cy, c0)"
+
+
+def _overlaps(keys: str, lines: str) -> str:
+    """(keys, cov): areas of the intersections of half-planes (keys, k, a, b, c), by enumeration of their corners."""
+    same = " AND ".join(f"p.{k} = q.{k}" for k in keys.split(", "))
+    own = ", ".join(f"p.{k}" for k in keys.split(", "))
+    return f""", q AS MATERIALIZED (SELECT {keys}, k, a / n AS a, b / n AS b, c / n AS c FROM (SELECT *, sqrt(a * a + b * b) AS n FROM ({lines}) z) z),
+ql AS MATERIALIZED (SELECT {keys}, list({{'a': a, 'b': b, 'c': c}}) AS hs FROM q GROUP BY {keys}),
+qv AS MATERIALIZED (SELECT {keys}, vx, vy FROM (SELECT {own}, (p.c * q.b - q.c * p.b) / (p.a * q.b - q.a * p.b) AS vx, (p.a * q.c - q.a * p.c) / (p.a * q.b - q.a * p.b) AS vy
+  FROM q p JOIN q ON {same} AND p.k < q.k WHERE abs(p.a * q.b - q.a * p.b) > 1e-12) z JOIN ql USING ({keys}) WHERE len(list_filter(hs, lambda o: o.a * vx + o.b * vy - o.c > 1e-9)) = 0),
+qo AS (SELECT {keys}, vx, vy, coalesce(lead(vx) OVER w, first_value(vx) OVER w) AS nx, coalesce(lead(vy) OVER w, first_value(vy) OVER w) AS ny
+  FROM (SELECT *, atan2(vy - avg(vy) OVER (PARTITION BY {keys}), vx - avg(vx) OVER (PARTITION BY {keys})) AS ang FROM qv) z WINDOW w AS (PARTITION BY {keys} ORDER BY ang ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+qa AS MATERIALIZED (SELECT {keys}, abs(sum(vx * ny - nx * vy)) / 2 AS cov FROM qo GROUP BY {keys}) """
+
+
+_squares = lambda key, x, y, table: f"(SELECT {key}, x, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM (SELECT {key}, CAST(floor(min({x}) + 1e-9) AS INT) AS x0, CAST(ceil(max({x}) - 1e-9) AS INT) AS x1, CAST(floor(min({y}) + 1e-9) AS INT) AS y0, CAST(ceil(max({y}) - 1e-9) AS INT) AS y1 FROM {table} GROUP BY {key}) z) z)"
+#: A polygon's edge as a line with the polygon on its left.
+_EDGE = "e.ny - e.y AS a, e.x - e.nx AS b, (e.ny - e.y) * e.x + (e.x - e.nx) * e.y AS c"
+_POLY_PIXELS = f", pp AS MATERIALIZED {_squares('poly_id', 'x', 'y', 'edge')}" + _overlaps("poly_id, x, y", f"SELECT pp.poly_id, pp.x, pp.y, e.i AS k, {_EDGE} FROM pp JOIN edge e USING (poly_id) UNION ALL SELECT poly_id, x, y, k, a, b, cx * x + cy * y + c0 FROM pp, {_PIXEL}")
+_CELL_PIXELS = _CELLS + f", pp AS MATERIALIZED {_squares('site_id', 'x', 'y', 'v')}" + _overlaps("site_id, x, y", f"SELECT pp.site_id, pp.x, pp.y, h.nb AS k, h.a, h.b, h.c FROM pp JOIN h USING (site_id) JOIN (SELECT site_id, n1 AS nb FROM v UNION SELECT site_id, n2 FROM v) u ON u.site_id = h.site_id AND u.nb = h.nb UNION ALL SELECT site_id, x, y, k, a, b, cx * x + cy * y + c0 FROM pp, {_PIXEL}") + """,
+im AS MATERIALIZED (SELECT site_id, sum(cov * v) AS mass, sum(cov * v * x) AS mx, sum(cov * v * y) AS my, sum(cov * v * (x * x + y * y)) AS mm FROM qa JOIN px USING (x, y) GROUP BY site_id),
+ist AS (SELECT s.*, coalesce(mass / (SELECT sum(mass) FROM im), 0e0) AS mu, mx / nullif(mass, 0) AS cx, my / nullif(mass, 0) AS cy, coalesce((mm - 2 * s.x * mx - 2 * s.y * my + (s.x * s.x + s.y * s.y) * mass) / (SELECT sum(mass) FROM im), 0e0) AS sqint FROM site s LEFT JOIN im USING (site_id)) """
 
 SQL = {
     "power_assignment_mass": with_tables("site pt", _STATS + "SELECT site_id, round(mu, 6) AS mu, round(g, 6) AS g FROM st"),
@@ -89,7 +119,21 @@ SQL = {
       greatest(0e0, CASE WHEN x1 > x0 THEN (10 - x0) / (x1 - x0) WHEN x1 < x0 THEN (40 - x0) / (x1 - x0) WHEN x0 BETWEEN 10 AND 40 THEN 0e0 ELSE 2e0 END, CASE WHEN y1 > y0 THEN (2 - y0) / (y1 - y0) WHEN y1 < y0 THEN (8 - y0) / (y1 - y0) WHEN y0 BETWEEN 2 AND 8 THEN 0e0 ELSE 2e0 END) AS t0,
       least(1e0, CASE WHEN x1 > x0 THEN (40 - x0) / (x1 - x0) WHEN x1 < x0 THEN (10 - x0) / (x1 - x0) ELSE 1e0 END, CASE WHEN y1 > y0 THEN (8 - y0) / (y1 - y0) WHEN y1 < y0 THEN (2 - y0) / (y1 - y0) ELSE 1e0 END) AS t1 FROM seg) z WHERE t0 < t1"""),
     "laguerre_cell_moments": with_tables("site", _CELLS + "SELECT s.site_id, round(coalesce(area, 0e0), 6) AS area, round(mx / area, 6) AS cx, round(my / area, 6) AS cy FROM site s LEFT JOIN mo USING (site_id)"),
-    "laguerre_hidden": with_tables("site", _CELLS + "SELECT site_id FROM site WHERE site_id NOT IN (SELECT site_id FROM v)"),
+    "laguerre_hidden": with_tables("site", ", heavy AS MATERIALIZED (SELECT site_id, x, y, m, 40 * w AS w FROM site)" + _cells_of("heavy") + "SELECT site_id FROM heavy WHERE site_id NOT IN (SELECT site_id FROM mo WHERE area > 1e-9)"),
+    "cell_morph": with_tables("site", _FRAMES + "SELECT site_id // 10 AS site_id, (site_id % 10) / 2e0 AS t, round(area, 4) AS area, round(m * ((site_id % 10) / 2e0 * 128e0 + (1 - (site_id % 10) / 2e0) * 96e0) * 490e0 / area, 4) AS gray FROM framed JOIN mo USING (site_id) WHERE area > 1e-9"),
+    "displacement_arrows": with_tables("site", _CELLS + "SELECT site_id, round(x, 6) AS x, round(y, 6) AS y, round(mx / area, 6) AS tx, round(my / area, 6) AS ty FROM site JOIN mo USING (site_id) WHERE area > 0"),
+    "polygon_image_mass": with_tables("edge px", _POLY_PIXELS + "SELECT poly_id, round(coalesce(sum(cov * v), 0e0), 4) AS mass, round(sum(cov * v * x) / nullif(sum(cov * v), 0), 4) AS cx, round(sum(cov * v * y) / nullif(sum(cov * v), 0), 4) AS cy FROM poly LEFT JOIN (SELECT * FROM qa JOIN px USING (x, y)) z USING (poly_id) GROUP BY poly_id"),
+    "convex_clip_area": with_tables("edge rect", _overlaps("poly_id", f"SELECT poly_id, e.i AS k, {_EDGE} FROM edge e JOIN rect ON rect_id = poly_id UNION ALL SELECT rect_id, k, a, b, c FROM (SELECT rect_id, unnest([{{'k': -11, 'a': 1e0, 'b': 0e0, 'c': x1}}, {{'k': -12, 'a': -1e0, 'b': 0e0, 'c': -x0}}, {{'k': -13, 'a': 0e0, 'b': 1e0, 'c': y1}}, {{'k': -14, 'a': 0e0, 'b': -1e0, 'c': -y0}}], recursive := true) FROM rect) r") + "SELECT poly_id, round(coalesce(cov, 0e0), 6) AS area FROM rect JOIN poly ON poly_id = rect_id LEFT JOIN qa USING (poly_id)"),
+    "laguerre_image_mass": with_tables("site px", _CELL_PIXELS + "SELECT site_id, round(mu, 5) AS mu, round(cx, 5) AS cx, round(cy, 5) AS cy FROM ist"),
+    "objective_image": with_tables("site px", _CELL_PIXELS + "SELECT round(-(sum(sqint) - sum((mu - m) * w)), 5) AS f, round(sum(sqint), 5) AS w2_squared, count(*) FILTER (mu <> 0) AS active FROM ist"),
+    "rect_touched_pixels": with_tables("rect", _COVER + "SELECT rect_id, count(*) AS n, CAST(count(*) AS DOUBLE) AS area FROM c WHERE cov > 0 GROUP BY rect_id"),
+    "lloyd_energy_gradient": with_tables("site pt", _NEAR + ", e AS (SELECT a.s AS site_id, sum(m * a.d2) AS energy FROM a GROUP BY a.s) SELECT s.site_id, round(coalesce(energy, 0e0), 6) AS energy, round(coalesce(2 * (t.m * s.x - mx), 0e0), 6) AS gx, round(coalesce(2 * (t.m * s.y - my), 0e0), 6) AS gy FROM site s LEFT JOIN t USING (site_id) LEFT JOIN e USING (site_id)"),
+    "weights_distance": with_tables("site", "SELECT round(sqrt(sum((d - a) * (d - a))) / count(*), 9) AS distance, count(*) AS n FROM (SELECT w - 100 * m AS d, avg(w - 100 * m) OVER () AS a FROM site) z"),
+    "random_domain_points": with_tables("uni", "SELECT k, round(CASE WHEN low THEN s * 49e0 + t * 49e0 ELSE s * 49e0 END, 6) AS x, round(CASE WHEN low THEN t * 10e0 ELSE s * 10e0 + t * 10e0 END, 6) AS y FROM (SELECT k, low, CASE WHEN u + u2 > 1 THEN 1 - u ELSE u END AS s, CASE WHEN u + u2 > 1 THEN 1 - u2 ELSE u2 END AS t FROM (SELECT k, u1 <= 0.5e0 AS low, CASE WHEN u1 <= 0.5e0 THEN 2 * u1 ELSE 2 * u1 - 1 END AS u, u2 FROM uni) z) z"),
+    "image_sample": with_tables("px uni", ", c AS (SELECT x, y, CAST(v AS DOUBLE) / (sum(v) OVER ()) AS part, CAST(sum(v) OVER (ORDER BY y, x) AS DOUBLE) / (sum(v) OVER ()) AS cdf FROM px WHERE v > 0), g AS (SELECT k, x + (u1 - (cdf - part)) / part AS x, y + u2 AS y FROM uni JOIN c ON u1 > cdf - part AND u1 <= cdf) SELECT k, round(x, 5) AS x, round(y, 5) AS y FROM g WHERE x > 0 AND x < 49 AND y > 0 AND y < 10"),
+    "ray_clip": with_tables("seg", """SELECT seg_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM (SELECT seg_id,
+      greatest(0e0, CASE WHEN x1 > x0 THEN (10 - x0) / (x1 - x0) WHEN x1 < x0 THEN (40 - x0) / (x1 - x0) WHEN x0 BETWEEN 10 AND 40 THEN 0e0 ELSE 1e9 END, CASE WHEN y1 > y0 THEN (2 - y0) / (y1 - y0) WHEN y1 < y0 THEN (8 - y0) / (y1 - y0) WHEN y0 BETWEEN 2 AND 8 THEN 0e0 ELSE 1e9 END) AS t0,
+      least(CASE WHEN x1 > x0 THEN (40 - x0) / (x1 - x0) WHEN x1 < x0 THEN (10 - x0) / (x1 - x0) ELSE 1e9 END, CASE WHEN y1 > y0 THEN (8 - y0) / (y1 - y0) WHEN y1 < y0 THEN (2 - y0) / (y1 - y0) ELSE 1e9 END) AS t1 FROM seg) z WHERE t0 < t1"""),
     "laguerre_edges": with_tables("site", _CELLS + "SELECT site_id, nb AS neighbour, round(len, 6) AS len FROM ed"),
     "hessian_entries": with_tables("site", _CELLS + _HESSIAN + "SELECT i, j, round(h, 9) AS h FROM hs UNION ALL SELECT i, i, round(-sum(h), 9) FROM hs GROUP BY i"),
     "objective_uniform": with_tables("site", _CELLS + "SELECT round(-(sum(coalesce(sq, 0e0)) / 490 - sum((coalesce(area, 0e0) / 490 - m) * w)), 6) AS f, round(sum(sq) / 490, 6) AS w2_squared, count(*) FILTER (area > 0) AS active FROM site LEFT JOIN mo USING (site_id)"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
@@ -76,19 +76,24 @@ def triangle_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def polygon_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A point of each polygon: a triangle of its fan by area, then a point of that triangle."""
+    """A point of each polygon."""
     u = X.uniforms(spark, d).select(F.col("k").alias("poly_id"), "u1", "u2")
-    p = X.polygons(spark, d).join(u, "poly_id")
-    v = lambda i: F.col("vs")[i]
-    three = lambda a, b, c: ((v(b)["x"] - v(a)["x"]) * (v(c)["y"] - v(a)["y"]) - (v(c)["x"] - v(a)["x"]) * (v(b)["y"] - v(a)["y"])) / 2
-    share = three(0, 1, 2) / G.area(F.col("vs"))
-    first = (F.size("vs") == 3) | (F.col("u1") < share)
-    u1 = F.when(F.size("vs") == 3, F.col("u1")).when(F.col("u1") < share, F.col("u1") / share).otherwise((F.col("u1") - share) / (1 - share))
-    pick = lambda c: F.when(first, v(1)[c]).otherwise(v(2)[c])
-    last = lambda c: F.when(first, v(2)[c]).otherwise(F.element_at("vs", -1)[c])
-    x, y = measure.triangle_point(u1, F.col("u2"), v(0)["x"], v(0)["y"], pick("x"), pick("y"), last("x"), last("y"))
-    inside = G.inside(F.col("vs"), F.col("x"), F.col("y"))
-    return rounded(p.select("poly_id", "vs", x.alias("x"), y.alias("y")).select("poly_id", "x", "y", inside.alias("inside")), "x", "y")
+    p = X.polygons(spark, d).join(u, "poly_id").withColumn("p", measure.polygon_point(F.col("vs"), F.col("u1"), F.col("u2")))
+    return rounded(p.select("poly_id", "p.x", "p.y", G.inside(F.col("vs"), F.col("p.x"), F.col("p.y")).alias("inside")), "x", "y")
+
+
+def _domain() -> Column:
+    return F.array(*(G.point(F.lit(a), F.lit(b)) for a, b in X.DOMAIN))
+
+
+def random_domain_points(spark: SparkSession, d: str) -> DataFrame:
+    u = X.uniforms(spark, d).withColumn("p", measure.polygon_point(_domain(), F.col("u1"), F.col("u2")))
+    return rounded(u.select("k", "p.x", "p.y"), "x", "y")
+
+
+def image_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Places drawn from the raster, those strictly inside the domain."""
+    return rounded(measure.image_sample(X.uniforms(spark, d), X.pixels(spark, d), _domain(), 50).select("k", "x", "y"), "x", "y", digits=5)
 
 
 def hier_ancestor(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +155,12 @@ def rect_pixel_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(density.coverage(_rect_polygons(spark, d), "rect_id").where("cov > 1e-9"), "cov")
 
 
+def rect_touched_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels that each rectangle covers anything of, counted whole."""
+    c = density.coverage(_rect_polygons(spark, d), "rect_id", exact=False)
+    return c.groupBy("rect_id").agg(F.count("*").alias("n"), F.sum("cov").alias("area"))
+
+
 def rect_image_moments(spark: SparkSession, d: str) -> DataFrame:
     return rounded(density.image_moments(_rect_polygons(spark, d), X.pixels(spark, d), "rect_id").drop("n_pixels"), "mass", "cx", "cy")
 
@@ -161,7 +172,7 @@ def convex_pixel_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def polygon_image_mass(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(density.image_moments(X.polygons(spark, d), X.pixels(spark, d), "poly_id"), "mass", "cx", "cy")
+    return rounded(density.image_moments(X.polygons(spark, d), X.pixels(spark, d), "poly_id").drop("n_pixels"), "mass", "cx", "cy", digits=4)
 
 
 def image_sqdist_integral(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +205,14 @@ def segment_clip(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("seg_id", F.col("t.t0").alias("t0"), F.col("t.t1").alias("t1")), "t0", "t1")
 
 
+def ray_clip(spark: SparkSession, d: str) -> DataFrame:
+    """The part of each segment's ray within the middle of the domain."""
+    box = G.rectangle(F.lit(10e0), F.lit(2e0), F.lit(40e0), F.lit(8e0))
+    s = X.segments(spark, d)
+    s = s.withColumn("t", G.ray_in(box, F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("t is not null")
+    return rounded(s.select("seg_id", F.col("t.t0").alias("t0"), F.col("t.t1").alias("t1")), "t0", "t1")
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     s = X.sites(spark, d)
     return uniform_cell_moments(power_cells(s), s, AREA)
@@ -204,7 +223,9 @@ def laguerre_cell_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def laguerre_hidden(spark: SparkSession, d: str) -> DataFrame:
-    return power_cells(X.sites(spark, d)).where("size(vs) = 0").select("site_id")
+    """Weights forty times as large leave many sites without a cell."""
+    heavy = X.sites(spark, d).withColumn("w", 40 * F.col("w"))
+    return power_cells(heavy).where("size(vs) = 0").select("site_id")
 
 
 def laguerre_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +262,31 @@ def objective_uniform(spark: SparkSession, d: str) -> DataFrame:
     return rounded(objective.value(_cells(spark, d)), "f", "w2_squared")
 
 
+def laguerre_image_mass(spark: SparkSession, d: str) -> DataFrame:
+    """The raster's share in each power cell, and its centroid there."""
+    return rounded(_image_cells(spark, d).select("site_id", "mu", "cx", "cy"), "mu", "cx", "cy", digits=5)
+
+
+def _image_cells(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sites(spark, d)
+    return density.cell_image_moments(power_cells(s).where("size(vs) > 2").select("site_id", "vs"), s, X.pixels(spark, d))
+
+
+def objective_image(spark: SparkSession, d: str) -> DataFrame:
+    """The objective under the raster's density, by exact coverage of the pixels."""
+    return rounded(objective.value(_image_cells(spark, d)), "f", "w2_squared", digits=5)
+
+
+def lloyd_energy_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(cluster.lloyd_gradient(X.points(spark, d), X.sites(spark, d)), "energy", "gx", "gy")
+
+
+def weights_distance(spark: SparkSession, d: str) -> DataFrame:
+    """How far the sites' weights are from a hundred times their masses."""
+    s = X.sites(spark, d)
+    return rounded(objective.distance_to(s, s.select("site_id", (100 * F.col("m")).alias("w"))), "distance", digits=9)
+
+
 def greedy_wasserstein_bound(spark: SparkSession, d: str) -> DataFrame:
     s = _stats(spark, d).where("g <> 0")
     return spark.createDataFrame([(objective.greedy_bound(s), s.count())], "bound double, n_sites long")
@@ -250,41 +296,48 @@ def _nations(spark: SparkSession, d: str) -> DataFrame:
     return X.hierarchy(spark, d).where("level = 1").select("site_id", "x", "y", "m")
 
 
-def _solved(spark: SparkSession, d: str, solve) -> DataFrame:
-    f = solvers.Uniform(_nations(spark, d))
+GOAL = 1e-6
 
 
-    w = solve(f, np.zeros(f.n), solvers.norm_inf(1e-6))
-    return f.stats(w).select("site_id", "w", "mu", "m", "g")
+def _solved(f: solvers.Uniform, solve, goal: float = GOAL) -> DataFrame:
+    """The solver's weights and masses; ``converged`` tells whether all masses are met to the goal."""
+    w = solve(f, np.zeros(f.n), solvers.norm_inf(goal))
+    worst = float(np.abs(f(w)[1]).max())
+    return f.stats(w).select("site_id", "w", "mu", "m", "g", F.lit(worst <= goal).alias("converged"))
 
 
 def solve_lbfgs(spark: SparkSession, d: str) -> DataFrame:
-    return _solved(spark, d, lambda f, w, stop: solvers.lbfgs(f, w, stop, max_steps=40))
+    return _solved(solvers.Uniform(X.sites(spark, d)), solvers.lbfgs)
 
 
 def solve_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return _solved(spark, d, lambda f, w, stop: solvers.gradient_descent(f, w, stop, max_steps=6))
+    return _solved(solvers.Uniform(_nations(spark, d)), solvers.gradient_descent)
 
 
 def solve_newton(spark: SparkSession, d: str) -> DataFrame:
-    return _solved(spark, d, solvers.newton)
+    return _solved(solvers.Uniform(X.sites(spark, d)), solvers.newton)
 
 
 def solve_coordinate(spark: SparkSession, d: str) -> DataFrame:
-    return _solved(spark, d, lambda f, w, stop: solvers.coordinate(f, w, stop, max_steps=12))
+    return _solved(solvers.Uniform(_nations(spark, d)), solvers.coordinate)
 
 
-def multiscale_wasserstein(spark: SparkSession, d: str) -> DataFrame:
-    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(1e-4), max_steps=15)
+def solve_image(spark: SparkSession, d: str) -> DataFrame:
+    """The weights for which the power cells share out the raster by the nations' masses."""
+    return _solved(solvers.Raster(_nations(spark, d), pixels=X.pixels(spark, d)), solvers.lbfgs, goal=1e-3)
 
 
-def iteration_log(spark: SparkSession, d: str) -> DataFrame:
-    """The steps of the coarse levels' solution, a row each."""
+def multiscale_wasserstein(spark: SparkSession, d: str) -> DataFrame:
+    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(GOAL))
 
 
-    log, f = solvers.Log(), solvers.Uniform(_nations(spark, d))
-    solvers.lbfgs(f, np.zeros(f.n), solvers.norm_inf(1e-4), max_steps=12, log=log)
-    return log.frame(spark)
+def iteration_log(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of the nations' solution, a row each, with the running bracket of the distance."""
+    f = solvers.Uniform(_nations(spark, d))
+    known = solvers.newton(f, np.zeros(f.n), solvers.norm_inf(1e-9))
+    log = solvers.Log(float(np.hypot(np.ptp(f.held["x"]), np.ptp(f.held["y"]))), known)
+    solvers.lbfgs(f, np.zeros(f.n), solvers.norm_inf(GOAL), log=log)
+    return log.frame(spark).drop("seconds")
 
 
 def kmeans_density(spark: SparkSession, d: str) -> DataFrame:
@@ -301,8 +354,13 @@ def displacement_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(interpolate.displaced(cells, FRAMES), "t", "x", "y", "r", "gray")
 
 
+def displacement_arrows(spark: SparkSession, d: str) -> DataFrame:
+    s = X.sites(spark, d)
+    return rounded(interpolate.arrows(power_cells(s).join(s, "site_id")), "x", "y", "tx", "ty")
+
+
 def cell_morph(spark: SparkSession, d: str) -> DataFrame:
-    return interpolate.morphed(X.sites(spark, d), 3, 128.0, 96.0, AREA)
+    return rounded(interpolate.morphed(X.sites(spark, d), 3, 128.0, 96.0, AREA), "area", "gray", digits=4)
 
 
 def level_view_gray(spark: SparkSession, d: str) -> DataFrame:

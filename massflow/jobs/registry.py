@@ -11,7 +11,9 @@ segment_integral rect_pixel_coverage rect_image_moments convex_pixel_coverage po
 convex_clip_area segment_raster_length segment_image_mass segment_clip laguerre_cell_moments laguerre_hidden laguerre_edges
 hessian_entries objective_value gradient_norms misaffected_mass trivial_error_bound objective_uniform
 greedy_wasserstein_bound solve_lbfgs solve_gradient solve_newton solve_coordinate multiscale_wasserstein iteration_log
-kmeans_density decompose_levels displacement_interpolation cell_morph level_view_gray""".split()
+kmeans_density decompose_levels displacement_interpolation cell_morph level_view_gray random_domain_points image_sample
+ray_clip rect_touched_pixels lloyd_energy_gradient weights_distance displacement_arrows laguerre_image_mass solve_image
+objective_image""".split()
 
 QUERIES = {name: getattr(queries, name) for name in NAMES}
 ORACLES = oracles.SQL

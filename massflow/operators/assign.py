@@ -1,44 +1,97 @@
 """Assignment of points to the site of their Voronoi or power cell.
 
-The domain is cut into a grid with about as many squares as sites. For each
+The points' box is cut into a grid with about as many squares as sites. For each
 square, the sites that can be the nearest of any of its points are listed: those
-whose least power distance over the square isn't above the smallest of all
-greatest ones. A point then meets its square's list in an equi-join and takes
-the smallest in the row itself, so points are neither multiplied nor shuffled
-while the lists are small enough for Spark to broadcast.
+whose least power distance over the square isn't above a bound that some site
+keeps over the whole square. Both steps are joins on squares: a site gives its
+greatest distance to the squares about it in grids of every coarseness, and a
+square's bound is the least that it or a coarser square around it was given; the
+sites that can meet the bound lie in the squares about it, in the grid that is just
+coarse enough for the bound's reach. A point then meets its square's list in an
+equi-join and takes the smallest in the row itself, so points are not multiplied.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_SIDE = 256
+#: Most squares along a side.
+MAX_SIDE = 1 << 14
+
+
+@dataclass
+class Grid:
+    """Squares over a box, ``2 ** levels`` along each side; the squares of level k are 2 ** k as wide."""
+
+    x0: float
+    y0: float
+    width: float
+    height: float
+    levels: int
+
+    @property
+    def side(self) -> int:
+        return 1 << self.levels
+
+    def index(self, c: str) -> Column:
+        """The column or row of squares in which the column ``c`` ("x" or "y") lies, moved into the box."""
+        low, span = (self.x0, self.width) if c == "x" else (self.y0, self.height)
+        place = F.floor((F.col(c) - F.lit(low)) / F.lit(span) * self.side) if span > 0 else F.lit(0)
+        return F.greatest(F.lit(0), F.least(F.lit(self.side - 1), place)).cast("int")
 
+    def edge(self, c: str, at: Column) -> Column:
+        low, span = (self.x0, self.width) if c == "x" else (self.y0, self.height)
+        return F.lit(low) + F.lit(span) * at / self.side
 
-def _grid(points: DataFrame, sites: DataFrame) -> DataFrame:
-    """One row: the points' bounding box and the grid's number of columns and rows."""
-    side = F.least(F.lit(MAX_SIDE), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*"))))).cast("int")
-    box = points.agg(F.min("x").alias("gx"), F.min("y").alias("gy"), F.max("x").alias("hx"), F.max("y").alias("hy"))
-    return box.crossJoin(F.broadcast(sites.agg(side.alias("side"))))
 
+def _grid(points: DataFrame, sites: DataFrame) -> Grid | None:
+    """The grid of a measure and its sites; None where either has no rows."""
+    box = points.agg(F.min("x").alias("gx"), F.min("y").alias("gy"), F.max("x").alias("hx"), F.max("y").alias("hy")).first()
+    n = sites.count()
+    if box["gx"] is None or not n:
+        return None
+    levels = 0
+    while (1 << levels) ** 2 < n and 1 << levels < MAX_SIDE:
+        levels += 1
+    return Grid(box["gx"], box["gy"], box["hx"] - box["gx"], box["hy"] - box["gy"], levels)
 
-def _lists(sites: DataFrame, grid: DataFrame) -> DataFrame:
+
+def _about(c: str, level: str, grid: Grid) -> Column:
+    """The squares of a level that hold or touch the fine square ``c``."""
+    own, top = F.expr(f"shiftright({c}, {level})"), F.expr(f"shiftright({grid.side - 1}, {level})")
+    return F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, top))
+
+
+def _lists(sites: DataFrame, grid: Grid) -> DataFrame:
     """(cx, cy, near): per square of the grid, what may be nearest to a point in it."""
-    n = F.col("side")
-    squares = grid.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("cx")).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("cy"))
-    edge = lambda c, lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * (F.col(c) + k) / n
-    squares = squares.select("cx", "cy", edge("cx", "gx", "hx", 0).alias("ax"), edge("cx", "gx", "hx", 1).alias("bx"), edge("cy", "gy", "hy", 0).alias("ay"), edge("cy", "gy", "hy", 1).alias("by"))
-    all_sites = sites.agg(F.collect_list(F.struct("site_id", "x", "y", "w")).alias("sites"))
-    gap = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0e0))
-    reach = lambda v, lo, hi: F.greatest(F.abs(v - lo), F.abs(hi - v))
-    ax, bx, ay, by = (F.col(c) for c in ("ax", "bx", "ay", "by"))
-    least = lambda s: gap(s["x"], ax, bx) ** 2 + gap(s["y"], ay, by) ** 2 - s["w"]
-    most = lambda s: reach(s["x"], ax, bx) ** 2 + reach(s["y"], ay, by) ** 2 - s["w"]
-    bound = squares.crossJoin(F.broadcast(all_sites)).withColumn("bound", F.array_min(F.transform("sites", most)))
+    sites = sites.withColumns({"sx": grid.index("x"), "sy": grid.index("y")})
+    every = F.explode(F.sequence(F.lit(0), F.lit(grid.levels)))
+    far = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - lo), F.abs(hi - F.col(c)))
+    gap = lambda c, lo, hi: F.greatest(lo - F.col(c), F.col(c) - hi, F.lit(0e0))
+    span = lambda c, at: (grid.edge(c, F.expr(f"shiftleft({at}, k)")), grid.edge(c, F.expr(f"shiftleft({at} + 1, k)")))
+    given = sites.select("x", "y", "w", "sx", "sy", every.alias("k"))
+    given = given.select("*", F.explode(_about("sx", "k", grid)).alias("qx")).select("*", F.explode(_about("sy", "k", grid)).alias("qy"))
+    bounds = given.groupBy("k", "qx", "qy").agg(F.min(far("x", *span("x", "qx")) ** 2 + far("y", *span("y", "qy")) ** 2 - F.col("w")).alias("b"))
+    squares = sites.sparkSession.range(grid.side * grid.side).select((F.col("id") % grid.side).cast("int").alias("cx"), F.floor(F.col("id") / grid.side).cast("int").alias("cy"))
+    levels = squares.select("cx", "cy", every.alias("k")).withColumns({"qx": F.expr("shiftright(cx, k)"), "qy": F.expr("shiftright(cy, k)")})
+    bound = levels.join(bounds, ["k", "qx", "qy"]).groupBy("cx", "cy").agg(F.min("b").alias("bound"))
     # the bound is widened by what rounding may take from it
-    slack = 1e-7 * (1 + F.abs(F.col("bound")))
-    return bound.select("cx", "cy", F.filter("sites", lambda s: least(s) <= F.col("bound") + slack).alias("near"))
+    bound = bound.withColumn("bound", F.col("bound") + 1e-7 * (1 + F.abs("bound")))
+    heaviest = sites.agg(F.max("w").alias("top"))
+    reach = F.sqrt(F.greatest(F.lit(0e0), F.col("bound") + F.col("top")))
+    least_side = min(s for s in (grid.width, grid.height, float("inf")) if s > 0) / grid.side
+    # the finest level whose squares are as wide as the bound reaches; the whole box at last
+    level = F.least(F.lit(grid.levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(reach / least_side, F.lit(1e0)))))).cast("int") if least_side < float("inf") else F.lit(grid.levels)
+    seek = bound.crossJoin(F.broadcast(heaviest)).withColumn("k", level).drop("top")
+    seek = seek.select("*", F.explode(_about("cx", "k", grid)).alias("qx")).select("*", F.explode(_about("cy", "k", grid)).alias("qy"))
+    there = sites.select(F.struct("site_id", "x", "y", "w").alias("s"), "x", "y", "w", "sx", "sy", every.alias("k")).withColumns({"qx": F.expr("shiftright(sx, k)"), "qy": F.expr("shiftright(sy, k)")}).drop("sx", "sy")
+    met = seek.join(there, ["k", "qx", "qy"])
+    ends = lambda c, at: (grid.edge(c, F.col(at)), grid.edge(c, F.col(at) + 1))
+    least = gap("x", *ends("x", "cx")) ** 2 + gap("y", *ends("y", "cy")) ** 2 - F.col("w")
+    return met.where(least <= F.col("bound")).groupBy("cx", "cy").agg(F.collect_list("s").alias("near"))
 
 
 def assigned(points: DataFrame, sites: DataFrame, weighted: bool = True) -> DataFrame:
@@ -49,13 +102,10 @@ def assigned(points: DataFrame, sites: DataFrame, weighted: bool = True) -> Data
     """
     s = sites.select("site_id", "x", "y", (F.col("w") if weighted else F.lit(0e0)).alias("w"))
     grid = _grid(points, s)
+    if grid is None:
+        return points.select("*", F.lit(None).cast("long").alias("site_id"), F.lit(None).cast("double").alias("d2")).limit(0)
     lists = _lists(s, grid)
-
-    def index(c: str, lo: str, hi: str) -> Column:
-        place = F.floor((F.col(c) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0e0)) * F.col("side"))
-        return F.greatest(F.lit(0), F.least(F.col("side") - 1, F.coalesce(place, F.lit(0)))).cast("int")
-
-    placed = points.crossJoin(F.broadcast(grid)).withColumn("cx", index("x", "gx", "hx")).withColumn("cy", index("y", "gy", "hy")).drop("gx", "gy", "hx", "hy", "side")
+    placed = points.withColumns({"cx": grid.index("x"), "cy": grid.index("y")})
     x, y = F.col("x"), F.col("y")
     d2 = lambda s: (x - s["x"]) * (x - s["x"]) + (y - s["y"]) * (y - s["y"])
     best = F.array_min(F.transform("near", lambda s: F.struct((d2(s) - s["w"]).alias("power"), s["site_id"].alias("site_id"), d2(s).alias("d2"))))

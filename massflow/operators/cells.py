@@ -48,9 +48,12 @@ class Sites:
         around = [(cx + k, cy + s * r) for k in range(-r, r + 1) for s in (-1, 1)] + [(cx + s * r, cy + k) for k in range(-r + 1, r) for s in (-1, 1)]
         return [i for k in around for i in self.grid.get(k, ())]
 
-    def cell(self, i: int) -> tuple[list[tuple[float, float]], list[int]]:
-        """Vertices, and for the edge after each vertex the neighbour's id (the domain's edges: -1, -2, ...)."""
-        px, py, w = float(self.x[i]), float(self.y[i]), float(self.w[i])
+    def cell(self, i: int, weight: float | None = None) -> tuple[list[tuple[float, float]], list[int]]:
+        """Vertices, and for the edge after each vertex the neighbour's id (the domain's edges: -1, -2, ...).
+
+        ``weight`` takes the place of the site's own.
+        """
+        px, py, w = float(self.x[i]), float(self.y[i]), float(self.w[i] if weight is None else weight)
         poly, tags = list(self.domain), [-1 - k for k in range(len(self.domain))]
         cx, cy = self.square(px, py)
         for r in range(self.rings + 1):
@@ -73,6 +76,31 @@ class Sites:
         return poly, tags
 
 
+    def area(self, i: int, weight: float | None = None) -> float:
+        v = np.array(self.cell(i, weight)[0]).reshape(-1, 2) - (self.x[i], self.y[i])
+        u = np.roll(v, -1, axis=0)
+        return float((v[:, 0] * u[:, 1] - u[:, 0] * v[:, 1]).sum()) / 2
+
+    def raised(self, i: int, goal: float, step: float) -> tuple[float, float]:
+        """The cell's area, and the weight that makes it ``goal`` while all other weights stay; a
+        weight whose cell is as large already is left alone.
+
+        The weight is bracketed by steps that double, and the bracket is bisected.
+        """
+        now, low = self.area(i), float(self.w[i])
+        if now >= goal:
+            return now, low
+        high = low + step
+        while self.area(i, high) < goal:
+            low, high, step = high, high + 2 * step, 2 * step
+        while high - low > 1e-13 * max(1.0, abs(low), abs(high)):
+            middle = (low + high) / 2
+            if not low < middle < high:
+                break
+            low, high = (middle, high) if self.area(i, middle) < goal else (low, middle)
+        return now, low
+
+
 def _cut(poly: list, tags: list, a: float, b: float, c: float, tag: int) -> tuple[list, list]:
     """``poly`` where a * x + b * y <= c; the new edge gets ``tag``."""
     eps = 1e-12 * (abs(c) + math.hypot(a, b))
@@ -148,6 +176,18 @@ def measured(spark: SparkSession, sites: Sites) -> DataFrame:
     return _spread(spark, len(sites.ids)).mapInPandas(compute, "place long, area double, sq double")
 
 
+def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) -> DataFrame:
+    """(place, area, w): for each held site, Sites.raised; every site by itself, in one stage without a shuffle."""
+    shared = spark.sparkContext.broadcast((sites, goals))
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, goals = shared.value
+        for batch in batches:
+            yield pd.DataFrame([(i, *s.raised(i, float(goals[i]), step)) for i in batch["id"].tolist()], columns=["place", "area", "w"])
+
+    return _spread(spark, len(sites.ids)).mapInPandas(compute, "place long, area double, w double")
+
+
 def cells_by_clipping(sites: DataFrame, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
     """(site_id, vs) by column expressions alone: every cell is cut by every bisector.
 

@@ -33,6 +33,14 @@ def lloyd_energy(points: DataFrame, centres: DataFrame) -> DataFrame:
     return assigned(points, centres, weighted=False).agg(F.sum(F.col("m") * F.col("d2")).alias("energy"), F.count("*").alias("n"))
 
 
+def lloyd_gradient(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(site_id, energy, gx, gy): each centre's part of the energy, and its derivatives by the centre's place."""
+    sums = lloyd_sums(points, centres).withColumnRenamed("m", "mass")
+    both = centres.select("site_id", "x", "y").join(sums, "site_id", "left")
+    by = lambda c: F.coalesce(2 * (F.col("mass") * F.col(c) - F.col(f"m{c}")), F.lit(0e0))
+    return both.select("site_id", F.coalesce("energy", F.lit(0e0)).alias("energy"), by("x").alias("gx"), by("y").alias("gy"))
+
+
 def _held(centres: DataFrame) -> DataFrame:
     """The centres as a table of their own, read once: they are few and bound what a step sends out."""
     rows = centres.toPandas()

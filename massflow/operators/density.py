@@ -14,9 +14,11 @@ def _unit(x: Column, y: Column) -> list[tuple[Column, Column, Column]]:
     return [(one, zero, x + 1e0), (-one, zero, -x), (zero, one, y + 1e0), (zero, -one, -y)]
 
 
-def coverage(polygons: DataFrame, key: str, exact: bool = True) -> DataFrame:
+def coverage(polygons: DataFrame, key: str, exact: bool = True, moments: bool = False) -> DataFrame:
     """(key, x, y, cov): each pixel that a convex polygon touches and the area of their overlap.
 
+    With ``moments`` also mx, my and mm, the overlap's integrals of x, y and x^2 + y^2.
+
     A polygon becomes rows for its bounding box's columns first; each column's strip
     is clipped once and gives rows for the pixels of the strip's own height. With
     ``exact`` False a touched pixel counts as covered.
@@ -29,8 +31,13 @@ def coverage(polygons: DataFrame, key: str, exact: bool = True) -> DataFrame:
     strips = strips.where("size(strip) > 2").select(key, "x", "strip", G.bounds(F.col("strip")).alias("b"))
     cells = strips.select(key, "x", "strip", F.explode(F.sequence(F.floor("b.y0").cast("int"), F.greatest(F.floor("b.y0"), F.ceil("b.y1") - 1).cast("int"))).alias("y"))
     y = F.col("y").cast("double")
-    part = G.area(G.cut(G.cut(F.col("strip"), F.lit(0e0), F.lit(1e0), y + 1e0), F.lit(0e0), F.lit(-1e0), -y))
-    found = cells.select(key, "x", "y", part.alias("cov")).where("cov > 0")
+    part = G.cut(G.cut(F.col("strip"), F.lit(0e0), F.lit(1e0), y + 1e0), F.lit(0e0), F.lit(-1e0), -y)
+    if moments:
+        of = F.col("part")
+        mx, my = G.first_moments(of)
+        parts = cells.select(key, "x", "y", F.inline(F.array(F.struct(part.alias("part")))))
+        return parts.select(key, "x", "y", G.area(of).alias("cov"), mx.alias("mx"), my.alias("my"), G.squared_distance_integral(of, F.lit(0e0), F.lit(0e0)).alias("mm")).where("cov > 0")
+    found = cells.select(key, "x", "y", G.area(part).alias("cov")).where("cov > 0")
     return found if exact else found.withColumn("cov", F.lit(1e0))
 
 
@@ -59,6 +66,26 @@ def image_integral(polygons: DataFrame, pixels: DataFrame, key: str, integrand)
     return c.groupBy(key).agg(F.sum(F.col("cov") * integrand(F.col("x").cast("double"), F.col("y").cast("double")) * F.col("v")).alias("integral"))
 
 
+def cell_image_moments(cells: DataFrame, sites: DataFrame, pixels: DataFrame, corners: bool = True) -> DataFrame:
+    """Per site, of a raster's density over its cell (site_id, vs): mu, cx, cy, sqint (about the site) and g = mu - m.
+
+    The density is the raster within all cells together, of total 1. A pixel is
+    covered exactly; in the moments its part of a cell stands at the pixel's lower
+    left corner, or where it is if not ``corners``. A cell without mass has null cx and cy.
+    """
+    c = over_pixels(coverage(cells, "site_id", moments=not corners), pixels)
+    if corners:
+        x, y = F.col("x").cast("double"), F.col("y").cast("double")
+        c = c.withColumns({"mx": F.col("cov") * x, "my": F.col("cov") * y, "mm": F.col("cov") * (x * x + y * y)})
+    sums = c.groupBy("site_id").agg(F.sum(F.col("cov") * F.col("v")).alias("mass"), *(F.sum(F.col(k) * F.col("v")).alias(k) for k in ("mx", "my", "mm")))
+    total = sums.agg(F.sum("mass").alias("total"))
+    both = sites.join(sums, "site_id", "left").crossJoin(F.broadcast(total))
+    x, y, whole = F.col("x"), F.col("y"), F.nullif(F.col("mass"), F.lit(0e0))
+    mu = F.coalesce(F.col("mass") / F.col("total"), F.lit(0e0))
+    square = F.col("mm") - 2 * x * F.col("mx") - 2 * y * F.col("my") + (x * x + y * y) * F.col("mass")
+    return both.select("site_id", "x", "y", "m", "w", mu.alias("mu"), (F.col("mx") / whole).alias("cx"), (F.col("my") / whole).alias("cy"), F.coalesce(square / F.col("total"), F.lit(0e0)).alias("sqint"), (mu - F.col("m")).alias("g"))
+
+
 def segment_pixels(segments: DataFrame, key: str) -> DataFrame:
     """(key, x, y, len): the pixels along each segment and the length in each.
 

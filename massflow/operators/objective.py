@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,20 @@ def greedy_bound(stats: DataFrame) -> float:
             lack[k] -= moved
             open_[k] = lack[k] > 1e-15
     return math.sqrt(cost)
+
+
+def error_bound(stats: DataFrame) -> float:
+    """The lesser of what the greedy walk and the sites' diameter say of the distance's error."""
+    return min(greedy_bound(stats), trivial_bound(stats).first()["bound"] or 0.0)
+
+
+def distance_to(weights: DataFrame, known: DataFrame) -> DataFrame:
+    """One row (distance, n): how far weights (site_id, w) are from ``known`` ones, shifts left out, per site."""
+    d = weights.select("site_id", "w").join(known.select("site_id", F.col("w").alias("k")), "site_id").select((F.col("w") - F.col("k")).alias("d"))
+    return d.agg((F.sqrt(F.greatest(F.lit(0e0), F.count("*") * F.var_pop("d"))) / F.count("*")).alias("distance"), F.count("*").alias("n"))
+
+
+def running_bounds(log: DataFrame) -> DataFrame:
+    """``log`` (run, iteration, w, werr) with wmin and wmax: what all steps of the run so far leave of the distance."""
+    before = Window.partitionBy("run").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("wmin", F.greatest(F.lit(0e0), F.max(F.col("w") - F.col("werr")).over(before))).withColumn("wmax", F.min(F.col("w") + F.col("werr")).over(before))

@@ -7,6 +7,7 @@ iterations on these rows are small numpy steps on the driver.
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,12 +17,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massflow.operators import hierarchy
-from massflow.operators.cells import Sites, cell_edges, cells_of, measured, uniform_cell_moments
-from massflow.operators.objective import hessian
+from massflow.operators import density, hierarchy
+from massflow.operators.cells import Sites, cell_edges, cells_of, measured, raised, uniform_cell_moments
+from massflow.operators.objective import hessian, running_bounds
 from massflow.sources.fixtures import DOMAIN
 
 
+@dataclass
+class Sparse:
+    """A square matrix of few entries (i, j, v), each place once."""
+
+    i: np.ndarray
+    j: np.ndarray
+    v: np.ndarray
+    n: int
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.i, weights=self.v * x[self.j], minlength=self.n)
+
+    def diagonal(self) -> np.ndarray:
+        own = self.i == self.j
+        return np.bincount(self.i[own], weights=self.v[own], minlength=self.n)
+
+    def without_last(self) -> Sparse:
+        """Without the last row and column."""
+        inner = (self.i < self.n - 1) & (self.j < self.n - 1)
+        return Sparse(self.i[inner], self.j[inner], self.v[inner], self.n - 1)
+
+
 @dataclass
 class Uniform:
     """The transport objective between the uniform density of a domain and ``sites`` (site_id, x, y, m)."""
@@ -57,27 +80,60 @@ class Uniform:
         g = s["mu"].to_numpy() - self.held["m"].to_numpy()
         return float(-(s["sqint"].sum() - (g * w).sum())), g, s
 
-    def hessian(self, w: np.ndarray) -> np.ndarray:
+    def hessian(self, w: np.ndarray) -> Sparse:
         t = self.table(w)
         h = hessian(cell_edges(cells_of(t.sparkSession, self.placed(w))), t, self.area).toPandas()
-        at = {k: i for i, k in enumerate(self.held["site_id"])}
-        out = np.zeros((self.n, self.n))
-        out[h["i"].map(at), h["j"].map(at)] = h["h"]
-        return out
+        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), h[c].to_numpy())
+        return Sparse(place("i"), place("j"), h["h"].to_numpy(), self.n)
+
+    def raised(self, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each cell's mass, and the weight that would give it its site's mass if all others stayed."""
+        spark = self.sites.sparkSession
+        s = raised(spark, self.placed(w), self.held["m"].to_numpy() * self.area, step).toPandas().sort_values("place")
+        return s["area"].to_numpy() / self.area, s["w"].to_numpy()
+
+
+@dataclass
+class Raster(Uniform):
+    """The same objective for a raster's density (x, y, v), each pixel covered and integrated exactly."""
+
+    pixels: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        self.pixels = self.pixels.persist()  # read at each evaluation; what is lost is computed again
+
+    def stats(self, w: np.ndarray) -> DataFrame:
+        t = self.table(w)
+        return density.cell_image_moments(cells_of(t.sparkSession, self.placed(w)).where("size(vs) > 2").select("site_id", "vs"), t, self.pixels, corners=False)
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray, pd.DataFrame]:
+        self.evaluations += 1
+        s = self.stats(w).select("site_id", "mu", "sqint", "g").toPandas().sort_values("site_id")
+        g = s["g"].to_numpy()
+        return float(-(s["sqint"].sum() - (g * w).sum())), g, s
 
 
 @dataclass
 class Log:
-    """What each accepted step gave, a row each."""
+    """What each accepted step gave, a row each: also the bracket of the distance that the steps so far
+    leave, the seconds since the start, and how far the weights are from a known solution (null without one)."""
 
+    diameter: float = 0.0
+    known: np.ndarray | None = None
     rows: list[tuple] = field(default_factory=list)
+    began: float = field(default_factory=time.monotonic)
 
-    def add(self, level: int, f: float, g: np.ndarray, s: pd.DataFrame) -> None:
-        w2 = float(np.sqrt(max(0.0, s["sqint"].sum())))
-        self.rows.append((level, len(self.rows), f, float(np.abs(g).max()), float(np.abs(g).sum()), int((s["mu"] != 0).sum()), w2))
+    def add(self, level: int, f: float, g: np.ndarray, s: pd.DataFrame, w: np.ndarray | None = None) -> None:
+        w2, away = float(np.sqrt(max(0.0, s["sqint"].sum()))), None
+        if self.known is not None and w is not None:
+            away = float(np.linalg.norm(w - self.known - (w - self.known).mean())) / len(w)
+        werr = float(np.sqrt(np.abs(g).sum() / 2)) * self.diameter
+        self.rows.append((level, len(self.rows), f, float(np.abs(g).max()), float(np.abs(g).sum()), int((s["mu"] != 0).sum()), w2, werr, away, time.monotonic() - self.began))
 
     def frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.rows, "level int, iteration int, f double, ginf double, g1 double, active int, w double")
+        steps = spark.createDataFrame(self.rows, "level int, iteration int, f double, ginf double, g1 double, active int, w double, werr double, distance double, seconds double")
+        return running_bounds(steps.withColumn("run", F.lit(0))).drop("run")
 
 
 #: Tells from the gradient and the measured cells whether to stop.
@@ -143,13 +199,13 @@ def _line_search(f, w: np.ndarray, f0: float, g0: np.ndarray, step: np.ndarray,
     return best
 
 
-def lbfgs(f: Uniform, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 60, log: Log | None = None, level: int = 0) -> np.ndarray:
+def lbfgs(f: Uniform, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, level: int = 0) -> np.ndarray:
     """Limited-memory quasi-Newton descent."""
     f0, g, s = f(w)
     pairs: deque = deque(maxlen=memory)
     for _ in range(max_steps):
         if log:
-            log.add(level, f0, g, s)
+            log.add(level, f0, g, s, w)
         if stop(g, s):
             break
         q, alphas = g.copy(), []
@@ -171,13 +227,16 @@ def lbfgs(f: Uniform, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: in
     return w - w.mean()
 
 
-def gradient_descent(f: Uniform, w: np.ndarray, stop: Stop, step: float | None = None, max_steps: int = 40, log: Log | None = None) -> np.ndarray:
-    """Steepest descent, by line search or with a constant ``step``."""
+def gradient_descent(f: Uniform, w: np.ndarray, stop: Stop, step: float | None = None, max_steps: int = 1000, log: Log | None = None) -> np.ndarray:
+    """Steepest descent, by line search or with a constant ``step``.
+
+    The search begins at the length that the last step's change of the gradient suggests.
+    """
     f0, g, s = f(w)
-    t = 1.0
+    t = min(1.0, 1 / max(1e-30, float(np.abs(g).sum())))
     for _ in range(max_steps):
         if log:
-            log.add(0, f0, g, s)
+            log.add(0, f0, g, s, w)
         if stop(g, s):
             break
         if step is not None:
@@ -187,14 +246,16 @@ def gradient_descent(f: Uniform, w: np.ndarray, stop: Stop, step: float | None =
         found = _line_search(f, w, f0, g, -g, t)
         if found is None:
             break
-        t = max(1.0, float(np.linalg.norm(found[0] - w) / max(1e-30, np.linalg.norm(g))))
+        moved, turned = found[0] - w, found[2] - g
+        t = float(moved @ moved) / max(1e-30, float(moved @ turned))
         w, f0, g, s = found
     return w - w.mean()
 
 
-def _conjugate_gradients(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _conjugate_gradients(h: Sparse, b: np.ndarray) -> np.ndarray:
     """Solves h x = b with the diagonal as preconditioner."""
-    d = np.where(np.abs(np.diag(h)) > 1e-14, np.diag(h), 1.0)
+    d = h.diagonal()
+    d = np.where(np.abs(d) > 1e-14, d, 1.0)
     x = np.zeros_like(b)
     r = b.copy()
     z = r / d
@@ -213,7 +274,7 @@ def _conjugate_gradients(h: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 20, log: Log | None = None) -> np.ndarray:
+def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Log | None = None) -> np.ndarray:
     """Damped Newton steps with the last weight fixed; a step that empties a cell is halved.
 
     Where cells are empty to begin with the Hessian says nothing of them, so descent
@@ -221,17 +282,14 @@ def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 20, log: Log
     """
     f0, g, s = f(w)
     if (s["mu"] <= 0).any():
-        w = lbfgs(f, w, lambda g, s: float(s["mu"].min()) > 0, max_steps=40, log=log)
+        w = lbfgs(f, w, lambda g, s: float(s["mu"].min()) > 0, log=log)
         f0, g, s = f(w)
     for _ in range(max_steps):
         if log:
-            log.add(0, f0, g, s)
+            log.add(0, f0, g, s, w)
         if stop(g, s):
             break
-        h = -f.hessian(w)[:-1, :-1]
-        step = np.append(_conjugate_gradients(-h, -g[:-1]), 0.0)
-        if g @ step > 0:
-            step = -step
+        step = np.append(_conjugate_gradients(f.hessian(w).without_last(), -g[:-1]), 0.0)
         floor, t = 0.5 * min(float(s["mu"].min()), float(f.held["m"].min())), 1.0
         for _ in range(20):
             f1, g1, s1 = f(w + t * step)
@@ -244,24 +302,33 @@ def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 20, log: Log
     return w - w.mean()
 
 
-def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 40, log: Log | None = None) -> np.ndarray:
-    """All weights move towards their mass at once, each within a bracket of its own that widens
-    while its residual keeps its sign and is halved when that turns."""
-    span, before = np.full(len(w), 1.0), np.zeros(len(w))
+def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 2000, log: Log | None = None) -> np.ndarray:
+    """Weights are raised one by one, each by bracket and bisection, until its cell has its site's mass.
+
+    All but the first site begin below what gives them a cell. A step raises each
+    weight whose cell is too small as if the others stayed, all in one job; as
+    raised weights only take from other cells, no cell but the first one's ever
+    exceeds its mass, and the weights rise towards the solution. The masses that
+    ``stop`` sees are those before a step.
+    """
+    across = max(a for a, _ in f.domain) - min(a for a, _ in f.domain), max(b for _, b in f.domain) - min(b for _, b in f.domain)
+    w = np.zeros(f.n)
+    w[1:] = -2 * float(np.hypot(*across)) ** 2
     for _ in range(max_steps):
-        f0, g, s = f(w)
+        mu, better = f.raised(w, float(across[0] * across[1]) / f.n)
+        g = mu - f.held["m"].to_numpy()
+        s = pd.DataFrame({"site_id": f.held["site_id"], "mu": mu})
         if log:
-            log.add(0, f0, g, s)
+            f0, g, s = f(w)
+            log.add(0, f0, g, s, w)
         if stop(g, s):
             break
-        turned = np.sign(g) != before
-        span = np.where((before != 0) & turned, span / 2, np.where(before != 0, span * 1.3, span))
-        before = np.sign(g)
-        w = w - before * span * np.minimum(1.0, np.abs(g) / f.held["m"].to_numpy())
+        better[0] = w[0]
+        w = better
     return w - w.mean()
 
 
-def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 60, log: Log | None = None, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
+def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | None = None, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
     """(level, site_id, w, w2, error) from the coarsest level to the finest, each begun at its parents' weights.
 
     ``error`` bounds w2 from the finest level: the root of the misaffected mass times

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
 from massflow.jobs.registry import ORACLES, QUERIES
-from massflow.operators import cluster, density, measure, objective, solvers
+from massflow.operators import cluster, density, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned
 from massflow.operators.cells import Sites, cell_edges, cells_by_clipping, power_cells, uniform_cell_moments
 from massflow.sources import fixtures, formats
@@ -100,8 +100,8 @@ def test_hessian_is_the_gradients_derivative(spark):
     f = solvers.Uniform(random_sites(spark, 8, 7))
     w = np.zeros(8)
     h, step = f.hessian(w), np.eye(8)[2] * 1e-5
-    assert (f(w + step)[1] - f(w - step)[1]) / 2e-5 == pytest.approx(-h[2] if h[2, 2] < 0 else h[2], abs=1e-5)
-    assert h.sum(axis=1) == pytest.approx(np.zeros(8), abs=1e-12)
+    assert (f(w + step)[1] - f(w - step)[1]) / 2e-5 == pytest.approx(h @ np.eye(8)[2], abs=1e-5)
+    assert h @ np.ones(8) == pytest.approx(np.zeros(8), abs=1e-12) and (h.diagonal() > 0).all()
 
 
 def test_coverage_sums_to_the_area_and_segments_to_their_length(spark):
@@ -182,3 +182,83 @@ def test_stopping_rules():
     assert rough(g, cells(4))
     with pytest.raises(ValueError):
         solvers.stop_named("other", 1, 1)
+
+
+def test_rays_and_samples_of_any_convex_polygon(spark):
+    six = [(36.1, 3.2), (40.7, 1.15), (45.3, 2.4), (46.6, 6.65), (42.2, 9.1), (37.4, 7.45)]
+    vs = F.array(*(G.point(F.lit(a), F.lit(b)) for a, b in six))
+    n = 4000
+    u = spark.range(n).select(((F.col("id") * 7919) % n / n + 1e-6).alias("u1"), ((F.col("id") * 104729 + 17) % n / n + 1e-6).alias("u2"))
+    p = u.withColumn("p", measure.polygon_point(vs, F.col("u1"), F.col("u2"))).select("p.x", "p.y")
+    assert p.where(~G.inside(vs, F.col("x"), F.col("y"))).count() <= 2  # on an edge but for rounding
+    c = p.agg(F.avg("x"), F.avg("y")).first()
+    centre = spark.range(1).select(G.centroid(vs).alias("c")).first()["c"]
+    assert (c[0], c[1]) == pytest.approx((centre["x"], centre["y"]), abs=0.05)
+    t = spark.range(1).select(*(G.ray_in(G.rectangle(F.lit(0e0), F.lit(0e0), F.lit(4e0), F.lit(2e0)), *(F.lit(float(v)) for v in ray)).alias(str(i)) for i, ray in enumerate([(1, 1, 1, 0), (-2, 1, 1, 0), (5, 1, 1, 0), (1, 3, 1, 0), (1, 1, 0, -2)]))).first()
+    assert [tuple(x) if x else None for x in t] == [(0, 3), (2, 6), None, None, (0, 0.5)]
+
+
+def test_image_samples_follow_the_pixels(spark):
+    px = spark.createDataFrame([(0, 0, 30), (1, 0, 0), (2, 0, 10), (3, 0, 5)], "x int, y int, v int")
+    u = spark.range(9000).select(((F.col("id") + 0.5) / 9000).alias("u1"), ((F.col("id") * 77 % 100 + 0.5) / 100).alias("u2"))
+    domain = G.rectangle(F.lit(0e0), F.lit(0e0), F.lit(3e0), F.lit(1e0))
+    got = measure.image_sample(u, px, domain, 4)
+    by = {r[0]: r[1] for r in got.groupBy(F.floor("x")).count().collect()}
+    assert by == {0: 6000, 2: 2000}
+    assert got.where("x < 1").agg(F.avg("x")).first()[0] == pytest.approx(0.5, abs=1e-3)
+
+
+def test_draws_at_the_end_of_rounded_sums_are_kept(spark):
+    m = spark.createDataFrame([(1, 0.0, 0.0, 0.5, 0.5), (2, 1.0, 1.0, 0.4999, 0.9999)], "site_id long, x double, y double, m double, cdf double")
+    u = spark.createDataFrame([(1, 0.99999), (2, 0.5), (3, 1.0)], "k long, u double")
+    assert sorted((r["k"], r["site_id"]) for r in measure.inverse_cdf(u, m, "u").collect()) == [(1, 2), (2, 1), (3, 2)]
+
+
+def test_raster_cells_share_out_the_raster_and_its_gradient_is_the_derivative(spark):
+    s = random_sites(spark, 7, 21)
+    f = solvers.Raster(s, pixels=fixtures.pixels(spark, SF))
+    w = np.random.default_rng(2).uniform(0, 1, 7)
+    f0, g, _ = f(w)
+    step = np.eye(7)[2] * 1e-3
+    assert (f(w + step)[0] - f(w - step)[0]) / 2e-3 == pytest.approx(g[2], abs=1e-5)
+    assert g.sum() == pytest.approx(0, abs=1e-9)
+    assert np.abs(f(solvers.lbfgs(f, np.zeros(7), solvers.norm_inf(1e-5)))[1]).max() <= 1e-5
+
+
+@pytest.mark.parametrize("solve", [solvers.lbfgs, solvers.gradient_descent, solvers.newton, solvers.coordinate])
+def test_every_solver_reaches_the_goal(spark, solve):
+    f = solvers.Uniform(random_sites(spark, 6, 31))
+    w = solve(f, np.zeros(6), solvers.norm_inf(1e-6))
+    assert np.abs(f(w)[1]).max() <= 1e-6
+
+
+def test_log_brackets_the_distance(spark):
+    f = solvers.Uniform(random_sites(spark, 6, 32))
+    known = solvers.newton(f, np.zeros(6), solvers.norm_inf(1e-10))
+    log = solvers.Log(50.0, known)
+    solvers.lbfgs(f, np.zeros(6), solvers.norm_inf(1e-7), log=log)
+    rows = log.frame(spark).orderBy("iteration").toPandas()
+    w = float(np.sqrt(f(known)[2]["sqint"].sum()))
+    assert (rows.wmin <= w + 1e-6).all() and (rows.wmax >= w - 1e-6).all()
+    assert rows.wmin.is_monotonic_increasing and rows.wmax.is_monotonic_decreasing and rows.seconds.is_monotonic_increasing
+    assert rows.distance.iloc[-1] < 1e-2 < rows.distance.iloc[0] and rows.werr.iloc[-1] < rows.werr.iloc[0]
+
+
+def test_error_bound_is_the_lesser_one(spark):
+    s = spark.createDataFrame([(1, 0.0, 0.0, 0.5), (2, 3.0, 0.0, -0.2), (3, 0.0, 4.0, -0.3)], "site_id long, x double, y double, g double")
+    assert objective.error_bound(s) == pytest.approx(min(objective.greedy_bound(s), math.sqrt(0.5) * 5))
+
+
+def test_gradient_of_lloyds_energy_is_its_derivative(spark):
+    p, c = random_sites(spark, 200, 41).select("x", "y", "m"), random_sites(spark, 5, 42)
+    g = {r["site_id"]: r for r in cluster.lloyd_gradient(p, c).collect()}
+    energy = lambda h: cluster.lloyd_energy(p, c.withColumn("x", F.col("x") + F.when(F.col("site_id") == 3, h).otherwise(0.0))).first()["energy"]
+    assert (energy(1e-5) - energy(-1e-5)) / 2e-5 == pytest.approx(g[3]["gx"], abs=1e-4)
+    assert sum(r["energy"] for r in g.values()) == pytest.approx(energy(0.0))
+
+
+def test_one_frame_is_the_start(spark):
+    s = random_sites(spark, 4, 51)
+    cells = power_cells(s).join(s, "site_id")
+    assert {r["t"] for r in interpolate.displaced(cells, 1).collect()} == {0.0}
+    assert {r["t"] for r in interpolate.morphed(s, 1, 1.0, 1.0, 490.0).collect()} == {0.0}
