@@ -328,7 +328,7 @@ def solve_image(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multiscale_wasserstein(spark: SparkSession, d: str) -> DataFrame:
-    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(GOAL))
+    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(GOAL), solve=solvers.newton)
 
 
 def iteration_log(spark: SparkSession, d: str) -> DataFrame:

@@ -328,11 +328,12 @@ def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 2000, log
     return w - w.mean()
 
 
-def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | None = None, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
+def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | None = None, domain: list[tuple[float, float]] = DOMAIN, solve: Callable | None = None) -> DataFrame:
     """(level, site_id, w, w2, error) from the coarsest level to the finest, each begun at its parents' weights.
 
     ``error`` bounds w2 from the finest level: the root of the misaffected mass times
-    the diameter, and the distance between the levels.
+    the diameter, and the distance between the levels. ``solve`` takes the place of
+    :func:`lbfgs`.
     """
     spark, weights, out = hier.sparkSession, None, []
     top = hier.agg(F.max("level")).first()[0] or 0
@@ -344,7 +345,7 @@ def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | No
         moved = hierarchy.transport_distance(hier, 0, level).first()["w2"] or 0.0 if level else 0.0
         if isinstance(stop, WassersteinStop):
             stop.quantisation = moved
-        w = lbfgs(f, w, stop, max_steps=max_steps, log=log, level=level)
+        w = solve(f, w, stop, log=log) if solve else lbfgs(f, w, stop, max_steps=max_steps, log=log, level=level)
         _, g, s = f(w)
         across = float(np.hypot(np.ptp(f.held["x"]), np.ptp(f.held["y"])))
         w2, error = float(np.sqrt(max(0.0, s["sqint"].sum()))), float(np.sqrt(np.abs(g).sum() / 2) * across + moved)
