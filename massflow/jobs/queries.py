@@ -348,6 +348,16 @@ def decompose_levels(spark: SparkSession, d: str) -> DataFrame:
     return cluster.decomposed(X.sites(spark, d), levels=3, ratio=5, restarts=2, max_steps=6)
 
 
+def decompose_density(spark: SparkSession, d: str) -> DataFrame:
+    """The uniform density of the suppliers' box, in as many levels as their number is worth."""
+    b = X.sites(spark, d).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
+    box = [(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3])]
+    levels = 1
+    while 5**levels <= b[4]:
+        levels += 1
+    return cluster.decomposed_density(spark, box, levels, 5, threshold=0.01 * float(np.hypot(b[2], b[3])))
+
+
 def displacement_interpolation(spark: SparkSession, d: str) -> DataFrame:
     s = X.sites(spark, d)
     cells = power_cells(s).join(s, "site_id")

@@ -188,23 +188,6 @@ def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) ->
     return _spread(spark, len(sites.ids)).mapInPandas(compute, "place long, area double, w double")
 
 
-def cells_by_clipping(sites: DataFrame, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
-    """(site_id, vs) by column expressions alone: every cell is cut by every bisector.
-
-    Its work grows with the square of the number of sites; it serves to hold
-    ``power_cells`` against.
-    """
-    halves = F.struct(
-        (2 * (F.col("q.x") - F.col("p.x"))).alias("a"),
-        (2 * (F.col("q.y") - F.col("p.y"))).alias("b"),
-        (F.col("q.x") ** 2 + F.col("q.y") ** 2 - F.col("p.x") ** 2 - F.col("p.y") ** 2 + F.col("p.w") - F.col("q.w")).alias("c"),
-    )
-    pairs = sites.alias("p").join(F.broadcast(sites).alias("q"), F.col("p.site_id") != F.col("q.site_id"), "left")
-    grouped = pairs.groupBy(F.col("p.site_id").alias("site_id")).agg(F.collect_list(F.when(F.col("q.site_id").isNotNull(), halves)).alias("halves"))
-    box = F.array(*(G.point(F.lit(float(a)), F.lit(float(b))) for a, b in domain))
-    return grouped.select("site_id", G.cut_all(box, F.col("halves")).alias("vs"))
-
-
 def cell_edges(cells: DataFrame) -> DataFrame:
     """(site_id, neighbour, len): the edges between cells, each from both of its sides."""
     follows = lambda i: F.element_at("vs", (i + 1) % F.size("vs") + 1)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massflow.operators.assign import assigned
-from massflow.operators.cells import power_cells, uniform_cell_moments
+from massflow.operators.cells import Sites, power_cells, uniform_cell_moments
 from massflow.sources.fixtures import DOMAIN
 
 
@@ -102,11 +106,61 @@ def density_step(centres: DataFrame, domain_area: float, domain: list[tuple[floa
     return moments.select("site_id", x.alias("x"), y.alias("y"), F.col("mu").alias("m"), F.lit(0e0).alias("w"), F.hypot(x - F.col("x"), y - F.col("y")).alias("move"))
 
 
-def kmeans_density(centres: DataFrame, domain_area: float, threshold: float, max_steps: int = 30) -> DataFrame:
+def kmeans_density(centres: DataFrame, domain_area: float, threshold: float, max_steps: int = 30, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
     """Quantises the uniform density: Lloyd's steps until none moves further than ``threshold``."""
     now = _held(centres.select("site_id", "x", "y", "m", "w", F.lit(0e0).alias("move")))
     for _ in range(max_steps):
-        now = _held(density_step(now, domain_area))
+        now = _held(density_step(now, domain_area, domain))
         if now.agg(F.max("move")).first()[0] <= threshold:
             break
     return now
+
+
+def split_cells(cells: DataFrame, k: int, steps: int = 10, seed: int = 0) -> DataFrame:
+    """(parent_id, x, y): each convex cell (site_id, vs) quantised by itself into ``k`` places by Lloyd's steps."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for site, vs in zip(batch["site_id"], batch["vs"], strict=True):
+                corners = np.array([(v["x"], v["y"]) for v in vs])
+                # uniform shares of the corners lie in the cell; Lloyd's steps spread them
+                at = np.random.default_rng([seed, abs(int(site))]).dirichlet(np.ones(len(corners)), k) @ corners
+                for _ in range(steps):
+                    s = Sites(np.arange(k), at[:, 0], at[:, 1], np.zeros(k), [tuple(c) for c in corners.tolist()])
+                    at = np.array([_centroid(s.cell(i)[0], at[i]) for i in range(k)])
+                out += [(site, *p) for p in at.tolist()]
+            yield pd.DataFrame(out, columns=["parent_id", "x", "y"])
+
+    return cells.where("size(vs) > 2").select("site_id", "vs").mapInPandas(split, "parent_id long, x double, y double")
+
+
+def _centroid(poly: list[tuple[float, float]], otherwise: np.ndarray) -> np.ndarray:
+    v = np.array(poly).reshape(-1, 2)
+    u = np.roll(v, -1, axis=0)
+    cross = v[:, 0] * u[:, 1] - u[:, 0] * v[:, 1]
+    return (v + u).T @ cross / (3 * cross.sum()) if len(v) and cross.sum() > 0 else otherwise
+
+
+def decomposed_density(spark, domain: list[tuple[float, float]], levels: int, k: int, threshold: float, max_steps: int = 30) -> DataFrame:
+    """hier(level, site_id, x, y, m, parent_id) of the uniform density of a convex domain, from the top down.
+
+    The coarsest level is the domain's centroid. For the next one each cell is split
+    in ``k`` places, all of which then move together by Lloyd's steps until none
+    moves further than ``threshold``; a site's parent is the nearest above it, and
+    its mass is its cell's.
+    """
+    xs = [*domain, domain[0]]
+    area = sum(a * d - c * b for (a, b), (c, d) in zip(xs, xs[1:], strict=False)) / 2
+    x, y = _centroid(domain, np.array(domain[0]))
+    above = spark.createDataFrame([(0, float(x), float(y), 1.0, 0.0)], "site_id long, x double, y double, m double, w double")
+    out = above.select(F.lit(levels - 1).alias("level"), "site_id", "x", "y", "m", F.lit(None).cast("long").alias("parent_id"))
+    for level in range(levels - 2, -1, -1):
+        starts = split_cells(power_cells(above, domain, weighted=False), k).toPandas().sort_values(["parent_id", "x", "y"])
+        starts = spark.createDataFrame(starts.assign(site_id=range(len(starts)), m=0.0, w=0.0)[["site_id", "x", "y", "m", "w"]], "site_id long, x double, y double, m double, w double")
+        below = kmeans_density(starts, area, threshold, max_steps, domain).drop("move")
+        below = _held(below.crossJoin(F.broadcast(below.agg(F.sum("m").alias("total")))).select("site_id", "x", "y", (F.col("m") / F.col("total")).alias("m"), "w"))
+        parents = assigned(below.select(F.col("site_id").alias("child"), "x", "y"), above, weighted=False).select(F.col("child").alias("site_id"), F.col("site_id").alias("parent_id"))
+        out = below.join(parents, "site_id").select(F.lit(level).alias("level"), "site_id", "x", "y", "m", "parent_id").unionByName(out)
+        above = below
+    return out

@@ -12,7 +12,7 @@ from massflow.functions import geometry as G
 from massflow.jobs.registry import ORACLES, QUERIES
 from massflow.operators import cluster, density, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned
-from massflow.operators.cells import Sites, cell_edges, cells_by_clipping, power_cells, uniform_cell_moments
+from massflow.operators.cells import Sites, cell_edges, power_cells, uniform_cell_moments
 from massflow.sources import fixtures, formats
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,19 @@ def random_sites(spark, n, seed, weights=2.0):
     return spark.createDataFrame(rows, "site_id long, x double, y double, m double, w double")
 
 
+def cells_by_clipping(sites, domain=fixtures.DOMAIN):
+    """(site_id, vs) by column expressions alone: every cell is cut by every bisector."""
+    halves = F.struct(
+        (2 * (F.col("q.x") - F.col("p.x"))).alias("a"),
+        (2 * (F.col("q.y") - F.col("p.y"))).alias("b"),
+        (F.col("q.x") ** 2 + F.col("q.y") ** 2 - F.col("p.x") ** 2 - F.col("p.y") ** 2 + F.col("p.w") - F.col("q.w")).alias("c"),
+    )
+    pairs = sites.alias("p").join(F.broadcast(sites).alias("q"), F.col("p.site_id") != F.col("q.site_id"), "left")
+    grouped = pairs.groupBy(F.col("p.site_id").alias("site_id")).agg(F.collect_list(F.when(F.col("q.site_id").isNotNull(), halves)).alias("halves"))
+    box = F.array(*(G.point(F.lit(float(a)), F.lit(float(b))) for a, b in domain))
+    return grouped.select("site_id", G.cut_all(box, F.col("halves")).alias("vs"))
+
+
 def test_cells_tile_the_domain_and_agree_with_clipping_by_expressions(spark):
     s = random_sites(spark, 40, 1)
     a = {r[0]: r[1] for r in power_cells(s).select("site_id", G.area(F.col("vs"))).collect()}
@@ -262,3 +275,18 @@ def test_one_frame_is_the_start(spark):
     cells = power_cells(s).join(s, "site_id")
     assert {r["t"] for r in interpolate.displaced(cells, 1).collect()} == {0.0}
     assert {r["t"] for r in interpolate.morphed(s, 1, 1.0, 1.0, 490.0).collect()} == {0.0}
+
+
+def test_levels_of_a_density_share_out_its_mass(spark):
+    domain = [(0.0, 0.0), (6.0, 0.0), (7.0, 3.0), (0.0, 4.0)]
+    h = cluster.decomposed_density(spark, domain, 3, 4, threshold=0.05).toPandas()
+    assert h.groupby("level").size().to_dict() == {0: 16, 1: 4, 2: 1}
+    vs = F.array(*(G.point(F.lit(a), F.lit(b)) for a, b in domain))
+    c = spark.range(1).select(G.centroid(vs).alias("c")).first()["c"]
+    for _, level in h.groupby("level"):
+        assert level.m.sum() == pytest.approx(1) and (level.m > 0).all()
+        assert (level.m * level.x).sum() == pytest.approx(c["x"], abs=0.05) and (level.m * level.y).sum() == pytest.approx(c["y"], abs=0.05)
+    for r in h[h.level < 2].itertuples():
+        up = h[h.level == r.level + 1].set_index("site_id")
+        d2 = (up.x - r.x) ** 2 + (up.y - r.y) ** 2
+        assert d2[r.parent_id] == pytest.approx(d2.min())
