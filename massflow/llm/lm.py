@@ -40,13 +40,15 @@ from massflow.llm.common import bounded_batches, row_id, stored, table
 #: The least vocabulary of the network: one boundary, the commonest words, classes of rare words by their ending.
 LEAST_SIDE = 32
 SIZE = LEAST_SIDE**2
-#: As many distinct words have the least vocabulary; beyond, it grows with their number's root.
+#: As many distinct words have the least vocabulary; beyond, it grows with their number's cube root.
 LEAST_WORDS = 1 << 14
 SIDE, DIM, HIDDEN = 2, 12, 24
 #: Each document is trained on in one of the rounds.
-ROUNDS, RATE = 4, 0.15
+ROUNDS, RATE = 2, 0.15
 #: A slice's first batches are small, so that little data gives enough steps; they grow with what it has seen.
-FIRST_BATCH, BATCH, BATCH_GROWTH = 64, 1024, 64
+FIRST_BATCH, BATCH, BATCH_GROWTH = 64, 4096, 64
+#: Inputs of a softmax of no greater size need no shift before their exponentials.
+SAFE = 60
 #: What the sums of squared gradients begin with.
 LEAST_SQUARE = 1e-6
 #: Tokens of a slice, and of a block in which the order of training is mixed.
@@ -54,14 +56,14 @@ SLICE_TOKENS, BLOCK_TOKENS = 1 << 19, 1 << 16
 #: A weight's fraction has as many bits when weights are summed, and a full slice counts as much.
 FRACTION, FULL_SLICE = 1 << 24, 1 << 8
 #: Most words whose counts are sent to the tasks; those of the others are joined.
-HELD_WORDS = 200_000
+HELD_WORDS = 150_000
 WORD_CACHE = 300_000
 BOUNDARY = 0
 
 
 def _side(n_words: int) -> int:
     """The network has as many classes, of as many tokens each."""
-    return max(LEAST_SIDE, int(LEAST_SIDE * (n_words / LEAST_WORDS) ** 0.25))
+    return max(LEAST_SIDE, int(LEAST_SIDE * (n_words / LEAST_WORDS) ** (1 / 6)))
 
 
 def _endings(side: int) -> int:
@@ -135,8 +137,10 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
         if held + k > HELD_WORDS:
             break
         least, held = n, held + k
-    rows = counts.where(F.col("n") >= least).collect() if held else []
-    rows = sorted((-r["n"], bytes(r["w"])) for r in rows)
+    rows: list[tuple[int, bytes]] = []
+    if held:
+        got = counts.where(F.col("n") >= least).select("w", "n").toArrow()
+        rows = sorted(zip((-n for n in got["n"].to_pylist()), got["w"].to_pylist(), strict=True))
     found = Vocabulary([w for _, w in rows], [-n for n, _ in rows], side, [0] * _endings(side), held == n_words, sum(n * k for n, k in sizes))
     for r in counts.groupBy(_ending("w", side).alias("c")).agg(F.sum("n").alias("n")).collect():
         found.totals[r["c"]] = r["n"]
@@ -162,26 +166,26 @@ class Tokens:
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.cache) > WORD_CACHE + len(self.known):
             self.cache = dict(self.known)
-        cache, get, out = self.cache, self.cache.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = cache[w] = self.first_ending + _ending_of(w, self.side)
-            out.append(i)
+        cache = self.cache
+        out = list(map(cache.get, words))
+        if None in out:
+            for k, i in enumerate(out):
+                if i is None:
+                    out[k] = cache[words[k]] = self.first_ending + _ending_of(words[k], self.side)
         return np.array(out, dtype=np.int32)
 
     def in_classes(self, words: list[bytes], numbers: np.ndarray) -> tuple[float, list[bytes]]:
         """The summed log-probabilities of words in their endings' classes, and the words that are left to be joined."""
-        total, rest = 0.0, []
-        for i in np.flatnonzero(numbers >= self.first_ending).tolist():
-            share = self.shares.get(words[i])
-            if share is not None:
-                total += share
-            elif self.unseen is not None:
-                total += self.unseen[numbers[i] - self.first_ending]
-            else:
-                rest.append(words[i])
-        return total, rest
+        rare = np.flatnonzero(numbers >= self.first_ending).tolist()
+        own = [words[i] for i in rare]
+        found = list(map(self.shares.get, own))
+        if None not in found:
+            return sum(found), []
+        total = sum(x for x in found if x is not None)
+        unknown = [k for k, x in enumerate(found) if x is None]
+        if self.unseen is None:
+            return total, [own[k] for k in unknown]
+        return total + sum(self.unseen[numbers[rare[k]] - self.first_ending] for k in unknown), []
 
 
 def split(text: str | None) -> list[bytes]:
@@ -222,25 +226,41 @@ def _by_class(y: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int
     return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(axis=1, keepdims=True)
+def _safe(z: np.ndarray) -> np.ndarray:
+    """``z``, its rows shifted in place where its size calls for it."""
+    if len(z) and (z.max() > SAFE or z.min() < -SAFE):
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _summed(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place, and their sums by row."""
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z @ np.ones(z.shape[1], dtype=z.dtype)
+
+
+def _softmax_loss(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """In place, the derivative of the mean negative log-probability of column ``of[i]`` in row i."""
+    n = len(z)
+    total = _summed(_safe(z))
+    total *= n
+    z /= total[:, None]
+    z[np.arange(n), of] -= 1 / n
     return z
 
 
 def _log_share(z: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The log-probability of column ``of[i]`` in row i; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(of)), of]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    own = _safe(z)[np.arange(len(of)), of]
+    return own - np.log(_summed(z))
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
+def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray) -> None:
     """A step of gradient descent with per-weight rates, in place."""
-    s = squares[rows] = squares[rows] + g * g
-    weights[rows] -= RATE * g / np.sqrt(s)
+    squares += g * g
+    g *= RATE
+    g /= np.sqrt(squares)
+    weights -= g
 
 
 class Network:
@@ -272,38 +292,33 @@ class Network:
             out[i : i + chunk] = lp
         return out
 
-    def gradients(self, y: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
-        """(name, rows, gradient) of the mean negative log-probability of the tokens ``y`` with neighbours ``around``."""
+    def gradients(self, y: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        """(name, gradient) of the mean negative log-probability of the tokens ``y`` with neighbours ``around``."""
         p, n, inputs = self.p, len(y), 2 * SIDE * DIM
         order, runs = _by_class(y, self.side)
         y, around = y[order], around[order]
-        rows = np.arange(n)
         x = p["e"][around].reshape(n, inputs)
         w = p["w"].reshape(inputs, HIDDEN)
         h = np.tanh(x @ w + p["b"])
-        z = _softmax(h @ p["c"] + p["cb"])
-        z[rows, y // self.side] -= 1
-        z /= n
+        z = h @ p["c"]
+        z += p["cb"]
+        _softmax_loss(z, y // self.side)
         dh = z @ p["c"].T
-        yield "c", slice(None), h.T @ z
-        yield "cb", slice(None), z.sum(axis=0)
-        z = _softmax(self._inner(h, runs))
-        z[rows, y % self.side] -= 1
-        z /= n
-        g = np.empty((len(runs), HIDDEN, self.side), dtype=z.dtype)
-        for i, (c, a, b) in enumerate(runs):
-            np.matmul(h[a:b].T, z[a:b], out=g[i])
+        yield "c", h.T @ z
+        yield "cb", z.sum(axis=0)
+        z = _softmax_loss(self._inner(h, runs), y % self.side)
+        g, gb = np.zeros_like(p["t"]), np.zeros_like(p["tb"])
+        for c, a, b in runs:
+            np.matmul(h[a:b].T, z[a:b], out=g[c])
             dh[a:b] += z[a:b] @ p["t"][c].T
-        present = [c for c, _, _ in runs]
-        yield "t", present, g
-        yield "tb", present, np.add.reduceat(z, [a for _, a, _ in runs], axis=0)
+        gb[[c for c, _, _ in runs]] = np.add.reduceat(z, [a for _, a, _ in runs], axis=0)
+        yield "t", g
+        yield "tb", gb
         dh *= 1 - h * h
-        yield "w", slice(None), (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN)
-        yield "b", slice(None), dh.sum(axis=0)
-        # only the rows that occur have a gradient
-        used, of = np.unique(around, return_inverse=True)
-        de = (dh @ w.T).reshape(-1, DIM)
-        yield "e", used, np.stack([np.bincount(of.ravel(), weights=d, minlength=len(used)) for d in de.T], axis=1).astype(z.dtype)
+        yield "w", (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN)
+        yield "b", dh.sum(axis=0)
+        de, of, size = (dh @ w.T).reshape(-1, DIM), around.ravel(), len(p["e"])
+        yield "e", np.stack([np.bincount(of, weights=d, minlength=size) for d in de.T], axis=1).astype(z.dtype)
 
     def train(self, ids: np.ndarray, at: np.ndarray, squares: np.ndarray, seen: int = 0) -> None:
         """One pass of stochastic gradient descent with per-weight rates over the tokens at ``at``, in
@@ -312,8 +327,8 @@ class Network:
         while i < len(at):
             some = at[i : i + min(BATCH, FIRST_BATCH + (seen + i) // BATCH_GROWTH)]
             i += len(some)
-            for name, rows, g in list(self.gradients(ids[some], ids[some[:, None] + NEIGHBOURS])):
-                _step(self.p[name], sq[name], g, rows)
+            for name, g in list(self.gradients(ids[some], ids[some[:, None] + NEIGHBOURS])):
+                _step(self.p[name], sq[name], g)
 
 
 class Trainer:
@@ -378,11 +393,12 @@ def fitted(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
         # equal rows are alike, so (order, doc_id) settles the order of all others
         part = dealt.where(F.col("slice") % rounds == round_).repartition("slice").sortWithinPartitions("slice", "order", "doc_id").select("slice", "text")
         trained = part.mapInPandas(train, "weights array<long>, n long")
-        got = trained.select("n", F.posexplode("weights").alias("place", "w")).groupBy("place").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
-        got = got[got["n"] > 0]
+        # as columns: the driver holds a few numbers for each of the network's weights, and no row objects
+        got = trained.select("n", F.posexplode("weights").alias("place", "w")).groupBy("place").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0").toArrow()
         if len(got):  # as many rows as the network has weights
             flat = np.empty_like(flat)
             flat[got["place"].to_numpy()] = got["w"].to_numpy() / got["n"].to_numpy() / FRACTION
+        shared.unpersist()
     return flat
 
 

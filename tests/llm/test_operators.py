@@ -190,6 +190,19 @@ def test_all_pairs_within_the_guaranteed_distance_share_a_key(spark):
     assert all(keys[2 * i] & keys[2 * i + 1] for i in range(200))
 
 
+def test_a_pair_meets_first_in_exactly_one_index(spark):
+    r = np.random.default_rng(2)
+    a = r.integers(0, 1 << 16, (150, minhash.SLOTS), dtype=np.uint16)
+    b = a.copy()
+    for row in b:
+        row[r.choice(minhash.SLOTS, r.integers(0, 2 * minhash.CHUNKS), replace=False)] ^= 7
+    rows = [(k, i, x.view(np.int64).tolist()) for k, side in ((0, a), (1, b)) for i, x in enumerate(side)]
+    keys = spark.createDataFrame(rows, "side int, i long, chunks array<long>").select("side", "i", F.posexplode(minhash._index_keys()).alias("slot", "key"))
+    met = keys.where("side = 0").drop("side").join(keys.where("side = 1").drop("side"), ["i", "slot", "key"]).groupBy("i").agg(F.min("slot").alias("s")).collect()
+    first = minhash._first_slots(a.view(np.int64), b.view(np.int64))
+    assert len(met) == 150 and {x["i"]: x["s"] for x in met} == dict(enumerate(first.tolist()))
+
+
 def near_group(m, seed, n_words=300, changed=5):
     """``m`` copies of one text, each with its own changed words, so most pairs stay just below a link."""
     r, base, out = random.Random(seed), words(n_words, 5).split(), []
@@ -443,9 +456,7 @@ def test_language_model_gradients_are_the_differences_of_the_loss():
     ids, at = lm.padded([r.integers(1, lm.SIZE, 40).astype(np.int32), np.array([3, 3, 3, 70, 3], dtype=np.int32)])
     loss = lambda: -float(np.mean(net.log_probs(ids, at).astype(np.float64)))
     assert net.flat.dtype == np.float64
-    for name, rows, g in net.gradients(ids[at], ids[at[:, None] + lm.NEIGHBOURS]):
-        whole = np.zeros_like(net.p[name])
-        whole[rows] = g
+    for name, whole in net.gradients(ids[at], ids[at[:, None] + lm.NEIGHBOURS]):
         for k in [int(np.abs(whole).argmax()), *r.integers(0, whole.size, 3)]:
             own, step = net.p[name].ravel(), 1e-2
             assert np.shares_memory(own, net.flat)
@@ -547,3 +558,118 @@ def test_quality_reads_long_words_to_their_end():
         ids, counts = quality.features(text)
         logit = float(m.logits[ids].astype(float) @ counts) / counts.sum() + m.bias
         assert m.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
+
+
+# whole tables
+
+
+EDGE = [None, "", " ", "a b", "a b", "word " * 30_000, "é\U0001f600 中文", "x" * 50_000]
+
+
+def edge_docs(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, and extra columns whose names the operators use inside."""
+    return docs(spark, EDGE, [7, 1, 2, 3, 3, None, None, 5])
+
+
+def test_language_over_tables_with_edge_cases(spark):
+    rows = [(i, "the cat and the dog of the house", "en") for i in range(40)] + [(i, "le chat et le chien de la maison", "fr") for i in range(40, 80)]
+    learned = langid.learn(spark.createDataFrame([*rows, (90, None, "fr"), (91, "x", None), (None, "the the", "en")], "doc_id long, text string, lang string"))
+    shared = spark.sparkContext.broadcast(langid.Model(learned.toPandas()))
+    got = {}
+    for r in edge_docs(spark).select("doc_id", "text", langid.predicted(F.col("text"), shared).alias("p")).collect():
+        got.setdefault(r["text"], set()).add((r["p"]["lang_pred"], r["p"]["score"]))
+    assert got[None] == got[""] == got[" "] == {("und", 0.0)}
+    assert all(len(g) == 1 for g in got.values()) and all(0 <= s <= 1 for g in got.values() for _, s in g)
+    assert langid.learn(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_language_counts_are_those_of_brute_force_and_held_out_rows_are_told(spark):
+    from collections import Counter
+
+    from massflow.llm.common import table
+
+    d = table(spark, "/root/testdata/sf0.001", "documents")
+    train = d.where(~langid.held_out("doc_id"))
+    counts = langid.learn(train.select("doc_id", "text", "lang"), words=10**9, grams=10**9).toPandas()
+    want = Counter()
+    for r in train.where("lang is not null").collect():
+        for w in langid.words_of((r["text"] or "").lower()):
+            want[r["lang"], 0, w] += 1
+            want.update((r["lang"], n, g) for n in range(1, langid.LONGEST + 1) for g in langid.grams_of(w, n))
+    assert {(r.lang, r.n, r.unit): r.c for r in counts.itertuples()} == want
+    out = langid.op3(spark, "/root/testdata/sf0.001").toPandas().merge(d.toPandas()[["doc_id", "lang"]], on="doc_id")
+    held = out[out.held_out & out.lang.notna()]
+    assert len(out) == d.count() and (held.lang_pred == held.lang).mean() > 0.95
+
+
+def test_quality_over_tables_with_edge_cases(spark):
+    good, bad = [words(40, k) for k in range(30)], ["spam " * 30 + words(3, k) for k in range(30)]
+    d = docs(spark, good + bad + EDGE, [*range(60), 100, 101, 102, 3, 3, None, None, 103])
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)] + [(1, 1, 0), (3, 0, 0), (None, 1, 0), (5, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.with_scores(d, labels)
+    assert scored.columns == [*d.columns, "quality_score"]
+    rows = scored.toPandas()
+    assert len(rows) == 68 and rows.quality_score.between(0, 1).all()
+    assert rows.quality_score[:30].mean() > 0.5 > rows.quality_score[30:60].mean()
+    empty = rows[rows.text.isna() | rows.text.isin(["", " "])].quality_score
+    assert len(empty) == 3 and empty.nunique() == 1
+    assert quality.with_scores(d.limit(0), labels).count() == 0
+    none = quality.with_scores(d, labels.limit(0)).toPandas()
+    assert (none.quality_score == 0.5).all()
+
+
+def test_quality_scores_whole_words_as_brute_force_does():
+    a, b = "w" * 60 + "tail", "w" * 60 + "other"
+    assert sorted(quality.buckets_of(a)) != sorted(quality.buckets_of(b))
+    logits = np.random.default_rng(1).normal(0, 1, quality.BUCKETS + 1).astype(np.float32)
+    m = quality.Model(logits, 0.1)
+    for text in (a, b, f"{a} x {b} {b}", "x y", None):
+        ids, counts = quality.features(text)
+        logit = float((logits[ids] * counts).sum()) / max(1.0, counts.sum()) + 0.1
+        assert m.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+
+
+def test_a_hot_key_does_not_empty_the_sample(spark):
+    from massflow.llm.common import hash_sample
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 77).otherwise(F.col("id")).alias("doc_id"))
+    assert hash_sample(rows, "doc_id", 50).count() == 50
+    assert hash_sample(rows, "doc_id", 5000).count() == 1000
+    assert hash_sample(rows.limit(0), "doc_id", 5).count() == 0
+
+
+def test_language_model_over_tables_with_edge_cases(spark):
+    d = edge_docs(spark)
+    got = lm.scores(d)
+    assert got.columns == ["doc_id", "n_tokens", "score", "mean_score"]
+    rows = got.toPandas()
+    assert len(rows) == len(EDGE) and rows.score.notna().all() and (rows.score <= 0).all()
+    assert sorted(rows[rows.n_tokens == 0].score) == [0, 0, 0] and rows[rows.n_tokens == 0].mean_score.isna().all()
+    assert rows[rows.doc_id == 3].score.nunique() == 1
+    assert lm.scores(d.limit(0)).count() == 0
+
+
+def test_extraction_over_tables_with_edge_cases(spark):
+    pages = [None, "", " ", "<p>a</p>", "<p>a</p>", "<article><p>" + "word " * 20_000 + "</p></article>", "plain text", "&amp;&#x1F600;<video><p>b"]
+    p = spark.createDataFrame([(k, "u", h, 1, "x") for k, h in zip([1, 2, 3, 4, 4, None, 6, 7], pages)], "page_id long, url string, html string, n int, name string")
+    m = extract.Model(dict(extract.PRIOR))
+    got = p.select("page_id", "html", extract.extracted(F.col("html"), spark.sparkContext.broadcast(m)).alias("t")).collect()
+    assert len(got) == 8 and all(r["t"] == m.extract(r["html"]) for r in got)
+    assert [r["t"] for r in got if not (r["html"] or "").strip()] == ["", "", ""]
+
+
+def test_encoding_over_tables_with_edge_cases(spark, coder):
+    known = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(coder.tokens)}, special_tokens={})
+    shared = spark.sparkContext.broadcast(coder)
+    rows = bpe.encoded_documents(edge_docs(spark), shared).collect()
+    want = sorted((len(ids := known.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for t in EDGE)
+    assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == want
+    assert bpe.encoded_documents(edge_docs(spark).limit(0), shared).count() == 0
+
+
+def test_secrets_and_archives_of_edge_cases(spark, tmp_path):
+    d = docs(spark, ["token=abcdefgh1"] * 2 + [None], [4, 4, None])
+    assert sorted((str(r["doc_id"]), r["n_assign"]) for r in secrets.secret_spans(d).collect()) == [("4", 1), ("4", 1), ("None", 0)]
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(warc.with_record_types(pages), str(tmp_path / "none"))
+    assert warc.captures_read(spark, str(tmp_path / "none")).count() == 0

@@ -28,3 +28,19 @@ def test_stages_do_what_they_say(spark):
     holds = leaks.text.map(lambda t: any(i in " ".join((t or "").split()) for i in items))
     assert not set(bpe.doc_id) & set(leaks[holds].doc_id)
     assert docs.count() == len(bpe) and docs.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_stages_pass_over_edge_cases_and_empty_tables(spark, tmp_path):
+    rows = [(1, None), (None, "some words of prose that go on"), (3, ""), (4, "x " * 20_000), (4, "x " * 20_000), (5, "é")]
+    docs = spark.createDataFrame([(i, t, "en", 1, "r") for i, t in rows], "doc_id long, text string, lang string, rid int, name string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"quality": 6, "exact_dedup": 4, "near_dedup": 4, "decontamination": 4, "byte_bpe": 4}
+    for docs, expected in ((docs, left), (docs.limit(0), dict.fromkeys(left, 0))):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, str(tmp_path)), name)
+            assert docs.count() == expected[name], name
+            assert name == "byte_bpe" or docs.columns == columns
