@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from massflow.llm.common import bounded_batches, table
 
 #: Entries after which a task's cache starts anew, and the longest piece it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 700_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -34,11 +34,13 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a local session, as in tests) a
-    temporary folder of this machine is set.
+    Only in a local session that names none, as in tests, a temporary folder of
+    this machine is set; on a cluster the executors could not share one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -91,10 +93,15 @@ def without_rows(whole: DataFrame, gone: DataFrame) -> DataFrame:
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` of ``rows``, those with the smallest hashes of ``key``.
 
-    A bound on the hash that twice ``n`` rows are expected to meet goes before the
-    order, so that what one task gathers follows ``n`` and not the number of tasks.
+    A power of two as bound on the hash, the smallest that ``n`` rows meet (or all there
+    are), goes before the order, so that what one task gathers follows ``n`` and not the
+    number of tasks.
     """
-    space = 1 << 40
-    place = F.pmod(F.xxhash64(key), F.lit(space))
-    bound = min(space, space * (2 * n + 100) // max(1, rows.count()))
-    return rows.where(place < bound).orderBy(place, key).limit(n)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    bits = F.length(F.bin(place))
+    met, bound = 0, 0
+    for r in sorted(rows.groupBy(bits.alias("bits")).count().collect()):  # 40 rows at most
+        met, bound = met + r["count"], r["bits"]
+        if met >= n:
+            break
+    return rows.where(bits <= bound).orderBy(place, key).limit(n)

@@ -8,7 +8,8 @@ bucket for scoring: the difference of the two logits that the bucket adds.
 
 Defined results: null counts as empty; a text without words scores by the bias
 alone; without labels every score is 0.5; rows with a null label or id are not
-learned from; where a doc_id has several labels, each counts; an empty table
+learned from; where a doc_id has both labels, both count, and where it has several
+texts, the one that sorts first is learned from; an empty table
 gives an empty result.
 """
 
@@ -30,7 +31,7 @@ from massflow.llm.common import bounded_batches, hash_sample, stored, table
 TRAIN_ROWS = 1500
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 8, 6, 0.5
 GRAM_LENGTHS = (2, 3, 4)
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Longest word that is kept in the cache; the buckets of longer ones are taken anew, PIECE at a time. No word is cut.
 CACHED_LENGTH, PIECE = 40, 1 << 16
 REPEATED = BUCKETS  # the bucket of a word that repeats the one before it
@@ -146,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     known = stored(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
     sizes = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     taken = [hash_sample(known.where(F.col("quality") == q), "doc_id", train_rows) for q in (0, 1)]
-    texts = docs.select("doc_id", "text").join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(taken[0].unionByName(taken[1]).distinct()), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
