@@ -17,7 +17,7 @@ the nearest of its buckets' first members, which makes most components whole.
 What is left works in rounds: a class outside a bucket's main component seeks the
 nearest classes of other components there, by the distance of the sketches; what
 is confirmed joins components, and what isn't is not tried again. A round takes
-one candidate of each such class, the next ones four times as many as before, until
+one candidate of each such class, the next ones sixteen times as many as before, until
 no class has a candidate left. So links and candidates follow the number of classes
 and not that of the pairs in a bucket, and no pair of different components is missed.
 
@@ -185,8 +185,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, rid, leader) of the index buckets that hold more than one class, with their first member as leader."""
-    rows = classes.select("rid", F.explode(_index_keys()).alias("key"))
+    """(key, slot, rid, leader) of the index buckets that hold more than one class, with their first member as leader.
+
+    ``slot`` numbers the index: the chunk's number times LANES, and the lane left out.
+    """
+    rows = classes.select("rid", F.posexplode(_index_keys()).alias("slot", "key"))
     first = rows.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader <> last")
     first = first.select(loose(F.col("key")).alias("k"), "leader")
     return rows.withColumn("k", loose(F.col("key"))).join(first, "k").drop("k")
@@ -209,11 +212,11 @@ def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rid, anchor) of the buckets with several components; ``anchor`` is a member of the largest one there."""
+    """(key, slot, rid, anchor) of the buckets with several components; ``anchor`` is a member of the largest one there."""
     parts = _with_labels(members.select("key", "rid"), labels).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("rid").alias("own"))
     found = parts.groupBy("key").agg(F.max(F.struct("n", "own")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     found = found.select(loose(F.col("key")).alias("k"), F.col("most.own").alias("anchor"))
-    return members.withColumn("k", loose(F.col("key"))).join(found, "k").select("key", "rid", "anchor")
+    return members.withColumn("k", loose(F.col("key"))).join(found, "k").select("key", "slot", "rid", "anchor")
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -239,10 +242,25 @@ def _most_differing(sizes: np.ndarray) -> np.ndarray:
     return mean + DEVIATIONS * np.sqrt(np.maximum(variance, 0)) + 2
 
 
+def _first_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all indexes in which two signatures, row by row, share a bucket, the number of the first.
+
+    They meet in each index of a chunk in which no lane differs, and in one of a
+    chunk in which one does.
+    """
+    lanes = lambda x: np.ascontiguousarray(x).view(np.uint16).reshape(len(x), CHUNKS, LANES)
+    differ = lanes(a) != lanes(b)
+    many = differ.sum(axis=2)
+    chunk, rows = (many <= 1).argmax(axis=1), np.arange(len(a))
+    return chunk * LANES + np.where(many[rows, chunk] == 0, 0, differ[rows, chunk].argmax(axis=1))
+
+
 def _nearest(seek: pd.DataFrame, there: pd.DataFrame, most: int) -> Iterator[tuple[int, int, int]]:
     """(x, y, d): for each row of ``seek`` its nearest rows of ``there``, at most ``most``, beyond its
-    cursor (d, y), of other components, and with which it may be linked; d is the sketches' distance."""
+    cursor (d, y), of other components, with which it may be linked and which it meets in no index before this one; d is the sketches' distance."""
     bits = lambda rows: np.stack(rows["parity"].to_numpy()).view(np.uint64)
+    chunks = lambda rows: np.stack(rows["chunks"].to_numpy())
+    theirs, slot = chunks(there), int(there["slot"].iloc[0])
     sketch, rid, n, label = bits(there), there["rid"].to_numpy(), there["n"].to_numpy(), there["label"].to_numpy()
     for i in range(0, len(seek), 64):
         some = seek.iloc[i : i + 64]
@@ -251,6 +269,8 @@ def _nearest(seek: pd.DataFrame, there: pd.DataFrame, most: int) -> Iterator[tup
         past, last = some["d"].to_numpy()[:, None], some["last"].to_numpy()[:, None]
         fits = (d <= _most_differing(n + m)) & (label != some["label"].to_numpy()[:, None]) & ((d > past) | (d == past) & (rid > last))
         fits &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        row, column = np.nonzero(fits)
+        fits[row, column] = _first_slots(chunks(some)[row], theirs[column]) == slot
         for k in np.flatnonzero(fits.any(axis=1)):
             at = np.flatnonzero(fits[k])
             at = at[np.lexsort((rid[at], d[k, at]))[:most]]
@@ -269,14 +289,14 @@ def _candidates(mixed: DataFrame, labels: DataFrame, cursors: DataFrame | None,
     rows = stored(rows, "mixed-rows")
     main = rows.where("rid = anchor").select(loose(F.col("key")).alias("k"), F.col("label").alias("main"))
     rows = rows.withColumn("k", loose(F.col("key"))).join(main, "k").withColumn("seeks", (F.col("label") != F.col("main")) & ~F.coalesce("done", F.lit(False)))
-    rows = stored(rows.select("key", "rid", "label", "d", "last", "seeks"), "mixed-seekers")
+    rows = stored(rows.select("key", "slot", "rid", "label", "d", "last", "seeks"), "mixed-seekers")
     blocks = lambda c: F.ceil(c / TILE).cast("int")
     sizes = rows.groupBy("key").agg(blocks(F.count("*")).alias("nd"), blocks(F.sum(F.col("seeks").cast("int"))).alias("nq")).where("nq > 0")
     rows = rows.withColumn("k", loose(F.col("key"))).join(sizes.select(loose(F.col("key")).alias("k"), "nd", "nq"), "k").drop("k")
-    rows = rows.join(classes.select("rid", "n", "parity"), "rid")
+    rows = rows.join(classes.select("rid", "n", "parity", "chunks"), "rid")
     own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rid"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    value = [F.coalesce("d", F.lit(-1)).alias("d"), F.coalesce("last", F.lit(-1)).alias("last"), "rid", "label", "n", "parity"]
+    value = [F.coalesce("d", F.lit(-1)).alias("d"), F.coalesce("last", F.lit(-1)).alias("last"), "slot", "rid", "label", "n", "parity", "chunks"]
     seek = rows.where("seeks").select("key", own("nq", 0).alias("q"), others("nd").alias("b"), F.lit(0).alias("role"), *value)
     there = rows.select("key", others("nq").alias("q"), own("nd", 1).alias("b"), F.lit(1).alias("role"), *value)
     tiles = seek.unionByName(there).repartition("key", "q", "b").sortWithinPartitions("key", "q", "b", "role")
@@ -319,7 +339,7 @@ def class_components(classes: DataFrame, texts: DataFrame) -> DataFrame:
         # a class that is in the main components of all its buckets, or has found less than it asked for, is done for good
         cursors = mixed.select("rid").distinct().join(tried, "rid", "left").withColumn("done", F.coalesce("done", F.lit(True)))
         cursors = stored(cursors, "cursors")
-        most = min(4 * most, MOST_CANDIDATES)
+        most = min(16 * most, MOST_CANDIDATES)
     return labels
 
 
