@@ -61,13 +61,14 @@ class Words:
     def __call__(self, text: str | None) -> np.ndarray:
         if len(self.known) > WORD_CACHE:
             self.known = {}
-        known, get, out = self.known, self.known.get, []
-        for piece in (text or "").lower().split():
-            h = get(piece)
-            if h is None:
-                word = piece if piece.isalnum() else "".join(filter(str.isalnum, piece))
-                h = known[piece] = xxhash.xxh3_64_intdigest(word.encode()) | 1 if word else 0
-            out.append(h)
+        known, pieces = self.known, (text or "").lower().split()
+        out = list(map(known.get, pieces))
+        if None in out:
+            for i, h in enumerate(out):
+                if h is None:
+                    piece = pieces[i]
+                    word = piece if piece.isalnum() else "".join(filter(str.isalnum, piece))
+                    out[i] = known[piece] = xxhash.xxh3_64_intdigest(word.encode()) | 1 if word else 0
         found = np.array(out, dtype=np.uint64)
         return found[found != 0]
 
@@ -161,16 +162,18 @@ class SizeClass:
             order = np.argsort(near, axis=None, kind="stable")
             present = np.zeros(1 << bits, dtype=bool)
             present[near.ravel()] = True
-            self.blocks.append((np.uint64(first), np.uint64((1 << bits) - 1), present, near.ravel()[order], (order // near.shape[1]).astype(np.int32)))
+            values, starts = np.unique(near.ravel()[order], return_index=True)
+            self.blocks.append((np.uint64(first), np.uint64((1 << bits) - 1), present, values, np.append(starts, near.size).astype(np.int64), (order // near.shape[1]).astype(np.int32)))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window) of all pairs within RADIUS bits."""
         windows, found = [], []
-        for first, mask, present, values, owners in self.blocks:
+        for first, mask, present, values, starts, owners in self.blocks:
             block = (prints >> first & mask).astype(np.uint32)
             hit = np.flatnonzero(present[block])
-            lo, hi = np.searchsorted(values, block[hit], "left"), np.searchsorted(values, block[hit], "right")
-            n = hi - lo
+            place = np.searchsorted(values, block[hit])
+            lo = starts[place]
+            n = starts[place + 1] - lo
             w = np.repeat(hit, n)
             o = owners[np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
             ok = np.bitwise_count(prints[w] ^ self.prints[o]) <= RADIUS
