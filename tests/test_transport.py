@@ -201,7 +201,7 @@ def test_rays_and_samples_of_any_convex_polygon(spark):
     six = [(36.1, 3.2), (40.7, 1.15), (45.3, 2.4), (46.6, 6.65), (42.2, 9.1), (37.4, 7.45)]
     vs = F.array(*(G.point(F.lit(a), F.lit(b)) for a, b in six))
     n = 4000
-    u = spark.range(n).select(((F.col("id") * 7919) % n / n + 1e-6).alias("u1"), ((F.col("id") * 104729 + 17) % n / n + 1e-6).alias("u2"))
+    u = spark.range(n).select(((F.col("id") + 0.5) / n).alias("u1"), (F.col("id") * 0.6180339887498949 % 1 + 1e-9).alias("u2"))
     p = u.withColumn("p", measure.polygon_point(vs, F.col("u1"), F.col("u2"))).select("p.x", "p.y")
     assert p.where(~G.inside(vs, F.col("x"), F.col("y"))).count() <= 2  # on an edge but for rounding
     c = p.agg(F.avg("x"), F.avg("y")).first()
