@@ -16,7 +16,7 @@ import heapq
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -229,6 +229,18 @@ def digests(text: Column, shared) -> Column:
     return both(text)
 
 
+def token_count(shared) -> Callable[[Column], Column]:
+    """The number of tokens of a text, made from its column."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = shared.value
+        for batch in batches:
+            yield pd.Series([len(bpe.encode(t or "")) // 4 for t in batch], dtype="int64")
+
+    return count
+
+
 def token_row(text: Column, shared) -> Column:
     """n_tokens, ids_sha256 and the ids themselves of whole texts."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, decontaminate, exact_dedup, extract, langid, lm, minhash, quality, secrets, warc
+from massflow.llm import bpe, chat, decontaminate, exact_dedup, extract, langid, lm, minhash, quality, secrets, trie, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_lm_score": lm.op8,
     "op9_quality": quality.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_chat_format": chat.op11,
+    "op12_prefix_trie": trie.op12,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
+    "op11_chat_format": chat.ORACLE_SQL,
+    "op12_prefix_trie": trie.ORACLE_SQL,
 }
