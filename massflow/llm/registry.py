@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from massflow.llm import bpe, chat, decontaminate, exact_dedup, extract, langid, lm, minhash, quality, secrets, trie, warc
+from massflow.llm import bpe, chat, decontaminate, exact_dedup, extract, langid, lm, minhash, quality, repair, secrets, trie, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10,
     "op11_chat_format": chat.op11,
     "op12_prefix_trie": trie.op12,
+    "op13_structure_repair": repair.op13,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_secret_scan": secrets.ORACLE_SQL,
     "op11_chat_format": chat.ORACLE_SQL,
     "op12_prefix_trie": trie.ORACLE_SQL,
+    "op13_structure_repair": repair.ORACLE_SQL,
 }
