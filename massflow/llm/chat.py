@@ -24,12 +24,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massflow.llm import bpe
-from massflow.llm.common import table
-from massflow.llm.ordered import folded, ordered, running
+from massflow.llm.common import ROW, numbered_rows, table
+from massflow.llm.ordered import PLACE, folded, ordered, running
 
 #: Tokens of a window, of the turns that it repeats, and of a system turn that windows repeat.
 BUDGET, HISTORY, SYSTEM = 2048, 256, 512
@@ -59,17 +59,17 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(\\*</?turn)", r"\1", text)
 
 
-def ordered_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, role, text, PLACE) without nulls in role and text, in the order of turns."""
-    plain = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return ordered(plain, turn_order()).drop("turn")
-
-
 def turn_order() -> list[Column]:
     """conv_id, then turn; ties by role and text. A text's start and digest stand for it, as ranges of tasks are made of these."""
     return [F.col("conv_id"), F.col("turn"), F.substring("role", 1, 64), F.substring("text", 1, 64), F.sha2(F.concat_ws("\n", "role", "text"), 256)]
 
 
+def in_turn_order(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of turns (conv_id, turn, role, text) in the turns' order, with PLACE; whole texts aren't dealt out anew."""
+    keys = {f"__o{i}": k for i, k in enumerate(turn_order())}
+    return ordered(rows.select(*keep, *(k.alias(n) for n, k in keys.items())), [F.col(n) for n in keys]).drop(*keys)
+
+
 def windows(conversations: DataFrame, tokens: Callable[[Column], Column], budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM) -> DataFrame:
     """(conv_id, window, first_turn, repeated, n_turns, tokens, over, text, loss): the windows of every conversation.
 
@@ -80,14 +80,16 @@ def windows(conversations: DataFrame, tokens: Callable[[Column], Column], budget
     if not 0 <= history <= (budget - history - system) // 4:
         raise ValueError("history must be a quarter of what the budget leaves for new turns, at most")
     head = F.concat(F.lit("<turn "), _role_escaped(F.col("role")), F.lit(">\n"))
+    head_size = F.char_length(head)
     body = F.concat(head, escaped(F.col("text")), F.lit("\n</turn>\n"))
-    turns = ordered_turns(conversations).withColumns({"head": F.char_length(head), "size": F.char_length(escaped(F.col("text"))), "body": body, "target": F.col("role") == "assistant"})
-    turns = turns.withColumn("tokens", tokens(F.col("body")).cast("long"))
+    plain = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = numbered_rows(plain.withColumn("tokens", tokens(body).cast("long")))
+    turns = in_turn_order(whole, "conv_id", "role", "tokens", ROW)
     turns = running(turns, ["conv_id"], pos=("sum", F.lit(1)))
     kept = (F.col("pos") == 0) & (F.col("role") == "system") & (F.col("tokens") <= system)
     turns = turns.withColumn("kept", kept).withColumn("own", F.when(kept, 0).otherwise(F.col("tokens")))
-    turns = running(turns, ["conv_id"], at=("sum", F.col("own")), system=("max", F.when(F.col("kept"), F.struct("tokens", "body"))))
-    turns = turns.withColumn("room", F.lit(budget - history) - F.coalesce("system.tokens", F.when(F.col("kept"), F.col("tokens")), F.lit(0)))
+    turns = running(turns, ["conv_id"], at=("sum", F.col("own")), lead=("max", F.when(F.col("kept"), F.struct("tokens", ROW))))
+    turns = turns.withColumn("room", F.lit(budget - history) - F.coalesce("lead.tokens", F.when(F.col("kept"), F.col("tokens")), F.lit(0)))
     # a slot is narrower than the room for new turns by the short turn that may reach over its end
     slot_width = F.col("room") - F.floor(F.col("room") / 4)
     turns = turns.withColumn("slot", F.floor(F.col("at") / slot_width))
@@ -96,9 +98,16 @@ def windows(conversations: DataFrame, tokens: Callable[[Column], Column], budget
     near_end = F.col("at") + history >= (F.col("slot") + 1) * slot_width
     turns = turns.withColumn("window", 2 * F.col("slot") + alone.cast("long"))
     turns = turns.withColumn("in_slot", F.explode(F.when(near_end & ~F.col("kept"), F.array("slot", F.col("slot") + 1)).otherwise(F.array("slot"))))
-    # the system turn goes once to each task's rows of a slot
-    first = turns.select("conv_id", "in_slot", F.struct("pos", F.when(F.col("slot") == F.col("in_slot"), F.col("window")).alias("window"), "at", "tokens", "kept", "head", "size", "target", "body").alias("turn"), "system")
-    slots = first.groupBy("conv_id", "in_slot").agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.max("system").alias("system"))
+    # each window past the first shows the system turn: of its rows, those that begin a slot in their task ask for it
+    dealt = Window.partitionBy("conv_id", "in_slot", F.shiftright(PLACE, 33)).orderBy(PLACE)
+    turns = turns.withColumn("asks", F.when(F.row_number().over(dealt) == 1, F.col("lead")[ROW]))
+    turn = F.struct("pos", F.when(F.col("slot") == F.col("in_slot"), F.col("window")).alias("window"), "at", "tokens", "kept").alias("turn")
+    rows = turns.select("conv_id", "in_slot", turn, F.explode(F.when(F.col("asks").isNull(), F.array(ROW)).otherwise(F.array(ROW, "asks"))).alias("row"), (F.col(ROW)).alias("own_row"))
+    text = whole.select(F.col(ROW).alias("row"), F.struct(head_size.alias("head"), F.char_length(escaped(F.col("text"))).alias("size"), (F.col("role") == "assistant").alias("target"), body.alias("body"), "tokens").alias("text"))
+    shown = rows.join(text, "row").withColumn("again", F.col("row") != F.col("own_row"))
+    slots = shown.groupBy("conv_id", "in_slot").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("turn.*", "text.head", "text.size", "text.target", "text.body")))).alias("turns"), F.max(F.when(F.col("again"), F.struct("text.tokens", "text.body"))).alias("system")
+    )
     mine = F.filter("turns", lambda t: t["window"].isNotNull())
     spans = slots.select("conv_id", "turns", "system", F.explode(F.array_distinct(F.transform(mine, lambda t: t["window"]))).alias("window"))
     spans = spans.withColumn("new", F.filter("turns", lambda t: t["window"] == F.col("window")))
