@@ -28,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massflow.llm.chat import in_turn_order
 from massflow.llm.common import WHITE_SPACE, stored, table
-from massflow.llm.chat import turn_order
-from massflow.llm.ordered import PLACE, folded, matched, ordered, running
+from massflow.llm.ordered import PLACE, folded, ordered, running
 
 #: Turns of a block.
 WIDTH = 8
@@ -59,7 +59,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     Conversation c begins with the first h turns of conversation c - c % 20 (all, if it has
     fewer; none, if there is none) and goes on after its own first h; h = crc32(c) % 4.
     """
-    placed = running(ordered(turns, turn_order()).select("conv_id", "id", "words", PLACE), ["conv_id"], pos=("sum", F.lit(1)))
+    placed = running(in_turn_order(turns, "conv_id", "id", "words"), ["conv_id"], pos=("sum", F.lit(1)))
     placed = stored(placed.drop(PLACE), "turns")
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
     own = placed.where(F.col("pos") >= h).select("conv_id", F.lit(1).alias("part"), "pos", "id", "words")
@@ -158,7 +158,8 @@ s AS (SELECT k.conv_id, coalesce(any_value(t), []) AS t FROM k LEFT JOIN (
 p AS (SELECT conv_id, len(t) AS n, unnest(range(len(t) + 1)) AS depth, t FROM s),
 g AS (SELECT depth, t[:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest,
              sha256(coalesce(string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256,
-             CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(t[:depth][depth].text, '[^ 	-]+')) END AS words
+             CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(t[:depth][depth].text, '[^ 	-
+]+')) END AS words
       FROM p GROUP BY depth, t[:depth]),
 u AS (SELECT a.node, count(*) FILTER (d.longest = d.depth) AS n_leaves, sum((d.n_convs - 1) * d.words) AS saved_tokens,
              count(*) FILTER (d.depth = a.depth + 1) AS n_children
