@@ -30,9 +30,9 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.chat import turn_order
-from massflow.llm.common import bounded_batches, stored, table
-from massflow.llm.ordered import PLACE, folded, matched, ordered, running
+from massflow.llm.chat import in_turn_order
+from massflow.llm.common import ROW, bounded_batches, numbered_rows, stored, table
+from massflow.llm.ordered import PLACE, folded, matched, running
 
 #: Rows of a conversation that are one string of codes.
 CHUNK = 4096
@@ -169,16 +169,16 @@ def chunk_edits(codes: str, end: int, state: int, last: bool, places: list[int])
 
 
 def faults(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The turns (conv_id, role, text, PLACE) in their order, stored, and their faults (conv_id, PLACE, pos, turn, initial, fault); the first fault counts."""
+    """The turns (conv_id, role, text, ROW), stored, and their faults (conv_id, ROW, pos, turn, initial, fault) in the order of pos; the first fault counts."""
     one = lambda c: F.coalesce(c, F.lit(" "))
-    plain = conversations.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"))
+    turns = numbered_rows(conversations.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text")))
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
-    flags = plain.withColumns({"last": last, "ident": F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256), "initial": F.rpad(F.substring("role", 1, 1), 1, " ")})
-    turns = ordered(flags, turn_order())
-    rows = running(turns.select("conv_id", PLACE, "turn", "initial", "last", "ident"), ["conv_id"], pos=("sum", F.lit(1)))
-    firsts = turns.groupBy("conv_id", "ident").agg(F.min(PLACE).alias(PLACE)).select(PLACE, F.lit(True).alias("first"))
+    flags = turns.withColumns({"last": last, "ident": F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256), "initial": F.rpad(F.substring("role", 1, 1), 1, " ")})
+    placed = in_turn_order(flags, "conv_id", "turn", "initial", "last", "ident", ROW)
+    firsts = placed.groupBy("conv_id", "ident").agg(F.min(PLACE).alias(PLACE)).select(PLACE, F.lit(True).alias("first"))
+    rows = running(placed.drop("ident"), ["conv_id"], pos=("sum", F.lit(1))).join(firsts, PLACE, "left")
     fault = F.when(F.col("last") == "", "blank").when(F.col("first").isNull(), "duplicate").when(~F.col("last").isin(".", "!", "?"), "truncated")
-    return turns.select("conv_id", "role", "text", PLACE), rows.join(firsts, PLACE, "left").select("conv_id", PLACE, "pos", "turn", "initial", fault.alias("fault"))
+    return turns.select("conv_id", "role", "text", ROW), rows.select("conv_id", ROW, "pos", "turn", "initial", fault.alias("fault"))
 
 
 def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -187,7 +187,7 @@ def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     plain = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("x")
     code = F.when(F.col("fault").isin("blank", "duplicate"), "d").when(F.col("fault") == "truncated", F.upper(plain)).otherwise(plain)
     own = F.floor(F.col("pos") / size)
-    row = F.struct("pos", PLACE, code.alias("code"), plain.alias("initial"), "fault")
+    row = F.struct("pos", ROW, code.alias("code"), plain.alias("initial"), "fault")
     both = rows.select("conv_id", row.alias("row"), own.alias("own"), F.explode(F.when(F.col("pos") % size == size - 1, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk"))
     mine = F.col("own") == F.col("chunk")
     lists = both.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.when(mine, F.col("row")))).alias("rows"), F.max(F.when(~mine, F.col("row.initial"))).alias("ahead")).where(F.size("rows") > 0)
@@ -195,7 +195,7 @@ def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     pairs = F.zip_with(F.slice(read, 1, F.size(read) - 1), F.slice(read, 2, F.size(read)), lambda a, b: F.concat(a, b))
     pairs = F.when(F.size(read) > 1, F.filter(pairs, lambda p: p.isNotNull() & ~p.isin("su", "ua", "au")))
     count = lambda k: F.size(F.filter("rows", lambda r: F.coalesce(r["fault"] == k, F.lit(False)))).cast("long").alias(k)
-    return lists.select("conv_id", "chunk", F.array_join(F.transform("rows", lambda r: r["code"]), "").alias("codes"), F.transform("rows", lambda r: r[PLACE]).alias("places"),
+    return lists.select("conv_id", "chunk", F.array_join(F.transform("rows", lambda r: r["code"]), "").alias("codes"), F.transform("rows", lambda r: r[ROW]).alias("places"),
                         count("blank"), count("duplicate"), count("truncated"), F.coalesce(F.size(pairs), F.lit(0)).cast("long").alias("illegal"))
 
 
@@ -235,8 +235,8 @@ def repaired(turns: DataFrame, edited: DataFrame) -> DataFrame:
     """(conv_id, chunk, i, role, text): the turns that the edits leave or put in, in the order of chunk and i."""
     rows = edited.select("conv_id", "chunk", F.posexplode("turns").alias("i", "turn"))
     # a turn put in meets no row, and has a key of its own so that such turns spread out
-    rows = rows.select("conv_id", "chunk", "i", F.coalesce("turn.place", -1 - F.abs(F.xxhash64("conv_id", "chunk", "i") % (1 << 40))).alias(PLACE), F.col("turn.role").alias("new"))
-    both = rows.join(turns.select(PLACE, "role", "text"), PLACE, "left")
+    rows = rows.select("conv_id", "chunk", "i", F.coalesce("turn.place", -1 - F.abs(F.xxhash64("conv_id", "chunk", "i") % (1 << 40))).alias(ROW), F.col("turn.role").alias("new"))
+    both = rows.join(turns.select(ROW, "role", "text"), ROW, "left")
     return both.select("conv_id", "chunk", "i", F.coalesce("new", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
