@@ -269,17 +269,21 @@ class Network:
         self.p = _parts(self.flat)
         self.side = len(self.p["cb"])
 
-    def _inner(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    def _inner(self, h: np.ndarray, runs: list[tuple[int, int, int]], p: dict[str, np.ndarray]) -> np.ndarray:
         """Row by row, the inputs of the softmax inside the row's class."""
         z = np.empty((len(h), self.side), dtype=h.dtype)
         for c, a, b in runs:
-            np.matmul(h[a:b], self.p["t"][c], out=z[a:b])
-            z[a:b] += self.p["tb"][c]
+            np.matmul(h[a:b], p["t"][c], out=z[a:b])
+            z[a:b] += p["tb"][c]
         return z
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray, chunk: int = 8192) -> np.ndarray:
-        """The log-probability of the tokens at ``at`` given their neighbours."""
-        p = self.p
+        """The log-probability of the tokens at ``at`` given their neighbours.
+
+        Products in double precision, each result rounded to single: how a product is
+        summed up depends on the rows beside it, and equal tokens are to score alike.
+        """
+        p = {name: part.astype(np.float64) for name, part in self.p.items()}
         folded = [p["e"] @ p["w"][k] for k in range(2 * SIDE)]
         out = np.empty(len(at), dtype=np.float32)
         for i in range(0, len(at), chunk):
@@ -288,7 +292,7 @@ class Network:
             y = ids[some]
             lp = _log_share(h @ p["c"] + p["cb"], y // self.side)
             order, runs = _by_class(y, self.side)
-            lp[order] += _log_share(self._inner(h[order], runs), y[order] % self.side)
+            lp[order] += _log_share(self._inner(h[order], runs, p), y[order] % self.side)
             out[i : i + chunk] = lp
         return out
 
@@ -306,7 +310,7 @@ class Network:
         dh = z @ p["c"].T
         yield "c", h.T @ z
         yield "cb", z.sum(axis=0)
-        z = _softmax_loss(self._inner(h, runs), y % self.side)
+        z = _softmax_loss(self._inner(h, runs, p), y % self.side)
         g, gb = np.zeros_like(p["t"]), np.zeros_like(p["tb"])
         for c, a, b in runs:
             np.matmul(h[a:b].T, z[a:b], out=g[c])
