@@ -130,7 +130,7 @@ SQL = {
     "lloyd_energy_gradient": with_tables("site pt", _NEAR + ", e AS (SELECT a.s AS site_id, sum(m * a.d2) AS energy FROM a GROUP BY a.s) SELECT s.site_id, round(coalesce(energy, 0e0), 6) AS energy, round(coalesce(2 * (t.m * s.x - mx), 0e0), 6) AS gx, round(coalesce(2 * (t.m * s.y - my), 0e0), 6) AS gy FROM site s LEFT JOIN t USING (site_id) LEFT JOIN e USING (site_id)"),
     "weights_distance": with_tables("site", "SELECT round(sqrt(sum((d - a) * (d - a))) / count(*), 9) AS distance, count(*) AS n FROM (SELECT w - 100 * m AS d, avg(w - 100 * m) OVER () AS a FROM site) z"),
     "random_domain_points": with_tables("uni", "SELECT k, round(CASE WHEN low THEN s * 49e0 + t * 49e0 ELSE s * 49e0 END, 6) AS x, round(CASE WHEN low THEN t * 10e0 ELSE s * 10e0 + t * 10e0 END, 6) AS y FROM (SELECT k, low, CASE WHEN u + u2 > 1 THEN 1 - u ELSE u END AS s, CASE WHEN u + u2 > 1 THEN 1 - u2 ELSE u2 END AS t FROM (SELECT k, u1 <= 0.5e0 AS low, CASE WHEN u1 <= 0.5e0 THEN 2 * u1 ELSE 2 * u1 - 1 END AS u, u2 FROM uni) z) z"),
-    "image_sample": with_tables("px uni", ", c AS (SELECT x, y, CAST(v AS DOUBLE) / (sum(v) OVER ()) AS part, CAST(sum(v) OVER (ORDER BY y, x) AS DOUBLE) / (sum(v) OVER ()) AS cdf FROM px WHERE v > 0), g AS (SELECT k, x + (u1 - (cdf - part)) / part AS x, y + u2 AS y FROM uni JOIN c ON u1 > cdf - part AND u1 <= cdf) SELECT k, round(x, 5) AS x, round(y, 5) AS y FROM g WHERE x > 0 AND x < 49 AND y > 0 AND y < 10"),
+    "image_sample": with_tables("px uni", ", c AS (SELECT x, y, v, CAST(sum(v) OVER () AS DOUBLE) AS total, CAST(sum(v) OVER (ORDER BY y, x) AS DOUBLE) AS upto FROM px WHERE v > 0), g AS (SELECT k, x + (u1 * total - (upto - v)) / v AS x, y + u2 AS y FROM uni JOIN c ON u1 > (upto - v) / total AND u1 <= upto / total) SELECT k, round(x, 5) AS x, round(y, 5) AS y FROM g WHERE x > 0 AND x < 49 AND y > 0 AND y < 10"),
     "ray_clip": with_tables("seg", """SELECT seg_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM (SELECT seg_id,
       greatest(0e0, CASE WHEN x1 > x0 THEN (10 - x0) / (x1 - x0) WHEN x1 < x0 THEN (40 - x0) / (x1 - x0) WHEN x0 BETWEEN 10 AND 40 THEN 0e0 ELSE 1e9 END, CASE WHEN y1 > y0 THEN (2 - y0) / (y1 - y0) WHEN y1 < y0 THEN (8 - y0) / (y1 - y0) WHEN y0 BETWEEN 2 AND 8 THEN 0e0 ELSE 1e9 END) AS t0,
       least(CASE WHEN x1 > x0 THEN (40 - x0) / (x1 - x0) WHEN x1 < x0 THEN (10 - x0) / (x1 - x0) ELSE 1e9 END, CASE WHEN y1 > y0 THEN (8 - y0) / (y1 - y0) WHEN y1 < y0 THEN (2 - y0) / (y1 - y0) ELSE 1e9 END) AS t1 FROM seg) z WHERE t0 < t1"""),

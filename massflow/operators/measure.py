@@ -31,14 +31,14 @@ def running(df: DataFrame, key: Column, value: str, name: str = "cdf", width: in
     return part.join(starts, "__range").withColumn(name, F.col("__start") + F.sum(value).over(inner)).drop("__key", "__range", "__start")
 
 
-def inverse_cdf(draws: DataFrame, measure: DataFrame, u: str, mass: str = "m") -> DataFrame:
-    """``draws`` with the row of ``measure`` (site_id, x, y, cdf) in whose interval (cdf - m, cdf] ``u`` falls.
+def inverse_cdf(draws: DataFrame, measure: DataFrame, u: str, mass: str = "m", low: Column | None = None) -> DataFrame:
+    """``draws`` with the row of ``measure`` (site_id, x, y, cdf) in whose interval (``low``, or cdf - m; cdf] ``u`` falls.
 
     The last interval ends at 1, should rounded sums end before. The unit interval is cut into as many bins as there are rows; a row goes to each
     bin that its interval meets and a draw to its own, so it is an equi-join.
     """
     n = measure.agg(F.count("*").alias("__n"), F.max("cdf").alias("__top"))
-    rows = measure.crossJoin(F.broadcast(n)).withColumn("__lo", F.col("cdf") - F.col(mass))
+    rows = measure.crossJoin(F.broadcast(n)).withColumn("__lo", F.col("cdf") - F.col(mass) if low is None else low)
     rows = rows.withColumn("cdf", F.when(F.col("cdf") == F.col("__top"), F.greatest("cdf", F.lit(1e0))).otherwise(F.col("cdf"))).drop("__top")
     bin_of = lambda c: F.least(F.col("__n") - 1, F.greatest(F.lit(0), F.floor(c * F.col("__n")))).cast("long")
     rows = rows.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__lo") - 1e-9), bin_of(F.col("cdf") + 1e-9)))).drop("__n")
@@ -84,9 +84,10 @@ def image_sample(draws: DataFrame, pixels: DataFrame, domain: Column, width: int
     Draws that don't fall strictly inside the convex polygon ``domain`` are left out;
     who needs a number of places draws more.
     """
-    total = pixels.agg(F.sum("v").alias("total"))
-    parts = pixels.where("v > 0").crossJoin(F.broadcast(total)).withColumn("part", F.col("v") / F.col("total")).drop("total", "v")
-    parts = running(parts, F.col("y") * width + F.col("x"), "part").withColumnsRenamed({"x": "px", "y": "py"})
-    got = inverse_cdf(draws, parts, u1, "part")
-    got = got.withColumn("x", F.col("px") + (F.col(u1) - (F.col("cdf") - F.col("part"))) / F.col("part")).withColumn("y", F.col("py") + F.col(u2))
+    # sums of whole numbers, divided once: what a sum of fractions rounds would show in the places
+    total = pixels.agg(F.sum("v").cast("double").alias("total"))
+    parts = running(pixels.where("v > 0"), F.col("y") * width + F.col("x"), "v", "upto").crossJoin(F.broadcast(total)).withColumnsRenamed({"x": "px", "y": "py"})
+    parts = parts.withColumns({"before": (F.col("upto") - F.col("v")).cast("double"), "cdf": F.col("upto") / F.col("total")})
+    got = inverse_cdf(draws, parts, u1, low=F.col("before") / F.col("total"))
+    got = got.withColumn("x", F.col("px") + (F.col(u1) * F.col("total") - F.col("before")) / F.col("v")).withColumn("y", F.col("py") + F.col(u2))
     return got.where(G.inside(domain, F.col("x"), F.col("y"))).select(*draws.columns, "x", "y")

@@ -274,15 +274,28 @@ def _conjugate_gradients(h: Sparse, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def unhidden(f: Uniform, w: np.ndarray, tries: int = 8) -> np.ndarray:
+    """``w`` scaled back by halves until every cell has mass; where that fails, zero weights, whose cells are those of the nearest site."""
+    w = w - w.mean()
+    for _ in range(tries):
+        if (f(w)[2]["mu"] > 0).all():
+            return w
+        w = w / 2
+    return np.zeros_like(w)
+
+
 def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Log | None = None) -> np.ndarray:
     """Damped Newton steps with the last weight fixed; a step that empties a cell is halved.
 
-    Where cells are empty to begin with the Hessian says nothing of them, so descent
-    goes first until none is.
+    Where cells are empty to begin with the Hessian says nothing of them, so the weights are
+    scaled back first; descent goes first where a site has no cell even without weights.
     """
     f0, g, s = f(w)
     if (s["mu"] <= 0).any():
-        w = lbfgs(f, w, lambda g, s: float(s["mu"].min()) > 0, log=log)
+        w = unhidden(f, w / 2)
+        f0, g, s = f(w)
+    if (s["mu"] <= 0).any():
+        w = lbfgs(f, w, lambda g, s: float(s["mu"].min()) > 0, max_steps=max_steps, log=log)
         f0, g, s = f(w)
     for _ in range(max_steps):
         if log:
@@ -329,7 +342,8 @@ def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 2000, log
 
 
 def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | None = None, domain: list[tuple[float, float]] = DOMAIN, solve: Callable | None = None) -> DataFrame:
-    """(level, site_id, w, w2, error) from the coarsest level to the finest, each begun at its parents' weights.
+    """(level, site_id, w, w2, error, evaluations, converged) from the coarsest level to the finest, each begun at its parents' weights,
+    scaled back where they hide a cell.
 
     ``error`` bounds w2 from the finest level: the root of the misaffected mass times
     the diameter, and the distance between the levels. ``solve`` takes the place of
@@ -341,7 +355,7 @@ def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | No
         f = Uniform(hier.where(F.col("level") == level), domain)
         w = np.zeros(f.n)
         if weights is not None:
-            w = hierarchy.prolonged(hier, weights, level, level + 1).orderBy("site_id").toPandas()["w"].to_numpy()
+            w = unhidden(f, hierarchy.prolonged(hier, weights, level, level + 1).orderBy("site_id").toPandas()["w"].to_numpy())
         moved = hierarchy.transport_distance(hier, 0, level).first()["w2"] or 0.0 if level else 0.0
         if isinstance(stop, WassersteinStop):
             stop.quantisation = moved
@@ -350,5 +364,5 @@ def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | No
         across = float(np.hypot(np.ptp(f.held["x"]), np.ptp(f.held["y"])))
         w2, error = float(np.sqrt(max(0.0, s["sqint"].sum()))), float(np.sqrt(np.abs(g).sum() / 2) * across + moved)
         weights = spark.createDataFrame(pd.DataFrame({"site_id": f.held["site_id"], "w": w}), "site_id long, w double")
-        out += [(level, int(k), float(v), w2, error) for k, v in zip(f.held["site_id"], w, strict=True)]
-    return spark.createDataFrame(out, "level int, site_id long, w double, w2 double, error double")
+        out += [(level, int(k), float(v), w2, error, f.evaluations, bool(stop(g, s))) for k, v in zip(f.held["site_id"], w, strict=True)]
+    return spark.createDataFrame(out, "level int, site_id long, w double, w2 double, error double, evaluations int, converged boolean")
