@@ -125,6 +125,8 @@ SQL = {
     "polygon_image_mass": with_tables("edge px", _POLY_PIXELS + "SELECT poly_id, round(coalesce(sum(cov * v), 0e0), 4) AS mass, round(sum(cov * v * x) / nullif(sum(cov * v), 0), 4) AS cx, round(sum(cov * v * y) / nullif(sum(cov * v), 0), 4) AS cy FROM poly LEFT JOIN (SELECT * FROM qa JOIN px USING (x, y)) z USING (poly_id) GROUP BY poly_id"),
     "convex_clip_area": with_tables("edge rect", _overlaps("poly_id", f"SELECT poly_id, e.i AS k, {_EDGE} FROM edge e JOIN rect ON rect_id = poly_id UNION ALL SELECT rect_id, k, a, b, c FROM (SELECT rect_id, unnest([{{'k': -11, 'a': 1e0, 'b': 0e0, 'c': x1}}, {{'k': -12, 'a': -1e0, 'b': 0e0, 'c': -x0}}, {{'k': -13, 'a': 0e0, 'b': 1e0, 'c': y1}}, {{'k': -14, 'a': 0e0, 'b': -1e0, 'c': -y0}}], recursive := true) FROM rect) r") + "SELECT poly_id, round(coalesce(cov, 0e0), 6) AS area FROM rect JOIN poly ON poly_id = rect_id LEFT JOIN qa USING (poly_id)"),
     "laguerre_image_mass": with_tables("site px", _CELL_PIXELS + "SELECT site_id, round(mu, 5) AS mu, round(cx, 5) AS cx, round(cy, 5) AS cy FROM ist"),
+    "lloyd_image_step": with_tables("site px", ", flat AS MATERIALIZED (SELECT * REPLACE (0e0 AS w) FROM site)" + re.sub(r"\bsite\b", "flat", _CELL_PIXELS)
+        + "SELECT site_id, round(coalesce(cx, x), 5) AS x, round(coalesce(cy, y), 5) AS y, round(mu, 5) AS m, round(sqrt((coalesce(cx, x) - x) ^ 2 + (coalesce(cy, y) - y) ^ 2), 5) AS move FROM ist"),
     "objective_image": with_tables("site px", _CELL_PIXELS + "SELECT round(-(sum(sqint) - sum((mu - m) * w)), 5) AS f, round(sum(sqint), 5) AS w2_squared, count(*) FILTER (mu <> 0) AS active FROM ist"),
     "rect_touched_pixels": with_tables("rect", _COVER + "SELECT rect_id, count(*) AS n, CAST(count(*) AS DOUBLE) AS area FROM c WHERE cov > 0 GROUP BY rect_id"),
     "lloyd_energy_gradient": with_tables("site pt", _NEAR + ", e AS (SELECT a.s AS site_id, sum(m * a.d2) AS energy FROM a GROUP BY a.s) SELECT s.site_id, round(coalesce(energy, 0e0), 6) AS energy, round(coalesce(2 * (t.m * s.x - mx), 0e0), 6) AS gx, round(coalesce(2 * (t.m * s.y - my), 0e0), 6) AS gy FROM site s LEFT JOIN t USING (site_id) LEFT JOIN e USING (site_id)"),

@@ -10,7 +10,9 @@ from massflow.functions import geometry as G
 from massflow.operators import cluster, density, hierarchy, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned, cell_masses
 from massflow.operators.cells import cell_edges, power_cells, uniform_cell_moments
+from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.sources import fixtures as X
+from massflow.sources.store import stored
 
 AREA = 490.0
 FRAMES = 11
@@ -341,21 +343,56 @@ def iteration_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_density(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.kmeans_density(X.sites(spark, d), AREA, threshold=0.05, max_steps=8)
+    return cluster.kmeans_density(X.sites(spark, d), UniformDensity())
+
+
+def _raster(spark: SparkSession, d: str, corners: bool = False) -> RasterDensity:
+    return RasterDensity(pixels=stored(X.pixels(spark, d), "pixels"), corners=corners)
+
+
+def lloyd_image_step(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers' places moved to the raster's centroid in their Voronoi cells."""
+    return rounded(cluster.density_step(X.sites(spark, d), _raster(spark, d, corners=True)).select("site_id", "x", "y", "m", "move"), "x", "y", "m", "move", digits=5)
+
+
+def kmeans_image(spark: SparkSession, d: str) -> DataFrame:
+    """The raster quantised into as many places as there are suppliers."""
+    return cluster.quantised(spark, _raster(spark, d), X.sites(spark, d).count())
 
 
 def decompose_levels(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.decomposed(X.sites(spark, d), levels=3, ratio=5, restarts=2, max_steps=6)
+    return cluster.decomposed(X.sites(spark, d), levels=3, ratio=5)
+
+
+def decompose_image(spark: SparkSession, d: str) -> DataFrame:
+    """The raster quantised, and the places gathered in levels of a fifth of them each."""
+    level = kmeans_image(spark, d).where("m > 0").select("site_id", "x", "y", "m")
+    return cluster.decomposed(level, levels=3, ratio=5)
+
+
+def _levels(spark: SparkSession, d: str) -> int:
+    """As many levels of five times as many sites as the suppliers are worth."""
+    n, levels = X.sites(spark, d).count(), 1
+    while 5**levels <= n:
+        levels += 1
+    return levels
 
 
 def decompose_density(spark: SparkSession, d: str) -> DataFrame:
     """The uniform density of the suppliers' box, in as many levels as their number is worth."""
-    b = X.sites(spark, d).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
+    b = X.sites(spark, d).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     box = [(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3])]
-    levels = 1
-    while 5**levels <= b[4]:
-        levels += 1
-    return cluster.decomposed_density(spark, box, levels, 5, threshold=0.01 * float(np.hypot(b[2], b[3])))
+    return cluster.decomposed_density(spark, UniformDensity(box), _levels(spark, d), 5)
+
+
+def decompose_raster(spark: SparkSession, d: str) -> DataFrame:
+    """The raster's own levels, from the top down."""
+    return cluster.decomposed_density(spark, _raster(spark, d), _levels(spark, d), 5)
+
+
+def multiscale_image(spark: SparkSession, d: str) -> DataFrame:
+    """The weights that share out the raster over the hierarchy's levels, the coarsest first."""
+    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(1e-3), density=_raster(spark, d))
 
 
 def displacement_interpolation(spark: SparkSession, d: str) -> DataFrame:

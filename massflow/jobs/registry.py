@@ -13,7 +13,7 @@ hessian_entries objective_value gradient_norms misaffected_mass trivial_error_bo
 greedy_wasserstein_bound solve_lbfgs solve_gradient solve_newton solve_coordinate multiscale_wasserstein iteration_log
 kmeans_density decompose_levels displacement_interpolation cell_morph level_view_gray random_domain_points image_sample
 ray_clip rect_touched_pixels lloyd_energy_gradient weights_distance displacement_arrows laguerre_image_mass solve_image
-objective_image decompose_density""".split()
+objective_image decompose_density lloyd_image_step kmeans_image decompose_image decompose_raster multiscale_image""".split()
 
 QUERIES = {name: getattr(queries, name) for name in NAMES}
 ORACLES = oracles.SQL

@@ -3,14 +3,26 @@
 A cell is the domain cut by the bisectors towards the other sites, nearest first,
 until no further site can cut it: one at distance d lies no nearer to the cell's
 own site than (d^2 + w - w_max) / 2d. The sites lie in a grid and are visited ring
-by ring, so a cell costs its neighbourhood and not all sites. Tasks hold the sites
-as three arrays, whose size is checked; the rows of cells are spread over tasks.
+by ring, so a cell costs its neighbourhood and not all sites.
+
+:func:`power_cells` takes sites of any number. They are dealt into tiles of about equally
+many sites, by strips of x and then by y, so clusters make small tiles and not
+large ones. A task has one tile and some tiles about it, and cuts its tile's cells by
+these. A tile further away can cut a cell only if its box and its heaviest site could
+have a smaller power distance from one of the cell's corners than the cell's own site;
+for a cell where that is so, these tiles are asked, each gives the sites of its own that
+cut the cell, and the cell is cut by these. What all tasks know of all tiles is their
+boxes and heaviest weights, MAX_TILES of them at most.
+
+Solvers evaluate the same sites many times; up to HELD_SITES they send them to tasks whole
+(:func:`cells_of` and the like), and beyond that they take :func:`power_cells` too.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,9 +31,14 @@ from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
 from massflow.sources.fixtures import DOMAIN
-
-#: Sites that a task holds: some 100 bytes each.
-MAX_SITES = 2_000_000
+from massflow.sources.store import stored
+
+#: Sites that a solver sends to every task, some 100 bytes each.
+HELD_SITES = 100_000
+#: Sites of a tile, tiles at most, and tiles that a task has beside its own.
+TILE_SITES, MAX_TILES, BESIDE = 256, 100_000, 12
+#: Requests that one task answers from a tile.
+ASKED = 8192
 CELL = "site_id long, vs array<struct<x:double,y:double>>, neighbours array<long>"
 
 
@@ -124,17 +141,149 @@ def _cut(poly: list, tags: list, a: float, b: float, c: float, tag: int) -> tupl
     return (out, out_tags) if len(out) > 2 else ([], [])
 
 
-def power_cells(sites: DataFrame, domain: list[tuple[float, float]] = DOMAIN, weighted: bool = True) -> DataFrame:
+def power_cells(sites: DataFrame, domain: list[tuple[float, float]] = DOMAIN, weighted: bool = True, tile_sites: int = TILE_SITES) -> DataFrame:
     """(site_id, vs, neighbours) for every site (site_id, x, y, w); a hidden site has no vertices.
 
     ``neighbours`` names the site across the edge that follows each vertex.
     """
     spark = sites.sparkSession
-    rows = sites.select("site_id", "x", "y", (F.col("w") if weighted else F.lit(0e0)).alias("w"))
-    if (n := rows.count()) > MAX_SITES:
-        raise ValueError(f"{n} sites; tile the domain, as a task holds {MAX_SITES} at most")
-    held = rows.orderBy("site_id").toPandas()
-    return cells_of(spark, Sites(*(held[c].to_numpy() for c in ("site_id", "x", "y", "w")), domain))
+    rows = stored(sites.select("site_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("w").cast("double") if weighted else F.lit(0e0)).alias("w")), "sites")
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], CELL)
+    placed = stored(_tiled(rows, n, max(tile_sites, -(-n // MAX_TILES))), "tiled-sites")
+    tiles = Tiles(placed.groupBy("strip", "tile").agg(*(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))), F.max("w").alias("top")).orderBy("strip", "tile").toPandas())
+    shared = spark.sparkContext.broadcast(tiles)
+    beside = spark.createDataFrame(tiles.beside(), "strip int, tile int, home int, own boolean")
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["own"].to_numpy()
+        s = Sites(*(group[c].to_numpy() for c in ("site_id", "x", "y", "w")), domain)
+        return shared.value.opened(s, np.flatnonzero(own), int(group["home"].iloc[0]))
+
+    first = placed.join(F.broadcast(beside), ["strip", "tile"]).drop("strip", "tile").groupBy("home").applyInPandas(cut, _OPEN)
+    first = stored(first, "cells")
+    shared.destroy()
+    if first.where("size(ask) > 0").isEmpty():
+        return first.select("site_id", "vs", "neighbours")
+    asked = first.where("size(ask) > 0").select("site_id", "x", "y", "w", "vs", F.explode("ask").alias("home"))
+    # what many cells ask of one tile is answered by several tasks
+    shares = asked.groupBy("home").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares"))
+    asked = asked.join(shares, "home").select("*", F.pmod(F.hash("site_id"), F.col("shares")).alias("share")).drop("shares")
+    number = spark.createDataFrame(tiles.numbers(), "strip int, tile int, home int")
+    held = placed.join(F.broadcast(number), ["strip", "tile"]).join(shares, "home").select("site_id", "x", "y", "w", "home", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    cutters = asked.groupBy("home", "share").cogroup(held.groupBy("home", "share")).applyInPandas(_answers, "site_id long, by struct<site_id:bigint,x:double,y:double,w:double>")
+    found = first.join(cutters.groupBy("site_id").agg(F.collect_list("by").alias("by")), "site_id", "left")
+
+    def recut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [_recut(*r) for r in batch[["site_id", "x", "y", "w", "vs", "neighbours", "by"]].itertuples(index=False)]
+            yield pd.DataFrame({"site_id": batch["site_id"], "vs": [[{"x": a, "y": b} for a, b in v] for v, _ in done], "neighbours": [t for _, t in done]})
+
+    return found.select("site_id", "x", "y", "w", "vs", "neighbours", "by").mapInPandas(recut, CELL)
+
+
+_OPEN = "site_id long, x double, y double, w double, vs array<struct<x:double,y:double>>, neighbours array<long>, ask array<int>"
+
+
+def _tiled(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """``rows`` with the strip of x and the tile of y in it, of about ``size`` sites each."""
+    count = -(-n // size)
+    strips = max(1, math.ceil(math.sqrt(count)))
+    if count == 1:
+        return rows.select("*", F.lit(0).alias("strip"), F.lit(0).alias("tile"))
+    cuts = sorted(set(rows.approxQuantile("x", [i / strips for i in range(1, strips)], 1 / (8 * strips)))) if strips > 1 else []
+    above = lambda at, c: F.size(F.filter(at, lambda v: v <= F.col(c)))
+    placed = rows.withColumn("strip", above(F.array(*map(F.lit, cuts)), "x") if cuts else F.lit(0))
+    shares = 4 * strips  # of a strip's sites; strips of many equal x hold more sites than others and take more of these
+    tops = placed.groupBy("strip").agg(F.count("*").alias("n"), F.percentile_approx("y", [i / shares for i in range(1, shares)], 40 * shares).alias("ys"))
+    wanted = F.least(F.lit(shares), F.ceil(F.col("n") / size))
+    picks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), wanted - 1)), lambda i: F.get("ys", F.floor(i * shares / wanted).cast("int") - 1))
+    tops = tops.select("strip", F.when(wanted > 1, picks).otherwise(F.expr("cast(array() as array<double>)")).alias("ys"))
+    return placed.join(F.broadcast(tops), "strip").withColumn("tile", above(F.col("ys"), "y")).drop("ys")
+
+
+class Tiles:
+    """The boxes (x0, x1, y0, y1) and heaviest weights of all tiles, in the order of strip and tile."""
+
+    def __init__(self, found: pd.DataFrame):
+        self.strip, self.tile = found["strip"].to_numpy(), found["tile"].to_numpy()
+        self.x0, self.x1, self.y0, self.y1, self.top = (found[c].to_numpy() for c in ("x0", "x1", "y0", "y1", "top"))
+
+    def numbers(self) -> list[tuple[int, int, int]]:
+        return [(int(s), int(t), i) for i, (s, t) in enumerate(zip(self.strip, self.tile, strict=True))]
+
+    def around(self, home: int) -> list[int]:
+        """``home`` and the tiles nearest to it, from its strip and the strips beside it."""
+        s = self.strip[home]
+        lo, hi = np.searchsorted(self.strip, [s - 1, s + 2])
+        gap = np.hypot(*(np.maximum(0, np.maximum(a[lo:hi] - b[home], a[home] - b[lo:hi])) for a, b in ((self.x0, self.x1), (self.y0, self.y1))))
+        middle = np.abs(self.y0[lo:hi] + self.y1[lo:hi] - self.y0[home] - self.y1[home])
+        order = np.lexsort((middle, gap)) + lo
+        return [home, *[int(i) for i in order if i != home][:BESIDE]]
+
+    def beside(self) -> list[tuple[int, int, int, bool]]:
+        """(strip, tile, home, own): which tiles go to the task of each."""
+        return [(int(self.strip[i]), int(self.tile[i]), home, i == home) for home in range(len(self.strip)) for i in self.around(home)]
+
+    def opened(self, s: Sites, own: np.ndarray, home: int) -> pd.DataFrame:
+        """The cells of the sites at ``own`` among those at hand, and the tiles that could still cut each."""
+        cells = [s.cell(i) for i in own.tolist()]
+        away = np.ones(len(self.strip), dtype=bool)
+        away[self.around(home)] = False
+        away = np.flatnonzero(away)
+        if len(away) and any(v for v, _ in cells):
+            # first of all tiles those that could come near any of the cells' corners
+            corners = [np.array(v) for v, _ in cells if v]
+            box = np.concatenate(corners)
+            (lx, ly), (hx, hy) = box.min(axis=0), box.max(axis=0)
+            most = max(float((((c - (s.x[i], s.y[i])) ** 2).sum(axis=1)).max() - s.w[i]) for i, c in zip([i for i, (v, _) in zip(own, cells, strict=True) if v], corners, strict=True))
+            gx = np.maximum(0, np.maximum(self.x0[away] - hx, lx - self.x1[away]))
+            gy = np.maximum(0, np.maximum(self.y0[away] - hy, ly - self.y1[away]))
+            away = away[gx * gx + gy * gy - self.top[away] <= most + 1e-9 * (1 + abs(most))]
+        ask = [self._cutting(np.array(v), float(s.x[i]), float(s.y[i]), float(s.w[i]), away) if v else [] for i, (v, _) in zip(own.tolist(), cells, strict=True)]
+        return pd.DataFrame({"site_id": s.ids[own], "x": s.x[own], "y": s.y[own], "w": s.w[own], "vs": [[{"x": a, "y": b} for a, b in v] for v, _ in cells], "neighbours": [t for _, t in cells], "ask": ask})
+
+    def _cutting(self, v: np.ndarray, px: float, py: float, w: float, away: np.ndarray) -> list[int]:
+        """Of the tiles ``away``, those that may have a site with a smaller power distance from a corner."""
+        power = (v[:, 0] - px) ** 2 + (v[:, 1] - py) ** 2 - w
+        gx = np.maximum(0, np.maximum(self.x0[away] - v[:, :1], v[:, :1] - self.x1[away]))
+        gy = np.maximum(0, np.maximum(self.y0[away] - v[:, 1:], v[:, 1:] - self.y1[away]))
+        near = gx * gx + gy * gy - self.top[away] <= (power + 1e-9 * (1 + np.abs(power)))[:, None]
+        return away[near.any(axis=0)].tolist()
+
+
+def _cut_by(poly: list, tags: list, px: float, py: float, w: float, own: int, others: list[tuple[int, float, float, float]]) -> tuple[list, list]:
+    """A cell (site ``own`` at px, py) cut by the bisectors towards ``others`` (id, x, y, w), nearest first."""
+    for q, qx, qy, qw in sorted(others, key=lambda o: (math.hypot(o[1] - px, o[2] - py), o[0])):
+        if (qx, qy) == (px, py):
+            if (qw, -q) > (w, -own):
+                return [], []
+            continue
+        poly, tags = _cut(poly, tags, 2 * (qx - px), 2 * (qy - py), qx * qx + qy * qy - px * px - py * py + w - qw, q)
+        if not poly:
+            break
+    return poly, tags
+
+
+def _answers(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """(site_id, by): for each cell that asks a tile, the tile's sites that have an edge with it or hide it."""
+    ids, x, y, w = (held[c].to_numpy() for c in ("site_id", "x", "y", "w"))
+    out = []
+    for own, px, py, pw, vs in asked[["site_id", "x", "y", "w", "vs"]].itertuples(index=False):
+        v = np.array([(c["x"], c["y"]) for c in vs])
+        power = (v[:, 0] - px) ** 2 + (v[:, 1] - py) ** 2 - pw
+        nearer = ((x - v[:, :1]) ** 2 + (y - v[:, 1:]) ** 2 - w <= power[:, None] + 1e-9 * (1 + np.abs(power))[:, None]).any(axis=0)
+        some = [(int(ids[k]), float(x[k]), float(y[k]), float(w[k])) for k in np.flatnonzero(nearer) if ids[k] != own]
+        poly, tags = _cut_by([tuple(c) for c in v.tolist()], [-1] * len(v), px, py, pw, own, some)
+        left = set(tags)
+        out += [(own, dict(zip(("site_id", "x", "y", "w"), q, strict=True))) for q in some if not poly or q[0] in left]
+    return pd.DataFrame(out, columns=["site_id", "by"])
+
+
+def _recut(site_id: int, x: float, y: float, w: float, vs: list, neighbours: list, by: list | None) -> tuple[list, list]:
+    poly, tags = [(c["x"], c["y"]) for c in vs], [int(t) for t in neighbours]
+    return (poly, tags) if by is None else _cut_by(poly, tags, x, y, w, site_id, [(q["site_id"], q["x"], q["y"], q["w"]) for q in by])
 
 
 def _spread(spark: SparkSession, n: int) -> DataFrame:
@@ -142,7 +291,9 @@ def _spread(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(0, n, 1, max(1, min(n // 64 + 1, 4 * spark.sparkContext.defaultParallelism)))
 
 
-def cells_of(spark: SparkSession, sites: Sites) -> DataFrame:
+@contextmanager
+def cells_of(spark: SparkSession, sites: Sites) -> Iterator[DataFrame]:
+    """The cells of :func:`power_cells` for sites that are sent to tasks whole, within the block."""
     shared = spark.sparkContext.broadcast(sites)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,10 +302,33 @@ def cells_of(spark: SparkSession, sites: Sites) -> DataFrame:
             found = [s.cell(i) for i in batch["id"].tolist()]
             yield pd.DataFrame({"site_id": s.ids[batch["id"]], "vs": [[{"x": a, "y": b} for a, b in v] for v, _ in found], "neighbours": [t for _, t in found]})
 
-    return _spread(spark, len(sites.ids)).mapInPandas(compute, CELL)
+    try:
+        yield _spread(spark, len(sites.ids)).mapInPandas(compute, CELL)
+    finally:
+        shared.destroy()
+
+
+@contextmanager
+def cells_at_hand(sites: DataFrame, domain: list[tuple[float, float]] = DOMAIN, weighted: bool = True) -> Iterator[DataFrame]:
+    """:func:`power_cells`, to be evaluated within the block: up to HELD_SITES sites go to tasks whole, more are tiled."""
+    rows = sites.select("site_id", "x", "y", (F.col("w") if weighted else F.lit(0e0)).alias("w"))
+    held = rows.limit(HELD_SITES + 1).toPandas().sort_values("site_id")
+    if len(held) > HELD_SITES:
+        yield power_cells(rows, domain)
+    else:
+        with cells_of(sites.sparkSession, Sites(*(held[c].to_numpy() for c in ("site_id", "x", "y", "w")), domain)) as cells:
+            yield cells
+
+
+def _gathered(spark: SparkSession, sites: Sites, compute, columns: str, shared) -> pd.DataFrame:
+    """The rows that tasks ``compute`` for the places of the sites, in order of place; what they share goes."""
+    try:
+        return _spread(spark, len(sites.ids)).mapInPandas(compute, columns).toPandas().sort_values("place")
+    finally:
+        shared.destroy()
 
 
-def measured(spark: SparkSession, sites: Sites) -> DataFrame:
+def measured(spark: SparkSession, sites: Sites) -> pd.DataFrame:
     """(place, area, sq): each held site's cell's area and integral of the squared distance to the site.
 
     A solver's evaluation: one stage without a shuffle, and two numbers a site come back.
@@ -173,10 +347,10 @@ def measured(spark: SparkSession, sites: Sites) -> DataFrame:
                 out.append((i, k.sum() / 2, float((k * (v * v + v * u + u * u).sum(axis=1)).sum()) / 12))
             yield pd.DataFrame(out, columns=["place", "area", "sq"])
 
-    return _spread(spark, len(sites.ids)).mapInPandas(compute, "place long, area double, sq double")
+    return _gathered(spark, sites, compute, "place long, area double, sq double", shared)
 
 
-def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) -> DataFrame:
+def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) -> pd.DataFrame:
     """(place, area, w): for each held site, Sites.raised; every site by itself, in one stage without a shuffle."""
     shared = spark.sparkContext.broadcast((sites, goals))
 
@@ -185,7 +359,7 @@ def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) ->
         for batch in batches:
             yield pd.DataFrame([(i, *s.raised(i, float(goals[i]), step)) for i in batch["id"].tolist()], columns=["place", "area", "w"])
 
-    return _spread(spark, len(sites.ids)).mapInPandas(compute, "place long, area double, w double")
+    return _gathered(spark, sites, compute, "place long, area double, w double", shared)
 
 
 def cell_edges(cells: DataFrame) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massflow.operators.assign import assigned
-from massflow.operators.cells import Sites, power_cells, uniform_cell_moments
-from massflow.sources.fixtures import DOMAIN
+from massflow.operators.cells import cells_at_hand
+from massflow.operators.densities import UniformDensity
+from massflow.sources.store import stored
 
 
 def lloyd_sums(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -45,53 +44,54 @@ def lloyd_gradient(points: DataFrame, centres: DataFrame) -> DataFrame:
     return both.select("site_id", F.coalesce("energy", F.lit(0e0)).alias("energy"), by("x").alias("gx"), by("y").alias("gy"))
 
 
-def _held(centres: DataFrame) -> DataFrame:
-    """The centres as a table of their own, read once: they are few and bound what a step sends out."""
-    rows = centres.toPandas()
-    return centres.sparkSession.createDataFrame(rows, centres.schema)
+#: What Lloyd's steps may still move by where nothing changes any more: rounding.
+STILL = 1e-9
 
 
-def coarsened(points: DataFrame, k: int, seed: int = 0, max_steps: int = 30) -> DataFrame:
-    """(site_id, x, y, m, w): a measure of at most ``k`` sites nearest to ``points`` (site_id, x, y, m).
+def coarsened(points: DataFrame, k: int, restarts: int = 1, max_steps: int = 100) -> DataFrame:
+    """(site_id, x, y, m, w, energy, converged): a measure of at most ``k`` sites near to ``points`` (site_id, x, y, m), the best of ``restarts`` starts.
 
-    Starts from the ``k`` distinct places with the smallest hashes of their id and
-    ``seed``, and ends when no centre moves any more or after ``max_steps``.
+    Each starts from the ``k`` distinct places with the smallest hashes of their id and the start's number, and
+    ends when no centre moves any more or after ``max_steps``. All starts go on together, each in a plane of its own:
+    their points and centres are moved apart by more than the nearest centre can be away.
     """
-    start = points.dropDuplicates(["x", "y"]).orderBy(F.xxhash64("site_id", F.lit(seed)), "site_id").limit(max(1, k))
-    centres = _held(start.select("site_id", "x", "y", "m", F.lit(0e0).alias("w"), F.lit(0e0).alias("move")))
+    box = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
+    if not box[2]:
+        raise ValueError("no points to coarsen")
+    apart = 2.0
+    while apart <= 4 * (box[0] + box[1]):
+        apart *= 2
+    places = points.dropDuplicates(["x", "y"])
+    shift = F.col("run") * F.lit(apart)
+    starts = [places.orderBy(F.xxhash64("site_id", F.lit(run)), "site_id").limit(max(1, k)).withColumn("run", F.lit(run)) for run in range(restarts)]
+    centres = reduce(DataFrame.unionByName, starts).withColumn("x", F.col("x") + shift)
+    centres = stored(centres.select((F.col("site_id") * restarts + F.col("run")).alias("site_id"), "x", "y", "m", F.lit(0e0).alias("w"), F.lit(0e0).alias("move")), "centres")
+    planes = points.select("x", "y", "m", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run")).select((F.col("x") + shift).alias("x"), "y", "m")
+    still = False
     for _ in range(max_steps):
-        centres = _held(lloyd_step(points.drop("site_id"), centres, clean=True))
-        if not centres.agg(F.max("move")).first()[0]:
+        centres = stored(lloyd_step(planes, centres, clean=True), "centres")
+        if still := centres.agg(F.max("move")).first()[0] <= STILL:
             break
-    return centres.drop("move")
-
-
-def best_coarsened(points: DataFrame, k: int, restarts: int = 5, max_steps: int = 30) -> DataFrame:
-    """The result of :func:`coarsened` with the least energy among ``restarts`` starts."""
-    best, least = None, float("inf")
-    for seed in range(restarts):
-        centres = coarsened(points, k, seed, max_steps)
-        energy = lloyd_energy(points.drop("site_id"), centres).first()["energy"]
-        if energy is not None and energy < least:
-            best, least = centres, energy
-    if best is None:
-        raise ValueError("no points to coarsen")
-    return best
+    run = F.pmod("site_id", F.lit(restarts)).cast("int")
+    energies = assigned(planes, centres, weighted=False).groupBy(run.alias("run")).agg(F.sum(F.col("m") * F.col("d2")).alias("energy")).collect()  # a row a start
+    best = min(energies, key=lambda r: (r["energy"], r["run"]))
+    return centres.where(run == best["run"]).select(F.floor(F.col("site_id") / restarts).alias("site_id"), (F.col("x") - best["run"] * apart).alias("x"), "y", "m", "w", F.lit(best["energy"]).alias("energy"), F.lit(still).alias("converged"))
 
 
-def decomposed(points: DataFrame, levels: int, ratio: int, restarts: int = 2, max_steps: int = 15) -> DataFrame:
-    """hier(level, site_id, x, y, m, parent_id): each level about ``1 / ratio`` of the one below it."""
+def decomposed(points: DataFrame, levels: int, ratio: int, restarts: int = 5, max_steps: int = 100) -> DataFrame:
+    """hier(level, site_id, x, y, m, parent_id, converged): each level about ``1 / ratio`` of the one below it, by :func:`coarsened`;
+    ``converged`` tells whether the steps towards the level above came to rest (null on the highest level)."""
     n, current, out = points.count(), points.select("site_id", "x", "y", "m"), None
     for level in range(levels):
         last = level == levels - 1 or n <= 1
         if not last:
             n = max(1, n // ratio)
-            above = best_coarsened(current, n, restarts, max_steps)
+            above = coarsened(current, n, restarts, max_steps)
             child = assigned(current.withColumnRenamed("site_id", "child"), above, weighted=False).select(F.col("child").alias("site_id"), F.col("site_id").alias("parent_id"))
-            rows = current.join(child, "site_id")
+            rows = current.join(child, "site_id").crossJoin(F.broadcast(above.select("converged").limit(1)))
         else:
-            rows = current.withColumn("parent_id", F.lit(None).cast("long"))
-        rows = rows.select(F.lit(level).alias("level"), "site_id", "x", "y", "m", "parent_id")
+            rows = current.withColumns({"parent_id": F.lit(None).cast("long"), "converged": F.lit(None).cast("boolean")})
+        rows = rows.select(F.lit(level).alias("level"), "site_id", "x", "y", "m", "parent_id", "converged")
         out = rows if out is None else out.unionByName(rows)
         if last:
             break
@@ -99,68 +99,50 @@ def decomposed(points: DataFrame, levels: int, ratio: int, restarts: int = 2, ma
     return out
 
 
-def density_step(centres: DataFrame, domain_area: float, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
-    """Lloyd's step for the uniform density: each centre moves to its Voronoi cell's centroid."""
-    moments = uniform_cell_moments(power_cells(centres, domain, weighted=False), centres, domain_area)
-    x, y = F.coalesce("cx", "x"), F.coalesce("cy", "y")
-    return moments.select("site_id", x.alias("x"), y.alias("y"), F.col("mu").alias("m"), F.lit(0e0).alias("w"), F.hypot(x - F.col("x"), y - F.col("y")).alias("move"))
-
-
-def kmeans_density(centres: DataFrame, domain_area: float, threshold: float, max_steps: int = 30, domain: list[tuple[float, float]] = DOMAIN) -> DataFrame:
-    """Quantises the uniform density: Lloyd's steps until none moves further than ``threshold``."""
-    now = _held(centres.select("site_id", "x", "y", "m", "w", F.lit(0e0).alias("move")))
-    for _ in range(max_steps):
-        now = _held(density_step(now, domain_area, domain))
-        if now.agg(F.max("move")).first()[0] <= threshold:
-            break
-    return now
-
-
-def split_cells(cells: DataFrame, k: int, steps: int = 10, seed: int = 0) -> DataFrame:
-    """(parent_id, x, y): each convex cell (site_id, vs) quantised by itself into ``k`` places by Lloyd's steps."""
+def density_step(centres: DataFrame, density: UniformDensity) -> DataFrame:
+    """Lloyd's step for a density: each centre (site_id, x, y, m, w) moves to its Voronoi cell's centroid; one without mass stays."""
+    with cells_at_hand(centres, density.domain, weighted=False) as cells:
+        moments = density.over(cells, centres)
+        x, y = F.coalesce("cx", "x"), F.coalesce("cy", "y")
+        return stored(moments.select("site_id", x.alias("x"), y.alias("y"), F.col("mu").alias("m"), F.lit(0e0).alias("w"), F.hypot(x - F.col("x"), y - F.col("y")).alias("move")), "centres")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for site, vs in zip(batch["site_id"], batch["vs"], strict=True):
-                corners = np.array([(v["x"], v["y"]) for v in vs])
-                # uniform shares of the corners lie in the cell; Lloyd's steps spread them
-                at = np.random.default_rng([seed, abs(int(site))]).dirichlet(np.ones(len(corners)), k) @ corners
-                for _ in range(steps):
-                    s = Sites(np.arange(k), at[:, 0], at[:, 1], np.zeros(k), [tuple(c) for c in corners.tolist()])
-                    at = np.array([_centroid(s.cell(i)[0], at[i]) for i in range(k)])
-                out += [(site, *p) for p in at.tolist()]
-            yield pd.DataFrame(out, columns=["parent_id", "x", "y"])
 
-    return cells.where("size(vs) > 2").select("site_id", "vs").mapInPandas(split, "parent_id long, x double, y double")
+def kmeans_density(centres: DataFrame, density: UniformDensity, threshold: float | None = None, max_steps: int = 30) -> DataFrame:
+    """(site_id, x, y, m, w, move, steps, converged): a density quantised by Lloyd's steps until none moves further than ``threshold``
+    (0.001 of the density's radius), or ``max_steps``. m is the mass of the cell that a centre was moved to the middle of."""
+    threshold = 0.001 * density.radius if threshold is None else threshold
+    now, steps, moved = centres.select("site_id", "x", "y", "m", "w"), 0, float("inf")
+    while steps < max_steps and moved > threshold:
+        now, steps = density_step(now, density), steps + 1
+        moved = now.agg(F.max("move")).first()[0] or 0.0
+    return now.withColumns({"steps": F.lit(steps), "converged": F.lit(moved <= threshold)})
 
 
-def _centroid(poly: list[tuple[float, float]], otherwise: np.ndarray) -> np.ndarray:
-    v = np.array(poly).reshape(-1, 2)
-    u = np.roll(v, -1, axis=0)
-    cross = v[:, 0] * u[:, 1] - u[:, 0] * v[:, 1]
-    return (v + u).T @ cross / (3 * cross.sum()) if len(v) and cross.sum() > 0 else otherwise
+def quantised(spark: SparkSession, density: UniformDensity, n: int, seed: int = 0, threshold: float | None = None, max_steps: int = 30) -> DataFrame:
+    """:func:`kmeans_density` of ``n`` places drawn from the density."""
+    start = density.drawn(spark, n, seed).dropDuplicates(["x", "y"]).select("site_id", "x", "y", F.lit(1 / n).alias("m"), F.lit(0e0).alias("w"))
+    return kmeans_density(stored(start, "draws"), density, threshold, max_steps)
 
 
-def decomposed_density(spark, domain: list[tuple[float, float]], levels: int, k: int, threshold: float, max_steps: int = 30) -> DataFrame:
-    """hier(level, site_id, x, y, m, parent_id) of the uniform density of a convex domain, from the top down.
+def decomposed_density(spark: SparkSession, density: UniformDensity, levels: int, k: int, threshold: float | None = None, max_steps: int = 100) -> DataFrame:
+    """hier(level, site_id, x, y, m, parent_id, converged) of a density, from the top down.
 
-    The coarsest level is the domain's centroid. For the next one each cell is split
+    The coarsest level is the density's centroid. For the next one each cell is split
     in ``k`` places, all of which then move together by Lloyd's steps until none
-    moves further than ``threshold``; a site's parent is the nearest above it, and
+    moves further than ``threshold`` (0.01 of the density's radius); a site's parent is the nearest above it, and
     its mass is its cell's.
     """
-    xs = [*domain, domain[0]]
-    area = sum(a * d - c * b for (a, b), (c, d) in zip(xs, xs[1:], strict=False)) / 2
-    x, y = _centroid(domain, np.array(domain[0]))
-    above = spark.createDataFrame([(0, float(x), float(y), 1.0, 0.0)], "site_id long, x double, y double, m double, w double")
-    out = above.select(F.lit(levels - 1).alias("level"), "site_id", "x", "y", "m", F.lit(None).cast("long").alias("parent_id"))
+    threshold = 0.01 * density.radius if threshold is None else threshold
+    x, y = density.centroid(spark)
+    above = spark.createDataFrame([(0, x, y, 1.0, 0.0)], "site_id long, x double, y double, m double, w double")
+    out = above.select(F.lit(levels - 1).alias("level"), "site_id", "x", "y", "m", F.lit(None).cast("long").alias("parent_id"), F.lit(True).alias("converged"))
     for level in range(levels - 2, -1, -1):
-        starts = split_cells(power_cells(above, domain, weighted=False), k).toPandas().sort_values(["parent_id", "x", "y"])
-        starts = spark.createDataFrame(starts.assign(site_id=range(len(starts)), m=0.0, w=0.0)[["site_id", "x", "y", "m", "w"]], "site_id long, x double, y double, m double, w double")
-        below = kmeans_density(starts, area, threshold, max_steps, domain).drop("move")
-        below = _held(below.crossJoin(F.broadcast(below.agg(F.sum("m").alias("total")))).select("site_id", "x", "y", (F.col("m") / F.col("total")).alias("m"), "w"))
+        with cells_at_hand(above, density.domain, weighted=False) as cells:
+            starts = stored(density.split(cells, k).dropDuplicates(["x", "y"]), "starts")
+        starts = starts.select((F.col("parent_id") * k + F.col("j")).alias("site_id"), "x", "y", F.lit(0e0).alias("m"), F.lit(0e0).alias("w"))
+        below = kmeans_density(stored(starts, "starts"), density, threshold, max_steps)
+        below = stored(below.crossJoin(F.broadcast(below.agg(F.sum("m").alias("total")))).select("site_id", "x", "y", (F.col("m") / F.col("total")).alias("m"), "w", "converged"), "level")
         parents = assigned(below.select(F.col("site_id").alias("child"), "x", "y"), above, weighted=False).select(F.col("child").alias("site_id"), F.col("site_id").alias("parent_id"))
-        out = below.join(parents, "site_id").select(F.lit(level).alias("level"), "site_id", "x", "y", "m", "parent_id").unionByName(out)
+        out = below.join(parents, "site_id").select(F.lit(level).alias("level"), "site_id", "x", "y", "m", "parent_id", "converged").unionByName(out)
         above = below
     return out

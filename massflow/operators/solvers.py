@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections import deque
 from collections.abc import Callable
+from contextlib import AbstractContextManager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massflow.operators import density, hierarchy
-from massflow.operators.cells import Sites, cell_edges, cells_of, measured, raised, uniform_cell_moments
+from massflow.operators import hierarchy
+from massflow.operators.cells import HELD_SITES, Sites, cell_edges, cells_at_hand, cells_of, measured, power_cells, raised
+from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.operators.objective import hessian, running_bounds
 from massflow.sources.fixtures import DOMAIN
+from massflow.sources.store import stored
 
 
 @dataclass
@@ -46,17 +49,15 @@ class Sparse:
 
 
 @dataclass
-class Uniform:
-    """The transport objective between the uniform density of a domain and ``sites`` (site_id, x, y, m)."""
+class Objective:
+    """The transport objective between a density and ``sites`` (site_id, x, y, m)."""
 
     sites: DataFrame
-    domain: list[tuple[float, float]] = field(default_factory=lambda: DOMAIN)
+    density: UniformDensity
     evaluations: int = 0
 
     def __post_init__(self) -> None:
         self.held: pd.DataFrame = self.sites.select("site_id", "x", "y", "m").orderBy("site_id").toPandas()
-        xs = [*self.domain, self.domain[0]]
-        self.area = sum(a * d - c * b for (a, b), (c, d) in zip(xs, xs[1:], strict=False)) / 2
 
     @property
     def n(self) -> int:
@@ -67,51 +68,59 @@ class Uniform:
 
     def stats(self, w: np.ndarray) -> DataFrame:
         t = self.table(w)
-        return uniform_cell_moments(cells_of(t.sparkSession, self.placed(w)), t, self.area)
+        return self.density.over(power_cells(t, self.density.domain), t)
 
     def placed(self, w: np.ndarray) -> Sites:
-        return Sites(*(self.held[c].to_numpy() for c in ("site_id", "x", "y")), w, self.domain)
+        return Sites(*(self.held[c].to_numpy() for c in ("site_id", "x", "y")), w, self.density.domain)
 
     def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray, pd.DataFrame]:
         """f, its gradient, and the measured cells."""
         self.evaluations += 1
-        s = measured(self.sites.sparkSession, self.placed(w)).toPandas().sort_values("place")
-        s = pd.DataFrame({"site_id": self.held["site_id"], "mu": s["area"].to_numpy() / self.area, "sqint": s["sq"].to_numpy() / self.area})
+        s = self._measured(w)
         g = s["mu"].to_numpy() - self.held["m"].to_numpy()
         return float(-(s["sqint"].sum() - (g * w).sum())), g, s
 
-    def hessian(self, w: np.ndarray) -> Sparse:
-        t = self.table(w)
-        h = hessian(cell_edges(cells_of(t.sparkSession, self.placed(w))), t, self.area).toPandas()
-        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), h[c].to_numpy())
-        return Sparse(place("i"), place("j"), h["h"].to_numpy(), self.n)
+    def cells(self, w: np.ndarray, table: DataFrame) -> AbstractContextManager[DataFrame]:
+        """The cells, to be evaluated within the block."""
+        return cells_of(table.sparkSession, self.placed(w)) if self.n <= HELD_SITES else cells_at_hand(table, self.density.domain)
 
-    def raised(self, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each cell's mass, and the weight that would give it its site's mass if all others stayed."""
-        spark = self.sites.sparkSession
-        s = raised(spark, self.placed(w), self.held["m"].to_numpy() * self.area, step).toPandas().sort_values("place")
-        return s["area"].to_numpy() / self.area, s["w"].to_numpy()
+    def _measured(self, w: np.ndarray) -> pd.DataFrame:
+        """(site_id, mu, sqint), in the order of the sites."""
+        t = self.table(w)
+        with self.cells(w, t) as cells:
+            return self.density.over(cells, t).select("site_id", "mu", "sqint").toPandas().sort_values("site_id", ignore_index=True)
 
 
 @dataclass
-class Raster(Uniform):
-    """The same objective for a raster's density (x, y, v), each pixel covered and integrated exactly."""
+class Uniform(Objective):
+    """The objective for the uniform density of a domain."""
 
-    pixels: DataFrame | None = None
+    density: UniformDensity = field(default_factory=UniformDensity)
 
-    def __post_init__(self) -> None:
-        super().__post_init__()
-        self.pixels = self.pixels.persist()  # read at each evaluation; what is lost is computed again
+    def _measured(self, w: np.ndarray) -> pd.DataFrame:
+        if self.n > HELD_SITES:
+            return super()._measured(w)
+        s = measured(self.sites.sparkSession, self.placed(w))
+        return pd.DataFrame({"site_id": self.held["site_id"], "mu": s["area"].to_numpy() / self.density.area, "sqint": s["sq"].to_numpy() / self.density.area})
 
-    def stats(self, w: np.ndarray) -> DataFrame:
+    def hessian(self, w: np.ndarray) -> Sparse:
         t = self.table(w)
-        return density.cell_image_moments(cells_of(t.sparkSession, self.placed(w)).where("size(vs) > 2").select("site_id", "vs"), t, self.pixels, corners=False)
+        with self.cells(w, t) as cells:
+            h = hessian(cell_edges(cells), t, self.density.area).toPandas()
+        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), h[c].to_numpy())
+        return Sparse(place("i"), place("j"), h["h"].to_numpy(), self.n)
 
-    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray, pd.DataFrame]:
-        self.evaluations += 1
-        s = self.stats(w).select("site_id", "mu", "sqint", "g").toPandas().sort_values("site_id")
-        g = s["g"].to_numpy()
-        return float(-(s["sqint"].sum() - (g * w).sum())), g, s
+    def raised(self, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each cell's mass, and the weight that would give it its site's mass if all others stayed."""
+        if self.n > HELD_SITES:
+            raise ValueError(f"coordinate steps send {HELD_SITES} sites to tasks at most")
+        s = raised(self.sites.sparkSession, self.placed(w), self.held["m"].to_numpy() * self.density.area, step)
+        return s["area"].to_numpy() / self.density.area, s["w"].to_numpy()
+
+
+def Raster(sites: DataFrame, pixels: DataFrame, domain: list[tuple[float, float]] = DOMAIN) -> Objective:  # noqa: N802
+    """The objective for a raster's density (x, y, v), each pixel covered and integrated exactly."""
+    return Objective(sites, RasterDensity(domain, stored(pixels, "pixels")))  # read at each evaluation
 
 
 @dataclass
@@ -199,7 +208,7 @@ def _line_search(f, w: np.ndarray, f0: float, g0: np.ndarray, step: np.ndarray,
     return best
 
 
-def lbfgs(f: Uniform, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, level: int = 0) -> np.ndarray:
+def lbfgs(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, level: int = 0) -> np.ndarray:
     """Limited-memory quasi-Newton descent."""
     f0, g, s = f(w)
     pairs: deque = deque(maxlen=memory)
@@ -227,7 +236,7 @@ def lbfgs(f: Uniform, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: in
     return w - w.mean()
 
 
-def gradient_descent(f: Uniform, w: np.ndarray, stop: Stop, step: float | None = None, max_steps: int = 1000, log: Log | None = None) -> np.ndarray:
+def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None = None, max_steps: int = 1000, log: Log | None = None) -> np.ndarray:
     """Steepest descent, by line search or with a constant ``step``.
 
     The search begins at the length that the last step's change of the gradient suggests.
@@ -274,7 +283,7 @@ def _conjugate_gradients(h: Sparse, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def unhidden(f: Uniform, w: np.ndarray, tries: int = 8) -> np.ndarray:
+def unhidden(f: Objective, w: np.ndarray, tries: int = 8) -> np.ndarray:
     """``w`` scaled back by halves until every cell has mass; where that fails, zero weights, whose cells are those of the nearest site."""
     w = w - w.mean()
     for _ in range(tries):
@@ -324,7 +333,7 @@ def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 2000, log
     exceeds its mass, and the weights rise towards the solution. The masses that
     ``stop`` sees are those before a step.
     """
-    across = max(a for a, _ in f.domain) - min(a for a, _ in f.domain), max(b for _, b in f.domain) - min(b for _, b in f.domain)
+    across = max(a for a, _ in f.density.domain) - min(a for a, _ in f.density.domain), max(b for _, b in f.density.domain) - min(b for _, b in f.density.domain)
     w = np.zeros(f.n)
     w[1:] = -2 * float(np.hypot(*across)) ** 2
     for _ in range(max_steps):
@@ -341,18 +350,19 @@ def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 2000, log
     return w - w.mean()
 
 
-def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | None = None, domain: list[tuple[float, float]] = DOMAIN, solve: Callable | None = None) -> DataFrame:
+def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | None = None, density: UniformDensity | None = None, solve: Callable | None = None) -> DataFrame:
     """(level, site_id, w, w2, error, evaluations, converged) from the coarsest level to the finest, each begun at its parents' weights,
     scaled back where they hide a cell.
 
     ``error`` bounds w2 from the finest level: the root of the misaffected mass times
-    the diameter, and the distance between the levels. ``solve`` takes the place of
-    :func:`lbfgs`.
+    the diameter, and the distance between the levels. ``density`` is the uniform one of the fixtures' domain unless named; ``solve`` takes the
+    place of :func:`lbfgs`.
     """
     spark, weights, out = hier.sparkSession, None, []
     top = hier.agg(F.max("level")).first()[0] or 0
     for level in range(top, -1, -1):
-        f = Uniform(hier.where(F.col("level") == level), domain)
+        at = hier.where(F.col("level") == level)
+        f = Objective(at, density) if isinstance(density, RasterDensity) else Uniform(at, density or UniformDensity())
         w = np.zeros(f.n)
         if weights is not None:
             w = unhidden(f, hierarchy.prolonged(hier, weights, level, level + 1).orderBy("site_id").toPandas()["w"].to_numpy())

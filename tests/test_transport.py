@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
 from massflow.jobs.registry import ORACLES, QUERIES
-from massflow.operators import cluster, density, interpolate, measure, objective, solvers
+from massflow.operators import cells, cluster, density, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned
 from massflow.operators.cells import Sites, cell_edges, power_cells, uniform_cell_moments
+from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.sources import fixtures, formats
 
 SF = "/root/testdata/sf0.001"
@@ -279,7 +280,7 @@ def test_one_frame_is_the_start(spark):
 
 def test_levels_of_a_density_share_out_its_mass(spark):
     domain = [(0.0, 0.0), (6.0, 0.0), (7.0, 3.0), (0.0, 4.0)]
-    h = cluster.decomposed_density(spark, domain, 3, 4, threshold=0.05).toPandas()
+    h = cluster.decomposed_density(spark, UniformDensity(domain), 3, 4, threshold=0.05).toPandas()
     assert h.groupby("level").size().to_dict() == {0: 16, 1: 4, 2: 1}
     vs = F.array(*(G.point(F.lit(a), F.lit(b)) for a, b in domain))
     c = spark.range(1).select(G.centroid(vs).alias("c")).first()["c"]
@@ -290,3 +291,136 @@ def test_levels_of_a_density_share_out_its_mass(spark):
         up = h[h.level == r.level + 1].set_index("site_id")
         d2 = (up.x - r.x) ** 2 + (up.y - r.y) ** 2
         assert d2[r.parent_id] == pytest.approx(d2.min())
+
+
+def clustered_sites(spark, n, seed, heavy=0.0):
+    """Sites of which most lie in a small spot, some at one x, and one is heavy."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.uniform(0, 49, n), rng.uniform(0, 10, n)
+    x[: n // 2], y[: n // 2] = 7 + 0.01 * rng.uniform(0, 1, n // 2), 3 + 0.01 * rng.uniform(0, 1, n // 2)
+    x[n // 2 : 2 * n // 3] = 30.0
+    w = rng.uniform(0, 0.5, n)
+    w[: n // 2] *= 1e-5
+    w[-1] += heavy
+    return spark.createDataFrame([(i, float(a), float(b), 1 / n, float(c)) for i, (a, b, c) in enumerate(zip(x, y, w, strict=True))], "site_id long, x double, y double, m double, w double")
+
+
+@pytest.mark.parametrize(("heavy", "seed"), [(0.0, 1), (60.0, 2)])
+def test_cells_are_the_same_for_any_number_of_tiles(spark, heavy, seed):
+    s = clustered_sites(spark, 240, seed, heavy)
+    seen = []
+    for size in (10_000, 60, 4):
+        cells = power_cells(s, tile_sites=size)
+        area = {r[0]: r[1] for r in cells.select("site_id", F.coalesce(G.area(F.col("vs")), F.lit(0e0))).collect()}
+        edges = {(r["site_id"], r["neighbour"]): r["len"] for r in cell_edges(cells).where("len > 1e-6").collect()}
+        seen.append((area, edges))
+    whole, by = seen[0]
+    assert sum(whole.values()) == pytest.approx(490, abs=1e-7)
+    assert len(whole) == 240 and (heavy == 0 or min(whole.values()) == 0)
+    for area, edges in seen[1:]:
+        assert area == pytest.approx(whole, abs=1e-9)
+        assert edges == pytest.approx(by, abs=1e-6)
+    assert power_cells(s.limit(0)).count() == 0
+
+
+def test_tiles_are_even_and_hold_coincident_sites_together(spark):
+    s = clustered_sites(spark, 2000, 3).unionByName(spark.createDataFrame([(5000, 30.0, 5.0, 0.0, 0.0), (5001, 30.0, 5.0, 0.0, 1.0)], "site_id long, x double, y double, m double, w double"))
+    tiled = cells._tiled(s.select("site_id", "x", "y", "w"), 2002, 50).toPandas()
+    assert len(tiled) == 2002 and tiled.groupby(["strip", "tile"]).size().max() <= 200
+    assert tiled[tiled.site_id >= 5000].groupby(["strip", "tile"]).ngroups == 1
+    areas = {r[0]: r[1] for r in power_cells(s, tile_sites=50).where("site_id >= 5000").select("site_id", F.coalesce(G.area(F.col("vs")), F.lit(0e0))).collect()}
+    assert areas[5000] == 0 < areas[5001]
+
+
+def small_raster(spark):
+    """A raster that is dark on its left, without the last column of the domain."""
+    return spark.createDataFrame([(x, y, 1 + 9 * (x >= 5) + (x * y) % 3) for x in range(11) for y in range(6) if (x, y) != (3, 3)], "x int, y int, v int")
+
+
+BOX = [(0.0, 0.0), (12.0, 0.0), (12.0, 5.5), (0.0, 5.5)]
+
+
+def raster_by_hand(pixels, sites, n=40):
+    """mu, cx, cy and sqint of the nearest site's part, by n x n samples of each pixel."""
+    out = np.zeros((len(sites), 4))
+    for x, y, v in pixels:
+        a, b = np.meshgrid(x + (np.arange(n) + 0.5) / n, y + (np.arange(n) + 0.5) / n)
+        a, b = a.ravel(), b.ravel()
+        inside = (a < 12) & (b < 5.5)
+        a, b = a[inside], b[inside]
+        d2 = (a[:, None] - sites[:, 0]) ** 2 + (b[:, None] - sites[:, 1]) ** 2
+        k = d2.argmin(axis=1)
+        for j, value in enumerate((np.ones(len(a)), a, b, d2[np.arange(len(a)), k])):
+            out[:, j] += np.bincount(k, value, len(sites)) * v / n / n
+    total = out[:, 0].sum()
+    return out[:, 0] / total, out[:, 1] / out[:, 0], out[:, 2] / out[:, 0], out[:, 3] / total
+
+
+def test_lloyds_step_for_a_raster_is_the_centroid_of_samples(spark):
+    p = small_raster(spark)
+    rng = np.random.default_rng(8)
+    at = np.stack([rng.uniform(0, 11, 7), rng.uniform(0, 5.5, 7)], axis=1)
+    c = spark.createDataFrame([(i, float(x), float(y), 0.0, 0.0) for i, (x, y) in enumerate(at)], "site_id long, x double, y double, m double, w double")
+    mu, cx, cy, _ = raster_by_hand([tuple(r) for r in p.collect()], at)
+    got = cluster.density_step(c, RasterDensity(BOX, p)).orderBy("site_id").toPandas()
+    assert got.m.to_numpy() == pytest.approx(mu, abs=3e-3) and got.x.to_numpy() == pytest.approx(cx, abs=2e-2) and got.y.to_numpy() == pytest.approx(cy, abs=2e-2)
+    lone = spark.createDataFrame([(0, 11.9, 0.5, 0.0, 0.0), (1, 3.0, 3.0, 0.0, 0.0)], c.schema)
+    none = RasterDensity(BOX, p.where("x < 5"))
+    assert cluster.density_step(lone, none).where("site_id = 0").select("x", "y", "m").first() == (11.9, 0.5, 0.0), "a centre without mass stays"
+
+
+def test_quantised_raster_lowers_the_energy_and_tells_whether_it_came_to_rest(spark):
+    d = RasterDensity(BOX, small_raster(spark))
+    start = d.drawn(spark, 12, seed=3)
+    places = start.toPandas()
+    assert len(places) == 12 and places.x.between(0, 12).all() and places.y.between(0, 5.5).all() and (d.drawn(spark, 400).where("x < 5").count() / 400) == pytest.approx(0.16, abs=0.08)
+    pixels, energies = [tuple(r) for r in d.pixels.collect()], []
+    for steps in (0, 2, 40):
+        q = cluster.quantised(spark, d, 12, seed=3, threshold=0.03, max_steps=steps).orderBy("site_id").toPandas()
+        energies.append(raster_by_hand(pixels, q[["x", "y"]].to_numpy())[3].sum())
+        assert (q.converged == (steps == 40)).all()
+    assert energies == sorted(energies, reverse=True) and q.m.sum() == pytest.approx(1)
+    assert (q.move <= 0.03).all() and (q.steps < 40).all()
+
+
+def test_levels_of_a_raster_share_out_its_mass(spark):
+    d = RasterDensity(BOX, small_raster(spark))
+    h = cluster.decomposed_density(spark, d, 3, 4, threshold=0.02).toPandas()
+    sizes = h.groupby("level").size().to_dict()
+    assert sizes[2] == 1 and sizes[1] == 4 and 10 <= sizes[0] <= 16 and h.converged.all()
+    mu, cx, cy, _ = raster_by_hand([tuple(r) for r in d.pixels.collect()], np.array([[6.0, 3.0]]))
+    for _, level in h.groupby("level"):
+        assert level.m.sum() == pytest.approx(1) and (level.m > 0).all()
+        assert (level.m * level.x).sum() == pytest.approx(cx[0], abs=0.03) and (level.m * level.y).sum() == pytest.approx(cy[0], abs=0.03)
+    for r in h[h.level < 2].itertuples():
+        up = h[h.level == r.level + 1].set_index("site_id")
+        d2 = (up.x - r.x) ** 2 + (up.y - r.y) ** 2
+        assert d2[r.parent_id] == pytest.approx(d2.min())
+    level = cluster.quantised(spark, d, 20).where("m > 0").select("site_id", "x", "y", "m")
+    up = cluster.decomposed(level, 2, 5, restarts=2).toPandas()
+    assert up.groupby("level").size().to_dict() == {0: 20, 1: 4} and up[up.level == 0].converged.all()
+
+
+def test_coarsening_takes_the_best_of_its_starts(spark):
+    p = random_sites(spark, 60, 11).drop("w")
+    alone = [cluster.coarsened(p, 5, restarts=r).select("energy").first()[0] for r in (1, 4)]
+    best = cluster.coarsened(p, 5, restarts=4)
+    assert alone[1] <= alone[0] and best.select("converged").first()[0]
+    again = cluster.lloyd_step(p.drop("site_id"), best)
+    assert again.agg(F.max("move")).first()[0] < 1e-7, "centres rest at their points' centroid"
+    assert cluster.lloyd_energy(p.drop("site_id"), best).first()["energy"] == pytest.approx(alone[1])
+    with pytest.raises(ValueError):
+        cluster.coarsened(p.limit(0), 5)
+
+
+def test_multiscale_begins_where_no_cell_is_hidden(spark):
+    got = solvers.multiscale(fixtures.hierarchy(spark, SF), solvers.norm_inf(1e-6), solve=solvers.newton).toPandas()
+    assert got.converged.all() and got.evaluations.max() <= 20
+    f = solvers.Uniform(random_sites(spark, 30, 5))
+    w = solvers.unhidden(f, np.where(np.arange(30) < 15, 400.0, 0.0))
+    assert (f(w)[2]["mu"] > 0).all() and f.evaluations <= 12
+
+
+def test_multiscale_shares_out_a_raster(spark):
+    got = solvers.multiscale(fixtures.hierarchy(spark, SF).where("level > 0"), solvers.norm_inf(1e-3), density=RasterDensity(pixels=fixtures.pixels(spark, SF))).toPandas()
+    assert got.converged.all() and set(got.level) == {1, 2} and np.isfinite(got.w2).all()
