@@ -301,7 +301,7 @@ def _nations(spark: SparkSession, d: str) -> DataFrame:
 GOAL = 1e-6
 
 
-def _solved(f: solvers.Uniform, solve, goal: float = GOAL) -> DataFrame:
+def _solved(f: solvers.Objective, solve, goal: float = GOAL) -> DataFrame:
     """The solver's weights and masses; ``converged`` tells whether all masses are met to the goal."""
     w = solve(f, np.zeros(f.n), solvers.norm_inf(goal))
     worst = float(np.abs(f(w)[1]).max())
@@ -325,8 +325,8 @@ def solve_coordinate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def solve_image(spark: SparkSession, d: str) -> DataFrame:
-    """The weights for which the power cells share out the raster by the nations' masses."""
-    return _solved(solvers.Raster(_nations(spark, d), pixels=X.pixels(spark, d)), solvers.lbfgs, goal=1e-3)
+    """The weights for which the power cells share out the raster by the suppliers' masses."""
+    return _solved(solvers.Raster(X.sites(spark, d), X.pixels(spark, d)), solvers.newton)
 
 
 def multiscale_wasserstein(spark: SparkSession, d: str) -> DataFrame:
@@ -392,7 +392,7 @@ def decompose_raster(spark: SparkSession, d: str) -> DataFrame:
 
 def multiscale_image(spark: SparkSession, d: str) -> DataFrame:
     """The weights that share out the raster over the hierarchy's levels, the coarsest first."""
-    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(1e-3), density=_raster(spark, d))
+    return solvers.multiscale(X.hierarchy(spark, d), solvers.norm_inf(GOAL), density=_raster(spark, d), solve=solvers.newton)
 
 
 def displacement_interpolation(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sites that every point is held against, as one list without squares.
+FEW = 64
 #: Most squares along a side.
 MAX_SIDE = 1 << 14
 
@@ -101,15 +103,19 @@ def assigned(points: DataFrame, sites: DataFrame, weighted: bool = True) -> Data
     equal ones the smallest site_id. Without sites there are no rows.
     """
     s = sites.select("site_id", "x", "y", (F.col("w") if weighted else F.lit(0e0)).alias("w"))
-    grid = _grid(points, s)
-    if grid is None:
+    found = s.select(F.struct("site_id", "x", "y", "w").alias("s")).limit(FEW + 1).agg(F.collect_list("s").alias("near"))
+    few = 0 < found.select(F.size("near")).first()[0] <= FEW
+    grid = None if few else _grid(points, s)
+    if not few and grid is None:
         return points.select("*", F.lit(None).cast("long").alias("site_id"), F.lit(None).cast("double").alias("d2")).limit(0)
-    lists = _lists(s, grid)
-    placed = points.withColumns({"cx": grid.index("x"), "cy": grid.index("y")})
     x, y = F.col("x"), F.col("y")
     d2 = lambda s: (x - s["x"]) * (x - s["x"]) + (y - s["y"]) * (y - s["y"])
     best = F.array_min(F.transform("near", lambda s: F.struct((d2(s) - s["w"]).alias("power"), s["site_id"].alias("site_id"), d2(s).alias("d2"))))
-    return placed.join(lists, ["cx", "cy"]).withColumn("best", best).where("best is not null").select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.d2").alias("d2"))
+    if few:
+        met = points.where("x is not null and y is not null").crossJoin(F.broadcast(found))
+    else:
+        met = points.withColumns({"cx": grid.index("x"), "cy": grid.index("y")}).join(_lists(s, grid), ["cx", "cy"])
+    return met.withColumn("best", best).where("best is not null").select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.d2").alias("d2"))
 
 
 def cell_masses(points: DataFrame, sites: DataFrame) -> DataFrame:

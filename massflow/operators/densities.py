@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
 from massflow.operators import density, measure
-from massflow.operators.cells import Sites, uniform_cell_moments
+from massflow.operators.cells import Sites, cell_edges, uniform_cell_moments
 from massflow.sources.fixtures import DOMAIN
 
 Place = tuple[float, float]
@@ -60,6 +60,14 @@ class UniformDensity:
         """Per site, of its cell (site_id, vs): mu, cx, cy (null without mass), sqint about the site, and g = mu - m."""
         return uniform_cell_moments(cells, sites, self.area)
 
+    def edges(self, cells: DataFrame) -> DataFrame:
+        """(site_id, neighbour, len): the density along the edges between cells (site_id, vs, neighbours), from both of their sides; ``total`` is
+        what makes it 1 over the domain."""
+        return cell_edges(cells)
+
+    def total(self, spark: SparkSession) -> float:
+        return self.area
+
     def centroid(self, spark: SparkSession) -> Place:
         x, y = polygon_centroid(self.domain, self.domain[0])
         return float(x), float(y)
@@ -107,6 +115,16 @@ class RasterDensity(UniformDensity):
     def over(self, cells: DataFrame, sites: DataFrame) -> DataFrame:
         return density.cell_image_moments(cells.where("size(vs) > 2").select("site_id", "vs"), sites, self.pixels, corners=self.corners)
 
+    def edges(self, cells: DataFrame) -> DataFrame:
+        e = cells.where("size(vs) > 0").select("site_id", "vs", F.posexplode("neighbours").alias("i", "neighbour")).where("neighbour >= 0")
+        p, q = F.element_at("vs", F.col("i") + 1), F.element_at("vs", (F.col("i") + 1) % F.size("vs") + 1)
+        segments = e.select(F.struct("site_id", "neighbour").alias("e"), p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"))
+        met = density.over_pixels(density.segment_pixels(segments, "e"), self.pixels)
+        return met.groupBy("e").agg(F.sum(F.col("len") * F.col("v")).alias("len")).select("e.*", "len").where("len > 1e-9")
+
+    def total(self, spark: SparkSession) -> float:
+        return density.image_moments(self._whole(spark), self.pixels, "site_id").first()["mass"]
+
     def _whole(self, spark: SparkSession) -> DataFrame:
         return spark.range(1).select(F.col("id").alias("site_id"), self.polygon.alias("vs"))
 

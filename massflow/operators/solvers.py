@@ -12,6 +12,7 @@ from collections import deque
 from collections.abc import Callable
 from contextlib import AbstractContextManager
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massflow.operators import hierarchy
-from massflow.operators.cells import HELD_SITES, Sites, cell_edges, cells_at_hand, cells_of, measured, power_cells, raised
+from massflow.operators.cells import HELD_SITES, Sites, cells_at_hand, cells_of, measured, power_cells, raised
 from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.operators.objective import hessian, running_bounds
 from massflow.sources.fixtures import DOMAIN
@@ -90,6 +91,17 @@ class Objective:
         with self.cells(w, t) as cells:
             return self.density.over(cells, t).select("site_id", "mu", "sqint").toPandas().sort_values("site_id", ignore_index=True)
 
+    @cached_property
+    def total(self) -> float:
+        return self.density.total(self.sites.sparkSession)
+
+    def hessian(self, w: np.ndarray) -> Sparse:
+        t = self.table(w)
+        with self.cells(w, t) as cells:
+            h = hessian(self.density.edges(cells), t, self.total).toPandas()
+        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), h[c].to_numpy())
+        return Sparse(place("i"), place("j"), h["h"].to_numpy(), self.n)
+
 
 @dataclass
 class Uniform(Objective):
@@ -103,13 +115,6 @@ class Uniform(Objective):
         s = measured(self.sites.sparkSession, self.placed(w))
         return pd.DataFrame({"site_id": self.held["site_id"], "mu": s["area"].to_numpy() / self.density.area, "sqint": s["sq"].to_numpy() / self.density.area})
 
-    def hessian(self, w: np.ndarray) -> Sparse:
-        t = self.table(w)
-        with self.cells(w, t) as cells:
-            h = hessian(cell_edges(cells), t, self.density.area).toPandas()
-        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), h[c].to_numpy())
-        return Sparse(place("i"), place("j"), h["h"].to_numpy(), self.n)
-
     def raised(self, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
         """Each cell's mass, and the weight that would give it its site's mass if all others stayed."""
         if self.n > HELD_SITES:
@@ -293,7 +298,7 @@ def unhidden(f: Objective, w: np.ndarray, tries: int = 8) -> np.ndarray:
     return np.zeros_like(w)
 
 
-def newton(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Log | None = None) -> np.ndarray:
+def newton(f: Objective, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Log | None = None) -> np.ndarray:
     """Damped Newton steps with the last weight fixed; a step that empties a cell is halved.
 
     Where cells are empty to begin with the Hessian says nothing of them, so the weights are

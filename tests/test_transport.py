@@ -75,8 +75,9 @@ def test_one_two_collinear_and_coincident_sites(spark, rows):
     assert len(areas) == len(rows) and sum(areas) == pytest.approx(490)
 
 
-def test_assignment_is_the_nearest_of_all(spark):
-    s = random_sites(spark, 60, 2, weights=9.0)
+@pytest.mark.parametrize("n", [60, 200])
+def test_assignment_is_the_nearest_of_all(spark, n):
+    s = random_sites(spark, n, 2, weights=9.0)
     p = random_sites(spark, 500, 3).select(F.col("site_id").alias("pid"), "x", "y", "m")
     got = {r["pid"]: r["site_id"] for r in assigned(p, s).collect()}
     sites = s.toPandas()
@@ -375,36 +376,36 @@ def test_quantised_raster_lowers_the_energy_and_tells_whether_it_came_to_rest(sp
     places = start.toPandas()
     assert len(places) == 12 and places.x.between(0, 12).all() and places.y.between(0, 5.5).all() and (d.drawn(spark, 400).where("x < 5").count() / 400) == pytest.approx(0.16, abs=0.08)
     pixels, energies = [tuple(r) for r in d.pixels.collect()], []
-    for steps in (0, 2, 40):
-        q = cluster.quantised(spark, d, 12, seed=3, threshold=0.03, max_steps=steps).orderBy("site_id").toPandas()
+    for steps in (0, 1, 30):
+        q = cluster.quantised(spark, d, 12, seed=3, threshold=0.1, max_steps=steps).orderBy("site_id").toPandas()
         energies.append(raster_by_hand(pixels, q[["x", "y"]].to_numpy())[3].sum())
-        assert (q.converged == (steps == 40)).all()
+        assert (q.converged == (steps == 30)).all()
     assert energies == sorted(energies, reverse=True) and q.m.sum() == pytest.approx(1)
-    assert (q.move <= 0.03).all() and (q.steps < 40).all()
+    assert (q.move <= 0.1).all() and (q.steps < 30).all()
 
 
 def test_levels_of_a_raster_share_out_its_mass(spark):
     d = RasterDensity(BOX, small_raster(spark))
-    h = cluster.decomposed_density(spark, d, 3, 4, threshold=0.02).toPandas()
+    h = cluster.decomposed_density(spark, d, 3, 4, threshold=0.15).toPandas()
     sizes = h.groupby("level").size().to_dict()
     assert sizes[2] == 1 and sizes[1] == 4 and 10 <= sizes[0] <= 16 and h.converged.all()
     mu, cx, cy, _ = raster_by_hand([tuple(r) for r in d.pixels.collect()], np.array([[6.0, 3.0]]))
     for _, level in h.groupby("level"):
         assert level.m.sum() == pytest.approx(1) and (level.m > 0).all()
-        assert (level.m * level.x).sum() == pytest.approx(cx[0], abs=0.03) and (level.m * level.y).sum() == pytest.approx(cy[0], abs=0.03)
+        assert (level.m * level.x).sum() == pytest.approx(cx[0], abs=0.15) and (level.m * level.y).sum() == pytest.approx(cy[0], abs=0.15)
     for r in h[h.level < 2].itertuples():
         up = h[h.level == r.level + 1].set_index("site_id")
         d2 = (up.x - r.x) ** 2 + (up.y - r.y) ** 2
         assert d2[r.parent_id] == pytest.approx(d2.min())
-    level = cluster.quantised(spark, d, 20).where("m > 0").select("site_id", "x", "y", "m")
+    level = cluster.quantised(spark, d, 20, threshold=0.5).where("m > 0").select("site_id", "x", "y", "m")
     up = cluster.decomposed(level, 2, 5, restarts=2).toPandas()
     assert up.groupby("level").size().to_dict() == {0: 20, 1: 4} and up[up.level == 0].converged.all()
 
 
 def test_coarsening_takes_the_best_of_its_starts(spark):
-    p = random_sites(spark, 60, 11).drop("w")
-    alone = [cluster.coarsened(p, 5, restarts=r).select("energy").first()[0] for r in (1, 4)]
-    best = cluster.coarsened(p, 5, restarts=4)
+    p = random_sites(spark, 30, 11).drop("w")
+    best = cluster.coarsened(p, 5, restarts=3)
+    alone = [r.select("energy").first()[0] for r in (cluster.coarsened(p, 5), best)]
     assert alone[1] <= alone[0] and best.select("converged").first()[0]
     again = cluster.lloyd_step(p.drop("site_id"), best)
     assert again.agg(F.max("move")).first()[0] < 1e-7, "centres rest at their points' centroid"
@@ -421,6 +422,16 @@ def test_multiscale_begins_where_no_cell_is_hidden(spark):
     assert (f(w)[2]["mu"] > 0).all() and f.evaluations <= 12
 
 
-def test_multiscale_shares_out_a_raster(spark):
-    got = solvers.multiscale(fixtures.hierarchy(spark, SF).where("level > 0"), solvers.norm_inf(1e-3), density=RasterDensity(pixels=fixtures.pixels(spark, SF))).toPandas()
-    assert got.converged.all() and set(got.level) == {1, 2} and np.isfinite(got.w2).all()
+def test_multiscale_shares_out_a_raster_by_newtons_steps(spark):
+    rows = [(0, 1, 1.0, 1.0, 0.1, 1), (0, 2, 4.0, 4.0, 0.2, 1), (0, 3, 8.0, 1.0, 0.2, 2), (0, 4, 8.5, 4.5, 0.3, 2), (0, 5, 11.0, 2.0, 0.2, 2), (1, 1, 3.0, 3.0, 0.3, None), (1, 2, 9.0, 2.5, 0.7, None)]
+    hier = spark.createDataFrame(rows, "level int, site_id long, x double, y double, m double, parent_id long")
+    got = solvers.multiscale(hier, solvers.norm_inf(1e-6), density=RasterDensity(BOX, small_raster(spark)), solve=solvers.newton).toPandas()
+    assert got.converged.all() and set(got.level) == {0, 1} and np.isfinite(got.w2).all() and got.evaluations.max() <= 20
+
+
+def test_hessian_of_a_raster_is_the_gradients_derivative(spark):
+    f = solvers.Objective(random_sites(spark, 5, 7).withColumns({"x": F.col("x") / 5, "y": F.col("y") / 2}), RasterDensity(BOX, small_raster(spark)))
+    w, step = np.zeros(5), np.eye(5)[2] * 1e-5
+    h = f.hessian(w)
+    assert (f(w + step)[1] - f(w - step)[1]) / 2e-5 == pytest.approx(h @ np.eye(5)[2], abs=1e-5)
+    assert h @ np.ones(5) == pytest.approx(np.zeros(5), abs=1e-12)
