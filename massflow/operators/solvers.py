@@ -288,11 +288,12 @@ def _conjugate_gradients(h: Sparse, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def unhidden(f: Objective, w: np.ndarray, tries: int = 8) -> np.ndarray:
-    """``w`` scaled back by halves until every cell has mass; where that fails, zero weights, whose cells are those of the nearest site."""
+def unhidden(f: Objective, w: np.ndarray, tries: int = 3, least: float = 0.1) -> np.ndarray:
+    """``w`` scaled back by halves until every cell has ``least`` of its site's mass, as steps from almost hidden cells are short;
+    where that fails, zero weights, whose cells are those of the nearest site."""
     w = w - w.mean()
     for _ in range(tries):
-        if (f(w)[2]["mu"] > 0).all():
+        if (f(w)[2]["mu"].to_numpy() > least * f.held["m"].to_numpy()).all():
             return w
         w = w / 2
     return np.zeros_like(w)
