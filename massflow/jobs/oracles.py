@@ -46,6 +46,13 @@ _CROSS = """, t AS (SELECT seg_id, x0, y0, x1, y1, list_sort(list_distinct(list_
 sp AS (SELECT seg_id, CAST(floor(x0 + (x1 - x0) * (ts[i] + ts[i + 1]) / 2) AS INT) AS x, CAST(floor(y0 + (y1 - y0) * (ts[i] + ts[i + 1]) / 2) AS INT) AS y, (ts[i + 1] - ts[i]) * sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) AS len
   FROM (SELECT *, unnest(range(1, len(ts))) AS i FROM t) z) """
 _HESSIAN = ", hs AS (SELECT i.site_id AS i, j.site_id AS j, -ed.len / 490 / (2 * sqrt((i.x - j.x) ^ 2 + (i.y - j.y) ^ 2)) AS h FROM ed JOIN site i USING (site_id) JOIN site j ON j.site_id = ed.nb) "
+#: The walk itself, a move a step: one row holds the rooms of all sinks.
+_WALK = """, u AS (SELECT site_id, x, y, CAST(round(g / (SELECT sum(abs(g)) FROM st) * 1e15) AS BIGINT) AS u FROM st WHERE g <> 0),
+o AS MATERIALIZED (SELECT list({'x': x, 'y': y, 'u': u} ORDER BY site_id) FILTER (u > 0) AS src, list({'x': x, 'y': y, 'u': -u} ORDER BY site_id) FILTER (u < 0) AS snk, (SELECT sum(abs(g)) FROM st) / 1e15 AS unit FROM u),
+r AS (WITH RECURSIVE w AS (SELECT 1 AS i, src[1].u AS have, list_transform(snk, lambda s: s.u) AS rooms, 0e0 AS cost, CAST(0 AS BIGINT) AS n FROM o
+  UNION ALL SELECT CASE WHEN moved = have THEN i + 1 ELSE i END, CASE WHEN moved = have THEN src[i + 1].u ELSE have - moved END, list_transform(rooms, lambda v, j: CASE WHEN j = near.k THEN v - moved ELSE v END), cost + moved * unit * near.d, n + 1
+  FROM (SELECT *, least(have, rooms[near.k]) AS moved FROM (SELECT w.*, o.*, list_min(list_filter(list_transform(range(1, len(snk) + 1), lambda k: {'d': (snk[k].x - src[i].x) * (snk[k].x - src[i].x) + (snk[k].y - src[i].y) * (snk[k].y - src[i].y), 'k': k}), lambda z: rooms[z.k] > 0)) AS near
+    FROM w, o WHERE have IS NOT NULL) a WHERE near IS NOT NULL) b) SELECT * FROM w) """
 #: The same cells of sites in another table.
 _cells_of = lambda table: re.sub(r"\bsite\b", table, _CELLS)
 #: Per site, weights for three frames; a cell's site_id is ten times the site's and the frame's number.
@@ -143,5 +150,6 @@ SQL = {
     "objective_value": with_tables("site pt", _STATS + "SELECT round(-(sum(sqint) - sum(g * w)), 6) AS f, round(sum(sqint), 6) AS w2_squared, count(*) FILTER (mu <> 0) AS active FROM st"),
     "gradient_norms": with_tables("site pt", _STATS + "SELECT round(sum(abs(g)), 6) AS norm_1, round(sqrt(sum(g * g)), 6) AS norm_2, round(pow(sum(pow(abs(g), 3)), 1 / 3e0), 6) AS norm_p, round(max(abs(g)), 6) AS norm_inf FROM st"),
     "misaffected_mass": with_tables("site pt", _STATS + "SELECT round(sum(abs(g)) / 2, 6) AS misaffected, round(sum(CASE WHEN g > 0 THEN g ELSE 0e0 END), 6) AS excess, round(sum(CASE WHEN g <= 0 THEN -g ELSE 0e0 END), 6) AS lack FROM st"),
+    "greedy_wasserstein_bound": with_tables("site pt", _STATS + _WALK + "SELECT round(sqrt(arg_max(cost, n)), 6) AS bound, max(n) AS n_moves FROM r"),
     "trivial_error_bound": with_tables("site pt", _STATS + "SELECT round(sqrt((max(x) - min(x)) ^ 2 + (max(y) - min(y)) ^ 2), 6) AS diameter, round(sqrt(sum(abs(g)) / 2) * sqrt((max(x) - min(x)) ^ 2 + (max(y) - min(y)) ^ 2), 6) AS bound FROM st"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
-from massflow.operators import cluster, density, hierarchy, interpolate, measure, objective, solvers
+from massflow.operators import cluster, density, greedy, hierarchy, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned, cell_masses
 from massflow.operators.cells import cell_edges, power_cells, uniform_cell_moments
 from massflow.operators.densities import RasterDensity, UniformDensity
@@ -290,8 +290,9 @@ def weights_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_wasserstein_bound(spark: SparkSession, d: str) -> DataFrame:
-    s = _stats(spark, d).where("g <> 0")
-    return spark.createDataFrame([(objective.greedy_bound(s), s.count())], "bound double, n_sites long")
+    """The bound, and the number of moves."""
+    moved = greedy.greedy_moves(_stats(spark, d)).agg(F.sqrt(F.coalesce(F.sum(F.col("m") * F.col("d2")), F.lit(0e0))).alias("bound"), F.count("*").alias("n_moves"))
+    return rounded(moved, "bound")
 
 
 def _nations(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massflow.operators.greedy import greedy_bound
+
 
 def value(stats: DataFrame) -> DataFrame:
     """One row: f (convex in w, to be minimised), the squared distance and the number of active sites.
@@ -43,27 +42,6 @@ def hessian(edges: DataFrame, sites: DataFrame, domain_area: float) -> DataFrame
     return off.unionByName(off.groupBy("i").agg((-F.sum("h")).alias("h")).select("i", F.col("i").alias("j"), "h"))
 
 
-def greedy_bound(stats: DataFrame) -> float:
-    """Moves each excess, in the order of site_id, to the nearest remaining lack; the root of mass times squared way.
-
-    Each step depends on the last, so the sites with a residual are walked on the driver, one row each.
-    """
-    rows = stats.where("g <> 0").select("site_id", "x", "y", "g").orderBy("site_id").toPandas()
-    sink = rows[rows["g"] < 0]
-    place, lack, cost = sink[["x", "y"]].to_numpy(), -sink["g"].to_numpy(), 0.0
-    open_ = np.ones(len(sink), dtype=bool)
-    for x, y, excess in rows.loc[rows["g"] > 0, ["x", "y", "g"]].itertuples(index=False):
-        while excess > 1e-15 and open_.any():
-            d2 = np.where(open_, (place[:, 0] - x) ** 2 + (place[:, 1] - y) ** 2, np.inf)
-            k = int(d2.argmin())
-            moved = min(excess, lack[k])
-            cost += moved * d2[k]
-            excess -= moved
-            lack[k] -= moved
-            open_[k] = lack[k] > 1e-15
-    return math.sqrt(cost)
-
-
 def error_bound(stats: DataFrame) -> float:
     """The lesser of what the greedy walk and the sites' diameter say of the distance's error."""
     return min(greedy_bound(stats), trivial_bound(stats).first()["bound"] or 0.0)

@@ -1,5 +1,6 @@
 import math
 import os
+import random
 import tempfile
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
 from massflow.jobs.registry import ORACLES, QUERIES
-from massflow.operators import cells, cluster, density, interpolate, measure, objective, solvers
+from massflow.operators import cells, cluster, density, greedy, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned
 from massflow.operators.cells import Sites, cell_edges, power_cells, uniform_cell_moments
 from massflow.operators.densities import RasterDensity, UniformDensity
@@ -150,9 +151,36 @@ def test_lloyd_lowers_the_energy_and_levels_keep_mass_and_barycentre(spark):
     assert energies == sorted(energies, reverse=True)
 
 
-def test_greedy_bound_moves_what_is_left(spark):
-    s = spark.createDataFrame([(1, 0.0, 0.0, 0.5), (2, 3.0, 0.0, -0.2), (3, 0.0, 4.0, -0.3)], "site_id long, x double, y double, g double")
+def walked(rows):
+    """The greedy walk, a source after another: (source, sink) -> mass."""
+    total = sum(abs(g) for *_, g in rows)
+    units = [(i, x, y, round(g / total * 1e15)) for i, x, y, g in sorted(rows)]
+    room, moved = {i: -u for i, _, _, u in units if u < 0}, {}
+    for i, x, y, left in units:
+        while left > 0 and any(room.values()):
+            k = min((j for j, *_ in units if room.get(j)), key=lambda j: next(((x - a) ** 2 + (y - b) ** 2, j) for h, a, b, _ in units if h == j))
+            moved[i, k] = min(left, room[k])
+            left, room[k] = left - moved[i, k], room[k] - moved[i, k]
+    return {k: u * total / 1e15 for k, u in moved.items()}
+
+
+@pytest.mark.parametrize("leaf, even", [(64, True), (2, True), (2, False)])
+def test_greedy_moves_are_those_of_the_walk(spark, monkeypatch, leaf, even):
+    monkeypatch.setattr(greedy, "LEAF", leaf)
+    monkeypatch.setattr(greedy, "BROADCAST_LEVELS", leaf // 32)
+    r = random.Random(leaf + even)
+    # ties, coincident sites, a cluster and one far away; masses that fill sinks exactly
+    rows = [(3 * i, float(r.randint(0, 4)), float(r.randint(0, 2)) if i % 3 else 1e-3 * i, r.choice([-1, 1]) * (r.randint(1, 3) / 4 if even else r.random())) for i in range(26)] + [(1, 1e4, 0.0, -0.25)]
+    s = spark.createDataFrame(rows, "site_id long, x double, y double, g double")
+    got = {(m["source"], m["sink"]): m["m"] for m in greedy.greedy_moves(s).collect()}
+    assert got == pytest.approx(walked(rows), abs=1e-14)
+
+
+def test_greedy_bound_of_few_sites(spark):
+    kind = "site_id long, x double, y double, g double, sink int, room string"
+    s = spark.createDataFrame([(1, 0.0, 0.0, 0.5, 1, "a"), (2, 3.0, 0.0, -0.2, 1, "a"), (3, 0.0, 4.0, -0.3, 1, "a"), (4, None, 0.0, 0.5, 1, "a"), (5, 1.0, 1.0, None, 1, "a"), (6, 1.0, 1.0, 0.0, 1, "a")], kind)
     assert objective.greedy_bound(s) == pytest.approx(math.sqrt(0.2 * 9 + 0.3 * 16))
+    assert objective.greedy_bound(s.where("g > 0")) == objective.greedy_bound(s.where("g < 0")) == objective.greedy_bound(s.limit(0)) == 0
 
 
 def test_formats_round_trip(spark):
