@@ -4,13 +4,16 @@ A page becomes a tree of its block elements with its blocks of text as leaves.
 Each node is content or not: a unary potential speaks for the node's own tag,
 names and text, and a parent-child potential ties it to its parent. Sum-product
 messages pass upward and then downward through the tree and leave each node's
-exact marginal; the blocks that are more likely content are the text.
+exact marginal; the blocks that are more likely content are the text. What a name
+says is learned, beside a list of names to begin with; a name that tells a box's
+looks says less of a paragraph than of a part of the page. Reader comments are also
+known by their structure: siblings alike that each hold a line of author and date.
 
 The potentials maximise the likelihood of labelled pages: the gradient is what a
 page's labels show less what its marginals expect. Pages that label themselves,
 by ``article`` or ``main``, are the sample, and it is bounded. Altered copies, in which that tag
-has another name and foreign parts are put between the paragraphs, keep the model
-from leaning on that one tag.
+has another name or none, paragraphs are bare text or divs, and foreign parts are put between the
+paragraphs, keep the model from leaning on that one tag.
 
 Defined results: a null or empty page, or one without content, gives an empty
 text; broken markup is read as far as it goes: unclosed elements end with the
@@ -52,10 +55,22 @@ SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "t
 HOLDERS = frozenset("ul ol menu dir dl table tbody thead tfoot".split())
 CONTENT_NAMES = frozenset("article main content post entry story text body".split())
 OTHER_NAMES = frozenset(
-    """ad ads advert advertisement adverts alert aside banner bar breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion footer form header legal login masthead menu meta
-    modal nav navbar navigation newsletter notice notices notification pager pagination popup privacy promo promoted recommended related replies reply respond search share sharing sidebar sidenav
-    signup social sponsor sponsored subscribe tags teaser toc toolbar topbar warning widget widgets""".split()
+    """ad ads advert advertisement adverts alert aside banner bar breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer form header legal livefyre login masthead menu meta
+    modal nav navbar navigation newsletter notice notices notification pager pagination popup privacy promo promoted recommended related replies reply respond responses search share sharing sidebar sidenav
+    signup social sponsor sponsored subscribe tags teaser thread toc toolbar topbar warning widget widgets""".split()
 )
+#: Names that tell a paragraph's looks.
+LOOKS = frozenset("alert aside bar header teaser warning".split())
+#: Elements that hold one block of text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dd dt td th".split())
+#: Elements that are no single comment and no list of comments.
+WHOLE = frozenset("page html body main article".split())
+#: Elements around the parts of a page, which agree less with what holds them than parts of these.
+OUTER = frozenset("page html body".split())
+_DATE = r"(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d\d-\d\d|\d{1,2}\.? [^\W\d]{3,10}\.? \d{4}|[^\W\d]{3,10}\.? \d{1,2},? \d{4}|\d+ (?:second|minute|hour|day|week|month|year)s? ago|yesterday|vor \d+ \w+|il y a \d+ \w+|hace \d+ \w+)"
+#: A line of author and date, of author and verb, or a button to answer.
+_BYLINE = re.compile(rf"[^\w]*[^\W\d][^.!?]{{0,40}}?\b{_DATE}[^.!?]{{0,20}}\Z|[^\W\d][^.!?:]{{0,40}}\b(?:says|said|wrote|writes|commented|replied|schrieb|a écrit|escribió)\b[^.!?]{{0,30}}\Z|(?:reply|antworten|répondre|responder)\Z", re.I)
+BYLINE_LENGTH = 80
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<inside>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?/][^>]*>?", re.S | re.I
@@ -70,16 +85,16 @@ _WORDS = re.compile(r"[a-z]+")
 class Node:
     """An element (tag, attrs) or, without a tag, a block of text."""
 
-    __slots__ = ("attrs", "linked", "mass", "parent", "tag", "text")
+    __slots__ = ("attrs", "edge", "linked", "mass", "parent", "tag", "text", "thread")
 
     def __init__(self, parent: int, tag: str, attrs: str, text: str = "", linked: int = 0):
         self.parent, self.tag, self.attrs, self.text, self.linked = parent, tag, attrs, text, linked
-        self.mass = 0
+        self.mass, self.edge, self.thread = 0, 0, False
 
 
 def parse(html: str) -> list[Node]:
     """The tree of a page; parents stand before their children, blocks of text in page order."""
-    nodes, stack, buffer = [Node(-1, "html", "")], [0], []
+    nodes, stack, buffer = [Node(-1, "page", "")], [0], []
     links, linked = 0, 0
 
     def flush() -> None:
@@ -147,28 +162,74 @@ def parse(html: str) -> list[Node]:
     if at < len(html):
         buffer.append(html[at:])
     flush()
+    mark_threads(nodes)
     # the text of an element without links and without what is named otherwise in it
     for v in range(len(nodes) - 1, 0, -1):
         n = nodes[v]
         if not n.tag:
-            n.mass = max(0, len(n.text) - n.linked)
-        if not n.tag or "named other" not in element_features(n.tag, n.attrs):
+            n.edge, n.mass = 3, max(0, len(n.text) - n.linked)
+        elif n.tag not in OUTER and nodes[n.parent].tag in OUTER:
+            n.edge = 6
+        if not n.tag or not other(n):
             nodes[n.parent].mass += n.mass
+    # whether a part of the page is named as its content
+    if any(n.tag and 5 * n.mass >= nodes[0].mass and (n.tag in ("article", "main") or "named content" in element_features(n.tag, n.attrs)) for n in nodes[1:]):
+        nodes[0].attrs = "marked"
     return nodes
 
 
+def mark_threads(nodes: list[Node]) -> None:
+    """Marks comments: siblings of the same tag and names that each hold a byline and more; and what holds little else."""
+    lines = [v for v, n in enumerate(nodes) if not n.tag and len(n.text) <= BYLINE_LENGTH and _BYLINE.match(n.text)]
+    if len(lines) < 2:
+        return
+    texts, size = [0] * len(nodes), [0] * len(nodes)
+    for v in range(len(nodes) - 1, 0, -1):
+        if not nodes[v].tag:
+            texts[v], size[v] = 1, len(nodes[v].text)
+        texts[nodes[v].parent] += texts[v]
+        size[nodes[v].parent] += size[v]
+    alike: dict[tuple, set[int]] = {}
+    for v in lines:
+        a = nodes[v].parent
+        while nodes[a].tag not in WHOLE:
+            if texts[a] > 1:
+                alike.setdefault((nodes[a].parent, nodes[a].tag, names(nodes[a].attrs)), set()).add(a)
+            a = nodes[a].parent
+    for (holder, *_), entries in alike.items():
+        if len(entries) > 1:
+            for a in entries:
+                nodes[a].thread = True
+            if nodes[holder].tag not in WHOLE and 2 * sum(size[a] for a in entries) > size[holder]:
+                nodes[holder].thread = True
+
+
 @lru_cache(maxsize=20_000)
-def element_features(tag: str, attrs: str) -> tuple[str, ...]:
-    """What a unary potential sees of an element."""
-    names = {tag} if tag in CONTENT_NAMES or tag in OTHER_NAMES else set()
+def names(attrs: str) -> frozenset[str]:
+    """The words of an element's class, id and role."""
+    found: set[str] = set()
     for m in _NAMED.finditer(attrs) if attrs else ():
         if m[1].lower() != "data-label":
-            names.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-    names -= {"body"} if tag == "body" else set()
-    found = ["element", f"tag={tag}"]
-    if names & OTHER_NAMES:
+            found.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
+    return frozenset(found)
+
+
+def other(n: Node) -> bool:
+    """Whether an element is named as something else than content, or is a comment by its structure."""
+    return n.thread or "named other" in element_features(n.tag, n.attrs)
+
+
+@lru_cache(maxsize=20_000)
+def element_features(tag: str, attrs: str) -> tuple[str, ...]:
+    """What a unary potential sees of an element."""
+    if tag == "page":
+        return ("element", "tag=page", attrs or "unmarked")
+    said = names(attrs) | ({tag} if tag in CONTENT_NAMES or tag in OTHER_NAMES else set())
+    said -= {"body"} if tag == "body" else LOOKS if tag in TEXTUAL else set()
+    found = ["element", f"tag={tag}", *sorted(f"name={x}" for x in names(attrs) & said)]
+    if said & OTHER_NAMES:
         found.append("named other")
-    elif names & CONTENT_NAMES:
+    elif said & CONTENT_NAMES:
         found.append("named content")
     return tuple(found)
 
@@ -185,15 +246,15 @@ def features(node: Node, page_mass: int) -> tuple[str, ...]:
     if not node.tag:
         return text_features(node.text, node.linked)
     share = node.mass / page_mass if page_mass else 0.0
-    holder = node.tag in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
+    holder = node.tag in ("page", "html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
     size = "small" if holder else f"share={0 if share < 0.1 else 1 if share < 0.4 else 2 if share < 0.7 else 3} long={min(5, node.mass.bit_length() // 2)}"
-    return (*element_features(node.tag, node.attrs), size)
+    return (*element_features(node.tag, node.attrs), size, *(("thread",) if node.thread else ()))
 
 
 #: Where weights start and whither they are drawn: what the names say, and that parents and children agree.
-PRIOR = {"named other": -9.0, "named content": 7.0, "linked=2": -2.0, "agree": 2.0, "text agree": 2.0}
-#: Of an edge to an element, then of one to a block of text.
-PAIR = ("parent", "child", "agree", "text parent", "text child", "text agree")
+PRIOR = {"named other": -6.0, "named content": 5.0, "thread": -8.0, "unmarked": 5.0, "linked=2": -2.0, "agree": 2.0, "text agree": 2.0, "page agree": 2.0}
+#: Of an edge to an element, of one to a block of text, and of one from the page to a part of it; a node's ``edge`` is its first.
+PAIR = ("parent", "child", "agree", "text parent", "text child", "text agree", "page parent", "page child", "page agree")
 
 
 class Model:
@@ -213,15 +274,15 @@ class Model:
 
     def marginals(self, nodes: list[Node], unary: list[float] | None = None) -> tuple[list[float], list[float]]:
         """The log odds of each node's marginal, and what it hears from its parent's side."""
-        to_element, to_text = self.pair[:3], self.pair[3:]
+        kinds = {k: self.pair[k : k + 3] for k in range(0, len(PAIR), 3)}
         up = list(unary) if unary else [self.unary(n, nodes[0].mass) for n in nodes]
         sent, rest = [0.0] * len(nodes), [0.0] * len(nodes)
         for v in range(len(nodes) - 1, 0, -1):
-            a, b, g = to_element if nodes[v].tag else to_text
+            a, b, g = kinds[nodes[v].edge]
             sent[v] = a + _soft(up[v] + b + g) - _soft(up[v] + b)
             up[nodes[v].parent] += sent[v]
         for v in range(1, len(nodes)):
-            a, b, g = to_element if nodes[v].tag else to_text
+            a, b, g = kinds[nodes[v].edge]
             rest[v] = up[nodes[v].parent] - sent[v]
             up[v] += b + _soft(rest[v] + a + g) - _soft(rest[v] + a)
         return up, rest
@@ -238,21 +299,21 @@ def _soft(x: float) -> float:
     return x if x > 30 else math.log1p(math.exp(x)) if x > -30 else 0.0
 
 
-def labelled(nodes: list[Node]) -> list[int] | None:
-    """Labels of a page that tells where its article is, else None.
+def labelled(nodes: list[Node], whole: int = 0) -> list[int] | None:
+    """Labels of a page that tells where its article is, else None; ``whole``: what holds outside of all that tells.
 
     ``data-label``, which no feature sees, counts first; then article and main,
     without what is named otherwise inside.
     """
-    labels, any_content = [0] * len(nodes), False
+    labels, any_content = [whole] * len(nodes), False
     for v, n in enumerate(nodes):
-        inherited = labels[n.parent] if v else 0
+        inherited = labels[n.parent] if v else whole
         told = next((m[2] for m in _NAMED.finditer(n.attrs) if m[1].lower() == "data-label"), None) if n.attrs else None
         if told is not None:
             labels[v] = int(told)
         elif n.tag in ("article", "main"):
             labels[v] = 1
-        elif n.tag and "named other" in element_features(n.tag, n.attrs):
+        elif n.tag and other(n):
             labels[v] = 0
         else:
             labels[v] = inherited
@@ -265,7 +326,7 @@ def altered(html: str, rng: random.Random) -> str:
     name = rng.choice(["div", "section", 'div class="content"', 'div id="main"', "main", 'div class="post-body"'])
     html = re.sub(r"<article[^>]*>", f'<{name} data-label="1">', html)
     html = html.replace("</article>", f"</{name.split()[0]}>")
-    foreign = ['section class="comments"', 'aside class="sidebar"', 'div class="ad-banner"', "form", 'div class="notice"', "aside", "nav", 'div id="related"', 'div class="comment-list"']
+    foreign = ['section class="comments"', 'div id="disqus_thread"', 'aside class="sidebar"', 'div class="ad-banner"', "form", 'div class="notice"', "aside", "nav", 'div id="related"', 'div class="comment-list"']
     paragraphs = re.findall(r"<p>([^<]{20,})</p>", html)[:40] or ["A few words of a reader who liked this page and says so."]
     some = lambda: rng.choice(paragraphs)[: rng.choice([15, 60, 200, 100_000])]
     wrapped = lambda tag, n: "".join(f"<{tag}>{some()}</{tag}>" for _ in range(n))
@@ -276,8 +337,11 @@ def altered(html: str, rng: random.Random) -> str:
             return m[0]
         if r > 0.2:  # other forms of content
             n = rng.randint(1, 4)
-            inner = rng.choice([f"<ul>{wrapped('li', n)}</ul>", f"<ol>{wrapped('li', n)}</ol>", wrapped("blockquote", 1), f"<blockquote>{wrapped('p', n)}</blockquote>", wrapped("h2", 1), wrapped("h3", 1), wrapped("div", n), wrapped("pre", 1), f"<div>{wrapped('p', n)}</div>", f"<section>{wrapped('h2', 1)}{wrapped('p', n)}</section>", f"<table><tr>{wrapped('td', n)}</tr></table>", f"<figure>{wrapped('figcaption', 1)}</figure>"])
+            inner = rng.choice([f"<ul>{wrapped('li', n)}</ul>", f"<ol>{wrapped('li', n)}</ol>", wrapped("blockquote", 1), f"<blockquote>{wrapped('p', n)}</blockquote>", wrapped("h2", 1), wrapped("h3", 1), f'<p class="{rng.choice(sorted(LOOKS))}">{some()}</p>', wrapped("div", n), wrapped("pre", 1), f"<div>{wrapped('p', n)}</div>", f"<section>{wrapped('h2', 1)}{wrapped('p', n)}</section>", f"<table><tr>{wrapped('td', n)}</tr></table>", f"<figure>{wrapped('figcaption', 1)}</figure>"])
             return f"</p>{inner}<p>"
+        if r < 0.05:  # comments without a name
+            entry, when = rng.choice(["div", "li", "div class='x'"]), rng.choice(["3 May 2024", "2023-11-02", "2 days ago"])
+            return f'</p><div data-label="0">' + "".join(f"<{entry}><b>{rng.choice(['Ann', 'Jo Li', 'reader'])}</b> {when}{wrapped('p', 1)}</{entry.split()[0]}>" for _ in range(rng.randint(2, 5))) + "</div><p>"
         part, n = rng.choice(foreign), rng.choice([1, 1, 2, 3, 12])
         inner = rng.choice([wrapped("p", n), wrapped("div", n), some(), f"<h2>{some()}</h2>{wrapped('p', n)}", f"<ul>{wrapped('li', n)}</ul>"])
         return f'</p><{part} data-label="0">{inner}</{part.split()[0]}><p>'
@@ -287,6 +351,17 @@ def altered(html: str, rng: random.Random) -> str:
     return html.replace("<nav>", top + "<nav>", 1)
 
 
+def bare(html: str, rng: random.Random) -> str:
+    """A page whose article has no element of its own: divs or bare text, with or without the parts around it."""
+    html = re.sub(r"</?(?:article|main)(?:\s[^>]*)?>", "", html)
+    if rng.random() < 0.5:
+        html = re.sub(r"<(nav|footer|header)\b.*?</\1>", "", html, flags=re.S)
+    if rng.random() < 0.5:  # a short page
+        html = re.sub(r"(?:<p>[^<]*</p>\s*)+", lambda m: "".join(re.findall(r"<p>[^<]*</p>", m[0])[: rng.randint(1, 2)]), html)
+    opened, closed = rng.choice([("<p>", "</p>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<br>", "<br>")])
+    return html.replace("<p>", opened).replace("</p>", closed)
+
+
 def _odds(x: float) -> float:
     """The probability that log odds stand for."""
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
@@ -296,9 +371,9 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Stochastic gradient ascent on the likelihood of the labels, a page at a time."""
     rng, index, data = random.Random(seed), {k: i for i, k in enumerate(PAIR)}, []
     for html in pages:
-        for copy in (html, altered(html, rng), altered(html, rng)):
+        for copy, whole in ((html, 0), (altered(html, rng), 0), (altered(html, rng), 0), (bare(html, rng), 1)):
             nodes = parse(copy)
-            if (y := labelled(nodes)) is not None:
+            if (y := labelled(nodes, whole)) is not None:
                 data.append((nodes, y, [[index.setdefault(f, len(index)) for f in features(n, nodes[0].mass)] for n in nodes]))
     prior = np.array([PRIOR.get(f, 0.0) for f in index])
     w, squares = prior.copy(), np.full(len(index), 1e-2)
@@ -317,7 +392,7 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 3) -> Model:
                     g[f] += gap
                 if v:
                     # P(parent, node) = P(node) P(parent given node)
-                    k = 0 if n.tag else 3
+                    k = n.edge
                     both = _odds(belief[v]) * _odds(rest[v] + pair[k] + pair[k + 2])
                     g[k] += y[n.parent] - _odds(belief[n.parent])
                     g[k + 1] += gap

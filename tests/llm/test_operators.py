@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -366,7 +367,7 @@ def test_elements_without_text_end_where_they_should():
 
 
 def test_messages_give_the_marginals_of_enumeration():
-    weights = {"parent": -0.4, "child": 0.3, "agree": 1.1, "text parent": 0.2, "text child": -0.5, "text agree": 0.7, "element": 0.2, "text": -0.3, "tag=p": 0.6}
+    weights = {"parent": -0.4, "child": 0.3, "agree": 1.1, "text parent": 0.2, "text child": -0.5, "text agree": 0.7, "page parent": 0.3, "page child": -0.2, "page agree": 0.9, "element": 0.2, "text": -0.3, "tag=p": 0.6}
     m = extract.Model(weights)
     nodes = extract.parse("<div><p>Aa bb.</p><ul><li>c</li></ul></div>")
     u = [m.unary(n, nodes[0].mass) for n in nodes]
@@ -375,17 +376,21 @@ def test_messages_give_the_marginals_of_enumeration():
         y = [(code >> i) & 1 for i in range(len(nodes))]
         e = sum(a * b for a, b in zip(u, y))
         for v, n in enumerate(nodes[1:], 1):
-            a, b, c = m.pair[:3] if n.tag else m.pair[3:]
+            a, b, c = m.pair[n.edge : n.edge + 3]
             e += a * y[n.parent] + b * y[v] + c * y[n.parent] * y[v]
         total += np.exp(e)
         on += np.exp(e) * np.array(y)
     assert [1 / (1 + np.exp(-x)) for x in m.marginals(nodes)[0]] == pytest.approx(list(on / total))
 
 
-def test_learned_extraction_drops_what_is_not_the_article():
+def article_pages(n):
     r = random.Random(1)
     text = lambda s: " ".join(words(14, s * 100 + k).capitalize() + "." for k in range(3))
-    pages = [f'<html><body><nav><ul><li><a href="a">{words(1, s)}</a></li></ul></nav><div class="ad">{words(6, s)}</div><article><h1>{words(5, s)}</h1>' + "".join(f"<p>{text(s * 10 + k)}</p>" for k in range(r.randint(1, 6))) + f"</article><footer>{words(5, s)}</footer></body></html>" for s in range(60)]
+    return [f'<html><body><nav><ul><li><a href="a">{words(1, s)}</a></li></ul></nav><div class="ad">{words(6, s)}</div><article><h1>{words(5, s)}</h1>' + "".join(f"<p>{text(s * 10 + k)}</p>" for k in range(r.randint(1, 6))) + f"</article><footer>{words(5, s)}</footer></body></html>" for s in range(n)]
+
+
+def test_learned_extraction_drops_what_is_not_the_article():
+    pages = article_pages(60)
     m = extract.train(pages[:40])
     for p in pages[40:]:
         inner = re.findall(r"<(?:h1|p)>([^<]*)<", p)
@@ -649,6 +654,39 @@ def test_language_model_over_tables_with_edge_cases(spark):
     assert lm.scores(d.limit(0)).count() == 0
 
 
+SAYS = "The first sentence of it stands here. Another sentence follows the first one."
+COMMENT = "<div class=q><b>{}</b> {}<p>I liked this.</p><a href=r>Reply</a></div>"
+#: Pages and their text.
+SMALL = [
+    (f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{SAYS}</p><p class='alert'>An alert of the article.</p><p>{SAYS}</p></article><footer>c</footer>", ["Title", SAYS, "An alert of the article.", SAYS]),
+    (f"<article><h1>Title</h1><p>{SAYS}</p><p>{SAYS}</p><div id=disqus_thread><p>I liked this.</p><p>{SAYS}</p></div></article>", ["Title", SAYS, SAYS]),
+    (f"<article><p>{SAYS}</p><div class=r9>{COMMENT.format('Ann', '3 May 2024')}{COMMENT.format('Bo', 'vor 2 Tagen')}</div><p>{SAYS}</p></article>", [SAYS, SAYS]),
+    (f"<article><p>{SAYS}</p>{COMMENT.format('Ann', 'wrote:')}{COMMENT.format('Bo', 'said')}</article>", [SAYS]),
+    (f"<article><section><h2>Part</h2><p>{SAYS}</p></section><section><h2>May 2024</h2><p>{SAYS}</p></section></article>", ["Part", SAYS, "May 2024", SAYS]),
+    ("<html><body><div>The first sentence stands here.</div><div>The second one there.</div></body></html>", ["The first sentence stands here.", "The second one there."]),
+    ("<html><body>Only bare text of a body. Here is the second sentence.</body></html>", ["Only bare text of a body. Here is the second sentence."]),
+    (f"<body><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div>{SAYS}</div><div>{SAYS}</div><footer>c</footer></body>", [SAYS, SAYS]),
+    (f"<body><div class=ad>Buy this now.</div><div>{SAYS}</div><div class=sidebar>{SAYS}</div></body>", [SAYS]),
+    (f"<body><div id=menu>a b</div><div class=content><p>{SAYS}</p><div class=notice>We use cookies.</div><p>{SAYS}</p></div><div id=comments>{SAYS}</div></body>", [SAYS, SAYS]),
+]
+
+
+def test_extraction_learned_from_a_table(spark):
+    """The whole way of op6, training included, against the texts that the pages were made of."""
+    rows = [(p, "\n".join(re.findall(r"<(?:h1|p)>([^<]*)<", p))) for p in article_pages(60)] + [(p, "\n".join(t)) for p, t in SMALL]
+    rows = rows * 2 + [(None, ""), ("", "")]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    pages = spark.createDataFrame([(k, f"u{k}", h, 1, "x") for k, (h, _) in enumerate(rows)], "page_id long, url string, html string, n_chars int, text string")
+    pages.write.parquet(f"{folder}/full/pages.parquet")
+    got = {r["page_id"]: r for r in extract.op6(spark, f"{folder}/full").collect()}
+    assert len(got) == len(rows)
+    for k, (_, text) in enumerate(rows):
+        assert (got[k]["text"], got[k]["n_chars"]) == (text, len(text))
+    pages.limit(0).write.parquet(f"{folder}/none/pages.parquet")
+    assert extract.op6(spark, f"{folder}/none").count() == 0
+    assert extract.fit(pages.where("html is null")).weights == extract.PRIOR
+
+
 def test_extraction_over_tables_with_edge_cases(spark):
     pages = [None, "", " ", "<p>a</p>", "<p>a</p>", "<article><p>" + "word " * 20_000 + "</p></article>", "plain text", "&amp;&#x1F600;<video><p>b"]
     p = spark.createDataFrame([(k, "u", h, 1, "x") for k, h in zip([1, 2, 3, 4, 4, None, 6, 7], pages)], "page_id long, url string, html string, n int, name string")
