@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,6 +315,11 @@ def solve_lbfgs(spark: SparkSession, d: str) -> DataFrame:
     return _solved(solvers.Uniform(X.sites(spark, d)), solvers.lbfgs)
 
 
+def solve_pinned(spark: SparkSession, d: str) -> DataFrame:
+    """As solve_lbfgs, with the last site's weight held at 0."""
+    return _solved(solvers.Uniform(X.sites(spark, d)), partial(solvers.lbfgs, pinned=True))
+
+
 def solve_gradient(spark: SparkSession, d: str) -> DataFrame:
     return _solved(solvers.Uniform(_nations(spark, d)), solvers.gradient_descent)
 

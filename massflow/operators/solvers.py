@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable
 from contextlib import AbstractContextManager
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from massflow.operators import hierarchy
 from massflow.operators.cells import HELD_SITES, Sites, cells_at_hand, cells_of, measured, power_cells, raised
 from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.operators.objective import hessian, running_bounds
+from massflow.operators.search import Along, Trial, backtracked, searched
 from massflow.sources.fixtures import DOMAIN
 from massflow.sources.store import stored
 
@@ -197,30 +198,44 @@ def stop_named(name: str, eps: float, diameter: float) -> Stop:
     raise ValueError(f"no such stopping rule: {name}")
 
 
-def _line_search(f, w: np.ndarray, f0: float, g0: np.ndarray, step: np.ndarray, t: float = 1.0, tries: int = 20):
-    """A step length that meets the Wolfe conditions as far as rounding allows; None if none lowers f."""
-    slope, best = float(g0 @ step), None
-    for _ in range(tries):
+#: Takes what is found along a direction, the start and a first length; gives a trial or None.
+Search = Callable[[Along, Trial, float], Trial | None]
+wolfe: Search = partial(backtracked, conditions="wolfe")
+
+
+def _stepped(f, w: np.ndarray, f0: float, g0: np.ndarray, step: np.ndarray, t: float, search: Search):
+    """Weights, value, gradient and cells where the search ends; None if nothing lowers f."""
+
+    def along(t: float) -> Trial:
         f1, g1, s1 = f(w + t * step)
-        if f1 > f0 + 1e-4 * t * slope:
-            t *= 0.5
-            continue
-        best = (w + t * step, f1, g1, s1)
-        if float(g1 @ step) < 0.9 * slope:
-            t *= 2.1
-            continue
-        return best
-    return best
+        return Trial(t, f1, float(g1 @ step), (w + t * step, f1, g1, s1))
 
+    got = search(along, Trial(0.0, f0, float(g0 @ step)), t)
+    return got.found if got else None
 
-def lbfgs(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, level: int = 0) -> np.ndarray:
-    """Limited-memory quasi-Newton descent."""
-    f0, g, s = f(w)
+
+def lbfgs(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, level: int = 0, search: Search = searched, pinned: bool = False) -> np.ndarray:
+    """Limited-memory quasi-Newton descent.
+
+    f doesn't change with a shift of all weights: the result has mean 0 or, if ``pinned``, the
+    last weight is held at 0 on the way, so that f isn't flat in any direction.
+    """
+    free = np.ones(len(w))
+    if pinned:
+        w, free[-1] = w - w[-1], 0.0
+
+    def at(v: np.ndarray):
+        f1, g1, s1 = f(v)
+        return f1, g1 * free, s1
+
+    # gradients sum to 0, so the last entry follows from the others
+    whole = lambda g: np.append(g[:-1], -g[:-1].sum()) if pinned else g
+    f0, g, s = at(w)
     pairs: deque = deque(maxlen=memory)
     for _ in range(max_steps):
         if log:
-            log.add(level, f0, g, s, w)
-        if stop(g, s):
+            log.add(level, f0, whole(g), s, w)
+        if stop(whole(g), s):
             break
         q, alphas = g.copy(), []
         for dw, dg in reversed(pairs):
@@ -231,17 +246,17 @@ def lbfgs(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps:
             q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
         for (dw, dg), a in zip(pairs, reversed(alphas), strict=True):
             q += (a - (dg @ q) / (dw @ dg)) * dw
-        found = _line_search(f, w, f0, g, -q, 1.0 if pairs else min(1.0, 1 / np.abs(g).sum()))
+        found = _stepped(at, w, f0, g, -q, 1.0 if pairs else min(1.0, 1 / np.abs(g).sum()), search)
         if found is None:
             break
         w1, f1, g1, s = found
         if (w1 - w) @ (g1 - g) > 1e-18:
             pairs.append((w1 - w, g1 - g))
         w, f0, g = w1, f1, g1
-    return w - w.mean()
+    return w if pinned else w - w.mean()
 
 
-def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None = None, max_steps: int = 1000, log: Log | None = None) -> np.ndarray:
+def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None = None, max_steps: int = 1000, log: Log | None = None, search: Search = wolfe) -> np.ndarray:
     """Steepest descent, by line search or with a constant ``step``.
 
     The search begins at the length that the last step's change of the gradient suggests.
@@ -257,7 +272,7 @@ def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None
             w = w - step * g
             f0, g, s = f(w)
             continue
-        found = _line_search(f, w, f0, g, -g, t)
+        found = _stepped(f, w, f0, g, -g, t, search)
         if found is None:
             break
         moved, turned = found[0] - w, found[2] - g

@@ -2,6 +2,7 @@ import math
 import os
 import random
 import tempfile
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from massflow.operators import cells, cluster, density, greedy, interpolate, mea
 from massflow.operators.assign import assigned
 from massflow.operators.cells import Sites, cell_edges, power_cells, uniform_cell_moments
 from massflow.operators.densities import RasterDensity, UniformDensity
+from massflow.operators.search import backtracked, searched
 from massflow.sources import fixtures, formats
 
 SF = "/root/testdata/sf0.001"
@@ -268,13 +270,31 @@ def test_raster_cells_share_out_the_raster_and_its_gradient_is_the_derivative(sp
     assert np.abs(f(solvers.lbfgs(f, np.zeros(7), solvers.norm_inf(1e-5)))[1]).max() <= 1e-5
 
 
-@pytest.mark.parametrize("solve", [solvers.lbfgs, solvers.gradient_descent, solvers.newton, solvers.coordinate])
+ARMIJO = partial(backtracked, conditions="armijo")
+
+
+@pytest.mark.parametrize("solve", [solvers.lbfgs, partial(solvers.lbfgs, pinned=True), partial(solvers.lbfgs, search=ARMIJO), partial(solvers.lbfgs, search=backtracked), solvers.gradient_descent, solvers.newton, solvers.coordinate])
 def test_every_solver_reaches_the_goal(spark, solve):
     f = solvers.Uniform(random_sites(spark, 6, 31))
     w = solve(f, np.zeros(6), solvers.norm_inf(1e-6))
     assert np.abs(f(w)[1]).max() <= 1e-6
 
 
+def test_each_step_of_lbfgs_meets_the_strong_conditions(spark):
+    f, met = solvers.Uniform(random_sites(spark, 12, 33)), []
+
+    def watched(along, start, t):
+        got = searched(along, start, t)
+        met.append(got.meets(start, "strong-wolfe"))
+        return got
+
+    free = solvers.lbfgs(f, np.zeros(12), solvers.norm_inf(1e-6), search=watched)
+    assert met and all(met)
+    held = solvers.lbfgs(f, np.zeros(12), solvers.norm_inf(1e-6), pinned=True)
+    assert held[-1] == 0 and free.mean() == pytest.approx(0, abs=1e-12)
+    assert held - held.mean() == pytest.approx(free, abs=1e-2)
+
+
 def test_log_brackets_the_distance(spark):
     f = solvers.Uniform(random_sites(spark, 6, 32))
     known = solvers.newton(f, np.zeros(6), solvers.norm_inf(1e-10))
