@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
 from massflow.jobs.registry import ORACLES, QUERIES
-from massflow.operators import cells, cluster, density, greedy, interpolate, measure, objective, solvers
+from massflow.operators import assign, cells, cluster, density, greedy, interpolate, measure, objective, solvers
 from massflow.operators.assign import assigned
 from massflow.operators.cells import Sites, cell_edges, power_cells, uniform_cell_moments
 from massflow.operators.densities import RasterDensity, UniformDensity
@@ -89,6 +89,26 @@ def test_assignment_is_the_nearest_of_all(spark, n):
         assert got[r.pid] == sites.site_id[power.idxmin()]
 
 
+@pytest.mark.parametrize(("n", "weight"), [(300, 0.0), (1200, 1e-8)])
+def test_lists_grow_with_sites_and_squares_where_sites_are_clustered(spark, n, weight):
+    draw = np.random.default_rng(n)
+    xy, w = draw.random((n, 2)) * 0.01 + (20, 5), draw.random(n) * weight
+    xy[1], w[1] = xy[0], w[0]  # coincident sites: the smaller id wins
+    sites = spark.createDataFrame(pd.DataFrame({"site_id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "w": w}))
+    at = np.vstack([draw.random((300, 2)) * (49, 10), xy[:200] + draw.normal(size=(200, 2)) * 1e-4, xy[:2]])
+    p = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(at)), "qx": 7, "near": "a", "x": at[:, 0], "y": at[:, 1]}))
+    odd = spark.createDataFrame([(-1, 7, "a", None, 1.0)], p.schema)
+    rows = assign.assigned(p.union(odd), sites.union(spark.createDataFrame([(n, None, 1.0, 9.0)], sites.schema))).toPandas().sort_values("k")
+    power = ((at[:, None] - xy[None]) ** 2).sum(2) - w
+    assert list(rows.columns) == ["k", "qx", "near", "x", "y", "site_id", "d2"] and list(rows.k) == list(range(len(at)))
+    assert (rows.site_id.to_numpy() == power.argmin(1)).all()
+    distinct = sites.where("site_id != 1")
+    lists, last = assign._lists(distinct, assign._box(p, distinct)[0])
+    got = lists.agg(F.count("*").alias("squares"), F.sum(F.size("near")).alias("entries"), F.sum(F.expr("pow(16, -k)")).alias("area"), F.max("k").alias("k")).first()
+    assert got["entries"] <= 5 * (n + got["squares"]) and got["squares"] <= 6 * n
+    assert got["area"] == pytest.approx(1, rel=1e-12) and got["k"] <= last
+
+
 def test_tied_points_go_to_the_smallest_site(spark):
     s = spark.createDataFrame([(7, 0.0, 0.0, 0.0), (3, 2.0, 0.0, 0.0)], "site_id long, x double, y double, w double")
     p = spark.createDataFrame([(1.0, 0.0), (1.0, 5.0)], "x double, y double")
