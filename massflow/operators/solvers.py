@@ -23,33 +23,12 @@ from massflow.operators import hierarchy
 from massflow.operators.cells import HELD_SITES, Sites, cells_at_hand, cells_of, measured, power_cells, raised
 from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.operators.objective import hessian, running_bounds
+from massflow.operators.precondition import Sparse, conjugate_gradients
 from massflow.operators.search import Along, Trial, backtracked, searched
 from massflow.sources.fixtures import DOMAIN
 from massflow.sources.store import stored
 
 
-@dataclass
-class Sparse:
-    """A square matrix of few entries (i, j, v), each place once."""
-
-    i: np.ndarray
-    j: np.ndarray
-    v: np.ndarray
-    n: int
-
-    def __matmul__(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.i, weights=self.v * x[self.j], minlength=self.n)
-
-    def diagonal(self) -> np.ndarray:
-        own = self.i == self.j
-        return np.bincount(self.i[own], weights=self.v[own], minlength=self.n)
-
-    def without_last(self) -> Sparse:
-        """Without the last row and column."""
-        inner = (self.i < self.n - 1) & (self.j < self.n - 1)
-        return Sparse(self.i[inner], self.j[inner], self.v[inner], self.n - 1)
-
-
 @dataclass
 class Objective:
     """The transport objective between a density and ``sites`` (site_id, x, y, m)."""
@@ -281,28 +260,6 @@ def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None
     return w - w.mean()
 
 
-def _conjugate_gradients(h: Sparse, b: np.ndarray) -> np.ndarray:
-    """Solves h x = b with the diagonal as preconditioner."""
-    d = h.diagonal()
-    d = np.where(np.abs(d) > 1e-14, d, 1.0)
-    x = np.zeros_like(b)
-    r = b.copy()
-    z = r / d
-    p, rz = z.copy(), r @ z
-    for _ in range(4 * len(b)):
-        hp = h @ p
-        if abs(p @ hp) < 1e-300:
-            break
-        a = rz / (p @ hp)
-        x += a * p
-        r -= a * hp
-        if np.abs(r).max() < 1e-12:
-            break
-        z = r / d
-        p, rz = z + (r @ z) / rz * p, r @ z
-    return x
-
-
 def unhidden(f: Objective, w: np.ndarray, tries: int = 3, least: float = 0.1) -> np.ndarray:
     """``w`` scaled back by halves until every cell has ``least`` of its site's mass, as steps from almost hidden cells are short;
     where that fails, zero weights, whose cells are those of the nearest site."""
@@ -315,7 +272,8 @@ def unhidden(f: Objective, w: np.ndarray, tries: int = 3, least: float = 0.1) ->
 
 
 def newton(f: Objective, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Log | None = None) -> np.ndarray:
-    """Damped Newton steps with the last weight fixed; a step that empties a cell is halved.
+    """Damped Newton steps with the last weight fixed, by conjugate gradients with an incomplete Cholesky factor; a step
+    that empties a cell is halved.
 
     Where cells are empty to begin with the Hessian says nothing of them, so the weights are
     scaled back first; descent goes first where a site has no cell even without weights.
@@ -332,7 +290,7 @@ def newton(f: Objective, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Lo
             log.add(0, f0, g, s, w)
         if stop(g, s):
             break
-        step = np.append(_conjugate_gradients(f.hessian(w).without_last(), -g[:-1]), 0.0)
+        step = np.append(conjugate_gradients(f.hessian(w).without_last(), -g[:-1])[0], 0.0)
         floor, t = 0.5 * min(float(s["mu"].min()), float(f.held["m"].min())), 1.0
         for _ in range(20):
             f1, g1, s1 = f(w + t * step)
