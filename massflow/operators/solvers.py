@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from massflow.operators import hierarchy
 from massflow.operators.cells import HELD_SITES, Sites, cells_at_hand, cells_of, measured, power_cells, raised
 from massflow.operators.densities import RasterDensity, UniformDensity
+from massflow.operators.hull import least_norm_shares
 from massflow.operators.objective import hessian, running_bounds
 from massflow.operators.precondition import Sparse, conjugate_gradients
 from massflow.operators.search import Along, Trial, backtracked, searched
@@ -260,6 +261,36 @@ def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None
     return w - w.mean()
 
 
+def subgradient(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, search: Search = wolfe) -> np.ndarray:
+    """Descent against the point of least norm in the hull of the last ``memory`` gradients.
+
+    That point lowers f along every one of them, so steps don't go to and fro across a valley.
+    Where it is far shorter than the gradient the kept ones say nothing of the way any more: all but the last are dropped.
+    """
+    f0, g, s = f(w)
+    kept, t = deque([g], maxlen=memory), min(1.0, 1 / max(1e-30, float(np.abs(g).sum())))
+    for _ in range(max_steps):
+        if log:
+            log.add(0, f0, g, s, w)
+        if stop(g, s):
+            break
+        held = np.stack(kept)
+        p = least_norm_shares(held @ held.T) @ held
+        if p @ p < 0.1 * (g @ g):
+            kept, p = deque([g], maxlen=memory), g
+        found = _stepped(f, w, f0, g, -p, t, search)
+        if found is None and len(kept) > 1:
+            kept = deque([g], maxlen=memory)
+            found = _stepped(f, w, f0, g, -g, t, search)
+        if found is None:
+            break
+        moved, turned = found[0] - w, found[2] - g
+        t = float(moved @ moved) / max(1e-30, float(moved @ turned))
+        w, f0, g, s = found
+        kept.append(g)
+    return w - w.mean()
+
+
 def unhidden(f: Objective, w: np.ndarray, tries: int = 3, least: float = 0.1) -> np.ndarray:
     """``w`` scaled back by halves until every cell has ``least`` of its site's mass, as steps from almost hidden cells are short;
     where that fails, zero weights, whose cells are those of the nearest site."""

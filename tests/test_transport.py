@@ -293,7 +293,7 @@ def test_raster_cells_share_out_the_raster_and_its_gradient_is_the_derivative(sp
 ARMIJO = partial(backtracked, conditions="armijo")
 
 
-@pytest.mark.parametrize("solve", [solvers.lbfgs, partial(solvers.lbfgs, pinned=True), partial(solvers.lbfgs, search=ARMIJO), partial(solvers.lbfgs, search=backtracked), solvers.gradient_descent, solvers.newton, solvers.coordinate])
+@pytest.mark.parametrize("solve", [solvers.lbfgs, partial(solvers.lbfgs, pinned=True), partial(solvers.lbfgs, search=ARMIJO), partial(solvers.lbfgs, search=backtracked), solvers.gradient_descent, solvers.subgradient, solvers.newton, solvers.coordinate])
 def test_every_solver_reaches_the_goal(spark, solve):
     f = solvers.Uniform(random_sites(spark, 6, 31))
     w = solve(f, np.zeros(6), solvers.norm_inf(1e-6))
