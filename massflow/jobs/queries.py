@@ -324,6 +324,10 @@ def solve_gradient(spark: SparkSession, d: str) -> DataFrame:
     return _solved(solvers.Uniform(_nations(spark, d)), solvers.gradient_descent)
 
 
+def solve_subgradient(spark: SparkSession, d: str) -> DataFrame:
+    return _solved(solvers.Uniform(_nations(spark, d)), solvers.subgradient)
+
+
 def solve_newton(spark: SparkSession, d: str) -> DataFrame:
     return _solved(solvers.Uniform(X.sites(spark, d)), solvers.newton)
 

@@ -10,7 +10,7 @@ hier_wasserstein hier_rollup_mass image_total_mass image_avg_gray image_invert i
 segment_integral rect_pixel_coverage rect_image_moments convex_pixel_coverage polygon_image_mass image_sqdist_integral
 convex_clip_area segment_raster_length segment_image_mass segment_clip laguerre_cell_moments laguerre_hidden laguerre_edges
 hessian_entries objective_value gradient_norms misaffected_mass trivial_error_bound objective_uniform
-greedy_wasserstein_bound solve_lbfgs solve_pinned solve_gradient solve_newton solve_coordinate multiscale_wasserstein iteration_log
+greedy_wasserstein_bound solve_lbfgs solve_pinned solve_gradient solve_subgradient solve_newton solve_coordinate multiscale_wasserstein iteration_log
 kmeans_density decompose_levels displacement_interpolation cell_morph level_view_gray random_domain_points image_sample
 ray_clip rect_touched_pixels lloyd_energy_gradient weights_distance displacement_arrows laguerre_image_mass solve_image
 objective_image decompose_density lloyd_image_step kmeans_image decompose_image decompose_raster multiscale_image""".split()
