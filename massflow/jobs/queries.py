@@ -307,8 +307,9 @@ GOAL = 1e-6
 def _solved(f: solvers.Objective, solve, goal: float = GOAL) -> DataFrame:
     """The solver's weights and masses; ``converged`` tells whether all masses are met to the goal."""
     w = solve(f, np.zeros(f.n), solvers.norm_inf(goal))
-    worst = float(np.abs(f(w)[1]).max())
-    return f.stats(w).select("site_id", "w", "mu", "m", "g", F.lit(worst <= goal).alias("converged"))
+    _, g, s = f(w)
+    worst = float(np.abs(g).max())
+    return f.stats(w, s).select("site_id", "w", "mu", "m", "g", F.lit(worst <= goal).alias("converged"))
 
 
 def solve_lbfgs(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A cell is the domain cut by the bisectors towards the other sites, nearest first,
 until no further site can cut it: one at distance d lies no nearer to the cell's
 own site than (d^2 + w - w_max) / 2d. The sites lie in a grid and are visited ring
-by ring, so a cell costs its neighbourhood and not all sites.
+by ring, so a cell costs its neighbourhood and not all sites. A task cuts many cells at
+once, as arrays.
 
 :func:`power_cells` takes sites of any number. They are dealt into tiles of about equally
 many sites, by strips of x and then by y, so clusters make small tiles and not
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -30,92 +32,162 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
+from massflow.functions.clip import Grid, Polygons
 from massflow.sources.fixtures import DOMAIN
 from massflow.sources.store import stored
 
-#: Sites that a solver sends to every task, some 100 bytes each.
-HELD_SITES = 100_000
+#: Sites that a solver sends to every task, some 70 bytes each.
+HELD_SITES = 500_000
 #: Sites of a tile, tiles at most, and tiles that a task has beside its own.
 TILE_SITES, MAX_TILES, BESIDE = 256, 100_000, 12
 #: Requests that one task answers from a tile.
 ASKED = 8192
+#: Rounds of coordinate steps that a block of sites takes in a task, and the lack of mass of all that ends them.
+SWEEPS, LACK = 4000, 1e-7
 CELL = "site_id long, vs array<struct<x:double,y:double>>, neighbours array<long>"
 
 
+#: Cells, and pairs of a site and one near it, that are worked on at a time.
+CELLS, PAIRS = 2048, 1_000_000
+
+
 class Sites:
-    """Sites (site_id, x, y, w) in a grid."""
+    """Sites (site_id, x, y, w) in a grid of about one a square; their cells are cut for many sites at once."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, domain: list[tuple[float, float]]):
         self.ids, self.x, self.y, self.w, self.domain = ids, x, y, w, domain
-        n = max(1, int(math.sqrt(len(ids))))
-        self.x0, self.y0 = (float(x.min()), float(y.min())) if len(ids) else (0.0, 0.0)
-        self.h = max(1e-9, max(float(np.ptp(x)), float(np.ptp(y))) / n) if len(ids) else 1.0
-        self.grid: dict[tuple[int, int], list[int]] = {}
-        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-            self.grid.setdefault(self.square(a, b), []).append(i)
-        self.rings = 1 + max((max(k) for k in self.grid), default=0)
-        self.w_max = float(w.max()) if len(ids) else 0.0
-
-    def square(self, a: float, b: float) -> tuple[int, int]:
-        return int((a - self.x0) / self.h), int((b - self.y0) / self.h)
-
-    def _ring(self, cx: int, cy: int, r: int) -> list[int]:
-        if r == 0:
-            return self.grid.get((cx, cy), [])
-        around = [(cx + k, cy + s * r) for k in range(-r, r + 1) for s in (-1, 1)] + [(cx + s * r, cy + k) for k in range(-r + 1, r) for s in (-1, 1)]
-        return [i for k in around for i in self.grid.get(k, ())]
+        n = len(ids)
+        self.x0, self.y0 = (float(x.min()), float(y.min())) if n else (0.0, 0.0)
+        wide, high = (float(np.ptp(x)), float(np.ptp(y))) if n else (0.0, 0.0)
+        self.h = max(1e-9, math.sqrt(wide * high / max(1, n)), max(wide, high) / max(1, n))
+        self.nx, self.ny = int(wide / self.h) + 1, int(high / self.h) + 1
+        self.cx, self.cy = np.floor((x - self.x0) / self.h).astype(np.int64), np.floor((y - self.y0) / self.h).astype(np.int64)
+        square = self.cx * self.ny + self.cy
+        self.order = np.argsort(square, kind="stable")
+        self.starts = np.searchsorted(square[self.order], np.arange(self.nx * self.ny + 1))
+        self.rings = max(self.nx, self.ny)
+        self.w_max = float(w.max()) if n else 0.0
+
+    @property
+    def grid(self) -> dict[tuple[int, int], list[int]]:
+        found: dict[tuple[int, int], list[int]] = {}
+        for i, k in enumerate(zip(self.cx.tolist(), self.cy.tolist(), strict=True)):
+            found.setdefault(k, []).append(i)
+        return found
+
+    def ring(self, cx: np.ndarray, cy: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place): the sites in the squares ``r`` away from each square (cx, cy)."""
+        side = np.arange(-r, r + 1)
+        if r:
+            dx, dy = np.concatenate([side, side, np.full(2 * r - 1, -r), np.full(2 * r - 1, r)]), np.concatenate([np.full(2 * r + 1, -r), np.full(2 * r + 1, r), side[1:-1], side[1:-1]])
+        else:
+            dx = dy = np.zeros(1, dtype=np.int64)
+        sx, sy = cx[:, None] + dx, cy[:, None] + dy
+        ok = (sx >= 0) & (sx < self.nx) & (sy >= 0) & (sy < self.ny)
+        row, k = np.nonzero(ok)
+        q = sx[row, k] * self.ny + sy[row, k]
+        first, count = self.starts[q], self.starts[q + 1] - self.starts[q]
+        which = np.repeat(np.arange(len(q)), count)
+        at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        return row[which], self.order[at]
+
+    def cells(self, at: np.ndarray, weights: np.ndarray | None = None) -> Polygons:
+        """The cells of the sites at the places ``at``; ``weights`` take the place of these sites' own."""
+        x, y, w = self.x[at], self.y[at], self.w[at] if weights is None else weights
+        out = Polygons.copies(self.domain, len(at))
+        for r in range(self.rings + 1):
+            reach = out.reach(x, y)
+            d = (r - 1) * self.h  # sites of this ring are no nearer than that
+            going = out.n > 0
+            if d > 0:
+                going &= (d * d + w - self.w_max) / (2 * d) <= reach
+            going = np.flatnonzero(going)
+            if not len(going):
+                break
+            room = max(1, PAIRS // (8 * r + 1))
+            for some in (going[k : k + room] for k in range(0, len(going), room)):
+                self._ring_cut(out, some, r, at, x, y, w, reach)
+        return out
+
+    def _ring_cut(self, out: Polygons, some: np.ndarray, r: int, at: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, reach: np.ndarray) -> None:
+        row, j = self.ring(self.cx[at[some]], self.cy[at[some]], r)
+        row = some[row]
+        other = j != at[row]
+        row, j = row[other], j[other]
+        d = np.hypot(self.x[j] - x[row], self.y[j] - y[row])
+        same = d == 0  # coincident sites: the heavier has the cell, of equal ones the first
+        beaten = same & ((self.w[j] > w[row]) | ((self.w[j] == w[row]) & (self.ids[j] < self.ids[at[row]])))
+        out.n[row[beaten]] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cuts = ~same & (out.n[row] > 0) & ((d * d + w[row] - self.w[j]) / (2 * d) <= reach[row] * (1 + 1e-9))
+        row, j, d = row[cuts], j[cuts], d[cuts]
+        order = np.lexsort((j, d, row))
+        row, j = row[order], j[order]
+        px, py, qx, qy = x[row], y[row], self.x[j], self.y[j]
+        a, b = 2 * (qx - px), 2 * (qy - py)
+        c = qx * qx + qy * qy - px * px - py * py + w[row] - self.w[j]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        by_rank = np.argsort(rank, kind="stable")
+        ends = np.searchsorted(rank[by_rank], np.arange(int(rank.max()) + 2)) if len(row) else [0]
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            k = by_rank[lo:hi]
+            k = k[out.n[row[k]] > 0]
+            if len(k):
+                out.cut(row[k], a[k], b[k], c[k], self.ids[j[k]])
 
     def cell(self, i: int, weight: float | None = None) -> tuple[list[tuple[float, float]], list[int]]:
         """Vertices, and for the edge after each vertex the neighbour's id (the domain's edges: -1, -2, ...).
 
         ``weight`` takes the place of the site's own.
         """
-        px, py, w = float(self.x[i]), float(self.y[i]), float(self.w[i] if weight is None else weight)
-        poly, tags = list(self.domain), [-1 - k for k in range(len(self.domain))]
-        cx, cy = self.square(px, py)
-        for r in range(self.rings + 1):
-            reach = max((math.hypot(a - px, b - py) for a, b in poly), default=-1.0)
-            d = (r - 1) * self.h  # sites of this ring are no nearer than that
-            if not poly or (d > 0 and (d * d + w - self.w_max) / (2 * d) > reach):
-                break
-            near = sorted((math.hypot(self.x[j] - px, self.y[j] - py), j) for j in self._ring(cx, cy, r) if j != i)
-            for d, j in near:
-                qx, qy = float(self.x[j]), float(self.y[j])
-                if d == 0:  # coincident sites: the heavier has the cell, of equal ones the first
-                    if (self.w[j], -self.ids[j]) > (w, -self.ids[i]):
-                        return [], []
-                    continue
-                a, b = 2 * (qx - px), 2 * (qy - py)
-                c = qx * qx + qy * qy - px * px - py * py + w - float(self.w[j])
-                poly, tags = _cut(poly, tags, a, b, c, int(self.ids[j]))
-                if not poly:
-                    return [], []
-        return poly, tags
-
-
-    def area(self, i: int, weight: float | None = None) -> float:
-        v = np.array(self.cell(i, weight)[0]).reshape(-1, 2) - (self.x[i], self.y[i])
-        u = np.roll(v, -1, axis=0)
-        return float((v[:, 0] * u[:, 1] - u[:, 0] * v[:, 1]).sum()) / 2
-
-    def raised(self, i: int, goal: float, step: float) -> tuple[float, float]:
-        """The cell's area, and the weight that makes it ``goal`` while all other weights stay; a
-        weight whose cell is as large already is left alone.
-
-        The weight is bracketed by steps that double, and the bracket is bisected.
+        return self.cells(np.array([i]), None if weight is None else np.array([float(weight)])).row(0)
+
+    def areas(self, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return self.cells(at, weights).moments(self.x[at], self.y[at])[:, 0]
+
+    def slopes(self, cells: Polygons, at: np.ndarray) -> np.ndarray:
+        """What the areas of ``cells``, those of the sites at ``at``, gain by their sites' weights."""
+        row, tag, ends = cells.edges()
+        row, tag, ends = row[tag >= 0], tag[tag >= 0], ends[tag >= 0]
+        by_id = np.argsort(self.ids)
+        i, j = at[row], by_id[np.searchsorted(self.ids[by_id], tag)]
+        each = np.hypot(ends[:, 2] - ends[:, 0], ends[:, 3] - ends[:, 1]) / (2 * np.hypot(self.x[i] - self.x[j], self.y[i] - self.y[j]))
+        return np.bincount(row, weights=each, minlength=len(at))
+
+    def raised(self, at: np.ndarray, goals: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+        """The cells' areas, and for each a greater weight that leaves it no larger than its goal while all other weights
+        stay; a weight whose cell is as large already is left alone.
+
+        The root of a cell's area is concave in its site's weight, so Newton's step for it never leads too far.
+        A hidden cell's weight is bracketed by steps that double, and the bracket is bisected until its lower end gives it a cell.
         """
-        now, low = self.area(i), float(self.w[i])
-        if now >= goal:
-            return now, low
-        high = low + step
-        while self.area(i, high) < goal:
-            low, high, step = high, high + 2 * step, 2 * step
-        while high - low > 1e-13 * max(1.0, abs(low), abs(high)):
-            middle = (low + high) / 2
-            if not low < middle < high:
-                break
-            low, high = (middle, high) if self.area(i, middle) < goal else (low, middle)
-        return now, low
+        x, y, w = self.x[at], self.y[at], self.w[at].astype(float)
+        cells = self.cells(at)
+        now = cells.moments(x, y)[:, 0]
+        slope = self.slopes(cells, at)
+        short = (now < goals) & (now > 0) & (slope > 0)
+        w[short] += 2 * (np.sqrt(now * goals) - now)[short] / slope[short]
+        low, high, length = w.copy(), w + step, np.full(len(at), float(step))
+        hidden = left = np.flatnonzero((now < goals) & ~short)
+        while len(left):
+            left = left[self.areas(at[left], high[left]) <= 0]
+            low[left] = high[left]
+            high[left] += 2 * length[left]
+            length[left] *= 2
+        left = hidden
+        while len(left):
+            area = self.areas(at[left], high[left])
+            left, area = left[area > goals[left]], area[area > goals[left]]
+            middle = (low[left] + high[left]) / 2
+            between = (low[left] < middle) & (middle < high[left])
+            left, middle = left[between], middle[between]
+            some = self.areas(at[left], middle) > 0
+            low[left[~some]], high[left[some]] = middle[~some], middle[some]
+        w[hidden] = high[hidden]
+        over = hidden[self.areas(at[hidden], high[hidden]) > goals[hidden]] if len(hidden) else hidden
+        w[over] = low[over]
+        return now, w
 
 
 def _cut(poly: list, tags: list, a: float, b: float, c: float, tag: int) -> tuple[list, list]:
@@ -228,7 +300,7 @@ class Tiles:
 
     def opened(self, s: Sites, own: np.ndarray, home: int) -> pd.DataFrame:
         """The cells of the sites at ``own`` among those at hand, and the tiles that could still cut each."""
-        cells = [s.cell(i) for i in own.tolist()]
+        cells = _rows(s, own)
         away = np.ones(len(self.strip), dtype=bool)
         away[self.around(home)] = False
         away = np.flatnonzero(away)
@@ -286,6 +358,11 @@ def _recut(site_id: int, x: float, y: float, w: float, vs: list, neighbours: lis
     return (poly, tags) if by is None else _cut_by(poly, tags, x, y, w, site_id, [(q["site_id"], q["x"], q["y"], q["w"]) for q in by])
 
 
+def _rows(s: Sites, at: np.ndarray) -> list[tuple[list, list]]:
+    """Sites.cell of each place."""
+    return [cells.row(i) for k in range(0, len(at), CELLS) for cells in (s.cells(at[k : k + CELLS]),) for i in range(len(cells))]
+
+
 def _spread(spark: SparkSession, n: int) -> DataFrame:
     """The places 0 ... n - 1 of held sites, over as many tasks as their cells are worth."""
     return spark.range(0, n, 1, max(1, min(n // 64 + 1, 4 * spark.sparkContext.defaultParallelism)))
@@ -299,7 +376,7 @@ def cells_of(spark: SparkSession, sites: Sites) -> Iterator[DataFrame]:
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
         for batch in batches:
-            found = [s.cell(i) for i in batch["id"].tolist()]
+            found = _rows(s, batch["id"].to_numpy())
             yield pd.DataFrame({"site_id": s.ids[batch["id"]], "vs": [[{"x": a, "y": b} for a, b in v] for v, _ in found], "neighbours": [t for _, t in found]})
 
     try:
@@ -321,45 +398,73 @@ def cells_at_hand(sites: DataFrame, domain: list[tuple[float, float]] = DOMAIN,
 
 
 def _gathered(spark: SparkSession, sites: Sites, compute, columns: str, shared) -> pd.DataFrame:
-    """The rows that tasks ``compute`` for the places of the sites, in order of place; what they share goes."""
+    """The rows that tasks ``compute`` for the places of the sites, CELLS at a time, in order of place; what they share goes."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = batch["id"].to_numpy()
+            for k in range(0, len(at), CELLS):
+                yield compute(shared.value, at[k : k + CELLS])
+
     try:
-        return _spread(spark, len(sites.ids)).mapInPandas(compute, columns).toPandas().sort_values("place")
+        return _spread(spark, len(sites.ids)).mapInPandas(each, columns).toPandas().sort_values("place", ignore_index=True)
     finally:
         shared.destroy()
 
 
-def measured(spark: SparkSession, sites: Sites) -> pd.DataFrame:
-    """(place, area, sq): each held site's cell's area and integral of the squared distance to the site.
+def measured(spark: SparkSession, sites: Sites, raster: Grid | None = None) -> pd.DataFrame:
+    """(place, mass, mx, my, sq): each held site's cell's area and integrals of dx, dy and dx^2 + dy^2 about the site; of
+    the raster's mass in it where one is given.
 
-    A solver's evaluation: one stage without a shuffle, and two numbers a site come back.
+    A solver's evaluation: one stage without a shuffle, and a few numbers a site come back.
     """
-    shared = spark.sparkContext.broadcast(sites)
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = shared.value
-        for batch in batches:
-            out = []
-            for i in batch["id"].tolist():
-                poly, _ = s.cell(i)
-                v = np.array(poly).reshape(-1, 2) - (s.x[i], s.y[i])
-                u = np.roll(v, -1, axis=0)
-                k = v[:, 0] * u[:, 1] - u[:, 0] * v[:, 1]
-                out.append((i, k.sum() / 2, float((k * (v * v + v * u + u * u).sum(axis=1)).sum()) / 12))
-            yield pd.DataFrame(out, columns=["place", "area", "sq"])
+    def compute(shared: tuple[Sites, Grid | None], at: np.ndarray) -> pd.DataFrame:
+        s, grid = shared
+        cells = s.cells(at)
+        x, y = s.x[at], s.y[at]
+        got = cells.moments(x, y) if grid is None else grid.moments(cells, x, y)
+        return pd.DataFrame(np.column_stack([at, got]), columns=["place", "mass", "mx", "my", "sq"]).astype({"place": "int64"})
+
+    return _gathered(spark, sites, compute, "place long, mass double, mx double, my double, sq double", spark.sparkContext.broadcast((sites, raster)))
+
+
+def edged(spark: SparkSession, sites: Sites, raster: Grid | None = None) -> pd.DataFrame:
+    """(place, neighbour, len): the edges between held sites' cells, each from both of its sides; of the raster along them where one is given."""
 
-    return _gathered(spark, sites, compute, "place long, area double, sq double", shared)
+    def compute(shared: tuple[Sites, Grid | None], at: np.ndarray) -> pd.DataFrame:
+        s, grid = shared
+        row, tag, ends = s.cells(at).edges()
+        row, tag, ends = row[tag >= 0], tag[tag >= 0], ends[tag >= 0]
+        length = np.hypot(ends[:, 2] - ends[:, 0], ends[:, 3] - ends[:, 1]) if grid is None else grid.along(ends)
+        found = pd.DataFrame({"place": at[row], "neighbour": tag, "len": length}).groupby(["place", "neighbour"], as_index=False)["len"].sum()
+        return found[found["len"] > 1e-9]
+
+    return _gathered(spark, sites, compute, "place long, neighbour long, len double", spark.sparkContext.broadcast((sites, raster)))
 
 
 def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) -> pd.DataFrame:
-    """(place, area, w): for each held site, Sites.raised; every site by itself, in one stage without a shuffle."""
-    shared = spark.sparkContext.broadcast((sites, goals))
+    """(place, area, w): each held site's cell's area, and its weight raised by Sites.raised, but not that of the first site; in one stage without a shuffle.
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, goals = shared.value
-        for batch in batches:
-            yield pd.DataFrame([(i, *s.raised(i, float(goals[i]), step)) for i in batch["id"].tolist()], columns=["place", "area", "w"])
+    The sites of a task's block are raised together, again and again, until their cells lack next to nothing (a tenth of
+    what they lacked, where there are other blocks) or SWEEPS times, while the others' weights stay. Weights only rise, and as the Hessian's other entries are
+    negative a block stays below what all sites' solution gives it.
+    """
 
-    return _gathered(spark, sites, compute, "place long, area double, w double", shared)
+    def compute(shared: tuple[Sites, np.ndarray], at: np.ndarray) -> pd.DataFrame:
+        s, goals = copy(shared[0]), shared[1]
+        s.w = s.w.copy()
+        free, area, enough = at[at > 0], s.areas(at), 0.0
+        for _ in range(SWEEPS if len(free) else 0):
+            now, s.w[free] = s.raised(free, goals[free], step)
+            s.w_max = float(s.w.max())
+            lack = (goals[free] - now).max()
+            enough = max(LACK * goals.sum(), enough or (0.1 * lack if len(at) < len(s.w) else 0.0))
+            if lack <= enough:
+                break
+        return pd.DataFrame({"place": at, "area": area, "w": s.w[at]})
+
+    return _gathered(spark, sites, compute, "place long, area double, w double", spark.sparkContext.broadcast((sites, goals)))
 
 
 def cell_edges(cells: DataFrame) -> DataFrame:
@@ -376,5 +481,3 @@ def uniform_cell_moments(cells: DataFrame, sites: DataFrame, domain_area: float)
     a, c = G.area(F.col("vs")), G.centroid(F.col("vs"))
     square = G.squared_distance_integral(F.col("vs"), F.col("x"), F.col("y"))
     return both.select("site_id", "x", "y", "m", "w", a.alias("area"), c["x"].alias("cx"), c["y"].alias("cy"), (a / domain_area).alias("mu"), (square / domain_area).alias("sqint"), (a / domain_area - F.col("m")).alias("g"))
-
-

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import hypot
 
 import numpy as np
@@ -16,13 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massflow.functions import geometry as G
+from massflow.functions.clip import Grid
 from massflow.operators import density, measure
-from massflow.operators.cells import Sites, cell_edges, uniform_cell_moments
+from massflow.operators.cells import Sites, _cut_by, cell_edges, edged, measured, uniform_cell_moments
 from massflow.sources.fixtures import DOMAIN
 
 Place = tuple[float, float]
 #: Draws for each place, should the first ones fall outside the domain.
 TRIES = 16
+#: Pixels of a raster's box that are sent to every task, 8 bytes each; larger rasters are joined.
+HELD_PIXELS = 4_000_000
 
 
 def _uniform(*key: Column) -> Column:
@@ -52,6 +56,16 @@ class UniformDensity:
         xs, ys = zip(*self.domain, strict=True)
         return 2 * max(hypot(min(xs), min(ys)), hypot(max(xs), max(ys)))
 
+    def measured(self, spark: SparkSession, sites: Sites) -> pd.DataFrame | None:
+        """Per held site in their order: mu, and mx, my, sqint, the integrals of dx, dy and dx^2 + dy^2 about the site; None if
+        the density is too large for tasks to have it whole."""
+        got = measured(spark, sites)
+        return got[["mass", "mx", "my", "sq"]].set_axis(["mu", "mx", "my", "sqint"], axis=1) / self.area
+
+    def edged(self, spark: SparkSession, sites: Sites) -> pd.DataFrame | None:
+        """(place, neighbour, len): as ``edges``, of held sites; None likewise."""
+        return edged(spark, sites)
+
     @property
     def polygon(self) -> Column:
         return F.array(*(G.point(F.lit(float(a)), F.lit(float(b))) for a, b in self.domain))
@@ -96,8 +110,9 @@ class UniformDensity:
                     # uniform shares of the corners lie in the cell; Lloyd's steps spread them
                     at = np.random.default_rng([seed, abs(int(site))]).dirichlet(np.ones(len(corners)), k) @ corners
                     for _ in range(steps):
-                        s = Sites(np.arange(k), at[:, 0], at[:, 1], np.zeros(k), [tuple(c) for c in corners.tolist()])
-                        at = np.array([polygon_centroid(s.cell(i)[0], at[i]) for i in range(k)])
+                        few = [(i, x, y, 0.0) for i, (x, y) in enumerate(at.tolist())]
+                        cells = [_cut_by(corners.tolist(), [-1] * len(corners), x, y, 0.0, i, few[:i] + few[i + 1 :])[0] for i, x, y, _ in few]
+                        at = np.array([polygon_centroid(c, at[i]) for i, c in enumerate(cells)])
                     out += [(site, j, *p) for j, p in enumerate(at.tolist())]
                 yield pd.DataFrame(out, columns=["parent_id", "j", "x", "y"])
 
@@ -112,6 +127,24 @@ class RasterDensity(UniformDensity):
     pixels: DataFrame | None = None
     corners: bool = False
 
+    @cached_property
+    def held(self) -> Grid | None:
+        """The raster, if its box is no larger than HELD_PIXELS."""
+        box = self.pixels.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if box[0] is not None and (box[1] - box[0] + 1) * (box[3] - box[2] + 1) > HELD_PIXELS:
+            return None
+        p = self.pixels.where("v is not null and x is not null and y is not null").groupBy("x", "y").agg(F.sum("v").alias("v")).toPandas()
+        return Grid.of(p["x"].to_numpy(), p["y"].to_numpy(), p["v"].to_numpy(), self.corners)
+
+    def measured(self, spark: SparkSession, sites: Sites) -> pd.DataFrame | None:
+        if self.held is None:
+            return None
+        got = measured(spark, sites, self.held)
+        return got[["mass", "mx", "my", "sq"]].set_axis(["mu", "mx", "my", "sqint"], axis=1) / (float(got["mass"].sum()) or 1.0)
+
+    def edged(self, spark: SparkSession, sites: Sites) -> pd.DataFrame | None:
+        return None if self.held is None else edged(spark, sites, self.held)
+
     def over(self, cells: DataFrame, sites: DataFrame) -> DataFrame:
         return density.cell_image_moments(cells.where("size(vs) > 2").select("site_id", "vs"), sites, self.pixels, corners=self.corners)
 

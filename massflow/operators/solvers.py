@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massflow.operators import hierarchy
-from massflow.operators.cells import HELD_SITES, Sites, cells_at_hand, cells_of, measured, power_cells, raised
+from massflow.operators.cells import HELD_SITES, Sites, cells_at_hand, cells_of, raised
 from massflow.operators.densities import RasterDensity, UniformDensity
 from massflow.operators.hull import least_norm_shares
 from massflow.operators.objective import hessian, running_bounds
@@ -39,18 +39,26 @@ class Objective:
     evaluations: int = 0
 
     def __post_init__(self) -> None:
-        self.held: pd.DataFrame = self.sites.select("site_id", "x", "y", "m").orderBy("site_id").toPandas()
+        # sites at one place are one Dirac: no weights could give each a cell, so they have one together
+        place = self.sites.groupBy("x", "y").agg(F.min("site_id").alias("site_id"), F.sum("m").alias("m"), F.count("*").alias("n"))
+        self.held: pd.DataFrame = place.select("site_id", "x", "y", "m", "n").orderBy("site_id").toPandas()
 
     @property
     def n(self) -> int:
+        """The number of distinct places."""
         return len(self.held)
 
     def table(self, w: np.ndarray) -> DataFrame:
-        return self.sites.sparkSession.createDataFrame(self.held.assign(w=w), "site_id long, x double, y double, m double, w double")
+        return self.sites.sparkSession.createDataFrame(self.held[["site_id", "x", "y", "m"]].assign(w=w), "site_id long, x double, y double, m double, w double")
 
-    def stats(self, w: np.ndarray) -> DataFrame:
-        t = self.table(w)
-        return self.density.over(power_cells(t, self.density.domain), t)
+    def stats(self, w: np.ndarray, s: pd.DataFrame | None = None) -> DataFrame:
+        """(site_id, x, y, m, w, mu, sqint, g) of all sites; sites at one place share its cell by their masses. ``s``: what an evaluation at ``w`` measured."""
+        s = self._measured(w) if s is None else s
+        at = self.held[["x", "y"]].assign(total=self.held["m"], n=self.held["n"], w=w, all_mu=s["mu"].to_numpy(), all_sq=s["sqint"].to_numpy())
+        places = self.sites.sparkSession.createDataFrame(at, "x double, y double, total double, n long, w double, all_mu double, all_sq double")
+        part = F.when(F.col("n") == 1, 1e0).when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(1 / F.col("n"))
+        both = self.sites.select("site_id", "x", "y", "m").join(places, ["x", "y"]).withColumns({"mu": F.col("all_mu") * part, "sqint": F.col("all_sq") * part})
+        return both.select("site_id", "x", "y", "m", "w", "mu", "sqint", (F.col("mu") - F.col("m")).alias("g"))
 
     def placed(self, w: np.ndarray) -> Sites:
         return Sites(*(self.held[c].to_numpy() for c in ("site_id", "x", "y")), w, self.density.domain)
@@ -67,7 +75,10 @@ class Objective:
         return cells_of(table.sparkSession, self.placed(w)) if self.n <= HELD_SITES else cells_at_hand(table, self.density.domain)
 
     def _measured(self, w: np.ndarray) -> pd.DataFrame:
-        """(site_id, mu, sqint), in the order of the sites."""
+        """(site_id, mu, sqint), in the order of the places."""
+        s = self.density.measured(self.sites.sparkSession, self.placed(w)) if self.n <= HELD_SITES else None
+        if s is not None:
+            return s[["mu", "sqint"]].assign(site_id=self.held["site_id"])
         t = self.table(w)
         with self.cells(w, t) as cells:
             return self.density.over(cells, t).select("site_id", "mu", "sqint").toPandas().sort_values("site_id", ignore_index=True)
@@ -77,11 +88,17 @@ class Objective:
         return self.density.total(self.sites.sparkSession)
 
     def hessian(self, w: np.ndarray) -> Sparse:
+        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), c.to_numpy())
+        e = self.density.edged(self.sites.sparkSession, self.placed(w)) if self.n <= HELD_SITES else None
+        if e is not None:
+            i, j, x, y = e["place"].to_numpy(), place(e["neighbour"]), self.held["x"].to_numpy(), self.held["y"].to_numpy()
+            h = -e["len"].to_numpy() / self.total / (2 * np.hypot(x[i] - x[j], y[i] - y[j]))
+            own = np.flatnonzero(np.bincount(i, minlength=self.n))
+            return Sparse(np.r_[i, own], np.r_[j, own], np.r_[h, -np.bincount(i, weights=h, minlength=self.n)[own]], self.n)
         t = self.table(w)
         with self.cells(w, t) as cells:
             h = hessian(self.density.edges(cells), t, self.total).toPandas()
-        place = lambda c: np.searchsorted(self.held["site_id"].to_numpy(), h[c].to_numpy())
-        return Sparse(place("i"), place("j"), h["h"].to_numpy(), self.n)
+        return Sparse(place(h["i"]), place(h["j"]), h["h"].to_numpy(), self.n)
 
 
 @dataclass
@@ -90,14 +107,8 @@ class Uniform(Objective):
 
     density: UniformDensity = field(default_factory=UniformDensity)
 
-    def _measured(self, w: np.ndarray) -> pd.DataFrame:
-        if self.n > HELD_SITES:
-            return super()._measured(w)
-        s = measured(self.sites.sparkSession, self.placed(w))
-        return pd.DataFrame({"site_id": self.held["site_id"], "mu": s["area"].to_numpy() / self.density.area, "sqint": s["sq"].to_numpy() / self.density.area})
-
     def raised(self, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each cell's mass, and the weight that would give it its site's mass if all others stayed."""
+        """Each cell's mass, and weights raised block by block until the block's cells have their sites' masses if all others stayed."""
         if self.n > HELD_SITES:
             raise ValueError(f"coordinate steps send {HELD_SITES} sites to tasks at most")
         s = raised(self.sites.sparkSession, self.placed(w), self.held["m"].to_numpy() * self.density.area, step)
@@ -335,7 +346,7 @@ def newton(f: Objective, w: np.ndarray, stop: Stop, max_steps: int = 60, log: Lo
 
 
 def coordinate(f: Uniform, w: np.ndarray, stop: Stop, max_steps: int = 2000, log: Log | None = None) -> np.ndarray:
-    """Weights are raised one by one, each by bracket and bisection, until its cell has its site's mass.
+    """Weights are raised one by one, each by a bracket that is closed by chords and halves, until its cell has its site's mass.
 
     All but the first site begin below what gives them a cell. A step raises each
     weight whose cell is too small as if the others stayed, all in one job; as
