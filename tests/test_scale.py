@@ -73,3 +73,10 @@ def test_sites_at_one_place_share_its_cell_by_their_masses(spark, solve, pixels)
     got = f.stats(w).toPandas()
     assert f.n == 12 and sorted(got.site_id) == list(range(16)) and got.g.abs().max() <= 1e-6
     assert got.mu.sum() == pytest.approx(1) and got.groupby(["x", "y"]).w.nunique().max() == 1
+
+
+def test_newton_meets_masses_of_sites_that_all_share_places(spark):
+    s = sites_of(spark, 9, 8, twice=9)
+    f = solvers.Uniform(s, solvers.UniformDensity(BOX))
+    got = f.stats(solvers.newton(f, np.zeros(f.n), solvers.norm_inf(1e-6))).toPandas()
+    assert f.n == 9 and len(got) == 18 and got.g.abs().max() <= 1e-6 and f.evaluations <= 20
