@@ -206,7 +206,8 @@ def _stepped(f, w: np.ndarray, f0: float, g0: np.ndarray, step: np.ndarray, t: f
 
 
 def lbfgs(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, level: int = 0, search: Search = searched, pinned: bool = False) -> np.ndarray:
-    """Limited-memory quasi-Newton descent.
+    """Limited-memory quasi-Newton descent, begun from the Hessian at every ``memory``-th step where all cells have mass, so that
+    the number of steps hardly grows with the number of sites.
 
     f doesn't change with a shift of all weights: the result has mean 0 or, if ``pinned``, the
     last weight is held at 0 on the way, so that f isn't flat in any direction.
@@ -223,21 +224,29 @@ def lbfgs(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps:
     whole = lambda g: np.append(g[:-1], -g[:-1].sum()) if pinned else g
     f0, g, s = at(w)
     pairs: deque = deque(maxlen=memory)
-    for _ in range(max_steps):
+    metric: Sparse | None = None
+    for k in range(max_steps):
         if log:
             log.add(level, f0, whole(g), s, w)
         if stop(whole(g), s):
             break
+        if k % max(1, memory) == 0 and len(w) > 1 and (s["mu"] > 0).all():
+            metric = f.hessian(w).without_last()
         q, alphas = g.copy(), []
         for dw, dg in reversed(pairs):
             a = (dw @ q) / (dw @ dg)
             alphas.append(a)
             q -= a * dg
-        if pairs:
+        # between the two loops: the last Hessian's inverse, else a multiple of the identity
+        p = np.append(conjugate_gradients(metric, q[:-1])[0], 0.0) if metric is not None else q
+        scaled = metric is not None and bool(np.isfinite(p).all()) and p @ q > 0
+        if scaled:
+            q = p
+        elif pairs:
             q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
         for (dw, dg), a in zip(pairs, reversed(alphas), strict=True):
             q += (a - (dg @ q) / (dw @ dg)) * dw
-        found = _stepped(at, w, f0, g, -q, 1.0 if pairs else min(1.0, 1 / np.abs(g).sum()), search)
+        found = _stepped(at, w, f0, g, -q, 1.0 if pairs or scaled else min(1.0, 1 / np.abs(g).sum()), search)
         if found is None:
             break
         w1, f1, g1, s = found
