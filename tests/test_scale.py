@@ -64,7 +64,7 @@ def test_rasters_as_arrays_give_what_the_join_gives(spark, corners):
 
 
 
-@pytest.mark.parametrize("solve", [solvers.newton, solvers.lbfgs])
+@pytest.mark.parametrize("solve", [solvers.newton, solvers.lbfgs, partial(solvers.lbfgs, pinned=True)])
 @pytest.mark.parametrize("pixels", [False, True])
 def test_sites_at_one_place_share_its_cell_by_their_masses(spark, solve, pixels):
     s = sites_of(spark, 12, 1, twice=4)
@@ -82,7 +82,7 @@ def test_newton_meets_masses_of_sites_that_all_share_places(spark):
     assert f.n == 9 and len(got) == 18 and got.g.abs().max() <= 1e-6 and f.evaluations <= 20
 
 
-@pytest.mark.parametrize("pinned", [False])
+@pytest.mark.parametrize("pinned", [False, True])
 def test_lbfgs_takes_few_evaluations_for_many_sites(spark, pinned):
     f = solvers.Uniform(sites_of(spark, 400, 3), solvers.UniformDensity(BOX))
     w = solvers.lbfgs(f, np.zeros(400), solvers.norm_inf(1e-6), pinned=pinned)
