@@ -87,3 +87,11 @@ def test_lbfgs_takes_few_evaluations_for_many_sites(spark, pinned):
     f = solvers.Uniform(sites_of(spark, 400, 3), solvers.UniformDensity(BOX))
     w = solvers.lbfgs(f, np.zeros(400), solvers.norm_inf(1e-6), pinned=pinned)
     assert np.abs(f(w)[1]).max() <= 1e-6 and f.evaluations <= 60
+
+
+def test_coordinate_steps_of_a_block_are_one_job(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(solvers, "raised", lambda *a: jobs.append(1) or cells.raised(*a))
+    f = solvers.Uniform(sites_of(spark, 12, 4), solvers.UniformDensity(BOX))
+    w = solvers.coordinate(f, np.zeros(12), solvers.norm_inf(1e-6))
+    assert np.abs(f(w)[1]).max() <= 1e-6 and len(jobs) <= 3
