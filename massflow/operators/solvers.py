@@ -388,14 +388,16 @@ def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | No
     the diameter, and the distance between the levels. ``density`` is the uniform one of the fixtures' domain unless named; ``solve`` takes the
     place of :func:`lbfgs`.
     """
-    spark, weights, out = hier.sparkSession, None, []
+    hier = stored(hier, "hierarchy")
+    weights, out = None, None
     top = hier.agg(F.max("level")).first()[0] or 0
     for level in range(top, -1, -1):
         at = hier.where(F.col("level") == level)
         f = Objective(at, density) if isinstance(density, RasterDensity) else Uniform(at, density or UniformDensity())
         w = np.zeros(f.n)
         if weights is not None:
-            w = unhidden(f, hierarchy.prolonged(hier, weights, level, level + 1).orderBy("site_id").toPandas()["w"].to_numpy())
+            start = hierarchy.prolonged(hier, weights, level, level + 1).join(F.broadcast(f.table(w).select("site_id")), "site_id")
+            w = unhidden(f, start.orderBy("site_id").toPandas()["w"].to_numpy())
         moved = hierarchy.transport_distance(hier, 0, level).first()["w2"] or 0.0 if level else 0.0
         if isinstance(stop, WassersteinStop):
             stop.quantisation = moved
@@ -403,6 +405,8 @@ def multiscale(hier: DataFrame, stop: Stop, max_steps: int = 1000, log: Log | No
         _, g, s = f(w)
         across = float(np.hypot(np.ptp(f.held["x"]), np.ptp(f.held["y"])))
         w2, error = float(np.sqrt(max(0.0, s["sqint"].sum()))), float(np.sqrt(np.abs(g).sum() / 2) * across + moved)
-        weights = spark.createDataFrame(pd.DataFrame({"site_id": f.held["site_id"], "w": w}), "site_id long, w double")
-        out += [(level, int(k), float(v), w2, error, f.evaluations, bool(stop(g, s))) for k, v in zip(f.held["site_id"], w, strict=True)]
-    return spark.createDataFrame(out, "level int, site_id long, w double, w2 double, error double, evaluations int, converged boolean")
+        weights = f.stats(w, s).select("site_id", "w")
+        what = {"w2": F.lit(w2), "error": F.lit(error), "evaluations": F.lit(f.evaluations), "converged": F.lit(bool(stop(g, s)))}
+        rows = weights.select(F.lit(level).alias("level"), "site_id", "w").withColumns(what)
+        out = rows if out is None else out.unionByName(rows)
+    return stored(out, "weights")
