@@ -102,6 +102,6 @@ def test_multiscale_gives_every_coincident_site_a_row(spark):
     mean = lambda c: (F.sum(F.col("m") * F.col(c)) / F.sum("m")).alias(c)
     up = low.groupBy(F.col("parent_id").alias("site_id")).agg(mean("x"), mean("y"), F.sum("m").alias("m"))
     hier = low.unionByName(up.withColumns({"level": F.lit(1), "parent_id": F.lit(None).cast("long")}))
-    for over in (RasterDensity(BOX, raster(spark)),):
+    for over in (None, RasterDensity(BOX, raster(spark))):
         got = solvers.multiscale(hier, solvers.norm_inf(1e-6), density=over, solve=solvers.newton).toPandas()
         assert got.converged.all() and sorted(got[got.level == 0].site_id) == list(range(16)) and len(got) == 19
