@@ -66,6 +66,8 @@ class Sites:
         self.order = np.argsort(square, kind="stable")
         self.starts = np.searchsorted(square[self.order], np.arange(self.nx * self.ny + 1))
         self.rings = max(self.nx, self.ny)
+        self.id_order = np.argsort(ids, kind="stable")
+        self.by_id = np.argsort(self.id_order, kind="stable")
         self.w_max = float(w.max()) if n else 0.0
 
     @property
@@ -91,6 +93,29 @@ class Sites:
         at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         return row[which], self.order[at]
 
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the site nearest to each point, of equally near ones that with the smallest id, and the squared distance; weights don't count."""
+        place, best = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+        cx = np.clip(np.floor((x - self.x0) / self.h), 0, self.nx - 1).astype(np.int64)
+        cy = np.clip(np.floor((y - self.y0) / self.h), 0, self.ny - 1).astype(np.int64)
+        going = np.arange(len(x))
+        for r in range(self.rings + 1):
+            if r > 1:  # sites of this ring are no nearer than that
+                going = going[((r - 1) * self.h) ** 2 <= best[going] * (1 + 1e-9)]
+            room = max(1, PAIRS // (8 * r + 1))
+            for some in (going[k : k + room] for k in range(0, len(going), room)):
+                row, j = self.ring(cx[some], cy[some], r)
+                if not len(row):
+                    continue
+                d2 = (x[some[row]] - self.x[j]) ** 2 + (y[some[row]] - self.y[j]) ** 2
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                least = np.minimum.reduceat(d2, first)
+                order = np.where(d2 == np.repeat(least, np.diff(np.r_[first, len(row)])), self.by_id[j], len(self.ids))
+                order, to = np.minimum.reduceat(order, first), some[row[first]]
+                nearer = (least < best[to]) | ((least == best[to]) & (order < self.by_id[place[to]]))
+                place[to[nearer]], best[to[nearer]] = self.id_order[order[nearer]], least[nearer]
+        return place, best
+
     def cells(self, at: np.ndarray, weights: np.ndarray | None = None) -> Polygons:
         """The cells of the sites at the places ``at``; ``weights`` take the place of these sites' own."""
         x, y, w = self.x[at], self.y[at], self.w[at] if weights is None else weights

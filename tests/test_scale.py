@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massflow.functions.clip import Grid
-from massflow.operators import cells, density, solvers
+from massflow.operators import cells, cluster, density, solvers
 from massflow.operators.cells import Sites, _cut_by
 from massflow.operators.densities import RasterDensity
 from massflow.sources.fixtures import DOMAIN
@@ -105,3 +105,26 @@ def test_multiscale_gives_every_coincident_site_a_row(spark):
     for over in (None, RasterDensity(BOX, raster(spark))):
         got = solvers.multiscale(hier, solvers.norm_inf(1e-6), density=over, solve=solvers.newton).toPandas()
         assert got.converged.all() and sorted(got[got.level == 0].site_id) == list(range(16)) and len(got) == 19
+
+
+def test_nearest_of_held_sites_is_the_nearest_of_all():
+    draw = np.random.default_rng(9)
+    x, y = draw.integers(0, 40, 300) / 2, draw.integers(0, 20, 300) / 2  # ties and coincident sites
+    s = Sites(draw.permutation(300), x, y, np.zeros(300), [])
+    px, py = draw.integers(-40, 120, 500) / 4, draw.integers(-40, 80, 500) / 4
+    at, d2 = s.nearest(px, py)
+    every = (px[:, None] - x) ** 2 + (py[:, None] - y) ** 2
+    assert (d2 == every.min(axis=1)).all()
+    assert (s.ids[at] == np.where(every == every.min(axis=1, keepdims=True), s.ids, 999).min(axis=1)).all()
+
+
+def test_a_lloyd_step_of_a_held_raster_joins_nothing(spark, monkeypatch):
+    s, over = sites_of(spark, 15, 11).withColumn("w", F.lit(0e0)), RasterDensity(BOX, raster(spark))
+    joined = cluster.density_step(s, RasterDensity(BOX, raster(spark))).orderBy("site_id").toPandas()
+    monkeypatch.setattr(RasterDensity, "over", None)
+    assert joined.equals(cluster.density_step(s, over).orderBy("site_id").toPandas())
+    monkeypatch.undo()
+    monkeypatch.setattr(cluster, "HELD_SITES", 0)
+    tiled = cluster.density_step(s, over).orderBy("site_id").toPandas()
+    for c in tiled.columns:
+        assert tiled[c].to_numpy() == pytest.approx(joined[c].to_numpy(), abs=1e-9)
