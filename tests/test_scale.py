@@ -118,6 +118,16 @@ def test_nearest_of_held_sites_is_the_nearest_of_all():
     assert (s.ids[at] == np.where(every == every.min(axis=1, keepdims=True), s.ids, 999).min(axis=1)).all()
 
 
+def test_coarsening_by_held_centres_is_coarsening_by_joins(spark, monkeypatch):
+    p = sites_of(spark, 60, 10, twice=20).drop("w")
+    held = cluster.coarsened(p, 7, restarts=2).orderBy("site_id").toPandas()
+    monkeypatch.setattr(cluster, "HELD_SITES", 0)
+    joined = cluster.coarsened(p, 7, restarts=2).orderBy("site_id").toPandas()
+    assert list(held.columns) == list(joined.columns) and held.converged.all() and held.m.sum() == pytest.approx(1)
+    for c in held.columns:
+        assert held[c].to_numpy() == pytest.approx(joined[c].to_numpy(), abs=1e-9)
+
+
 def test_a_lloyd_step_of_a_held_raster_joins_nothing(spark, monkeypatch):
     s, over = sites_of(spark, 15, 11).withColumn("w", F.lit(0e0)), RasterDensity(BOX, raster(spark))
     joined = cluster.density_step(s, RasterDensity(BOX, raster(spark))).orderBy("site_id").toPandas()
