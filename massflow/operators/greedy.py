@@ -23,10 +23,14 @@ order of additions, and residuals below half of that don't count.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massflow.operators.cells import HELD_SITES, Sites
 from massflow.sources.store import stored
 
 #: Parts that the residuals' sum is counted in.
@@ -82,6 +86,47 @@ def _offers(seekers: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
     return best.select("source", "span", "best.sink", "amount", "best.d2")
 
 
+def _held_offers(seekers: DataFrame, known: DataFrame):
+    """As :func:`_offers`, by sinks that tasks have whole; and what to destroy after use.
+
+    What a source has beyond a sink's whole room would be given back in any case, so it is offered on
+    at once: to the next nearest open sink, until all is offered. So rounds don't count the sinks that a source fills.
+    """
+    p = known.select("sink", "sx", "sy", "room", "until").orderBy("sink").toPandas()
+    places = Sites(*(p[c].to_numpy() for c in ("sink", "sx", "sy")), np.zeros(len(p)), [])
+    shared = seekers.sparkSession.sparkContext.broadcast((places, p["room"].to_numpy(), p["until"].to_numpy()))
+
+    def offered(s: Sites, room: np.ndarray, until: np.ndarray, source: int, x: float, y: float, left: int) -> list[tuple[int, int, float]]:
+        at = [np.clip(np.floor(np.array([(v - low) / s.h])), 0, n - 1).astype(np.int64) for v, low, n in ((x, s.x0, s.nx), (y, s.y0, s.ny))]
+        near, far, wait = [np.zeros(0, dtype=np.int64)], 0, 0
+        for r in range(s.rings + 1):
+            _, j = s.ring(*at, r)
+            near.append(j[until[j] > source])
+            far += int(room[near[-1]].sum())
+            if (far < left or r < wait) and r < s.rings:
+                continue
+            wait = r + 1 + r // 4
+            # sites of the rings to come are no nearer than r * h
+            j = np.concatenate(near)
+            d2 = (x - s.x[j]) * (x - s.x[j]) + (y - s.y[j]) * (y - s.y[j])
+            order = np.lexsort((s.ids[j], d2))
+            j, d2 = j[order], d2[order]
+            before = np.cumsum(room[j]) - room[j]
+            last = int(np.searchsorted(before, left))  # sinks that anything is offered to
+            if r >= s.rings or d2[last - 1] * (1 + 1e-9) < (r * s.h) ** 2:
+                return [(int(s.ids[k]), int(min(left - b, room[k])), float(d)) for k, b, d in zip(j[:last], before, d2, strict=False)]
+        return []
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, room, until = shared.value
+        for batch in batches:
+            rows = batch[["source", "span", "x", "y", "left"]].itertuples(index=False)
+            out = [(r.source, r.span, *o) for r in rows for o in offered(s, room, until, r.source, r.x, r.y, r.left)]
+            yield pd.DataFrame(out, columns=["source", "span", "sink", "amount", "d2"])
+
+    return seekers.mapInPandas(compute, "source long, span int, sink long, amount long, d2 double"), shared
+
+
 def _kept(offers: DataFrame, rooms: DataFrame) -> DataFrame:
     """What sinks keep of all they hold and are offered, in the order of the sources."""
     mine = offers.groupBy("sink", "span", "source").agg(F.sum("amount").alias("amount"), F.min("d2").alias("d2"), F.max("fresh").alias("fresh"))
@@ -111,7 +156,7 @@ def greedy_moves(stats: DataFrame) -> DataFrame:
     sources = stored(sources.withColumn("span", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("source")))), "sources")
     leaves, depth = _with_leaves(sinks)
     sinks = stored(leaves, "sinks")
-    rooms, held = sinks.select("sink", "room"), None
+    rooms, held, n_sinks = sinks.select("sink", "room"), None, sinks.count()
     while held is None or not held.where("fresh").isEmpty():
         if held is None:
             seekers, known = sources.withColumnRenamed("mass", "left"), sinks.withColumn("until", F.lit(_OPEN))
@@ -120,7 +165,10 @@ def greedy_moves(stats: DataFrame) -> DataFrame:
             seekers = sources.join(given, "source", "left").withColumn("left", F.col("mass") - F.coalesce("given", F.lit(0))).where("left > 0").drop("mass", "given")
             last = held.groupBy("sink").agg(F.sum("amount").alias("full"), F.max("source").alias("last"))
             known = sinks.join(last, "sink", "left").withColumn("until", F.when(F.col("full") >= F.col("room"), F.col("last")).otherwise(F.lit(_OPEN)))
-        offers = _offers(seekers, known, depth).withColumn("fresh", F.lit(True))
+        offers, shared = _held_offers(seekers, known) if n_sinks <= HELD_SITES else (_offers(seekers, known, depth), None)
+        offers = (offers if shared is None else stored(offers, "offers")).withColumn("fresh", F.lit(True))
+        if shared is not None:
+            shared.destroy()
         if held is not None:
             offers = offers.unionByName(held.withColumn("fresh", F.lit(False)))
         held = stored(_kept(offers, rooms), "moves")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from massflow.functions.clip import Grid
-from massflow.operators import cells, cluster, density, solvers
+from massflow.operators import cells, cluster, density, greedy, solvers
 from massflow.operators.cells import Sites, _cut_by
 from massflow.operators.densities import RasterDensity
 from massflow.sources.fixtures import DOMAIN
@@ -138,3 +138,11 @@ def test_a_lloyd_step_of_a_held_raster_joins_nothing(spark, monkeypatch):
     tiled = cluster.density_step(s, over).orderBy("site_id").toPandas()
     for c in tiled.columns:
         assert tiled[c].to_numpy() == pytest.approx(joined[c].to_numpy(), abs=1e-9)
+
+
+def test_greedy_rounds_do_not_count_the_sinks_that_a_source_fills(spark, monkeypatch):
+    rounds, kept = [], greedy._kept
+    monkeypatch.setattr(greedy, "_kept", lambda *a: rounds.append(1) or kept(*a))
+    rows = [(0, 0.0, 0.0, 0.5), *((k, float(k), 0.0, -0.0125) for k in range(1, 41))]
+    got = greedy.greedy_moves(spark.createDataFrame(rows, "site_id long, x double, y double, g double")).toPandas()
+    assert sorted(got.sink) == list(range(1, 41)) and got.m.sum() == pytest.approx(0.5) and len(rounds) <= 3
