@@ -16,10 +16,11 @@ Texts with equal sets are first made one class. Each class is then held against
 the nearest of its buckets' first members, which makes most components whole.
 What is left works in rounds: a class outside a bucket's main component seeks the
 nearest classes of other components there, by the distance of the sketches; what
-is confirmed joins components, and what isn't is not tried again. A round takes
-one candidate of each such class, the next ones sixteen times as many as before, until
-no class has a candidate left. So links and candidates follow the number of classes
-and not that of the pairs in a bucket, and no pair of different components is missed.
+is confirmed joins components, and what isn't is not tried again. A round compares
+the buckets once and lists up to MOST_CANDIDATES of each such class, the next ones four
+times as many; of the first lists, the nearest is confirmed first, and then those that are still in
+another component. It ends when no list was full. So links and candidates follow the number
+of classes and not that of the pairs in a bucket, and no pair of different components is missed.
 
 Defined results: a text without words has an empty set and is linked with
 nothing; one with fewer than five words has its whole sequence as one shingle;
@@ -52,8 +53,8 @@ BROADCAST_IDS = 1_000_000
 WORD_CACHE = 200_000
 #: Most seekers, and most members, of a bucket that are compared with each other in one group of rows.
 TILE = 512
-#: Most candidates of a class that a round takes on; the rest are taken on by further rounds.
-MOST_CANDIDATES = 256
+#: Most candidates of a class that the first round lists, and that any round does; the rest are listed by further rounds.
+MOST_CANDIDATES, LONGEST_LIST = 256, 1024
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -156,7 +157,7 @@ def _index_keys() -> Column:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (x, y) of rids whose full sets are similar enough; ``texts`` has (rid, text)."""
     spark = pairs.sparkSession
-    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct(), "candidate-ids")
+    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("rid")), "candidate-ids")
     few = ids.count() <= BROADCAST_IDS
     needed = stored(texts.join(F.broadcast(ids) if few else ids, "rid", "left_semi"), "candidate-texts")
 
@@ -211,6 +212,13 @@ def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(names, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``pairs`` (x, y) whose ends are in different components."""
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}l"))
+    met = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return met.where(F.coalesce("xl", "x") != F.coalesce("yl", "y")).select("x", "y")
+
+
 def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, slot, rid, anchor) of the buckets with several components; ``anchor`` is a member of the largest one there."""
     parts = _with_labels(members.select("key", "rid"), labels).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("rid").alias("own"))
@@ -328,18 +336,23 @@ def class_components(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
     pairs = stored(_leader_pairs(members, classes), "pairs")
     labels = none if pairs.isEmpty() else linked(none, pairs)
-    mixed, cursors, most = stored(_mixed_buckets(members, labels), "mixed"), None, 1
+    mixed, cursors, most = stored(_mixed_buckets(members, labels), "mixed"), None, MOST_CANDIDATES
     while not mixed.isEmpty():
         near = stored(_candidates(mixed, labels, cursors, classes, most), "candidates")
-        pairs = stored(near.select("x", F.explode("near").alias("n")).select(F.least("x", "n.y").alias("x"), F.greatest("x", "n.y").alias("y")).distinct(), "pairs")
-        if pairs.isEmpty():
+        listed = near.select("x", F.posexplode("near").alias("place", "n")).select("x", "place", "n.y")
+        for place in ("place = 0", "place > 0") if cursors is None else ("true",):
+            pairs = stored(_apart(listed.where(place), labels).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+            if pairs.isEmpty():
+                break
+            labels = linked(labels, pairs)
+        full = F.size("near") == most
+        if near.where(full).isEmpty():
             break
-        labels = linked(labels, pairs)
-        tried = near.select(F.col("x").alias("rid"), F.element_at("near", -1).alias("l"), (F.size("near") < most).alias("done")).select("rid", "l.d", F.col("l.y").alias("last"), "done")
+        tried = near.select(F.col("x").alias("rid"), F.element_at("near", -1).alias("l"), (~full).alias("done")).select("rid", "l.d", F.col("l.y").alias("last"), "done")
         # a class that is in the main components of all its buckets, or has found less than it asked for, is done for good
         cursors = mixed.select("rid").distinct().join(tried, "rid", "left").withColumn("done", F.coalesce("done", F.lit(True)))
         cursors = stored(cursors, "cursors")
-        most = min(16 * most, MOST_CANDIDATES)
+        most = min(4 * most, LONGEST_LIST)
     return labels
 
 

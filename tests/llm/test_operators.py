@@ -234,6 +234,16 @@ def test_links_follow_the_members_of_a_group_and_not_its_pairs(spark, monkeypatc
     assert tried[400] < 3 * tried[200] and tried[400] < 12 * 400
 
 
+def test_buckets_of_copies_that_are_not_linked_are_compared_few_times(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(minhash, "_candidates", lambda *a, own=minhash._candidates: rounds.append(a[-1]) or own(*a))
+    monkeypatch.setattr(minhash, "MOST_CANDIDATES", 16)
+    texts = near_group(40, 3, changed=6)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(40)] == brute_components(texts)[0]
+    assert rounds == [16, 64]  # each class has 39 candidates, or fewer
+
+
 def test_components_of_chains_and_rings(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {x["v"]: x["label"] for x in graph.components(spark.createDataFrame(links, "x long, y long")).collect()}
