@@ -17,6 +17,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from massflow.llm.common import bounded_batches, table
 
 #: Entries after which a task's cache starts anew, and the longest piece it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+#: Most bytes of a word that is merged without a heap, and what stands for no rank.
+SHORT, NONE = 32, 1 << 40
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -124,6 +127,8 @@ class Bpe:
         byte_rank, pairs = self.byte_rank, self.pairs
         ids = [byte_rank[b] for b in word]
         n = len(ids)
+        if n <= SHORT:
+            return self._merged_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         get, pop, push = pairs.get, heapq.heappop, heapq.heappush
         # a rank and a place in one integer: the heap gives the lowest rank, and of equal ones the leftmost
@@ -145,9 +150,25 @@ class Bpe:
                 push(heap, r << 40 | k)
         return [x for x in ids if x >= 0]
 
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """As merged, for few bytes: looking through all pairs costs less than a heap there."""
+        get = self.pairs.get
+        ranks = [get(a << 32 | b, NONE) for a, b in pairwise(ids)]
+        while ranks and (rank := min(ranks)) < NONE:
+            i = ranks.index(rank)
+            ids[i] = rank
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(rank << 32 | ids[i + 1], NONE)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | rank, NONE)
+        return ids
+
     def _piece(self, piece: str) -> bytes:
         parts = []
-        for token in self.pattern.findall(piece):
+        word = piece[1:] if piece[0] == " " else piece
+        # of ASCII letters alone, with a space before them or not, the pattern makes one match
+        for token in [piece] if word.isalpha() and word.isascii() else self.pattern.findall(piece):
             packed = self.cache.get(token)
             if packed is None:
                 word = token.encode()

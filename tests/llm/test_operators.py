@@ -104,6 +104,20 @@ def test_bpe_encodes_as_tiktoken_and_decodes_back(coder):
         assert coder.decode(ids) == t.encode()
 
 
+def test_words_of_ascii_letters_need_no_pattern_and_short_ones_no_heap(coder, monkeypatch):
+    r = random.Random(9)
+    many = ["".join(r.choice("etaoinshr" if k % 2 else "ab") for _ in range(r.randint(1, bpe.SHORT - 1))) for k in range(500)]
+    want = [coder.encode(w) for w in (" ".join(many), many[0])]
+    with monkeypatch.context() as m:
+        m.setattr(coder, "cache", {})
+        m.setattr(coder, "pattern", None)
+        m.setattr(bpe, "heapq", None)
+        assert [coder.encode(w) for w in (" ".join(many), many[0])] == want
+    short = [coder.merged(w.encode()) for w in many]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [coder.merged(w.encode()) for w in many] == short
+
+
 def test_bpe_over_a_table(spark, coder):
     shared = spark.sparkContext.broadcast(coder)
     rows = {r["doc_id"]: r for r in bpe.encoded_documents(docs(spark, [None, "", "hello world"]), shared).collect()}
