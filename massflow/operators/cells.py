@@ -171,28 +171,46 @@ class Sites:
     def areas(self, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return self.cells(at, weights).moments(self.x[at], self.y[at])[:, 0]
 
-    def slopes(self, cells: Polygons, at: np.ndarray) -> np.ndarray:
-        """What the areas of ``cells``, those of the sites at ``at``, gain by their sites' weights."""
+    def _edge_slopes(self, cells: Polygons, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each edge of ``cells``, those of the sites at ``at``: the row, the place of the site across, and what the area gains by the difference of their weights."""
         row, tag, ends = cells.edges()
         row, tag, ends = row[tag >= 0], tag[tag >= 0], ends[tag >= 0]
         by_id = np.argsort(self.ids)
         i, j = at[row], by_id[np.searchsorted(self.ids[by_id], tag)]
-        each = np.hypot(ends[:, 2] - ends[:, 0], ends[:, 3] - ends[:, 1]) / (2 * np.hypot(self.x[i] - self.x[j], self.y[i] - self.y[j]))
-        return np.bincount(row, weights=each, minlength=len(at))
+        return row, j, np.hypot(ends[:, 2] - ends[:, 0], ends[:, 3] - ends[:, 1]) / (2 * np.hypot(self.x[i] - self.x[j], self.y[i] - self.y[j]))
+
+    def slopes(self, cells: Polygons, at: np.ndarray) -> np.ndarray:
+        """The derivatives of the areas of ``cells``, those of the sites at ``at`` (rows), by the weights of these sites (columns)."""
+        row, j, each = self._edge_slopes(cells, at)
+        place = np.full(len(self.ids), -1)
+        place[at] = np.arange(len(at))
+        out, inner = np.diag(np.bincount(row, weights=each, minlength=len(at))), place[j] >= 0
+        np.add.at(out, (row[inner], place[j[inner]]), -each[inner])
+        return out
 
     def raised(self, at: np.ndarray, goals: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-        """The cells' areas, and for each a greater weight that leaves it no larger than its goal while all other weights
-        stay; a weight whose cell is as large already is left alone.
+        """The cells' areas, and greater weights that leave no cell larger than its goal, or than it was, while all weights but
+        those of ``at`` stay.
 
-        The root of a cell's area is concave in its site's weight, so Newton's step for it never leads too far.
+        The root of a cell's area is concave in all weights, and falls as others rise. So Newton's step for the roots of all
+        visible cells of ``at`` together only raises weights and never leads too far.
         A hidden cell's weight is bracketed by steps that double, and the bracket is bisected until its lower end gives it a cell.
         """
         x, y, w = self.x[at], self.y[at], self.w[at].astype(float)
         cells = self.cells(at)
         now = cells.moments(x, y)[:, 0]
-        slope = self.slopes(cells, at)
-        short = (now < goals) & (now > 0) & (slope > 0)
-        w[short] += 2 * (np.sqrt(now * goals) - now)[short] / slope[short]
+        slopes = self.slopes(cells, at)
+        own = slopes.diagonal()
+        short = (now < goals) & (now > 0) & (own > 0)
+        if short.any():
+            lack, seen = np.where(short, 2 * (np.sqrt(now * goals) - now), 0.0), np.flatnonzero((now > 0) & (own > 0))
+            try:
+                more = np.linalg.solve(slopes[np.ix_(seen, seen)], lack[seen])
+            except np.linalg.LinAlgError:
+                more = np.array([np.nan])
+            # a singular or badly rounded system: each weight by itself
+            sound = np.isfinite(more).all() and more.min() >= -1e-6 * more.max()
+            w[seen] += np.maximum(more, 0) if sound else lack[seen] / own[seen]
         low, high, length = w.copy(), w + step, np.full(len(at), float(step))
         hidden = left = np.flatnonzero((now < goals) & ~short)
         while len(left):
@@ -471,7 +489,7 @@ def edged(spark: SparkSession, sites: Sites, raster: Grid | None = None) -> pd.D
 def raised(spark: SparkSession, sites: Sites, goals: np.ndarray, step: float) -> pd.DataFrame:
     """(place, area, w): each held site's cell's area, and its weight raised by Sites.raised, but not that of the first site; in one stage without a shuffle.
 
-    The sites of a task's block are raised together, again and again, until their cells lack next to nothing (a tenth of
+    The sites of a task's block are raised together, by joint Newton steps, again and again, until their cells lack next to nothing (a tenth of
     what they lacked, where there are other blocks) or SWEEPS times, while the others' weights stay. Weights only rise, and as the Hessian's other entries are
     negative a block stays below what all sites' solution gives it.
     """

@@ -146,3 +146,17 @@ def test_greedy_rounds_do_not_count_the_sinks_that_a_source_fills(spark, monkeyp
     rows = [(0, 0.0, 0.0, 0.5), *((k, float(k), 0.0, -0.0125) for k in range(1, 41))]
     got = greedy.greedy_moves(spark.createDataFrame(rows, "site_id long, x double, y double, g double")).toPandas()
     assert sorted(got.sink) == list(range(1, 41)) and got.m.sum() == pytest.approx(0.5) and len(rounds) <= 3
+
+
+def test_coordinate_steps_of_nearly_collinear_sites_are_few():
+    r = np.random.default_rng(6)
+    x, y, goals = np.sort(20 + 7 * r.random(25)), 5 + 0.3 * r.random(25), np.full(25, 490 / 25)
+    w, free, rounds = np.r_[0.0, np.full(24, -5002.0)], np.arange(1, 25), 0
+    s = cells.Sites(np.arange(25) + 7, x, y, w, cells.DOMAIN)
+    lack = 1.0
+    while lack > 1e-7 * 490 and rounds < 60:
+        now, more = s.raised(free, goals[free], 490 / 25)
+        assert (now <= goals[free] * (1 + 1e-9)).all() and (more >= s.w[free]).all()
+        s.w[free], lack, rounds = more, (goals[free] - now).max(), rounds + 1
+        s.w_max = float(s.w.max())
+    assert lack <= 1e-7 * 490  # each weight by itself takes thousands of rounds
