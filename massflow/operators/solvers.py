@@ -281,7 +281,7 @@ def gradient_descent(f: Objective, w: np.ndarray, stop: Stop, step: float | None
     return w - w.mean()
 
 
-def subgradient(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, search: Search = wolfe) -> np.ndarray:
+def subgradient(f: Objective, w: np.ndarray, stop: Stop, memory: int = 10, max_steps: int = 1000, log: Log | None = None, search: Search = searched) -> np.ndarray:
     """Descent against the point of least norm in the hull of the last ``memory`` gradients.
 
     That point lowers f along every one of them, so steps don't go to and fro across a valley.

@@ -53,3 +53,21 @@ def test_subgradient_descent_of_a_quadratic(memory):
     w = subgradient(f, np.zeros(20), lambda g, s: float(np.abs(g).max()) <= 1e-6, memory=memory)
     assert np.abs(a @ (w - goal)).max() <= 1e-6 and abs(w.mean()) < 1e-12
     assert len(calls) < 1500
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_subgradient_descent_arrives_for_any_draw(seed):
+    draw = np.random.default_rng(seed)
+    turn = np.linalg.qr(draw.normal(size=(20, 20)))[0]
+    a = turn @ np.diag(np.geomspace(1, 30, 20)) @ turn.T
+    a -= a.mean(1, keepdims=True)
+    a = a.T @ a / 30
+    goal, calls = draw.normal(size=20), []
+
+    def f(w):
+        calls.append(1)
+        g = a @ (w - goal)
+        return float((w - goal) @ g / 2), g, None
+
+    w = subgradient(f, np.zeros(20), lambda g, s: float(np.abs(g).max()) <= 1e-6, memory=3)
+    assert np.abs(a @ (w - goal)).max() <= 1e-6 and len(calls) < 1500
