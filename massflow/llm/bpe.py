@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
 Two tiers resolve a pre-token: a minimal perfect hash over the vocabulary finds
-those that are one token, and the rest are merged with a heap over linked bytes.
+those that are one token, and the rest are merged over linked bytes: long ones with a
+heap, short ones many together, as rows of a table.
 Tasks hold the hash, the pair table and a bounded cache of pieces; a text is
 never cut, and nothing is shuffled.
 
@@ -16,8 +17,7 @@ import heapq
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import pairwise
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,10 @@ from massflow.llm.common import bounded_batches, table
 
 #: Entries after which a task's cache starts anew, and the longest piece it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
-#: Most bytes of a word that is merged without a heap, and what stands for no rank.
-SHORT, NONE = 32, 1 << 40
+#: Most bytes of a word that is merged in a table with others, most words of such a table, and what stands for no rank.
+SHORT, WORDS_AT_ONCE, NONE = 32, 1 << 14, (1 << 31) - 1
+#: Characters of texts, whole ones, whose words are merged together.
+CHARS_AT_ONCE = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -109,6 +111,11 @@ class Bpe:
                 left = get(token[:i])
                 if left >= 0 and (right := get(token[i:])) >= 0:
                     self.pairs[left << 32 | right] = rank
+        # the same as arrays, keys in order and one beyond all, and the pairs of bytes by themselves
+        self.byte_ranks = np.array(self.byte_rank, dtype=np.int32)
+        self.pair_keys = np.array([*sorted(self.pairs), np.iinfo(np.int64).max])
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys[:-1].tolist()] + [NONE], dtype=np.int32)
+        self.byte_pairs = self._ranks_of_pairs(*np.meshgrid(self.byte_ranks, self.byte_ranks, indexing="ij"))
         self._start()
 
     def _start(self) -> None:
@@ -125,10 +132,10 @@ class Bpe:
     def merged(self, word: bytes) -> list[int]:
         """Ranks of ``word``: again and again the lowest-ranked adjacent pair, leftmost first, is merged."""
         byte_rank, pairs = self.byte_rank, self.pairs
-        ids = [byte_rank[b] for b in word]
-        n = len(ids)
+        n = len(word)
         if n <= SHORT:
-            return self._merged_short(ids)
+            return array("I", self.merged_many([word])[0]).tolist()
+        ids = [byte_rank[b] for b in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         get, pop, push = pairs.get, heapq.heappop, heapq.heappush
         # a rank and a place in one integer: the heap gives the lowest rank, and of equal ones the leftmost
@@ -150,36 +157,104 @@ class Bpe:
                 push(heap, r << 40 | k)
         return [x for x in ids if x >= 0]
 
-    def _merged_short(self, ids: list[int]) -> list[int]:
-        """As merged, for few bytes: looking through all pairs costs less than a heap there."""
-        get = self.pairs.get
-        ranks = [get(a << 32 | b, NONE) for a, b in pairwise(ids)]
-        while ranks and (rank := min(ranks)) < NONE:
-            i = ranks.index(rank)
-            ids[i] = rank
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(rank << 32 | ids[i + 1], NONE)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | rank, NONE)
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        parts = []
+    def merged_many(self, words: list[bytes]) -> list[bytes]:
+        """As merged, ids packed, for words of few bytes: those of one length are the rows of a table, and each round merges every row's
+        lowest-ranked pair, the leftmost of equal ones."""
+        out, by_length = [b""] * len(words), {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for n, own in by_length.items():
+            for k in range(0, len(own) if n else 0, WORDS_AT_ONCE):
+                some = own[k : k + WORDS_AT_ONCE]
+                ids, counts = self._rows_merged(np.frombuffer(b"".join([words[i] for i in some]), dtype=np.uint8).reshape(-1, n))
+                packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                for i, start, end in zip(some, [0, *ends], ends, strict=False):
+                    out[i] = packed[start:end]
+        return out
+
+    def _rows_merged(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of bytes, one row after another, and how many each row has."""
+        rows, n = chars.shape
+        ids = self.byte_ranks[chars]
+        ranks = np.full((rows, n), NONE, dtype=np.int32)  # of the pair that begins at a place
+        ranks[:, :-1] = self.byte_pairs[chars[:, :-1], chars[:, 1:]]
+        after, before = (np.tile(np.arange(k, n + k, dtype=np.int32), rows) for k in (1, -1))
+        flat_ids, flat_ranks, row = ids.ravel(), ranks.ravel(), np.arange(rows)
+        while True:
+            at = (ranks if len(row) == rows else ranks[row]).argmin(axis=1)
+            rank = flat_ranks[row * n + at]
+            live = rank < NONE
+            row, at, rank = row[live], at[live], rank[live]
+            if not len(row):
+                break
+            first = row * n
+            i = first + at
+            j = first + after[i]
+            flat_ids[i], flat_ids[j] = rank, -1
+            flat_ranks[i] = flat_ranks[j] = NONE
+            after[i] = k = after[j]
+            right, left = k < n, before[i] >= 0
+            nexts = first[right] + k[right]
+            before[nexts] = at[right]
+            previous = first[left] + before[i[left]]
+            flat_ranks[np.concatenate([i[right], previous])] = self._ranks_of_pairs(np.concatenate([rank[right], flat_ids[previous]]), np.concatenate([flat_ids[nexts], rank[left]]))
+        kept = ids >= 0
+        return ids[kept], kept.sum(axis=1)
+
+    def _ranks_of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
+    def _tokens(self, piece: str) -> list[str]:
+        """The pattern's matches in a piece."""
         word = piece[1:] if piece[0] == " " else piece
-        # of ASCII letters alone, with a space before them or not, the pattern makes one match
-        for token in [piece] if word.isalpha() and word.isascii() else self.pattern.findall(piece):
-            packed = self.cache.get(token)
-            if packed is None:
-                word = token.encode()
-                rank = self.hash.get(word)
-                packed = rank.to_bytes(4, "little") if rank >= 0 else array("I", self.merged(word)).tobytes()
-                self._keep(token, packed)
-            parts.append(packed)
-        packed = b"".join(parts)
-        if len(parts) > 1:
+        # of ASCII letters alone, with a space before them or not, the pattern makes one match, and of a mark after them another
+        if word.isascii():
+            if word.isalpha():
+                return [piece]
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return [piece[:-1], word[-1]]
+        return self.pattern.findall(piece)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """Pieces are looked up in the cache; what it lacks is gathered from all ``texts`` and merged together."""
+        get, parted, gaps, lacking = self.cache.get, [], [], {}
+        for text in texts:
+            pieces = self._pieces(text)
+            parts = list(map(get, pieces))
+            if None in parts:
+                for k, part in enumerate(parts):
+                    if part is None:
+                        gaps.append((parts, k, piece := pieces[k]))
+                        lacking[piece] = None
+            parted.append(parts)
+        found, short, several = {}, {}, []
+        for piece in lacking:
+            tokens = self._tokens(piece)
+            if tokens != [piece]:
+                several.append((piece, tokens))
+            for token in tokens:
+                if token in found or token in short:
+                    continue
+                if (packed := get(token)) is None:
+                    word = token.encode()
+                    if (rank := self.hash.get(word)) >= 0:
+                        packed = rank.to_bytes(4, "little")
+                    elif len(word) <= SHORT:
+                        short[token] = word
+                        continue
+                    else:
+                        packed = array("I", self.merged(word)).tobytes()
+                found[token] = packed
+        found.update(zip(short, self.merged_many(list(short.values())), strict=True))
+        for piece, tokens in several:
+            found[piece] = b"".join([found[token] for token in tokens])
+        for parts, k, piece in gaps:
+            parts[k] = found[piece]
+        for piece, packed in found.items():
             self._keep(piece, packed)
-        return packed
+        return list(map(b"".join, parted))
 
     def _keep(self, piece: str, packed: bytes) -> None:
         if len(piece) <= CACHE_CHARS:
@@ -187,25 +262,38 @@ class Bpe:
                 self.cache.clear()
             self.cache[piece] = packed
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+    def _pieces(self, text: str) -> list[str]:
+        """Parts of a text that are encoded by themselves.
 
         A match of the pattern holds a space before other characters only as its
         first character, so a space between two characters that are not white
-        space always begins a match: the pieces there are encoded by themselves.
+        space always begins a match.
         """
         plain = not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text))
-        pieces = text.split(" ") if plain else _ALONE.split(text)
-        get, piece = self.cache.get, self._piece
-        out = [piece(pieces[0])] if pieces[0] else []
-        for p in pieces[1:]:
-            out.append(get(q := " " + p) or piece(q))
-        return b"".join(out)
+        first, *others = text.split(" ") if plain else _ALONE.split(text)
+        pieces = [" " + p for p in others]
+        return [first, *pieces] if first else pieces
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers; null counts as empty."""
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= CHARS_AT_ONCE:
+                out += self._encoded(some)
+                some, size = [], 0
+        return out + self._encoded(some)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
+#: Marks that make a match of the pattern by themselves where they end a piece of letters.
+_MARKS = tuple(".,;:!?")
 #: White space of either library's reading; a space beside it does not begin a piece.
 _WHITE = r"\s\x1c-\x1f\x85\xa0"
 _ALONE = re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
@@ -229,7 +317,7 @@ def encoded(docs: DataFrame, text: str, shared) -> DataFrame:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = shared.value
         for batch in batches:
-            yield pd.Series([bpe.encode(t or "") for t in batch], dtype=object)
+            yield pd.Series(bpe.encode_all(batch), dtype=object)
 
     return docs.withColumn("ids", ids(F.col(text)))
 
@@ -242,8 +330,7 @@ def digests(text: Column, shared) -> Column:
         bpe, sha = shared.value, lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []
-            for t in batch:
-                ids = bpe.encode(t or "")
+            for ids in bpe.encode_all(batch):
                 rows.append((len(ids) // 4, sha(ids), sha(bpe.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -257,7 +344,7 @@ def token_count(shared) -> Callable[[Column], Column]:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = shared.value
         for batch in batches:
-            yield pd.Series([len(bpe.encode(t or "")) // 4 for t in batch], dtype="int64")
+            yield pd.Series([len(p) // 4 for p in bpe.encode_all(batch)], dtype="int64")
 
     return count
 
@@ -269,7 +356,7 @@ def token_row(text: Column, shared) -> Column:
     def row(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = shared.value
         for batch in batches:
-            packed = [bpe.encode(t or "") for t in batch]
+            packed = bpe.encode_all(batch)
             yield pd.DataFrame({"n_tokens": [len(p) // 4 for p in packed], "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed], "ids": [np.frombuffer(p, dtype="<i4") for p in packed]})
 
     return row(text)

@@ -118,6 +118,21 @@ def test_words_of_ascii_letters_need_no_pattern_and_short_ones_no_heap(coder, mo
     assert [coder.merged(w.encode()) for w in many] == short
 
 
+def test_short_words_of_many_texts_are_merged_together(coder, monkeypatch):
+    known = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(coder.tokens)}, special_tokens={})
+    r = random.Random(11)
+    texts = [None, ""] + [" ".join("".join(r.choice("etaoinshré中,.!?'1 \n") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    calls, rows = [], bpe.Bpe._rows_merged
+    monkeypatch.setattr(coder, "cache", {})
+    monkeypatch.setattr(bpe.Bpe, "merged", None)
+    monkeypatch.setattr(bpe.Bpe, "_rows_merged", lambda self, chars: calls.append(1) or rows(self, chars))
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in coder.encode_all(texts)] == [known.encode_ordinary(t or "") for t in texts]
+    assert len(calls) <= bpe.SHORT
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 100)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in coder.encode_all(texts)] == [known.encode_ordinary(t or "") for t in texts]
+
+
 def test_bpe_over_a_table(spark, coder):
     shared = spark.sparkContext.broadcast(coder)
     rows = {r["doc_id"]: r for r in bpe.encoded_documents(docs(spark, [None, "", "hello world"]), shared).collect()}
