@@ -27,7 +27,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import isqrt, log
+from functools import cached_property
+from math import isqrt, log, prod
 from zlib import crc32
 
 import numpy as np
@@ -49,8 +50,12 @@ ROUNDS, RATE = 2, 0.15
 FIRST_BATCH, BATCH, BATCH_GROWTH = 64, 4096, 64
 #: Inputs of a softmax of no greater size need no shift before their exponentials.
 SAFE = 60
+#: Hidden values are taken in steps of this power of a half when texts are scored.
+HIDDEN_BITS = 22
 #: What the sums of squared gradients begin with.
 LEAST_SQUARE = 1e-6
+#: Weights that are summed over slices in a row.
+PIECE = 1 << 12
 #: Tokens of a slice, and of a block in which the order of training is mixed.
 SLICE_TOKENS, BLOCK_TOKENS = 1 << 19, 1 << 16
 #: A weight's fraction has as many bits when weights are summed, and a full slice counts as much.
@@ -71,7 +76,8 @@ def _endings(side: int) -> int:
 
 
 def _shapes(side: int) -> dict[str, tuple[int, ...]]:
-    return {"e": (side * side, DIM), "w": (2 * SIDE, DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, side), "cb": (side,), "t": (side, HIDDEN, side), "tb": (side, side)}
+    """The last rows of ``c`` and of each class in ``t`` are biases."""
+    return {"e": (side * side, DIM), "w": (2 * SIDE, DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN + 1, side), "t": (side, HIDDEN + 1, side)}
 
 
 def _side_of(weights: int) -> int:
@@ -149,6 +155,21 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     return found
 
 
+class Codes(dict):
+    """Words to codes; a word that is missed gets its ending's and is kept."""
+
+    def __init__(self, codes: dict[bytes, int], side: int):
+        super().__init__(codes)
+        self.side, self.first_ending, self.most = side, side**2 - _endings(side), len(codes) + WORD_CACHE
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.first_ending + _ending_of(word, self.side)
+        return code
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+
+
 class Tokens:
     """Words to numbers, with a bounded cache of rare words."""
 
@@ -156,36 +177,54 @@ class Tokens:
         v, self.side = vocabulary, vocabulary.side
         self.first_ending = self.side**2 - _endings(self.side)
         self.known = {b"": BOUNDARY} | {w: i + 1 for i, w in enumerate(v.words[: v.inside])}
-        self.cache = dict(self.known)
-        self.shares = {w: log(n / (v.totals[_ending_of(w, self.side)] + 1)) for w, n in zip(v.words[v.inside :], v.counts[v.inside :], strict=True)}
+        self.codes = Codes(self.known, self.side)
+        self.vocabulary = v
         self.unseen = [-log(n + 1) for n in v.totals] if v.complete else None
 
+    @cached_property
+    def held(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """Codes of the network's own words and of all others that have a count here (from side**2 on), and by code the number and the log-probability in its class."""
+        v, size = self.vocabulary, self.side**2
+        words = v.words[v.inside :]
+        endings = np.fromiter((_ending_of(w, self.side) for w in words), dtype=np.int64, count=len(words))
+        own = np.zeros(size)
+        if self.unseen is not None:
+            own[self.first_ending :] = self.unseen
+        shares = np.log(np.array(v.counts[v.inside :], dtype=np.float64) / (np.array(v.totals, dtype=np.float64)[endings] + 1))
+        numbers = np.concatenate([np.arange(size), self.first_ending + endings]).astype(np.int32)
+        return self.known | {w: size + k for k, w in enumerate(words)}, numbers, np.concatenate([own, shares])
+
+    @cached_property
+    def held_codes(self) -> Codes:
+        return Codes(self.held[0], self.side)
+
+    @property
+    def shares(self) -> dict[bytes, float]:
+        """The log-probabilities in their classes of the words that have a count here."""
+        return dict(zip(self.vocabulary.words[self.vocabulary.inside :], self.held[2][self.side**2 :].tolist(), strict=True))
+
     def __call__(self, text: str | None) -> np.ndarray:
         return self.numbers(split(text))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > WORD_CACHE + len(self.known):
-            self.cache = dict(self.known)
-        cache = self.cache
-        out = list(map(cache.get, words))
-        if None in out:
-            for k, i in enumerate(out):
-                if i is None:
-                    out[k] = cache[words[k]] = self.first_ending + _ending_of(words[k], self.side)
-        return np.array(out, dtype=np.int32)
+        if len(self.codes) > self.codes.most:
+            self.codes = Codes(self.known, self.side)
+        return self.codes(words)
 
     def in_classes(self, words: list[bytes], numbers: np.ndarray) -> tuple[float, list[bytes]]:
         """The summed log-probabilities of words in their endings' classes, and the words that are left to be joined."""
-        rare = np.flatnonzero(numbers >= self.first_ending).tolist()
-        own = [words[i] for i in rare]
-        found = list(map(self.shares.get, own))
-        if None not in found:
-            return sum(found), []
-        total = sum(x for x in found if x is not None)
-        unknown = [k for k, x in enumerate(found) if x is None]
+        return self.scored(words)[1:]
+
+    def scored(self, words: list[bytes]) -> tuple[np.ndarray, float, list[bytes]]:
+        """The words' numbers, and what in_classes says of them."""
+        known, numbers, shares = self.held
+        if len(self.held_codes) > self.held_codes.most:
+            self.held_codes = Codes(known, self.side)
+        codes = self.held_codes(words)
+        rest = []
         if self.unseen is None:
-            return total, [own[k] for k in unknown]
-        return total + sum(self.unseen[numbers[rare[k]] - self.first_ending] for k in unknown), []
+            rest = [words[i] for i in np.flatnonzero((codes >= self.first_ending) & (codes < self.side**2)).tolist()]
+        return numbers.take(codes), float(shares.take(codes).sum()), rest
 
 
 def split(text: str | None) -> list[bytes]:
@@ -195,7 +234,10 @@ def split(text: str | None) -> list[bytes]:
 
 def start(seed: int = 11, side: int = LEAST_SIDE) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.concatenate([(np.zeros(s) if len(s) == 1 or name == "tb" else rng.normal(0, 0.1, s)).ravel() for name, s in _shapes(side).items()]).astype(np.float32)
+    flat = np.concatenate([rng.normal(0, 0.1, s).ravel() for s in _shapes(side).values()]).astype(np.float32)
+    p = _parts(flat)
+    p["b"][:] = p["c"][-1] = p["t"][:, -1] = 0
+    return flat
 
 
 def _parts(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -220,7 +262,7 @@ NEIGHBOURS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 def _by_class(y: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of the tokens ``y`` by their classes, and each class that occurs with its range in that order."""
-    of = y // side
+    of = (y // side).astype(np.uint16)  # sorted by radix
     order = np.argsort(of, kind="stable")
     ends = np.cumsum(np.bincount(of, minlength=side)).tolist()
     return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
@@ -244,95 +286,143 @@ def _softmax_loss(z: np.ndarray, of: np.ndarray) -> np.ndarray:
     n = len(z)
     total = _summed(_safe(z))
     total *= n
-    z /= total[:, None]
+    z *= (1 / total)[:, None]
     z[np.arange(n), of] -= 1 / n
     return z
 
 
-def _log_share(z: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The log-probability of column ``of[i]`` in row i; ``z`` is used up."""
-    own = _safe(z)[np.arange(len(of)), of]
-    return own - np.log(_summed(z))
-
-
-def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray) -> None:
-    """A step of gradient descent with per-weight rates, in place."""
-    squares += g * g
+def _step(weights: np.ndarray, squares: np.ndarray, g: np.ndarray, spare: np.ndarray) -> None:
+    """A step of gradient descent with per-weight rates, in place; ``g`` and ``spare`` are used up."""
+    squares += np.multiply(g, g, out=spare)
     g *= RATE
-    g /= np.sqrt(squares)
+    g /= np.sqrt(squares, out=spare)
     weights -= g
 
 
+class Rooms:
+    """Arrays to be written to, kept by name from call to call: new memory costs more than much of what is computed in it."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, dtype: type | np.dtype) -> np.ndarray:
+        size, kept = prod(shape), self.kept.get(name)
+        if kept is None or kept.size < size:
+            kept = self.kept[name] = np.empty(size, dtype=dtype)
+        return kept[:size].reshape(shape)
+
+
 class Network:
     def __init__(self, flat: np.ndarray):
         self.flat = flat.copy()
         self.p = _parts(self.flat)
-        self.side = len(self.p["cb"])
-
-    def _inner(self, h: np.ndarray, runs: list[tuple[int, int, int]], p: dict[str, np.ndarray]) -> np.ndarray:
-        """Row by row, the inputs of the softmax inside the row's class."""
-        z = np.empty((len(h), self.side), dtype=h.dtype)
-        for c, a, b in runs:
-            np.matmul(h[a:b], p["t"][c], out=z[a:b])
-            z[a:b] += p["tb"][c]
-        return z
+        self.side = self.p["c"].shape[1]
+        self.gradient = np.zeros_like(self.flat)
+        self.room, self.scoring_room = Rooms(), Rooms()
 
-    def log_probs(self, ids: np.ndarray, at: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    def log_probs(self, ids: np.ndarray, at: np.ndarray, span: int = 1 << 17, run: int = 1024) -> np.ndarray:
         """The log-probability of the tokens at ``at`` given their neighbours.
 
-        Products in double precision, each result rounded to single: how a product is
-        summed up depends on the rows beside it, and equal tokens are to score alike.
+        How a product is summed up depends on the rows beside it, and equal tokens are to score
+        alike. So products are taken of whole multiples of powers of two, small enough that every sum
+        is exact in double precision; all else is done for each row by itself, in single precision.
         """
-        p = {name: part.astype(np.float64) for name, part in self.p.items()}
-        folded = [p["e"] @ p["w"][k] for k in range(2 * SIDE)]
-        out = np.empty(len(at), dtype=np.float32)
-        for i in range(0, len(at), chunk):
-            some = at[i : i + chunk]
-            h = np.tanh(sum((f[ids[some + k]] for f, k in zip(folded, NEIGHBOURS, strict=True)), p["b"]))
-            y = ids[some]
-            lp = _log_share(h @ p["c"] + p["cb"], y // self.side)
-            order, runs = _by_class(y, self.side)
-            lp[order] += _log_share(self._inner(h[order], runs, p), y[order] % self.side)
-            out[i : i + chunk] = lp
+        side, room, out, single = self.side, self.scoring_room, np.empty(len(at)), np.float32
+        e, c, t = (self.p[k].astype(np.float64) for k in "ect")
+        folded = [(e @ w).astype(single) for w in self.p["w"].astype(np.float64)]
+        bias = self.p["b"].astype(single)
+        bound = max(np.abs(c).sum(axis=0).max(), np.abs(t).sum(axis=1).max())
+        fraction = 2.0 ** (52 - HIDDEN_BITS - int(np.ceil(np.log2(bound + 1))))
+        both = np.concatenate([np.broadcast_to(c, t.shape), t], axis=2)
+        np.rint(both * fraction, out=both)
+        both /= fraction * 2.0**HIDDEN_BITS
+        for i in range(0, len(at), span):
+            order, runs = _by_class(ids[at[i : i + span]], side)
+            order += i
+            some = at[order]
+            own = ids[some] % side + side
+            lp = np.empty(len(some))
+            for k, begin, end in runs:
+                for a in range(begin, end, run):
+                    b = min(a + run, end)
+                    n, place = b - a, some[a:b]
+                    x, more = room("x", n, HIDDEN, dtype=single), room("more", n, HIDDEN, dtype=single)
+                    x[:] = bias
+                    for f, to in zip(folded, NEIGHBOURS, strict=True):
+                        x += f.take(ids[place + to], axis=0, out=more, mode="clip")
+                    np.tanh(x, out=x)
+                    x *= 2.0**HIDDEN_BITS
+                    h = room("h", n, HIDDEN + 1, dtype=np.float64)
+                    h[:, :HIDDEN] = np.rint(x, out=x)
+                    h[:, HIDDEN] = 2.0**HIDDEN_BITS
+                    z = room("z", n, 2 * side, dtype=single)
+                    z[:] = np.matmul(h, both[k], out=room("exact", n, 2 * side, dtype=np.float64))
+                    halves = z.reshape(2 * n, side)
+                    if bound > SAFE and (z.max() > SAFE or z.min() < -SAFE):
+                        far = np.flatnonzero(np.abs(halves).max(axis=1) > SAFE)
+                        halves[far] -= halves[far].max(axis=1, keepdims=True)
+                    np.add(z[:, k], z[np.arange(n), own[a:b]], out=lp[a:b], dtype=np.float64)
+                    sums = np.einsum("ij->i", np.exp(halves, out=halves)).astype(np.float64).reshape(n, 2)
+                    lp[a:b] -= np.log(sums[:, 0] * sums[:, 1])
+            out[order] = lp
         return out
 
     def gradients(self, y: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
-        """(name, gradient) of the mean negative log-probability of the tokens ``y`` with neighbours ``around``."""
-        p, n, inputs = self.p, len(y), 2 * SIDE * DIM
+        """(name, gradient) of the mean negative log-probability of the tokens ``y`` with neighbours ``around``; all are parts of ``self.gradient``."""
+        p, n, inputs, dtype = self.p, len(y), 2 * SIDE * DIM, self.flat.dtype
+        grad = _parts(self.gradient)
         order, runs = _by_class(y, self.side)
         y, around = y[order], around[order]
-        x = p["e"][around].reshape(n, inputs)
+        x = p["e"].take(around.ravel(), axis=0, out=self.room("x", n * 2 * SIDE, DIM, dtype=dtype), mode="clip").reshape(n, inputs)
         w = p["w"].reshape(inputs, HIDDEN)
-        h = np.tanh(x @ w + p["b"])
-        z = h @ p["c"]
-        z += p["cb"]
-        _softmax_loss(z, y // self.side)
-        dh = z @ p["c"].T
-        yield "c", h.T @ z
-        yield "cb", z.sum(axis=0)
-        z = _softmax_loss(self._inner(h, runs, p), y % self.side)
-        g, gb = np.zeros_like(p["t"]), np.zeros_like(p["tb"])
-        for c, a, b in runs:
-            np.matmul(h[a:b].T, z[a:b], out=g[c])
-            dh[a:b] += z[a:b] @ p["t"][c].T
-        gb[[c for c, _, _ in runs]] = np.add.reduceat(z, [a for _, a, _ in runs], axis=0)
-        yield "t", g
-        yield "tb", gb
-        dh *= 1 - h * h
-        yield "w", (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN)
-        yield "b", dh.sum(axis=0)
-        de, of, size = (dh @ w.T).reshape(-1, DIM), around.ravel(), len(p["e"])
-        yield "e", np.stack([np.bincount(of, weights=d, minlength=size) for d in de.T], axis=1).astype(z.dtype)
+        h = self.room("h", n, HIDDEN + 1, dtype=dtype)  # its last column is 1, for the biases
+        inner = np.matmul(x, w, out=self.room("hx", n, HIDDEN, dtype=dtype))
+        inner += p["b"]
+        h[:, :HIDDEN] = np.tanh(inner, out=inner)
+        h[:, HIDDEN] = 1
+        z = self.room("z", n, self.side, dtype=dtype)
+        _softmax_loss(np.matmul(h, p["c"], out=z), y // self.side)
+        dh = np.matmul(z, p["c"].T, out=self.room("dh", n, HIDDEN + 1, dtype=dtype))
+        np.matmul(h.T, z, out=grad["c"])
+        yield "c", grad["c"]
+        rows = [(c, h[a:b], z[a:b]) for c, a, b in runs]
+        for c, of, to in rows:
+            np.dot(of, p["t"][c], out=to)
+        _softmax_loss(z, y % self.side)
+        more = self.room("more", n, HIDDEN + 1, dtype=dtype)
+        if len(runs) < self.side:
+            grad["t"][:] = 0
+        for (c, of, to), (_, a, b) in zip(rows, runs, strict=True):
+            np.dot(of.T, to, out=grad["t"][c])
+            np.dot(to, p["t"][c].T, out=more[a:b])
+        yield "t", grad["t"]
+        dh += more
+        h *= h
+        np.subtract(1, h, out=h)
+        dh *= h
+        d = self.room("d", n, HIDDEN, dtype=dtype)
+        d[:] = dh[:, :HIDDEN]
+        np.matmul(x.T, d, out=grad["w"].reshape(inputs, HIDDEN))
+        yield "w", grad["w"]
+        np.sum(d, axis=0, out=grad["b"])
+        yield "b", grad["b"]
+        de = self.room("de", DIM, n * 2 * SIDE, dtype=np.float64)
+        de[:] = np.matmul(d, w.T, out=x).reshape(-1, DIM).T
+        place = around.ravel().astype(np.int64)
+        for k, of in enumerate(de):
+            grad["e"][:, k] = np.bincount(place, weights=of, minlength=len(grad["e"]))
+        yield "e", grad["e"]
 
     def train(self, ids: np.ndarray, at: np.ndarray, squares: np.ndarray, seen: int = 0) -> None:
         """One pass of stochastic gradient descent with per-weight rates over the tokens at ``at``, in
         that order; ``squares`` is kept between calls, and ``seen`` tokens went before."""
-        sq, i = _parts(squares), 0
+        i = 0
         while i < len(at):
             some = at[i : i + min(BATCH, FIRST_BATCH + (seen + i) // BATCH_GROWTH)]
             i += len(some)
-            for name, g in list(self.gradients(ids[some], ids[some[:, None] + NEIGHBOURS])):
-                _step(self.p[name], sq[name], g)
+            for _ in self.gradients(ids[some], ids[some[:, None] + NEIGHBOURS]):
+                pass
+            _step(self.flat, squares, self.gradient, self.room("step", len(squares), dtype=squares.dtype))
 
 
 class Trainer:
@@ -392,16 +482,20 @@ def fitted(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
                     trainer.add(tokens(text))
             if trainer:
                 more, counts = trainer.result()
-                yield pd.DataFrame({"weights": [total + more], "n": [n + counts]})
+                pieces = np.split(total + more, range(PIECE, len(flat), PIECE))
+                yield pd.DataFrame({"piece": range(len(pieces)), "weights": pieces, "n": n + counts})
 
         # equal rows are alike, so (order, doc_id) settles the order of all others
         part = dealt.where(F.col("slice") % rounds == round_).repartition("slice").sortWithinPartitions("slice", "order", "doc_id").select("slice", "text")
-        trained = part.mapInPandas(train, "weights array<long>, n long")
-        # as columns: the driver holds a few numbers for each of the network's weights, and no row objects
-        got = trained.select("n", F.posexplode("weights").alias("place", "w")).groupBy("place").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0").toArrow()
-        if len(got):  # as many rows as the network has weights
-            flat = np.empty_like(flat)
-            flat[got["place"].to_numpy()] = got["w"].to_numpy() / got["n"].to_numpy() / FRACTION
+        trained = part.mapInPandas(train, "piece int, weights array<long>, n long")
+
+        def summed(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"piece": rows["piece"].iloc[:1], "weights": [np.sum(rows["weights"].tolist(), axis=0)], "n": [rows["n"].sum()]})
+
+        # the driver holds a few numbers for each of the network's weights
+        got = trained.groupBy("piece").applyInPandas(summed, trained.schema).where("n > 0").toArrow().sort_by("piece")
+        if len(got):
+            flat = (got["weights"].combine_chunks().flatten().to_numpy() / got["n"][0].as_py() / FRACTION).astype(np.float32)
         shared.unpersist()
     return flat
 
@@ -417,9 +511,8 @@ def scored(text: Column, shared) -> Column:
         for batch in batches:
             texts, sums, rest = [], [], []
             for t in batch:
-                words = split(t)
-                texts.append(tokens.numbers(words))
-                known, unknown = tokens.in_classes(words, texts[-1])
+                numbers, known, unknown = tokens.scored(split(t))
+                texts.append(numbers)
                 sums.append(known)
                 rest.append(unknown)
             total = np.array(sums, dtype=np.float64)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import tempfile
 
@@ -512,6 +513,33 @@ def test_language_model_gradients_are_the_differences_of_the_loss():
             assert (up - down) / (2 * step) == pytest.approx(whole.ravel()[k], abs=2e-4), name
 
 
+def test_language_model_scores_equal_tokens_alike_at_the_cost_of_a_few_exponentials():
+    r = np.random.default_rng(8)
+    side = 78
+    net = lm.Network(lm.start(side=side) * 4)
+    ids, at = lm.padded([r.integers(1, side**2, 40_000).astype(np.int32)])
+    whole = net.log_probs(ids, at)
+    some = r.permutation(at)[:300]
+    assert np.array_equal(net.log_probs(ids, some), whole[some - lm.SIDE])
+    assert np.array_equal([net.log_probs(ids, some[i : i + 1])[0] for i in range(40)], whole[some[:40] - lm.SIDE])
+    large = lm.Network(net.flat * 40)  # its inputs go beyond what needs no shift
+    lp = large.log_probs(ids, some)
+    assert np.isfinite(lp).all() and lp.min() < -lm.SAFE
+    assert np.array_equal(lp[:9], np.concatenate([large.log_probs(ids, some[i : i + 1]) for i in range(9)]))
+    z = np.zeros((1024, 2 * side), dtype=np.float32)
+
+    def least(f):
+        found = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            found.append(time.process_time() - began)
+        return min(found)
+
+    exponentials = least(lambda: [np.exp(z, out=np.empty_like(z)) for _ in range(len(at) // len(z))])
+    assert least(lambda: net.log_probs(ids, at)) < 3.5 * exponentials
+
+
 def test_language_model_is_the_same_for_other_batches_and_partitions(spark, monkeypatch):
     r = random.Random(9)
     texts = [words(r.randint(1, 400), k) for k in range(150)] + [None, "", words(400, 3), words(400, 3)]
