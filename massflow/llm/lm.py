@@ -25,7 +25,7 @@ share of one more word in their class; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from math import isqrt, log, prod
@@ -50,6 +50,8 @@ ROUNDS, RATE = 2, 0.15
 FIRST_BATCH, BATCH, BATCH_GROWTH = 64, 4096, 64
 #: Inputs of a softmax of no greater size need no shift before their exponentials.
 SAFE = 60
+#: Nor do rows whose exponentials have no greater sum, and no less than its inverse.
+MOST_SUM = 1e26
 #: Hidden values are taken in steps of this power of a half when texts are scored.
 HIDDEN_BITS = 22
 #: What the sums of squared gradients begin with.
@@ -160,10 +162,11 @@ class Codes(dict):
 
     def __init__(self, codes: dict[bytes, int], side: int):
         super().__init__(codes)
-        self.side, self.first_ending, self.most = side, side**2 - _endings(side), len(codes) + WORD_CACHE
+        self.endings, self.most = _endings(side), len(codes) + WORD_CACHE
+        self.first_ending = side**2 - self.endings
 
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = self.first_ending + _ending_of(word, self.side)
+        code = self[word] = self.first_ending + crc32(word[-3:]) % self.endings  # as _ending_of
         return code
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -268,23 +271,18 @@ def _by_class(y: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int
     return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
-def _safe(z: np.ndarray) -> np.ndarray:
-    """``z``, its rows shifted in place where its size calls for it."""
-    if len(z) and (z.max() > SAFE or z.min() < -SAFE):
+def _softmax_loss(fill: Callable[[], object], z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Into ``z``, which ``fill`` gives a softmax's inputs, the derivative of the mean negative log-probability of column ``of[i]`` in row i."""
+    n, ones = len(z), np.ones(z.shape[1], dtype=z.dtype)
+    fill()
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+        total = z @ ones
+    if n and not (total.min() > MOST_SUM**-1 and total.max() < MOST_SUM):
+        fill()
         z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def _summed(z: np.ndarray) -> np.ndarray:
-    """Exponentials in place, and their sums by row."""
-    np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], dtype=z.dtype)
-
-
-def _softmax_loss(z: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """In place, the derivative of the mean negative log-probability of column ``of[i]`` in row i."""
-    n = len(z)
-    total = _summed(_safe(z))
+        np.exp(z, out=z)
+        total = z @ ones
     total *= n
     z *= (1 / total)[:, None]
     z[np.arange(n), of] -= 1 / n
@@ -381,14 +379,17 @@ class Network:
         h[:, :HIDDEN] = np.tanh(inner, out=inner)
         h[:, HIDDEN] = 1
         z = self.room("z", n, self.side, dtype=dtype)
-        _softmax_loss(np.matmul(h, p["c"], out=z), y // self.side)
+        _softmax_loss(lambda: np.matmul(h, p["c"], out=z), z, y // self.side)
         dh = np.matmul(z, p["c"].T, out=self.room("dh", n, HIDDEN + 1, dtype=dtype))
         np.matmul(h.T, z, out=grad["c"])
         yield "c", grad["c"]
         rows = [(c, h[a:b], z[a:b]) for c, a, b in runs]
-        for c, of, to in rows:
-            np.dot(of, p["t"][c], out=to)
-        _softmax_loss(z, y % self.side)
+
+        def inner_inputs() -> None:
+            for c, of, to in rows:
+                np.dot(of, p["t"][c], out=to)
+
+        _softmax_loss(inner_inputs, z, y % self.side)
         more = self.room("more", n, HIDDEN + 1, dtype=dtype)
         if len(runs) < self.side:
             grad["t"][:] = 0
