@@ -148,6 +148,24 @@ def test_greedy_rounds_do_not_count_the_sinks_that_a_source_fills(spark, monkeyp
     assert sorted(got.sink) == list(range(1, 41)) and got.m.sum() == pytest.approx(0.5) and len(rounds) <= 3
 
 
+@pytest.mark.parametrize("n, bucket", [(1, 8), (7, 1), (9, 8), (300, 8), (300, 1)])
+def test_greedy_tree_gives_the_nearest_sinks_with_room(monkeypatch, n, bucket):
+    monkeypatch.setattr(greedy, "BUCKET", bucket)
+    r = np.random.default_rng(n + bucket)
+    ids, x, y, room = r.permutation(n) - 3, r.integers(0, 9, n) / 3, r.integers(0, 5, n) / 3, r.integers(1, 9, n)
+    tree, left = greedy.Sinks(ids, x, y, room), dict(zip(ids.tolist(), room.tolist(), strict=True))
+    where = dict(zip(ids.tolist(), zip(x, y, strict=True), strict=True))
+    for _ in range(n):
+        a, b, mass, want = *r.random(2) * 4, int(r.integers(1, 12)), []
+        whole = mass
+        for d2, i in sorted(((a - u) * (a - u) + (b - v) * (b - v), i) for i, (u, v) in where.items() if left[i]):
+            moved = min(mass, left[i])
+            if moved:
+                want.append((i, moved, d2))
+            mass, left[i] = mass - moved, left[i] - moved
+        assert list(tree.filled(a, b, whole)) == want
+
+
 def test_coordinate_steps_of_nearly_collinear_sites_are_few():
     r = np.random.default_rng(6)
     x, y, goals = np.sort(20 + 7 * r.random(25)), 5 + 0.3 * r.random(25), np.full(25, 490 / 25)

@@ -198,6 +198,23 @@ def test_greedy_moves_are_those_of_the_walk(spark, monkeypatch, leaf, even):
     assert got == pytest.approx(walked(rows), abs=1e-14)
 
 
+@pytest.mark.parametrize("held, leaf, bucket, most", [(10**6, 64, 8, 0), (10**6, 64, 1, 0), (12, 2, 2, None), (0, 2, 8, None)])
+def test_greedy_walk_takes_no_rounds_and_rounds_end_with_it(spark, monkeypatch, held, leaf, bucket, most):
+    rounds, kept = [], greedy._kept
+    for name, value in (("HELD_SITES", held), ("LEAF", leaf), ("BUCKET", bucket), ("BROADCAST_LEVELS", 1), ("_kept", lambda *a: rounds.append(1) or kept(*a))):
+        monkeypatch.setattr(greedy, name, value)
+    r = random.Random(5)
+    # sources that come later stand nearer, so that they are displaced one after another; ties and coincident sites beside them
+    rows = [(i, 20.0 - i, 0.0, 0.5) for i in range(14)] + [(20 + i, -float(i), 0.0, -0.5) for i in range(14)]
+    rows += [(40 + i, float(r.randint(0, 3)), float(r.randint(5, 7)), r.choice([-1, 1]) * r.randint(1, 3) / 4) for i in range(16)]
+    s = spark.createDataFrame(r.sample(rows, len(rows)), "site_id long, x double, y double, g double")
+    got = greedy.greedy_moves(s).collect()
+    assert {(m["source"], m["sink"]): m["m"] for m in got} == pytest.approx(walked(rows), abs=1e-14)
+    place = {i: (x, y) for i, x, y, _ in rows}
+    assert all(m["d2"] == pytest.approx(math.dist(place[m["source"]], place[m["sink"]]) ** 2) for m in got)
+    assert len(rounds) == most if most is not None else rounds
+
+
 def test_greedy_bound_of_few_sites(spark):
     kind = "site_id long, x double, y double, g double, sink int, room string"
     s = spark.createDataFrame([(1, 0.0, 0.0, 0.5, 1, "a"), (2, 3.0, 0.0, -0.2, 1, "a"), (3, 0.0, 4.0, -0.3, 1, "a"), (4, None, 0.0, 0.5, 1, "a"), (5, 1.0, 1.0, None, 1, "a"), (6, 1.0, 1.0, 0.0, 1, "a")], kind)
