@@ -24,15 +24,17 @@ share of one more word in their class; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 from math import isqrt, log, prod
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,8 @@ SLICE_TOKENS, BLOCK_TOKENS = 1 << 19, 1 << 16
 FRACTION, FULL_SLICE = 1 << 24, 1 << 8
 #: Most words whose counts are sent to the tasks; those of the others are joined.
 HELD_WORDS = 150_000
-WORD_CACHE = 300_000
+#: Words that are counted at once, and bytes of whole texts whose words are found at once.
+COUNTED, FOUND_BYTES = 1 << 22, 1 << 20
 BOUNDARY = 0
 
 
@@ -110,20 +113,23 @@ class Vocabulary:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, n): how often each word occurs in all texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+    def counted(words: list[pa.Array]) -> pa.RecordBatch:
+        w, n = pa.chunked_array(words, pa.binary()).value_counts().flatten()
+        return pa.record_batch({"w": w, "n": n})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
         for batch in batches:
-            for text in batch["text"]:
-                found.update(split(text))
-            if len(found) > WORD_CACHE:
-                yield pd.DataFrame({"w": list(found.keys()), "n": list(found.values())})
-                found = Counter()
-        if found:
-            yield pd.DataFrame({"w": list(found.keys()), "n": list(found.values())})
+            held.extend(words for words, _ in found_words(batch.column("text").to_pylist()))
+            if sum(map(len, held)) >= COUNTED:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
 
     bounded_batches(docs.sparkSession)
-    counted = docs.select("text").mapInPandas(count, "w binary, n long")
-    return stored(counted.groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
+    found = docs.select("text").mapInArrow(count, "w binary, n long")
+    return stored(found.groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def _ending(word: str, side: int) -> Column:
@@ -135,6 +141,23 @@ def _ending_of(word: bytes, side: int) -> int:
     return crc32(word[-3:]) % _endings(side)
 
 
+#: What a byte does to a CRC-32.
+CRC = np.array([crc32(bytes([k ^ 0xFF])) ^ 0xFF000000 for k in range(256)], dtype=np.uint32)
+
+
+def _endings_of(words: pa.Array, side: int) -> np.ndarray:
+    """As _ending_of, of many words."""
+    ends, data = (np.frombuffer(b or b"", dtype=t) for b, t in zip(words.buffers()[1:], (np.int32, np.uint8), strict=True))
+    ends = ends[words.offset : words.offset + len(words) + 1]
+    sizes, ends = np.diff(ends), ends[1:]
+    crc = np.full(len(words), 0xFFFFFFFF, dtype=np.uint32)
+    for k in (3, 2, 1):
+        some = np.flatnonzero(sizes >= k) if k > 1 or not sizes.all() else slice(None)
+        now = crc[some]
+        crc[some] = CRC[(now ^ data[ends[some] - k]) & 0xFF] ^ (now >> 8)
+    return (~crc % _endings(side)).astype(np.int32)
+
+
 def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     """``counts``: those of ``docs``, where they are known."""
     counts = word_counts(docs) if counts is None else counts
@@ -157,77 +180,86 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     return found
 
 
-class Codes(dict):
-    """Words to codes; a word that is missed gets its ending's and is kept."""
-
-    def __init__(self, codes: dict[bytes, int], side: int):
-        super().__init__(codes)
-        self.endings, self.most = _endings(side), len(codes) + WORD_CACHE
-        self.first_ending = side**2 - self.endings
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = self.first_ending + crc32(word[-3:]) % self.endings  # as _ending_of
-        return code
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class Tokens:
-    """Words to numbers, with a bounded cache of rare words."""
+    """Words to numbers, and to their log-probabilities in their endings' classes."""
 
     def __init__(self, vocabulary: Vocabulary):
         v, self.side = vocabulary, vocabulary.side
         self.first_ending = self.side**2 - _endings(self.side)
-        self.known = {b"": BOUNDARY} | {w: i + 1 for i, w in enumerate(v.words[: v.inside])}
-        self.codes = Codes(self.known, self.side)
+        self.own = pa.array([b"", *v.words[: v.inside]], pa.binary())  # by number, from BOUNDARY on
         self.vocabulary = v
         self.unseen = [-log(n + 1) for n in v.totals] if v.complete else None
 
     @cached_property
-    def held(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """Codes of the network's own words and of all others that have a count here (from side**2 on), and by code the number and the log-probability in its class."""
-        v, size = self.vocabulary, self.side**2
-        words = v.words[v.inside :]
-        endings = np.fromiter((_ending_of(w, self.side) for w in words), dtype=np.int64, count=len(words))
-        own = np.zeros(size)
-        if self.unseen is not None:
-            own[self.first_ending :] = self.unseen
+    def held(self) -> tuple[dict[bytes, int], pa.Array, np.ndarray]:
+        """The places of all words that have a count here but aren't the network's own; by place the word and its log-probability in its class."""
+        v = self.vocabulary
+        words = pa.array(v.words[v.inside :], pa.binary())
+        endings = _endings_of(words, self.side)
         shares = np.log(np.array(v.counts[v.inside :], dtype=np.float64) / (np.array(v.totals, dtype=np.float64)[endings] + 1))
-        numbers = np.concatenate([np.arange(size), self.first_ending + endings]).astype(np.int32)
-        return self.known | {w: size + k for k, w in enumerate(words)}, numbers, np.concatenate([own, shares])
-
-    @cached_property
-    def held_codes(self) -> Codes:
-        return Codes(self.held[0], self.side)
+        return {w: k for k, w in enumerate(v.words[v.inside :])}, words, shares
 
     @property
     def shares(self) -> dict[bytes, float]:
         """The log-probabilities in their classes of the words that have a count here."""
-        return dict(zip(self.vocabulary.words[self.vocabulary.inside :], self.held[2][self.side**2 :].tolist(), strict=True))
+        return dict(zip(self.held[0], self.held[2].tolist(), strict=True))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.numbers(split(text))
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Every text's numbers."""
+        for words, counts in found_words(texts):
+            yield from np.split(self.numbers(words), np.cumsum(counts)[:-1])
+
+    def numbers(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        return self._numbers(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))[0]
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.codes) > self.codes.most:
-            self.codes = Codes(self.known, self.side)
-        return self.codes(words)
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The words' numbers, the places of those that aren't the network's own, and these words."""
+        numbers = np.array(pc.index_in(words, value_set=self.own).fill_null(-1))
+        other = np.flatnonzero(numbers < 0)
+        others = words.take(pa.array(other))
+        numbers[other] = self.first_ending + _endings_of(others, self.side)
+        return numbers, other, others
 
     def in_classes(self, words: list[bytes], numbers: np.ndarray) -> tuple[float, list[bytes]]:
         """The summed log-probabilities of words in their endings' classes, and the words that are left to be joined."""
-        return self.scored(words)[1:]
-
-    def scored(self, words: list[bytes]) -> tuple[np.ndarray, float, list[bytes]]:
-        """The words' numbers, and what in_classes says of them."""
-        known, numbers, shares = self.held
-        if len(self.held_codes) > self.held_codes.most:
-            self.held_codes = Codes(known, self.side)
-        codes = self.held_codes(words)
-        rest = []
+        other = np.flatnonzero(numbers >= self.first_ending)
+        sums, rest = self._in_classes(pa.array([words[k] for k in other], pa.binary()), numbers[other], np.zeros(len(other), dtype=np.int64), 1)
+        return float(sums[0]), rest[0]
+
+    def _in_classes(self, words: pa.Array, numbers: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, list[list[bytes]]]:
+        """As in_classes, for ``n`` texts: ``owner`` tells whose words these are."""
+        places, held, shares = self.held
+        if len(words) < len(held) // 2:  # a lookup of many words begins with all held ones
+            place = np.fromiter(map(places.get, _bytes(words), repeat(-1)), dtype=np.int64, count=len(words))
+        else:
+            place = np.asarray(pc.index_in(words, value_set=held).fill_null(-1))
+        share, missed = np.zeros(len(place)), place < 0
+        share[~missed] = shares[place[~missed]]
+        rest: list[list[bytes]] = [[] for _ in range(n)]
         if self.unseen is None:
-            rest = [words[i] for i in np.flatnonzero((codes >= self.first_ending) & (codes < self.side**2)).tolist()]
-        return numbers.take(codes), float(shares.take(codes).sum()), rest
+            left = _bytes(words.filter(pa.array(missed)))
+            ends = np.cumsum(np.bincount(owner[missed], minlength=n)).tolist()
+            rest = [left[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        else:
+            share[missed] = np.array(self.unseen)[numbers[missed] - self.first_ending]
+        return np.bincount(owner, weights=share, minlength=n).astype(np.float64), rest  # of no words they are integers
+
+    def scored(self, texts: Iterable[str | None]) -> tuple[list[np.ndarray], np.ndarray, list[list[bytes]]]:
+        """Every text's numbers, and what in_classes says of its words."""
+        texts_numbers, others = [], [(pa.array([], pa.binary()), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
+        for words, counts in found_words(texts):
+            numbers, other, more = self._numbers(words)
+            others.append((more, numbers[other], len(texts_numbers) + np.repeat(np.arange(len(counts)), counts)[other]))
+            texts_numbers += np.split(numbers, np.cumsum(counts)[:-1])
+        words, numbers, owner = zip(*others, strict=True)
+        return texts_numbers, *self._in_classes(pa.concat_arrays(words), np.concatenate(numbers), np.concatenate(owner), len(texts_numbers))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -235,6 +267,36 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+#: The bytes that bytes.split() splits at.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def found_words(texts: Iterable[str | None]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of one text after another, as split gives them, and how many each text has; by runs of texts."""
+
+    def found() -> tuple[pa.Array, np.ndarray]:
+        data = np.frombuffer(b" ".join([b"", *held, b""]), dtype=np.uint8)
+        space = _SPACE.take(data)
+        edges = np.flatnonzero(space[1:] != space[:-1])  # before each word's first byte, and at its last
+        firsts, sizes = edges[::2], np.diff(edges)[::2]
+        offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+        ends = np.cumsum([len(t) + 1 for t in held])
+        return words, np.diff(np.searchsorted(firsts, ends), prepend=0)
+
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").lower().encode())
+        size += len(held[-1])
+        if size >= FOUND_BYTES:
+            yield found()
+            held, size = [], 0
+    if held:
+        yield found()
+
+
 def start(seed: int = 11, side: int = LEAST_SIDE) -> np.ndarray:
     rng = np.random.default_rng(seed)
     flat = np.concatenate([rng.normal(0, 0.1, s).ravel() for s in _shapes(side).values()]).astype(np.float32)
@@ -474,13 +536,13 @@ def fitted(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
             vocabulary, flat = shared.value
             tokens, total, n, now, trainer = Tokens(vocabulary), np.zeros(len(flat), dtype=np.int64), 0, None, None
             for batch in batches:
-                for slice_, text in zip(batch["slice"], batch["text"], strict=True):
+                for slice_, numbers in zip(batch["slice"], tokens.each(batch["text"]), strict=True):
                     if slice_ != now:
                         if trainer:
                             more, counts = trainer.result()
                             total, n = total + more, n + counts
                         now, trainer = slice_, Trainer(flat)
-                    trainer.add(tokens(text))
+                    trainer.add(numbers)
             if trainer:
                 more, counts = trainer.result()
                 pieces = np.split(total + more, range(PIECE, len(flat), PIECE))
@@ -510,13 +572,7 @@ def scored(text: Column, shared) -> Column:
         vocabulary, flat = shared.value
         tokens, net = Tokens(vocabulary), Network(flat)
         for batch in batches:
-            texts, sums, rest = [], [], []
-            for t in batch:
-                numbers, known, unknown = tokens.scored(split(t))
-                texts.append(numbers)
-                sums.append(known)
-                rest.append(unknown)
-            total = np.array(sums, dtype=np.float64)
+            texts, total, rest = tokens.scored(batch)
             for i in range(0, len(texts), 256):
                 some = texts[i : i + 256]
                 ids, at = padded(some)

@@ -5,6 +5,7 @@ import random
 import time
 import re
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -540,6 +541,34 @@ def test_language_model_scores_equal_tokens_alike_at_the_cost_of_a_few_exponenti
     assert least(lambda: net.log_probs(ids, at)) < 3.5 * exponentials
 
 
+def test_language_model_finds_many_words_at_once_as_split_does(monkeypatch):
+    r = random.Random(12)
+    texts = [None, "", " \t", "a", " Ab \x0b\x0c c\r", "\x1cq\x1fw a\x00b \x00", "\u0130\u03a3 \u00c4\u00d6\u00a0x\u2003y", "\u65e5\u672c \u8a9e", "ab abc abcd"] + [words(r.randint(1, 300), k) for k in range(40)]
+    counts = sorted(Counter(w for t in texts for w in lm.split(t)).items(), key=lambda x: (-x[1], x[0]))
+    side = lm.LEAST_SIDE
+    every = [w for w, _ in counts] + [b"z%d" % k for k in range(2000)]
+    for size, complete, kept in ((1, True, 1200), (1 << 20, True, 1200), (1 << 20, False, 1200), (300, False, len(every)), (1 << 20, False, 0)):
+        monkeypatch.setattr(lm, "FOUND_BYTES", size)
+        found = list(lm.found_words(texts))
+        assert [w for ws, _ in found for w in ws.to_pylist()] == [w for t in texts for w in lm.split(t)]
+        assert [n for _, ns in found for n in ns] == [len(lm.split(t)) for t in texts]
+        tokens = lm.Tokens(lm.Vocabulary(every[:kept], [3] * kept, side, [9] * lm._endings(side), complete))
+        own = {w: k + 1 for k, w in enumerate(every[: tokens.vocabulary.inside])}
+        code = lambda w: own.get(w, tokens.first_ending + lm._ending_of(w, side))
+        share = lambda w: 0 if w in own else tokens.shares.get(w, -np.log(10) if complete else 0)
+        numbers, sums, rest = tokens.scored(texts)
+        for t, one, got, more, left in zip(texts, tokens.each(texts), numbers, sums, rest, strict=True):
+            ws = lm.split(t)
+            assert one.tolist() == got.tolist() == [code(w) for w in ws] and got.dtype == np.int32
+            assert more == pytest.approx(sum(map(share, ws)))
+            assert left == ([] if complete else [w for w in ws if w not in every[:kept]])
+            assert tokens.in_classes(ws, got) == (more, left)
+    long = [" ".join(words(2000, k) + f" {k}x" for k in range(8))] * 12
+    best = lambda f: min((lambda began: (f(), time.process_time() - began)[1])(time.process_time()) for _ in range(4))
+    tokens = lm.Tokens(lm.Vocabulary(every, [3] * len(every), side, [9] * lm._endings(side), False))
+    assert best(lambda: list(tokens.each(long))) < 2.5 * best(lambda: [lm.split(t) for t in long])
+
+
 def test_language_model_is_the_same_for_other_batches_and_partitions(spark, monkeypatch):
     r = random.Random(9)
     texts = [words(r.randint(1, 400), k) for k in range(150)] + [None, "", words(400, 3), words(400, 3)]
