@@ -347,7 +347,7 @@ def _softmax_loss(fill: Callable[[], object], z: np.ndarray, of: np.ndarray) ->
         total = z @ ones
     total *= n
     z *= (1 / total)[:, None]
-    z[np.arange(n), of] -= 1 / n
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + of] -= 1 / n
     return z
 
 
@@ -378,6 +378,7 @@ class Network:
         self.p = _parts(self.flat)
         self.side = self.p["c"].shape[1]
         self.gradient = np.zeros_like(self.flat)
+        self.gradient_parts = _parts(self.gradient)
         self.room, self.scoring_room = Rooms(), Rooms()
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray, span: int = 1 << 17, run: int = 1024) -> np.ndarray:
@@ -390,7 +391,7 @@ class Network:
         side, room, out, single = self.side, self.scoring_room, np.empty(len(at)), np.float32
         e, c, t = (self.p[k].astype(np.float64) for k in "ect")
         folded = [(e @ w).astype(single) for w in self.p["w"].astype(np.float64)]
-        bias = self.p["b"].astype(single)
+        folded[0] += self.p["b"].astype(single)
         bound = max(np.abs(c).sum(axis=0).max(), np.abs(t).sum(axis=1).max())
         fraction = 2.0 ** (52 - HIDDEN_BITS - int(np.ceil(np.log2(bound + 1))))
         both = np.concatenate([np.broadcast_to(c, t.shape), t], axis=2)
@@ -407,8 +408,8 @@ class Network:
                     b = min(a + run, end)
                     n, place = b - a, some[a:b]
                     x, more = room("x", n, HIDDEN, dtype=single), room("more", n, HIDDEN, dtype=single)
-                    x[:] = bias
-                    for f, to in zip(folded, NEIGHBOURS, strict=True):
+                    folded[0].take(ids[place + NEIGHBOURS[0]], axis=0, out=x, mode="clip")
+                    for f, to in zip(folded[1:], NEIGHBOURS[1:], strict=True):
                         x += f.take(ids[place + to], axis=0, out=more, mode="clip")
                     np.tanh(x, out=x)
                     x *= 2.0**HIDDEN_BITS
@@ -430,7 +431,7 @@ class Network:
     def gradients(self, y: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         """(name, gradient) of the mean negative log-probability of the tokens ``y`` with neighbours ``around``; all are parts of ``self.gradient``."""
         p, n, inputs, dtype = self.p, len(y), 2 * SIDE * DIM, self.flat.dtype
-        grad = _parts(self.gradient)
+        grad = self.gradient_parts
         order, runs = _by_class(y, self.side)
         y, around = y[order], around[order]
         x = p["e"].take(around.ravel(), axis=0, out=self.room("x", n * 2 * SIDE, DIM, dtype=dtype), mode="clip").reshape(n, inputs)
@@ -445,29 +446,27 @@ class Network:
         dh = np.matmul(z, p["c"].T, out=self.room("dh", n, HIDDEN + 1, dtype=dtype))
         np.matmul(h.T, z, out=grad["c"])
         yield "c", grad["c"]
-        rows = [(c, h[a:b], z[a:b]) for c, a, b in runs]
+        more = self.room("more", n, HIDDEN + 1, dtype=dtype)
+        rows = [(p["t"][c], grad["t"][c], h[a:b], z[a:b], more[a:b]) for c, a, b in runs]
 
         def inner_inputs() -> None:
-            for c, of, to in rows:
-                np.dot(of, p["t"][c], out=to)
+            for t, _, of, to, _ in rows:
+                np.dot(of, t, out=to)
 
         _softmax_loss(inner_inputs, z, y % self.side)
-        more = self.room("more", n, HIDDEN + 1, dtype=dtype)
         if len(runs) < self.side:
             grad["t"][:] = 0
-        for (c, of, to), (_, a, b) in zip(rows, runs, strict=True):
-            np.dot(of.T, to, out=grad["t"][c])
-            np.dot(to, p["t"][c].T, out=more[a:b])
+        for t, to, of, dz, back in rows:
+            np.dot(of.T, dz, out=to)
+            np.dot(dz, t.T, out=back)
         yield "t", grad["t"]
         dh += more
-        h *= h
-        np.subtract(1, h, out=h)
-        dh *= h
-        d = self.room("d", n, HIDDEN, dtype=dtype)
-        d[:] = dh[:, :HIDDEN]
+        inner *= inner
+        np.subtract(1, inner, out=inner)
+        d = np.multiply(dh[:, :HIDDEN], inner, out=inner)
         np.matmul(x.T, d, out=grad["w"].reshape(inputs, HIDDEN))
         yield "w", grad["w"]
-        np.sum(d, axis=0, out=grad["b"])
+        np.matmul(np.ones(n, dtype=dtype), d, out=grad["b"])
         yield "b", grad["b"]
         de = self.room("de", DIM, n * 2 * SIDE, dtype=np.float64)
         de[:] = np.matmul(d, w.T, out=x).reshape(-1, DIM).T
